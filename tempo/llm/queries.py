@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tempo.llm import exact_dedup, packing
+from tempo.llm import embedding_dedup, exact_dedup, packing, simhash, url_reputation
 from tempo.llm.common import table
 
 
 def queries():
     return {
         "op3_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_dedup(table(spark, sf_dir, "documents")),
+        "op1_simhash": lambda spark, sf_dir: simhash.simhash_components(table(spark, sf_dir, "documents")),
+        "op8_url_reputation": lambda spark, sf_dir: url_reputation.url_verdicts(table(spark, sf_dir, "pages"), url_reputation.page_outcomes(table(spark, sf_dir, "labels"))),
+        "op9_embeddings": lambda spark, sf_dir: embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings")),
         "op10_packing": lambda spark, sf_dir: packing.pack(table(spark, sf_dir, "documents")),
     }
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op8_url_reputation": url_reputation.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL}
