@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tempo.llm import embedding_dedup, exact_dedup, packing, simhash, url_reputation
+from tempo.llm import embedding_dedup, exact_dedup, licenses, packing, simhash, toxicity, url_reputation
 from tempo.llm.common import table
 
 
@@ -12,6 +12,8 @@ def queries():
         "op1_simhash": lambda spark, sf_dir: simhash.simhash_components(table(spark, sf_dir, "documents")),
         "op8_url_reputation": lambda spark, sf_dir: url_reputation.url_verdicts(table(spark, sf_dir, "pages"), url_reputation.page_outcomes(table(spark, sf_dir, "labels"))),
         "op9_embeddings": lambda spark, sf_dir: embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings")),
+        "op7_licenses": lambda spark, sf_dir: licenses.license_scan(table(spark, sf_dir, "documents")),
+        "op2_toxicity": lambda spark, sf_dir: toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op10_packing": lambda spark, sf_dir: packing.pack(table(spark, sf_dir, "documents")),
     }
 
