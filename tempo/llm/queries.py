@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tempo.llm import embedding_dedup, exact_dedup, licenses, packing, simhash, toxicity, url_reputation
+from tempo.llm import embedding_dedup, exact_dedup, licenses, packing, sentence_spans, simhash, toxicity, url_reputation
 from tempo.llm.common import table
 
 
@@ -14,6 +14,7 @@ def queries():
         "op9_embeddings": lambda spark, sf_dir: embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings")),
         "op7_licenses": lambda spark, sf_dir: licenses.license_scan(table(spark, sf_dir, "documents")),
         "op2_toxicity": lambda spark, sf_dir: toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op4_sentence_spans": lambda spark, sf_dir: sentence_spans.span_dedup(table(spark, sf_dir, "documents")),
         "op10_packing": lambda spark, sf_dir: packing.pack(table(spark, sf_dir, "documents")),
     }
 
