@@ -11,19 +11,19 @@ from __future__ import annotations
 import base64
 import functools
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tempo.llm.common import doc_texts
 
 WINDOW = 2048
 END_ID = 1
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 @functools.lru_cache(maxsize=4)
@@ -84,7 +84,7 @@ class Packer:
     def close(self, pieces: list) -> None:
         at = 0
         for doc_id, start, ids, total in pieces:
-            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, at))
+            self.rows.append((doc_id, start, len(ids), ids.tobytes(), total, self.next_id, at))
             at += len(ids)
         self.next_id += 1
 
@@ -123,11 +123,11 @@ class Packer:
     def take(self) -> pd.DataFrame:
         rows, self.rows = self.rows, []
         frame = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        return frame.astype({c: "int64" for c in frame.columns if c != "doc_id"}).astype({"doc_id": "Int64"})
+        return frame.astype({c: "int64" for c in frame.columns if c not in ("doc_id", "ids")}).astype({"doc_id": "Int64"})
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they occur; a null doc_id stays
     null. Texts longer than a window are cut into full windows and a remainder. ``window`` has to be a power of two.
@@ -151,3 +151,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
         yield packer.take()
 
     return doc_texts(docs).mapInPandas(run, SCHEMA)
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """The pieces of ``pack`` with a checksum in place of their ids."""
+    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
