@@ -80,6 +80,11 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest=None) -> DataFrame:
     an empty result. ``digest`` replaces SHA-256 as the grouping digest (tests use a weak one): contents that share a
     digest are still told apart.
     """
+    return _judged(docs, salts, digest).drop("n_chars")
+
+
+def _judged(docs: DataFrame, salts: int, digest=None) -> DataFrame:
+    """The rows of ``exact_dedup`` with their length, n_chars."""
     winners = cut_lineage(repeated_contents(docs, salts, digest))
     rows = _rows(docs, digest)
     out = rows.drop("content").join(winners.filter("variants = 1").drop("content"), "digest", "left")
@@ -94,9 +99,21 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest=None) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (single | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))).alias("kept"),
         "text_sha256",
+        "n_chars",
     )
 
 
+def drop_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps.
+
+    Rows that repeat a kept row's doc_id and text stay with it.
+    """
+    gone = _judged(docs, salts).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_size")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(normalised(text), 256) == F.col("_sha")) & (F.length(text) == F.col("_size"))
+    return docs.join(gone, same, "left_anti")
+
+
 ORACLE_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tempo.llm import bpe, embedding_dedup, exact_dedup, licenses, packing, sentence_spans, simhash, toxicity, url_reputation
+from tempo.llm import bpe, embedding_dedup, exact_dedup, licenses, packing, sentence_spans, simhash, suffix_array, toxicity, url_reputation
 from tempo.llm.common import table
 
 
@@ -16,6 +16,7 @@ def queries():
         "op2_toxicity": lambda spark, sf_dir: toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op4_sentence_spans": lambda spark, sf_dir: sentence_spans.span_dedup(table(spark, sf_dir, "documents")),
         "op5_bpe": lambda spark, sf_dir: bpe.encoded_digests(table(spark, sf_dir, "documents")),
+        "op6_suffix_array": lambda spark, sf_dir: suffix_array.substring_digests(table(spark, sf_dir, "documents")),
         "op10_packing": lambda spark, sf_dir: packing.packed_pieces(table(spark, sf_dir, "documents")),
     }
 

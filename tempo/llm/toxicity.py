@@ -250,3 +250,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
             yield pd.DataFrame({"doc_id": ids.astype("Int64"), "held_out": held, "score": score, "predicted": (score >= 0.5).astype("int32")})
 
     return doc_texts(docs).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below 0.5. Null and empty texts stay unless every text is rejected."""
+
+    @F.pandas_udf("boolean")
+    def is_clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kernel = Kernel(model.landmarks) if model.landmarks else None
+        for texts in batches:
+            texts = ["" if t is None else t for t in texts]
+            found = kernel.documents(texts) if kernel else [np.zeros((0, 0))] * len(texts)
+            yield pd.Series(model.score(found) < 0.5 if texts else np.zeros(0, dtype=bool))
+
+    return docs.filter(is_clean(F.col("text")))
