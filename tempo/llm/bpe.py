@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tempo.llm.common import doc_texts
 
 LEXICON = 50_000  # frequent words that are compiled
+_BYTES = [bytes((b,)) for b in range(256)]
 _CACHE = 250_000
 _COUNTED = 200_000
 # Texts of these characters are normalised and split here; any other goes through the tokenizer file's own rules.
@@ -47,15 +48,14 @@ class Lexicon:
         self.labels = at
 
     def __getitem__(self, word: bytes) -> np.ndarray | None:
-        node, number = 0, 0
+        node, number, labels, find, first, skip, target = 0, 0, self.labels, self.data.find, self.first, self.skip, self.target
         for label in word:
-            low, high = self.labels + self.first[node], self.labels + self.first[node + 1]
-            arc = self.data.find(bytes((label,)), low, high)
+            low, high = labels + first[node], labels + first[node + 1]
+            arc = find(_BYTES[label], low, high) - labels
             if arc < 0:
                 return None
-            arc -= self.labels
-            number += self.skip[arc]
-            node = self.target[arc]
+            number += skip[arc]
+            node = target[arc]
         if not self.final[node]:
             return None
         return np.array(self.ids[self.start[number] : self.start[number + 1]], dtype=np.int32)
@@ -160,11 +160,16 @@ class Tokenizer:
         ranks = self.ranks
         if len(symbols) > 48:
             return self._merge_long(symbols)
-        while len(symbols) > 1:
-            best, at = min((ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if best == 1 << 60:
-                break
+        worst = 1 << 60
+        order = [ranks.get(pair, worst) for pair in zip(symbols, symbols[1:], strict=False)]
+        while order and (best := min(order)) < worst:
+            at = order.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del order[at]
+            if at:
+                order[at - 1] = ranks.get((symbols[at - 1], symbols[at]), worst)
+            if at < len(order):
+                order[at] = ranks.get((symbols[at], symbols[at + 1]), worst)
         return [self.ids[s] for s in symbols]
 
     def _merge_long(self, symbols: list) -> list[int]:
