@@ -86,7 +86,7 @@ def walk_forward_ridge(features: DataFrame, panel: DataFrame, horizon: int = 20,
         return {"prediction": out}
 
     done = ordered_scan(data, [("prediction", "double")], start, step)
-    return done.filter("not isnan(prediction)").select("quote_date", "available_on", "iso", "rub_per_unit", "prediction")
+    return done.filter("prediction is not null and not isnan(prediction)").select("quote_date", "available_on", "iso", "rub_per_unit", "prediction")
 
 
 @dataclass(frozen=True)

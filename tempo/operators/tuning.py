@@ -51,7 +51,7 @@ def with_spearman(pairs: DataFrame, keys: list[str], min_pairs: int = 30) -> Dat
 
     ranked = pairs.withColumns({"rx": average_rank("x"), "ry": average_rank("y")})
     varied = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry")) & (F.count(F.lit(1)) >= min_pairs)
-    return ranked.groupBy(*keys).agg(F.when(varied, F.corr("rx", "ry")).alias("rho"))
+    return ranked.groupBy(*keys).agg(F.when(varied, F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias("rho"))
 
 
 def calibrated(scored: DataFrame, names: list[str], config: TuningConfig = TuningConfig()) -> DataFrame:

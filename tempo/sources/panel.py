@@ -41,14 +41,14 @@ def coerced(frame: DataFrame) -> DataFrame:
 def violations(frame: DataFrame) -> DataFrame:
     """One row with the number of quotes that break each rule; ``frame`` is ``coerced``."""
     n, r, u = F.col("nominal"), F.col("rate"), F.col("rate_per_unit")
-    whole = F.round(n)
+    whole, unit = F.round(n), F.try_divide(r, n)
     bad = {
         "bad_date": F.col("quote_date").isNull(),
         "bad_iso": ~F.coalesce(F.col("iso").rlike("^[A-Z]{3}$"), F.lit(False)),
         "bad_nominal": ~_finite(n) | (n <= 0),
         "bad_rate": ~_finite(r) | (r <= 0),
         "not_whole": _finite(n) & (F.abs(n - whole) > 1e-8 + 1e-5 * F.abs(whole)),
-        "bad_unit_rate": u.isNotNull() & (n > 0) & (F.abs(u - r / n) > 1e-12 + 1e-10 * F.abs(r / n)),
+        "bad_unit_rate": u.isNotNull() & (F.abs(u - unit) > 1e-12 + 1e-10 * F.abs(unit)),
     }
     marked = frame.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("quote_date", "iso")))
     return marked.agg(*[F.count_if(c).alias(k) for k, c in bad.items()], F.count_if(F.col("copies") > 1).alias("duplicates"))
@@ -64,7 +64,7 @@ def panel_of(frame: DataFrame, availability_lag_days: int = 1) -> DataFrame:
         "iso",
         F.round("nominal").cast("long").alias("nominal"),
         "rate",
-        (F.col("rate") / F.col("nominal")).alias("rub_per_unit"),
+        F.try_divide("rate", "nominal").alias("rub_per_unit"),
     )
 
 
@@ -95,7 +95,7 @@ def parse_rate_xml(documents: DataFrame) -> DataFrame:
     number = lambda c: F.expr(f"try_cast(replace(replace(nullif(trim({c}), ''), ' ', ''), ',', '.') AS double)")
     rows = documents.select("iso", F.explode(F.arrays_zip(F.xpath("xml", F.lit("//Record/@Date")).alias("d"), text("Nominal").alias("n"), text("Value").alias("v"))).alias("r"))
     quotes = rows.select(F.to_date("r.d", "dd.MM.yyyy").alias("date"), "iso", F.col("r.n").alias("n"), F.col("r.v").alias("v"))
-    return quotes.select("date", "iso", number("n").alias("nominal"), number("v").alias("rate")).withColumn("rate_per_unit", F.col("rate") / F.col("nominal"))
+    return quotes.select("date", "iso", number("n").alias("nominal"), number("v").alias("rate")).withColumn("rate_per_unit", F.try_divide("rate", "nominal"))
 
 
 def request_chunks(spark: SparkSession, start: str, end: str, days: int = CHUNK_DAYS) -> DataFrame:
