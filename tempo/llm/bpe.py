@@ -248,7 +248,8 @@ def frequent_words(docs: DataFrame, path: str, size: int) -> list[str]:
                 if len(seen) > _COUNTED:
                     yield pd.DataFrame({"word": [w.encode("utf-8", "surrogateescape") for w in seen], "n": list(seen.values())})
                     seen = Counter()
-        yield pd.DataFrame({"word": [w.encode("utf-8", "surrogateescape") for w in seen], "n": list(seen.values())})
+        if seen:  # an empty frame would have no types
+            yield pd.DataFrame({"word": [w.encode("utf-8", "surrogateescape") for w in seen], "n": list(seen.values())})
 
     counted = doc_texts(docs).mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]  # bounded by size

@@ -146,9 +146,11 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 packer.add(None if pd.isna(doc_id) else int(doc_id), token_ids(text, tokenizer_path, end_id))
-            yield packer.take()
+            if packer.rows:  # an empty frame would have no types
+                yield packer.take()
         packer.finish()
-        yield packer.take()
+        if packer.rows:
+            yield packer.take()
 
     return doc_texts(docs).mapInPandas(run, SCHEMA)
 

@@ -262,7 +262,8 @@ def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, kmer: int
                     for c in cuts:
                         pieces = -(-c["members"] // shard)
                         rows.append((c["anchor"], c["d1"], c["d2"], (c["d1"] ^ c["d2"]) % pieces, pieces > 1, body[c["first"] : c["first"] + c["n"] + length - 1]))
-                yield pd.DataFrame(rows, columns=["anchor", "d1", "d2", "shard", "split", "body"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["anchor", "d1", "d2", "shard", "split", "body"])
 
     bodies = texts.join(wanted, ["id", "mark"]).select("text", "cuts").mapInPandas(extract, "anchor long, d1 long, d2 int, shard long, split boolean, body binary")
     shards = _sorted_shards(bodies, length)

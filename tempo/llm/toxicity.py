@@ -243,8 +243,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kernel = Kernel(model.landmarks) if model.landmarks else None
         for batch in batches:
+            if not len(batch):
+                continue
             found = kernel.documents(batch["text"].tolist()) if kernel else [np.zeros((0, 0))] * len(batch)
-            score = model.score(found) if len(batch) else np.zeros(0)
+            score = model.score(found)
             ids = batch["doc_id"]
             held = [not pd.isna(i) and zlib.crc32(str(int(i)).encode()) % FOLDS == 0 for i in ids]
             yield pd.DataFrame({"doc_id": ids.astype("Int64"), "held_out": held, "score": score, "predicted": (score >= 0.5).astype("int32")})

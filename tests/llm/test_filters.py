@@ -91,3 +91,9 @@ def test_toxicity_edges(spark, awkward, empty):
     fold = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").withColumn("text", F.lit("t"))
     got = {r.doc_id for r in toxicity.toxicity(fold, labels).filter("held_out").collect()}
     assert got == {r.doc_id for r in fold.filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).collect()}
+
+
+def test_partitions_without_rows(spark):
+    docs = spark.createDataFrame([(1, "MIT License a clown"), (2, "b")], "doc_id long, text string").repartition(6)
+    assert licenses.license_scan(docs).count() == 2
+    assert toxicity.toxicity(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 2
