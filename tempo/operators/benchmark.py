@@ -12,7 +12,7 @@ from tempo.functions.windows import o
 from tempo.operators import stats
 from tempo.operators.features import BLOCKED, RULES, blend_scores, compute_features, rule_score, trailing_ranks
 from tempo.operators.labels import build_labels, hit_column
-from tempo.operators.models import UtilityRiskConfig, walk_forward_heads
+from tempo.operators.models import UtilityRiskConfig, rescore, walk_forward_heads
 from tempo.operators.policy import PolicyConfig, apply_policy, best_per_window
 from tempo.operators.signals import SignalConfig, tuned_scores
 from tempo.operators.tuning import WINDOWS, calibrated, percentile_candidates, rule_candidates
@@ -300,3 +300,22 @@ def audit_no_lookahead(build, panel: DataFrame, cut: str, tolerance: float = 1e-
     gap = F.abs(F.col("a") - F.col("b"))
     lost = F.col("a").isNull() != F.col("b").isNull()
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(lost).alias("missing"), F.count_if(gap > tolerance).alias("differing"), F.max(gap).alias("largest_gap"))
+
+
+def lambda_sweep(scores: DataFrame, labels: DataFrame, policy: PolicyConfig, grid: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0, 4.0)) -> DataFrame:
+    """What each price of risk is worth; the heads' scores are projected again, not fitted."""
+    done = labels.filter("outcome_complete").select("iso", "quote_date", "currency_gain_bps", "bad_push")
+    parts = []
+    for lam in grid:
+        sent = apply_policy(rescore(scores, lam).select("quote_date", "available_on", "iso", "rub_per_unit", "score"), policy).filter("decision")
+        joined = sent.select("iso", "quote_date").join(done, ["iso", "quote_date"])
+        parts.append(joined.agg(F.lit(lam).alias("lam"), F.count(F.lit(1)).alias("n_signals"), F.avg("currency_gain_bps").alias("currency_uplift_bps"), F.avg(F.col("bad_push").cast("double")).alias("bad_push_rate")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def evenly_spaced(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows of each series at even positions from the first to the last."""
+    w = Window.partitionBy("iso")
+    df = rows.withColumns({"_at": F.row_number().over(o()) - 1, "_n": F.count(F.lit(1)).over(w)})
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / F.lit(float(max(1, n - 1)))))
+    return df.filter(F.array_contains(wanted, F.col("_at").cast("long"))).drop("_at", "_n")

@@ -145,3 +145,22 @@ def verdicts(matrix: DataFrame) -> DataFrame:
     good = (lift >= LIFT_TARGET) & (dca > 0)
     verdict = F.when(lost != "", "drop").when(good & ((week < FREQ_MIN) | (week > FREQ_MAX)), "marginal").when(good, "keep").otherwise("marginal")
     return matrix.withColumns({"verdict": verdict, "reason": lost})
+
+
+def following_quotes(panel: DataFrame, n: int = 5) -> DataFrame:
+    """Each day's next quotes, one row per step of at most ``n``, with the drift from the day in bps."""
+    ahead = F.array(*[F.struct(F.lit(i).alias("step"), F.lead("quote_date", i).over(o()).alias("next_date"), ((F.lead(V, i).over(o()) / F.col(V) - 1) * 10_000.0).alias("drift_bps")) for i in range(1, n + 1)])
+    return panel.select("iso", "quote_date", ahead.alias("_q")).select("iso", "quote_date", F.explode("_q").alias("q")).select("iso", "quote_date", "q.*").filter("next_date is not null")
+
+
+def usual_choice(scored: DataFrame) -> DataFrame:
+    """The most frequent chosen parameter per series, the smaller name on ties."""
+    n = scored.groupBy("iso", "chosen").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("iso").agg(F.min_by("chosen", F.struct(-F.col("n"), F.col("chosen"))).alias("chosen"), F.max("n").alias("n"))
+
+
+def daily_payload(panel: DataFrame) -> DataFrame:
+    """One JSON array of (date, rate) per series and month, in date order; a month bounds it."""
+    month = panel.groupBy("iso", F.date_format("quote_date", "yyyy-MM").alias("month"))
+    points = F.transform(F.array_sort(F.collect_list(F.struct("quote_date", V))), lambda p: F.struct(p.quote_date.alias("d"), F.round(p[V], 6).alias("r")))
+    return month.agg(F.to_json(points).alias("payload"), F.count(F.lit(1)).alias("n"))

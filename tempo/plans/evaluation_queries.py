@@ -18,6 +18,7 @@ from tempo.operators import stats as T
 from tempo.operators import tuning as G
 from tempo.plans import sql as Q
 from tempo.plans.panel_queries import V, features, on_p, p1, r, rounded, table
+from tempo.sources import panel as N
 
 QUERIES = {}
 
@@ -501,3 +502,41 @@ def _(s, d):
 @query("lookahead_audit")
 def _(s, d):
     return B.audit_no_lookahead(lambda panel: S.tuned_scores(panel), p1(s, d), "2000-06-30")
+
+
+@query("lambda_sweep")
+def _(s, d):
+    panel = p1(s, d)
+    return B.lambda_sweep(M.walk_forward_heads(panel, features(s, d)).persist(), L.build_labels(panel), A.PolicyConfig(cooldown_observations=1))
+
+
+@query("evenly_spaced", on_p(f"SELECT iso, quote_date FROM (SELECT *, row_number() OVER ({Q.O}) - 1 AS pos, count(*) OVER (PARTITION BY iso) AS n FROM p) WHERE list_contains([CAST(floor(i * (n - 1) / 11.0::DOUBLE) AS BIGINT) for i in range(12)], pos)"))
+def _(s, d):
+    return B.evenly_spaced(p1(s, d), 12).select("iso", "quote_date")
+
+
+@query("regular_days", on_p(f"SELECT iso, quote_date FROM (SELECT *, row_number() OVER ({Q.O}) - 1 AS pos FROM p) WHERE pos % 5 = 0"))
+def _(s, d):
+    return U.regular_days(p1(s, d)).select("iso", "quote_date")
+
+
+@query("following_quotes", on_p(" UNION ALL ".join(f"SELECT * FROM (SELECT iso, quote_date, {i} AS step, lead(quote_date, {i}) OVER ({Q.O}) AS next_date, {r(f'(lead(v, {i}) OVER ({Q.O}) / v - 1) * 10000', 'drift_bps', 4)} FROM p) WHERE next_date IS NOT NULL" for i in range(1, 6))))
+def _(s, d):
+    return rounded(I.following_quotes(p1(s, d)), "drift_bps", digits=4, keep=("iso", "quote_date", "step", "next_date"))
+
+
+@query("usual_choice", on_p("SELECT iso, min_by(c, (-n, c)) AS chosen, max(n) AS n FROM (SELECT iso, c, count(*) AS n FROM (SELECT iso, CASE WHEN k <= 0.2 THEN 'low' WHEN k >= 0.8 THEN 'high' ELSE 'middle' END AS c FROM rk WHERE k IS NOT NULL) GROUP BY iso, c) GROUP BY iso", _RK))
+def _(s, d):
+    k = W.rolling_rank(V, 90, 20)
+    named = p1(s, d).withColumn("k", k).filter("k is not null").withColumn("chosen", F.when(F.col("k") <= 0.2, "low").when(F.col("k") >= 0.8, "high").otherwise("middle"))
+    return I.usual_choice(named)
+
+
+@query("daily_payload")
+def _(s, d):
+    return I.daily_payload(p1(s, d))
+
+
+@query("hourly_events", """SELECT event_type AS iso, date_trunc('hour', ts) AS quote_hour, count(*) AS nominal, round(avg(value), 6) AS rub_per_unit FROM events GROUP BY 1, 2""")
+def _(s, d):
+    return N.hourly_events(table(s, d, "events")).select("iso", F.col("quote_hour").cast("timestamp_ntz").alias("quote_hour"), "nominal", F.round("rub_per_unit", 6).alias("rub_per_unit"))

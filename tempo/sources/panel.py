@@ -165,3 +165,9 @@ def order_panel(orders: DataFrame) -> DataFrame:
     day = orders.groupBy(F.to_date("o_orderdate").alias("date"), iso.alias("iso"))
     quotes = day.agg(F.count(F.lit(1)).alias("nominal"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("rate"))
     return panel_of(coerced(quotes))
+
+
+def hourly_events(events: DataFrame) -> DataFrame:
+    """Mean value and number of events per type and hour."""
+    hour = events.groupBy(F.col("event_type").alias("iso"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("quote_hour"))
+    return hour.agg(F.count(F.lit(1)).alias("nominal"), F.avg("value").alias("rub_per_unit"))
