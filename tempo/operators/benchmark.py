@@ -201,7 +201,7 @@ def null_comparison(observed: DataFrame, null: DataFrame, keys: list[str]) -> Da
 
 
 def leaderboard(corridors: DataFrame, null: DataFrame, signals: DataFrame, spec: BenchmarkSpec) -> DataFrame:
-    """One row per strategy, best uplift first; cbsb_score is the share of its own budget's ceiling in percent."""
+    """One row per strategy, best uplift first; ceiling_share is the share of its own budget's ceiling in percent."""
     rolled = corridors.groupBy("strategy").agg(
         F.sum("n_signals").alias("total_signals"), F.count(F.lit(1)).alias("n_corridors"), *[stats.weighted_mean(m, "n_signals").alias(m) for m in (*WEIGHTED, "interval_cv", "series_share")],
         *[F.min(m).alias(f"{m}_worst_corridor") for m in WEIGHTED], F.avg("per_week").alias("per_week"), F.max("max_gap_days").alias("max_gap_days"),
@@ -213,7 +213,7 @@ def leaderboard(corridors: DataFrame, null: DataFrame, signals: DataFrame, spec:
     ci = stats.block_bootstrap(order, ["strategy"], "window_advantage_bps", "_o", spec.horizon, spec.bootstrap_trials, spec.seed)
     hac = stats.newey_west(order, ["strategy"], "currency_gain_bps", "_o").select("strategy", F.col("t_stat").alias("currency_uplift_t"))
     out = rolled.join(compared, "strategy", "left").join(ci.withColumnsRenamed({"ci_low": "window_advantage_ci_low", "ci_high": "window_advantage_ci_high"}), "strategy", "left").join(hac, "strategy", "left")
-    return out.withColumn("cbsb_score", F.when(F.col("ceiling_bps") > 0, 100 * F.col("currency_uplift_bps") / F.col("ceiling_bps"))).orderBy(F.desc("currency_uplift_bps"))
+    return out.withColumn("ceiling_share", F.when(F.col("ceiling_bps") > 0, 100 * F.col("currency_uplift_bps") / F.col("ceiling_bps"))).orderBy(F.desc("currency_uplift_bps"))
 
 
 def evaluate_gates(board: DataFrame, gates=GATES) -> DataFrame:

@@ -92,6 +92,20 @@ def _(s, d):
     return rounded(G.with_spearman(pairs, ["iso", "candidate"]), "rho", keep=("iso", "candidate"))
 
 
+_TUNE = """ro AS (SELECT c2.iso, c2.quote_date, 1 - r30 AS x0, 1 - r90 AS x1, currency_gain_bps AS y, k, row_number() OVER (PARTITION BY c2.iso ORDER BY c2.quote_date) - 1 AS pos FROM c2 JOIN pk ON pk.iso = c2.iso AND pk.quote_date = c2.quote_date),
+rf AS (SELECT *, min(pos) FILTER (k >= 500) OVER (PARTITION BY iso) AS p0 FROM ro), tu AS (SELECT *, CASE WHEN k >= 500 THEN (pos - p0) // 21 END AS turn FROM rf),
+ft AS (SELECT iso, turn, k, greatest(0, k - 750) AS low FROM tu WHERE turn IS NOT NULL AND (pos - p0) % 21 = 0),
+tr AS (SELECT ft.iso, ft.turn, idx, x, y FROM ft JOIN (SELECT iso, pos, 0 AS idx, x0 AS x, y FROM ro UNION ALL SELECT iso, pos, 1, x1, y FROM ro) q ON q.iso = ft.iso AND q.pos >= low AND q.pos < ft.k WHERE x IS NOT NULL AND y IS NOT NULL),
+tk2 AS (SELECT *, rank() OVER (PARTITION BY iso, turn, idx ORDER BY x) + (count(*) OVER (PARTITION BY iso, turn, idx, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY iso, turn, idx ORDER BY y) + (count(*) OVER (PARTITION BY iso, turn, idx, y) - 1) / 2.0 AS ry FROM tr),
+rh AS (SELECT iso, turn, idx, corr(rx, ry) AS rho FROM tk2 GROUP BY iso, turn, idx HAVING count(*) >= 30), be AS (SELECT iso, turn, idx FROM (SELECT *, row_number() OVER (PARTITION BY iso, turn ORDER BY rho DESC, idx) AS n FROM rh) WHERE n = 1)"""
+
+
+@query("tuned_percentile", on_p(f"SELECT * FROM (SELECT tu.iso, quote_date, CASE idx WHEN 0 THEN 'window=30' ELSE 'window=90' END AS chosen, {r('CASE idx WHEN 0 THEN x0 ELSE x1 END', 'score')} FROM tu JOIN be ON be.iso = tu.iso AND be.turn = tu.turn) WHERE score IS NOT NULL", _LAB, _KN, _SP, _TUNE))
+def _(s, d):
+    found = G.calibrated(G.percentile_candidates(p1(s, d), _CAND), [f"window={n}" for n in _CAND])
+    return found.select("iso", "quote_date", "chosen", F.round("score", 6).alias("score"))
+
+
 @query("tuned_choice")
 def _(s, d):
     return G.calibrated(G.zscore_candidates(p1(s, d)), [f"span={n}" for n in G.SPANS]).select("iso", "quote_date", "chosen", F.round("score", 6).alias("score"))

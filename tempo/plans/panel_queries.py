@@ -223,25 +223,40 @@ def _(s, d):
 
 def _rank_chain() -> str:
     source, parts = "ru", []
-    for c in ("percentile", "drawdown", "reversal"):
+    for c in X.RULES:
         parts.append(f"rr_{c} AS ({Q.ranked(source, c, 250, 60, 'k_' + c)})")
         source = f"rr_{c}"
     return ", ".join(parts)
 
 
-@query("trailing_ranks", on_p("SELECT iso, quote_date, " + ", ".join(r("k_" + c, c) for c in ("percentile", "drawdown", "reversal")) + " FROM rr_reversal", _ALL, _rank_chain()))
+@query("trailing_ranks", on_p("SELECT iso, quote_date, " + ", ".join(r("k_" + c, c) for c in X.RULES) + " FROM rr_reversal", _ALL, _rank_chain()))
 def _(s, d):
-    return rounded(X.trailing_ranks(features(s, d)), "percentile", "drawdown", "reversal")
+    return rounded(X.trailing_ranks(features(s, d)), *X.RULES)
 
 
-@query("rank_blend")
+_KS = ", ".join("k_" + c for c in X.RULES)
+_MEAN = f"list_avg(list_filter([{_KS}], lambda x: x IS NOT NULL))"
+
+
+@query("rank_blend", on_p(f"SELECT iso, quote_date, {r(_MEAN, 'rank_blend')}, {r(f'len(list_filter([{_KS}], lambda x: x > 0.7::DOUBLE)) + {_MEAN}', 'consensus')} FROM rr_reversal", _ALL, _rank_chain()))
 def _(s, d):
     return rounded(X.blend_scores(X.trailing_ranks(features(s, d))), "rank_blend", "consensus")
 
 
-@query("features_all")
+_FEATS = (
+    ("z.z_60", "ewma_zscore"), ("rp.rp", "residual_pct"), ("streak.down_streak", "down_streak"), ("ret.ret_1", "ret_1"), ("ret.ret_5", "ret_5"), ("ret.ret_10", "ret_10"), ("ret.ret_20", "ret_20"),
+    ("vo.acc", "accel_5"), ("vo.v20", "vol_20"), ("vo.v20 / nullif(vo.v60, 0)", "vol_ratio"), ("dd.dd", "drawdown_60"), ("rk.k", "pct_rank_90"), ("dd.dm", "dist_to_min_90"), ("um.v / um.m - 1", "rub_strength"),
+    ("sin(month(p.quote_date) * 2 * pi() / 12)", "month_sin"), ("cos(month(p.quote_date) * 2 * pi() / 12)", "month_cos"), ("sin(day(p.quote_date) * 2 * pi() / 31)", "dom_sin"), ("cos(day(p.quote_date) * 2 * pi() / 31)", "dom_cos"),
+    ("sea.sz", "seasonal_zscore"), ("day(last_day(p.quote_date)) - day(p.quote_date)", "days_to_eom"), ("CAST(day(p.quote_date) <= 5 AS INT)", "is_month_start"), ("CAST(day(last_day(p.quote_date)) - day(p.quote_date) < 5 AS INT)", "is_month_end"),
+)
+_VO = f"vo AS (SELECT iso, quote_date, ret_5 - {Q.lag('ret_5', 5)} AS acc, {Q.roll('stddev_samp', 'ret_1', 20, 5)} AS v20, {Q.roll('stddev_samp', 'ret_1', 60, 10)} AS v60 FROM ret), rp AS ({Q.ranked('rs', 'res', 250, 20, 'rp')})"
+_JOINS = " ".join(f"JOIN {t} ON {t}.iso = p.iso AND {t}.quote_date = p.quote_date" for t in ("z", "rp", "streak", "ret", "vo", "dd", "rk", "sea"))
+
+
+@query("features_all", on_p("SELECT p.iso, p.quote_date, " + ", ".join(r(e, c) for e, c in _FEATS) + f" FROM p {_JOINS} LEFT JOIN um ON um.quote_date = p.quote_date", _ALL, _VO, _USD))
 def _(s, d):
-    return rounded(features(s, d), *X.FEATURES)
+    f = features(s, d)
+    return f.select("iso", "quote_date", *[(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) for c in X.FEATURES])
 
 
 @query("deviation_truth", on_p(f"SELECT iso, quote_date, {r('(v / m_60 - 1) * 100', 'deviation_pct')}, v / m_60 - 1 < 0 AS truthful FROM z_m", _Z))
