@@ -115,11 +115,15 @@ def _(s, d):
 
 _CONF = A.PolicyConfig(cooldown_observations=1, minimum_score=0.8)
 _LEVELS = "[" + ", ".join(f"{q!r}" for q in _CONF.levels()) + "]"
-_POL = f"""rk AS ({Q.ranked('p', 'v', 90, 20, 'k')}), sc AS (SELECT iso, quote_date, available_on, v, 1 - k AS score FROM rk WHERE k IS NOT NULL),
-pw AS (SELECT *, {Q.week('available_on')} AS window_id, row_number() OVER ({Q.O}) - 1 AS pos FROM sc),
+def _policy(floor: str) -> str:
+    """CTEs from sc (iso, quote_date, available_on, score) to th: thresholds by number of free slots."""
+    return f"""pw AS (SELECT *, {Q.week('available_on')} AS window_id, row_number() OVER ({Q.O}) - 1 AS pos FROM sc),
 ps AS (SELECT *, row_number() OVER (PARTITION BY iso, window_id ORDER BY quote_date) AS seen, count(score) {Q.over(-250, -1)} AS hist, quantile_cont(score, {_LEVELS}) {Q.over(-250, -1)} AS q FROM pw),
 pt AS (SELECT *, greatest(1, 5 - seen + 1) AS rest FROM ps),
-th AS (SELECT *, [CASE WHEN hist >= 20 THEN greatest(q[rest], 0.8) END, CASE WHEN hist >= 20 THEN greatest(q[5 + rest], 0.8) END, CASE WHEN hist >= 20 THEN greatest(q[10 + rest], 0.8) END] AS t FROM pt)"""
+th AS (SELECT *, [CASE WHEN hist >= 20 THEN greatest(q[rest], {floor}) END, CASE WHEN hist >= 20 THEN greatest(q[5 + rest], {floor}) END, CASE WHEN hist >= 20 THEN greatest(q[10 + rest], {floor}) END] AS t FROM pt)"""
+
+
+_POL = f"rk AS ({Q.ranked('p', 'v', 90, 20, 'k')}), sc AS (SELECT iso, quote_date, available_on, v, 1 - k AS score FROM rk WHERE k IS NOT NULL), " + _policy("0.8")
 
 
 @query("policy_thresholds", on_p(f"SELECT iso, quote_date, window_id, seen, hist AS score_history_count, {r('t[1]', 't0')}, {r('t[2]', 't1')}, {r('t[3]', 't2')} FROM th", _POL))
@@ -480,7 +484,31 @@ def _(s, d):
 # The signal table, models and the audit
 
 
-@query("signal_table")
+def _signal_sql() -> str:
+    chain, source = [], "p"
+    for n in G.SPANS:
+        chain.append(Q.zscore(source, n, f"y{n}"))
+        source = f"y{n}"
+    scores = " UNION ALL ".join(f"SELECT iso, pos, {i} AS idx, -z_{n} AS x, currency_gain_bps AS y FROM ro" for i, n in enumerate(G.SPANS))
+    pick = lambda form: "CASE idx " + " ".join(f"WHEN {i} THEN {form.format(n)}" for i, n in enumerate(G.SPANS)) + " END"
+    tune = f"""ro AS (SELECT lab.*, k, row_number() OVER (PARTITION BY lab.iso ORDER BY lab.quote_date) - 1 AS pos FROM lab JOIN pk ON pk.iso = lab.iso AND pk.quote_date = lab.quote_date),
+    rf AS (SELECT *, min(pos) FILTER (k >= 500) OVER (PARTITION BY iso) AS p0 FROM ro), tu AS (SELECT *, CASE WHEN k >= 500 THEN (pos - p0) // 21 END AS turn FROM rf),
+    ft AS (SELECT iso, turn, k, greatest(0, k - 750) AS low FROM tu WHERE turn IS NOT NULL AND (pos - p0) % 21 = 0),
+    tr AS (SELECT ft.iso, ft.turn, idx, x, y FROM ft JOIN ({scores}) q ON q.iso = ft.iso AND q.pos >= low AND q.pos < ft.k WHERE x IS NOT NULL AND y IS NOT NULL),
+    tk2 AS (SELECT *, rank() OVER (PARTITION BY iso, turn, idx ORDER BY x) + (count(*) OVER (PARTITION BY iso, turn, idx, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY iso, turn, idx ORDER BY y) + (count(*) OVER (PARTITION BY iso, turn, idx, y) - 1) / 2.0 AS ry FROM tr),
+    rh AS (SELECT iso, turn, idx, corr(rx, ry) AS rho FROM tk2 GROUP BY iso, turn, idx HAVING count(*) >= 30), be AS (SELECT iso, turn, idx FROM (SELECT *, row_number() OVER (PARTITION BY iso, turn ORDER BY rho DESC, idx) AS n FROM rh) WHERE n = 1),
+    tn AS (SELECT tu.iso, quote_date, available_on, v, idx, {pick("-z_{}")} AS plain, {pick("(v / m_{} - 1) * 100")} AS dev, {pick("'span={}'")} AS chosen, {pick("{}")} AS span FROM tu JOIN be ON be.iso = tu.iso AND be.turn = tu.turn),
+    sc AS (SELECT *, CASE WHEN dev < 0 THEN plain ELSE -1e6 END AS score FROM tn WHERE plain IS NOT NULL)"""
+    facts = f"fx AS (SELECT iso, quote_date, v / {Q.lag('v', 5)} - 1 AS ret, CASE WHEN len(w) + 1 >= 20 THEN len(list_filter(w, lambda x: x > v)) * 100.0 / len(w) END AS lp FROM (SELECT *, coalesce(list(v) {Q.over(-89, -1)}, []) AS w FROM p))"
+    ranks = f"sk AS ({Q.ranked('th', 'score', 250, 20, 'sp')})"
+    ctes = ", ".join((Q.P, *chain, Q.labels(10, 1, source), _KN, tune, _policy("-500000.0"), _DEC, facts, ranks))
+    return f"""WITH RECURSIVE {ctes} SELECT sk.quote_date AS signal_date, sk.iso, 'zscore_tuned' AS indicator, CASE WHEN ret < 0 THEN 'down' ELSE 'up' END AS direction, {r('sk.score', 'strength')}, {r('sp', 'strength_pct')},
+    CASE WHEN span <= 10 THEN 'fast' WHEN span <= 60 THEN 'medium' ELSE 'slow' END AS speed, 'favourable_now' AS scenario, chosen AS "window", {r('sk.v', V)}, {r('lp', 'level_percentile')}, {r('dev', 'deviation_pct')},
+    CASE WHEN dev < 0 THEN 'Курс ' || sk.iso || ' сейчас на ' || replace(printf('%.1f', abs(dev)), '.', ',') || '% ниже своего среднего за последние ' || span || ' наблюдений.' ELSE '' END AS message
+    FROM sk JOIN dec ON dec.iso = sk.iso AND dec.quote_date = sk.quote_date JOIN fx ON fx.iso = sk.iso AND fx.quote_date = sk.quote_date WHERE dec.reason = 'selected'"""
+
+
+@query("signal_table", _signal_sql())
 def _(s, d):
     df = S.signal_table(p1(s, d))
     return df.select("signal_date", "iso", "indicator", "direction", F.round("strength", 6).alias("strength"), F.round("strength_pct", 6).alias("strength_pct"), "speed", "scenario", "window", F.round(V, 6).alias(V), F.round("level_percentile", 6).alias("level_percentile"), F.round("deviation_pct", 6).alias("deviation_pct"), "message")
