@@ -15,6 +15,7 @@ import mmap
 import re
 import struct
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from tempo.llm.common import doc_texts
 
 LEXICON = 50_000  # frequent words that are compiled
 _BYTES = [bytes((b,)) for b in range(256)]
-_CACHE = 250_000
+_CACHE = 400_000
 _COUNTED = 200_000
 # Texts of these characters are normalised and split here; any other goes through the tokenizer file's own rules.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
@@ -47,7 +48,7 @@ class Lexicon:
         self.first, self.final, self.target, self.skip, self.start, self.ids = parts
         self.labels = at
 
-    def __getitem__(self, word: bytes) -> np.ndarray | None:
+    def __getitem__(self, word: bytes) -> array | None:
         node, number, labels, find, first, skip, target = 0, 0, self.labels, self.data.find, self.first, self.skip, self.target
         for label in word:
             low, high = labels + first[node], labels + first[node + 1]
@@ -58,7 +59,7 @@ class Lexicon:
             node = target[arc]
         if not self.final[node]:
             return None
-        return np.array(self.ids[self.start[number] : self.start[number + 1]], dtype=np.int32)
+        return array("i", self.ids[self.start[number] : self.start[number + 1]])
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -207,26 +208,33 @@ class _Words(dict):
         raw = word.encode("utf-8", "surrogateescape")
         ids = self.lexicon[raw] if self.lexicon is not None else None
         if ids is None:
-            ids = np.array(self.tokenizer.merge(raw), dtype=np.int32)
-        value = self[word] = (ids.tobytes(), self.tokenizer.decode(ids))
+            ids = array("i", self.tokenizer.merge(raw))
+        value = (ids.tobytes(), self.tokenizer.decode(ids))
+        if len(self) < _CACHE:  # frequent words come early
+            self[word] = value
         return value
 
 
+@functools.lru_cache(maxsize=2)
+def _known_words(tokenizer: Tokenizer) -> _Words:
+    """A worker's words outlive a task: what they encode to does not depend on the lexicon."""
+    return _Words(tokenizer, None)
+
+
 class Encoder:
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon | None = None):
-        self.tokenizer, self.words = tokenizer, _Words(tokenizer, lexicon)
+        self.tokenizer, self.words = tokenizer, _known_words(tokenizer)
+        self.words.lexicon = lexicon
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids and the text they decode to."""
-        if len(self.words) > _CACHE:
-            self.words.clear()
         ids, decoded = [], []
         for words, special in self.tokenizer.segments(text):
             for a, b in map(self.words.__getitem__, words):
                 ids.append(a)
                 decoded.append(b)
             if special is not None:
-                ids.append(np.int32(special).tobytes())
+                ids.append(array("i", [special]).tobytes())
                 decoded.append(self.tokenizer.decode([special]))
         return np.frombuffer(b"".join(ids), dtype=np.int32), " ".join(decoded)
 
