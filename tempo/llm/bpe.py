@@ -260,7 +260,8 @@ def frequent_words(docs: DataFrame, path: str, size: int) -> list[str]:
             yield pd.DataFrame({"word": [w.encode("utf-8", "surrogateescape") for w in seen], "n": list(seen.values())})
 
     counted = doc_texts(docs).mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]  # bounded by size
+    most = counted.orderBy(F.desc("n"), "word").limit(size).filter("n > 0")  # the filter has the executors merge the tasks' lists
+    return [bytes(r["word"]) for r in most.collect()]  # bounded by size
 
 
 def encode(docs: DataFrame, tokenizer_path: str | None = None, lexicon_size: int = LEXICON) -> DataFrame:
