@@ -123,6 +123,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) ->
 
 
 BANDS, SAMPLE = 12, 3
+BLOCK = 256  # documents of a group that are compared with as many others at a time
 _ODD = np.random.default_rng(7).integers(0, 2**63, size=BANDS * SAMPLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -142,14 +143,71 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, centres: int = 3) -> DataFrame:
+def _links_between(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Pairs (a, b) that join all documents of different roots that reach ``similarity``, found by comparing all of side
+    0 with all of side 1, or with each other if there is no side 1. ``shingles`` holds distinct hashes as bytes.
+    """
+    ids, side, label = part["doc_id"].to_numpy(), part["side"].to_numpy(), np.unique(part["root"], return_inverse=True)[1]
+    sets = [np.frombuffer(b, dtype="<u8") for b in part["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    theirs = np.concatenate([flat[ends[j] - sizes[j] : ends[j]] for j in right])
+    owner = np.repeat(np.arange(len(right)), sizes[right])
+    mark = np.zeros(len(flat), dtype=bool)
+    found = []
+    for i in left:
+        if (label[right] == label[i]).all():
+            continue
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        both = np.bincount(owner[mark[theirs]], minlength=len(right))
+        mark[own] = False
+        for j in right[both / (sizes[i] + sizes[right] - both) >= similarity]:
+            if label[j] != label[i]:
+                found.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def _rest_of_links(texts: DataFrame, groups: DataFrame, roots: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """Edges (a, b) that connect what reaches ``similarity`` within a group (band, fp) and is not of one root so far.
+
+    Only pairs of the same root are passed over, since they are connected already. A group is cut into blocks of about
+    ``block`` documents, and every pair of blocks is one task's work; roots with more documents have blocks of their
+    own, which need not meet each other.
+    """
+    placed = groups.join(roots, groups.doc_id == roots.node, "left").select("band", "fp", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    counted = placed.groupBy("band", "fp", "root").agg(F.count(F.lit(1)).alias("held"))
+    mixed = counted.groupBy("band", "fp").agg(F.sum("held").alias("n"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
+    own = F.concat_ws(":", F.lit("root"), "root", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("held") / block)))
+    shared = F.concat_ws(":", F.lit("rest"), F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / block)))
+    members = cut_lineage(placed.join(counted.join(mixed, ["band", "fp"]), ["band", "fp", "root"]).select("band", "fp", "doc_id", "root", F.when(F.col("held") > block, own).otherwise(shared).alias("block")))
+    blocks = members.select("band", "fp", "block").distinct()
+    one_root = F.startswith("i", F.lit("root:")) & (F.substring_index("i", ":", 2) == F.substring_index("j", ":", 2))
+    pairs = blocks.withColumnRenamed("block", "i").join(blocks.withColumnRenamed("block", "j"), ["band", "fp"]).filter((F.col("i") <= F.col("j")) & ~one_root)
+    sides = pairs.select("band", "fp", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(pairs.filter("i <> j").select("band", "fp", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+
+    def distinct_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in batch["text"]]})
+
+    sets = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(distinct_shingles, "doc_id long, shingles binary")
+    work = members.join(sides, ["band", "fp", "block"]).select("doc_id", "root", "band", "fp", "i", "j", "side").join(sets, "doc_id")
+    return work.groupBy("band", "fp", "i", "j").applyInPandas(lambda part: _links_between(part, similarity), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, centres: int = 3, block: int = BLOCK) -> DataFrame:
     """doc_id, component_id of documents whose sets of word shingles reach ``similarity``, directly or by a chain.
 
     Candidates: documents whose whole fingerprints link (see ``fingerprint_links``) and documents that share one of
     twelve band fingerprints, each the SimHash of a min-wise sample of three shingles; a pair at 0.8 shares one with
-    probability above 0.999. Within a group every document is compared with one centre per band, drawn in
-    ``centres`` different orders, so work stays linear in the group; each comparison is exact. Only rows in a
-    group are returned. Rows with a null doc_id and documents without words take no part.
+    probability above 0.999. Within a group every document is first compared with one centre per band, drawn in
+    ``centres`` different orders; then all pairs of a group that these links leave unconnected are compared, in blocks
+    of ``block`` documents. Each comparison is exact, so every candidate pair at ``similarity`` ends in one component.
+    Only rows in a group are returned. Rows with a null doc_id and documents without words take no part.
     """
     texts = doc_texts(docs).filter("doc_id is not null").dropDuplicates(["doc_id"])
 
@@ -171,7 +229,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     grouped = whole.join(roots, whole.fp == roots.node, "left").select("doc_id", "band", F.coalesce("root", "fp").alias("fp")).unionByName(marks.filter("band > 0"))
     turn = F.col("band") % centres
     centre = grouped.groupBy("band", "fp").agg(F.min(F.struct(F.xxhash64("doc_id", turn).alias("o"), F.col("doc_id").alias("id"))).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "fp", F.col("c.id").alias("centre"))
-    edges = grouped.join(centre, ["band", "fp"]).filter("doc_id <> centre").select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b")).distinct()
+    held = cut_lineage(grouped.join(centre, ["band", "fp"]))
+    edges = held.filter("doc_id <> centre").select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b")).distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,4 +240,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     true = edges.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long")
-    return connected_components(true).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
+    first = cut_lineage(connected_components(true))
+    rest = _rest_of_links(texts, held.select("band", "fp", "doc_id"), first, shingle, similarity, block)
+    every = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
+    return connected_components(every).withColumnsRenamed({"node": "doc_id", "root": "component_id"})

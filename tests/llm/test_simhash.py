@@ -85,6 +85,37 @@ def test_near_duplicates_by_five_word_shingles(spark):
     assert got == {10 * g + c: 10 * g for g in range(12) for c in range(3)}
 
 
+def test_star_of_edited_copies_matches_brute_force(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(500)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for c in range(1, 401):  # copies are near the original and mostly not near each other
+        copy = list(base)
+        for k in rng.sample(range(0, 300, 6), 5):
+            copy[k + 3] = f"edit{c}x{k}"
+        rows.append((c, " ".join(copy)))
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    near = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert 400 <= len(near) < 20000
+    assert len({i for pair in near for i in pair}) == 401
+    want = plain_components(sets, near)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
+    assert got == want
+
+
+def test_blocks_of_one_root_do_not_meet(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(500)}" for _ in range(300)]
+    rows = []
+    for g, own in enumerate((12, 70)):  # two groups that share most words, 0.6 alike
+        text = [w if k % own else f"own{g}" for k, w in enumerate(base)]
+        rows += [(100 * g + c, " ".join([*text, f"tail{g}x{c}"])) for c in range(40)]
+    want = {100 * g + c: 100 * g for g in (0, 1) for c in range(40)}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
+    assert got == want
+
+
 def test_embedding_is_a_lower_bound():
     rng = random.Random(1)
     for _ in range(300):
