@@ -1,9 +1,10 @@
 """Substring deduplication by sliding runs of sentences.
 
-Every run of two consecutive sentences with enough words, and every sentence that is long by itself, is hashed. The
-first document (smallest doc_id, first place in it) keeps a run; sentences that any other occurrence covers go. Runs
-are counted by a map-side aggregate, then joined back by their hash, so a run that very many documents share costs
-one row per task before the exchange; what is left of its occurrences can be split over tasks.
+Every run of two consecutive sentences with enough words, every longer run that short sentences need to have enough
+words, and every sentence that is long by itself, is hashed. The first document (smallest doc_id, first place in it)
+keeps a run; sentences that any other occurrence covers go. Runs are counted by a map-side aggregate, then joined back
+by their hash, so a run that very many documents share costs one row per task before the exchange; what is left of its
+occurrences can be split over tasks.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tempo.llm.common import doc_texts
 
-RUN = 2  # sentences in a run
-MIN_WORDS = 10  # words in a run
+RUN = 2  # sentences in a run, at least
+MIN_WORDS = 10  # words in a run, at least
 ALONE = 25  # words of a sentence that is a run by itself
 _END = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
@@ -32,9 +33,13 @@ def split_sentences(text: str) -> list[tuple[int, int]]:
 
 
 def runs(text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, digest) of every run; sentences without words are left out of account."""
+    """(first sentence, number of sentences, digest) of every run; sentences without words are left out of account.
+
+    Two sentences with fewer words than MIN_WORDS are extended to the shortest run that has them, once onwards and once
+    backwards, so that the short lines at both ends of a passage are in runs within it too.
+    """
     digest = xxhash.xxh3_128_digest
-    found, previous = [], []
+    found, held = [], []
     for i, (a, b) in enumerate(parts):
         words = text[a:b].lower().split()
         if not words:
@@ -42,10 +47,24 @@ def runs(text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int, bytes]
         n, key = len(words), digest(" ".join(words).encode())
         if n >= ALONE:
             found.append((i, i, key))
-        previous = [*previous[1 - RUN :], (i, n, key)]
-        if len(previous) == RUN and sum(p[1] for p in previous) >= MIN_WORDS:
-            found.append((previous[0][0], i, digest(b"".join(p[2] for p in previous))))
-    return [(first, last - first + 1, key) for first, last, key in found]
+        held.append((i, n, key))
+    spans = set()
+    for i in range(len(held) - RUN + 1):
+        total = sum(h[1] for h in held[i : i + RUN])
+        low, high, words = i, i + RUN, total
+        while words < MIN_WORDS and high < len(held):
+            words += held[high][1]
+            high += 1
+        if words >= MIN_WORDS:
+            spans.add((i, high))
+        words = total
+        while words < MIN_WORDS and low > 0:
+            low -= 1
+            words += held[low][1]
+        if words >= MIN_WORDS:
+            spans.add((low, i + RUN))
+    found += [(held[low][0], held[high - 1][0], digest(b"".join(h[2] for h in held[low:high]))) for low, high in spans]
+    return [(first, last - first + 1, key) for first, last, key in sorted(found)]
 
 
 def _marks(docs: DataFrame) -> DataFrame:

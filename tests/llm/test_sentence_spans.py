@@ -44,6 +44,22 @@ def test_shared_passage_goes_from_all_but_the_first(spark):
     assert "committee" not in got[9] and "agreed" not in got[9]
 
 
+def test_passage_of_short_lines_goes_from_all_but_the_first(spark):
+    lines = [" ".join(f"verse{k}word{w}" for w in range(3 + k % 2)) for k in range(17)] + ["last one"]
+    passage = "\n".join(lines)
+    assert len(passage.split()) >= 60 and max(len(x.split()) for x in lines) <= 4
+    rows = [(i, f"Own words {i} here\n{passage}\nClosing {i} now") for i in (5, 3, 9)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in S.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] == (rows[1][1], 0)
+    assert got[5] == ("Own words 5 here\nClosing 5 now", 18) and got[9] == ("Own words 9 here\nClosing 9 now", 18)
+
+
+def test_runs_of_short_sentences_are_counted_once():
+    text = "one two three\nfour five\nsix seven eight\nnine ten eleven\ntwelve"
+    assert [(a, n) for a, n, _ in S.runs(text, S.split_sentences(text))] == [(0, 4), (0, 5)]  # 3, 2, 3, 3 and 1 words
+    assert S.runs("a b\nc d\ne f", S.split_sentences("a b\nc d\ne f")) == []
+
+
 def test_ranges_cover_the_text():
     for text in ("", "a", "a. b", "...!!!", "x\n\n y? z", " .  . "):
         assert "".join(text[a:b] for a, b in S.split_sentences(text)) == text
