@@ -1,9 +1,10 @@
 """Licence scans with a positional index of the templates' rare words.
 
 Document frequencies of the licence vocabulary are counted over the whole corpus. A file's licence words of the
-highest inverse document frequency are looked up in the templates' postings; each hit votes for one relative position
-of template and file. The best-voted positions are intersected with the full template, and a template counts once
-enough of its words stand in place and all its key phrases occur word for word.
+highest inverse document frequency, chosen for each template by itself, are looked up in its postings; each hit votes
+for one relative position of template and file. Every position with the votes that a match must have is intersected
+with the full template, and a template counts once enough of its words stand in place and all its key phrases occur
+word for word.
 """
 
 from __future__ import annotations
@@ -36,8 +37,7 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
 )
-RAREST = 6  # licence words of a file that vote
-PLACES = 8  # relative positions per template that are compared in full
+RAREST = 6  # words of a template that vote, at least
 COVERAGE = 0.75
 _SEPARATORS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -86,10 +86,10 @@ class Index:
         self.sets = [frozenset(w) for w in self.words]
         self.known = frozenset().union(*self.sets)
         self.idf = {w: math.log((1 + total) / (1 + frequencies.get(w, 0))) for w in self.known}
-        self.postings = defaultdict(list)
+        self.places = [defaultdict(list) for _ in self.words]
         for t, words in enumerate(self.words):
             for at, word in enumerate(words):
-                self.postings[word].append((t, at))
+                self.places[t][word].append(at)
 
     def labels_of(self, words: list[bytes]) -> tuple[set[str], float]:
         """The templates found and the greatest share of a found template that stands in place."""
@@ -102,17 +102,25 @@ class Index:
         found, best = set(), 0.0
         if not likely:
             return found, best
-        wanted = frozenset().union(*(self.sets[t] for t in likely)) & present
-        rare = set(sorted(wanted, key=lambda w: (-self.idf[w], w))[:RAREST])
+        voters = defaultdict(list)  # by word: template and place
+        need = {}
+        for t in likely:
+            spare = sum((len(self.words[t]) - miss) / len(self.words[t]) >= self.coverage for miss in range(1, len(self.words[t]) + 1))  # words a match may lack
+            rare = sorted(self.sets[t] & present, key=lambda w: (-self.idf[w], w))[: max(RAREST, spare + 1)]
+            places = [(w, at) for w in rare for at in self.places[t][w]]
+            need[t] = max(1, len(places) - spare)
+            for w, at in places:
+                voters[w].append((t, at))
         votes = defaultdict(Counter)
         for at, word in enumerate(words):
-            if word in rare:
-                for t, place in self.postings[word]:
-                    if t in likely:
-                        votes[t][at - place] += 1
+            if word in voters:
+                for t, place in voters[word]:
+                    votes[t][at - place] += 1
         for t in likely:
             template = self.words[t]
-            for start, _ in sorted(votes[t].items(), key=lambda v: (-v[1], v[0]))[:PLACES]:
+            for start, cast in votes[t].items():
+                if cast < need[t]:
+                    continue
                 held = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template)) / len(template)
                 if held >= self.coverage:
                     found.add(self.labels[t])

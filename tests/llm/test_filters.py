@@ -24,6 +24,31 @@ def test_license_scan_matches_brute_force(spark, awkward, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_one_file_with_all_templates_after_decoys_matches_a_plain_scan():
+    def plain(words):
+        found, best, joined = set(), 0.0, b" " + b" ".join(words) + b" "
+        for label, text, keys in licenses.TEMPLATES:
+            template = text.encode().split()
+            held = max(sum(0 <= at + i < len(words) and words[at + i] == w for i, w in enumerate(template)) for at in range(-len(template), len(words))) / len(template)
+            if held >= licenses.COVERAGE and all(b" " + k.encode() + b" " in joined for k in keys):
+                found.add(label)
+                best = max(best, held)
+        return found, best
+
+    rng = np.random.default_rng(3)
+    decoys = []
+    for word in sorted(licenses.vocabulary()):
+        decoys += [word.decode(), "filler", "and", "so"] * 12
+    notices = [text for _, text, _ in licenses.TEMPLATES]
+    edited = [" ".join("changed" if k % 7 == 3 and rng.random() < 0.5 else w for k, w in enumerate(t.split())) for t in notices]
+    for frequencies in ({b"": 1000}, {b"": 1000, **{w: int(rng.integers(0, 1000)) for w in sorted(licenses.vocabulary())}}):
+        index = licenses.Index(frequencies)
+        for parts in ([*decoys, *notices], notices, [*decoys, *edited], edited, *([*decoys, t] for t in notices)):
+            words = licenses.words_of(" ".join(parts))
+            assert index.labels_of(words) == plain(words)
+    assert index.labels_of(licenses.words_of(" ".join([*decoys, *notices])))[0] == {t[0] for t in licenses.TEMPLATES}
+
+
 def test_url_rules(spark):
     urls = [None, "nothing", "http://a.example.net/en/x?y=/z", "http://example.net", "https://EXAMPLE.com/de/p#q", "x://b.org/fr/1?u", "http://notnet/", "http://evilexample.net/en/", "http://www.org/de/", "://h/p", "http://h?a/b"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://c.net/", "r")], "page_id long, url string, host string")
