@@ -2,14 +2,16 @@
 
 Two words are compared by their common subsequences of three characters, each weighted down by the length it spans in
 either word (Lodhi et al., 2002), so characters put into an insult cost a little and not everything. Landmarks are
-words of the training documents, chosen by their association with the label and, for contrast, by frequency. A
-sentence is described by its closest word to each landmark, whitened by the landmarks' own kernel matrix. A linear
+words of the training documents: those that a likelihood ratio links to the label, however few documents hold them, and
+for contrast frequent ones. A sentence is described by its closest word to each landmark, whitened by the landmarks' own kernel matrix. A linear
 support vector machine is trained on sentences: those of clean documents are negative, and of each toxic document the
-sentences that look worse so far than nearly all clean ones, or else the worst one, are positive, chosen anew in every round. A document scores as its worst sentence.
+sentences that look worse so far than nearly all clean ones, or else the worst one, are positive, chosen anew in every
+round. A document's score is a sigmoid of its worst few sentences.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -24,18 +26,23 @@ from pyspark.sql import functions as F
 from tempo.llm.common import doc_texts
 
 MAX_TRAIN = 4000  # labelled documents used for fitting, the first by a hash of doc_id
+MAX_CHARS = 100_000_000  # characters of them altogether; a document that would exceed it is passed over
 FOLDS = 5
 DECAY, POWER, ROUNDS = 0.8, 2, 4
-LANDMARKS, CONTRAST = 24, 8
+LANDMARKS, CONTRAST = 120, 8
+SUPPORT, EVIDENCE, TIMES = 4, 5.0, 20.0  # what links a word to the label: toxic documents, log-likelihood ratio, times its clean rate
+MISSED = 1.5  # what a toxic document counts against a clean one in the sigmoid
+WORST = 3  # sentences of a document that its score weighs
 USUAL, COST = 0.999, 10.0  # share of clean sentences that look better than a positive one; weight of the hinge
 WIDEST = 24  # letters of a word that are compared at once; longer ones are compared in overlapping pieces
 LONGER = 2  # words with more times a landmark's letters are not near it
 QUOTA = 0.7  # share of a landmark's different letters without which a word's kernel with it counts as zero
-FLOOR = 0.3  # normalised kernels below this count as zero
+FLOOR = 0.5  # normalised kernels below this count as zero
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-*_]+){3,}[^\W\d_](?![^\W\d_])")
 _LETTERS = re.compile(r"[\W\d_]+")
-_CACHE = 200_000
+_CACHE = 400_000
+_PAIRS = 1 << 14  # words and landmarks whose kernels are worked out together
 
 
 def _plain(text: str) -> str:
@@ -77,6 +84,14 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, decay: float = DECAY) -> np
     return total
 
 
+def _alike(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices in groups of equal ``size``, at most _PAIRS together."""
+    order = np.argsort(size, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        for at in range(0, len(part), _PAIRS):
+            yield part[at : at + _PAIRS]
+
+
 class Kernel:
     """Normalised, sharpened and truncated kernels of words with fixed landmarks."""
 
@@ -84,7 +99,7 @@ class Kernel:
         self.landmarks = landmarks
         self.codes = _codes(landmarks, 1)
         self.self_value = subsequence_kernel(np.where(self.codes == 1, 0, self.codes), self.codes)
-        self.masks = _masks(self.codes)
+        self.size, self.masks = (self.codes != 1).sum(1), _masks(self.codes)
         self.need = np.ceil(QUOTA * np.bitwise_count(self.masks)).astype(int)
         self.seen: set[str] = set()
         self.near: dict[str, np.ndarray] = {}  # words with a kernel above zero
@@ -104,51 +119,59 @@ class Kernel:
         if not pieces:
             return
         codes = np.array([p for _, p in pieces], dtype=f"<U{WIDEST}").view("<u4").reshape(len(pieces), WIDEST)
-        size = (codes != 0).sum(1)
-        masks = _masks(codes)
-        own = np.zeros(len(pieces))  # a word's kernel with itself, worked out when first needed
-        for k, landmark in enumerate(self.landmarks):
-            wide = LONGER * len(landmark)
-            row = np.flatnonzero((np.bitwise_count(masks & self.masks[k]) >= self.need[k]) & (size <= wide))
-            fresh = row[own[row] == 0]
-            for low in range(0, WIDEST, 4):
-                part = fresh[(size[fresh] > low) & (size[fresh] <= low + 4)]
-                if len(part):
-                    cut = codes[part, : low + 4]
-                    own[part] = subsequence_kernel(cut, np.where(cut == 0, 1, cut))
-            value = subsequence_kernel(codes[row], np.broadcast_to(self.codes[k], (len(row), WIDEST))) / np.sqrt(own[row] * self.self_value[k])
-            for r, v in zip(row[value >= FLOOR], value[value >= FLOOR], strict=True):
-                held = self.near.setdefault(pieces[r][0], np.zeros(len(self.landmarks)))
-                held[k] = max(held[k], v**POWER)
+        size, masks = (codes != 0).sum(1), _masks(codes)
+        row, mark = np.nonzero((np.bitwise_count(masks[:, None] & self.masks) >= self.need) & (size[:, None] <= LONGER * self.size))
+        own = np.ones(len(pieces))
+        held = np.unique(row)
+        for part in _alike(size[held]):
+            cut = codes[held[part], : size[held[part]].max()]
+            own[held[part]] = subsequence_kernel(cut, np.where(cut == 0, 1, cut))
+        value = np.zeros(len(row))
+        for part in _alike(size[row] * (WIDEST + 1) + self.size[mark]):
+            r, k = row[part], mark[part]
+            value[part] = subsequence_kernel(codes[r, : size[r].max()], self.codes[k, : self.size[k].max()]) / np.sqrt(own[r] * self.self_value[k])
+        hit = value >= FLOOR
+        for r, k, v in zip(row[hit].tolist(), mark[hit].tolist(), (value[hit] ** POWER).tolist(), strict=True):
+            found = self.near.setdefault(pieces[r][0], np.zeros(len(self.landmarks)))
+            found[k] = max(found[k], v)
 
     def documents(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the features of its sentences that have a word near a landmark; there may be none."""
         out = []
-        for at in range(0, len(texts), 200):
-            plain = [_plain(t) for t in texts[at : at + 200]]
+        for at in range(0, len(texts), 1000):
+            plain = [_plain(t) for t in texts[at : at + 1000]]
             words = [set(t.split()) for t in plain]
             self.learn(set().union(*words))
             for text, held in zip(plain, words, strict=True):
-                found = []
+                rows, starts = [], []
                 if not self.near.keys().isdisjoint(held):
                     for sentence in _SENTENCE.split(text):
-                        if near := [self.near[w] for w in sentence.split() if w in self.near]:
-                            found.append(np.max(near, axis=0))
-                out.append(np.array(found).reshape(len(found), len(self.landmarks)))
+                        if near := self.near.keys() & sentence.split():
+                            starts.append(len(rows))
+                            rows += [self.near[w] for w in near]
+                out.append(np.maximum.reduceat(np.array(rows), starts) if rows else np.zeros((0, len(self.landmarks))))
         return out
 
 
+def worst_sentences(found: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """[document, k] the WORST greatest values of each document's sentences, 0 at least and where there are fewer."""
+    out = np.zeros((len(found), WORST))
+    for i, f in enumerate(found):
+        if len(f):
+            top = np.sort(np.maximum(f @ weights, 0.0))[::-1][:WORST]
+            out[i, : len(top)] = top
+    return out
+
+
 @dataclass
 class Model:
     landmarks: list[str]
     weights: np.ndarray  # on the raw kernels: the whitening is folded in
-    bias: float
-    slope: float
+    slopes: np.ndarray  # of the worst sentence, the second worst and so on
     shift: float
 
     def score(self, found: list[np.ndarray]) -> np.ndarray:
-        worst = np.array([max(float((f @ self.weights).max(initial=-np.inf)), 0.0) if len(f) else 0.0 for f in found]) + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(worst_sentences(found, self.weights) @ self.slopes + self.shift, -30, 30)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -166,26 +189,56 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST, s
     return w[:-1], float(w[-1])
 
 
+def _linked_words(bad: Counter, good: Counter, nb: int, ng: int, most: int) -> list[str]:
+    """Words of toxic documents by the log-likelihood ratio of their binomial count against the base rate.
+
+    A word needs SUPPORT toxic documents, whatever their number, a ratio of EVIDENCE and TIMES the clean rate.
+    """
+    base = nb / (nb + ng)
+
+    def evidence(w: str) -> float:
+        b, g = bad[w], good[w]
+        rate = b / (b + g)
+        return b * math.log(rate / base) + (g * math.log((1 - rate) / (1 - base)) if g else 0.0)
+
+    value = {w: evidence(w) for w in bad if bad[w] >= SUPPORT and bad[w] / nb > TIMES * good[w] / ng}
+    return sorted((w for w in value if value[w] >= EVIDENCE), key=lambda w: (-value[w], w))[:most]
+
+
 def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
     bad, good = Counter(), Counter()
     for text, y in zip(texts, toxic, strict=True):
         (bad if y else good).update({p for w in set(_plain(text).split()) if 4 <= len(p := _LETTERS.sub("", w)) <= WIDEST})
-    nb, ng = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    least = max(3, 0.08 * nb)
-
-    def association(w: str) -> float:
-        p, q = bad[w] / nb, good[w] / ng
-        return (p - q) / np.sqrt((bad[w] + good[w] + 1) / (nb + ng))
-
-    linked = sorted((w for w in bad if bad[w] >= least and bad[w] / nb > 10 * good[w] / ng), key=lambda w: (-association(w), w))[:LANDMARKS]
+    linked = _linked_words(bad, good, max(1, int(toxic.sum())), max(1, int((1 - toxic).sum())), LANDMARKS)
+    if not linked:
+        return []
     usual = sorted((w for w in good if w not in linked and len(w) > 4 and len(set(w)) > 3), key=lambda w: (-good[w], w))[:CONTRAST]
     return linked + usual
 
 
+def _logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Platt's sigmoid over several non-negative slopes, by Newton steps; a slope below zero is taken out."""
+    used = np.ones(x.shape[1], dtype=bool)
+    while True:
+        z = np.hstack([x[:, used], np.ones((len(x), 1))])
+        w, ridge = np.zeros(z.shape[1]), np.diag([1e-2] * int(used.sum()) + [1e-6])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve(z.T @ ((weight * p * (1 - p))[:, None] * z) + ridge, z.T @ (weight * (p - target)) + ridge @ w)
+            w = w - step
+            if abs(step).max() < 1e-9:
+                break
+        if not used.any() or w[:-1].min() >= 0:
+            slopes = np.zeros(x.shape[1])
+            slopes[used] = w[:-1]
+            return slopes, float(w[-1])
+        used[np.flatnonzero(used)[w[:-1] < 0]] = False
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """Train on whole texts with 0/1 labels. Without both classes or any landmark every score is the label's rate."""
     rate = (float(toxic.sum()) + 1) / (len(toxic) + 2)
-    flat = Model([], np.zeros(0), 0.0, 0.0, float(np.log(rate / (1 - rate))))
+    flat = Model([], np.zeros(0), np.zeros(WORST), float(np.log(rate / (1 - rate))))
     landmarks = choose_landmarks(texts, toxic) if len(texts) else []
     if not landmarks or toxic.min() == toxic.max():
         return flat
@@ -199,33 +252,33 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     worst = [f[:, :linked].max(1) if len(f) else np.zeros(0) for f in found]
     empty = np.zeros((1, len(landmarks)))
     calm = np.vstack([f if len(f) else empty for f, y in zip(found, toxic, strict=True) if not y])
-    weights, bias = np.zeros(len(landmarks)), 0.0
+    weights = np.zeros(len(landmarks))
     for _ in range(ROUNDS):
         usual = np.quantile(np.concatenate([s if len(s) else [0.0] for s, y in zip(worst, toxic, strict=True) if not y]), USUAL)
         worse = np.vstack([f[(s > usual) | (s == s.max())] if len(f) else empty for f, s, y in zip(found, worst, toxic, strict=True) if y])
         x, y = np.vstack([worse, calm]) @ white, np.r_[np.ones(len(worse)), -np.ones(len(calm))]
         balance = np.where(y > 0, 1.0, len(worse) / len(calm) * (1 / rate - 1))
-        w, bias = _svm(x, y, balance)
-        weights = white @ w
+        weights = white @ _svm(x, y, balance)[0]
         worst = [f @ weights if len(f) else np.zeros(0) for f in found]
-    top = np.array([max(float(s.max()), 0.0) if len(s) else 0.0 for s in worst]) + bias
-    slope, shift = 1.0, 0.0
     target = np.where(toxic == 1, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / (len(toxic) - toxic.sum() + 2))
-    for _ in range(100):  # Platt's sigmoid by Newton steps
-        p = 1 / (1 + np.exp(-np.clip(slope * top + shift, -30, 30)))
-        g, h = np.array([((p - target) * top).sum() + 1e-3 * slope, (p - target).sum()]), p * (1 - p)
-        step = np.linalg.solve(np.array([[(h * top * top).sum() + 1e-3, (h * top).sum()], [(h * top).sum(), h.sum() + 1e-6]]), g)
-        slope, shift = slope - step[0], shift - step[1]
-        if abs(step).max() < 1e-9:
-            break
-    return Model(landmarks, weights, bias, max(float(slope), 0.0), float(shift)) if slope > 0 else flat
+    slopes, shift = _logistic(worst_sentences(found, weights), target, np.where(toxic == 1, MISSED, 1.0))
+    return Model(landmarks, weights, slopes, shift) if slopes.any() else flat
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most ``max_train`` labelled documents outside the held-out fold, the first by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS) -> Model:
+    """Fit on at most ``max_train`` labelled documents outside the held-out fold, the first by a hash of doc_id.
+
+    They hold at most ``max_chars`` characters together, whole texts only.
+    """
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
-    chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(fold != 0)
-    chosen = doc_texts(docs).select("doc_id").join(chosen, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(fold != 0)
+    sizes = doc_texts(docs).groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
+    fits, held = [], 0
+    for r in sizes.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).collect():  # bounded by max_train
+        if held + r["chars"] <= max_chars:
+            fits.append((r["doc_id"], r["toxic"]))
+            held += r["chars"]
+    chosen = docs.sparkSession.createDataFrame(fits, "doc_id long, toxic int")
     sample = doc_texts(docs).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(max_train).toPandas()
     return fit(sample["text"].tolist(), sample["toxic"].to_numpy(dtype=int) if len(sample) else np.zeros(0, dtype=int))
 

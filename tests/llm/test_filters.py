@@ -88,12 +88,37 @@ def test_kernel_counts_gapped_triples():
     assert np.allclose(toxicity.subsequence_kernel(s, t), [brute(*p) for p in pairs])
 
 
-def test_held_out_documents(spark, sf):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    scored = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").select("score", "predicted", "toxic").toPandas()
+def test_held_out_documents(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    scored = toxicity.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    scored = scored.filter("toxic is not null").select("score", "predicted", "toxic", "lang").toPandas()
     assert scored["score"].between(0, 1).all() and ((scored["score"] >= 0.5) == (scored["predicted"] == 1)).all()
-    assert (scored["predicted"] == scored["toxic"]).mean() > 0.9
-    assert scored.loc[scored["predicted"] == 1, "toxic"].mean() > 0.8
+    toxic = scored[scored["toxic"] == 1]
+    assert toxic["predicted"].mean() >= 0.85
+    assert scored.loc[scored["predicted"] == 1, "toxic"].mean() >= 0.9
+    by_language = toxic.groupby("lang")["predicted"].mean()
+    assert set(by_language.index) == {"en", "de", "es", "fr"} and by_language.min() >= 0.6
+
+
+def test_rare_insults_become_landmarks():
+    """Words that few toxic documents hold count, those of as many clean ones do not."""
+    rng = np.random.default_rng(4)
+    texts = [f"The weather on day {i} was fine. We walked home with {['bread', 'water', 'stone'][i % 3]}." for i in range(900)]
+    insults = [f"{a}{b}" for a in ("grulbi", "snarfo", "vexudo", "plontu") for b in ("ker", "zam", "lit", "nop", "das")]
+    toxic = np.zeros(len(texts), dtype=int)
+    for i in range(100):
+        texts[i] += f" You {insults[rng.integers(20)]} and {insults[rng.integers(20)]}!"
+        toxic[i] = 1
+    found = toxicity.choose_landmarks(texts, toxic)
+    assert set(insults) <= set(found) and "bread" not in found[: len(insults)]
+
+
+def test_sample_is_bounded_in_characters(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append(texts))
+    docs = spark.createDataFrame([(i, "abc " * 25) for i in range(1, 41)], "doc_id long, text string")
+    toxicity.train(docs, docs.select("doc_id", F.lit(1).alias("toxic")), max_chars=550)
+    assert seen == [["abc " * 25] * 5]
 
 
 def test_gapped_insults_and_clean_text():
