@@ -19,14 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempo.llm.common import cut_lineage, doc_texts
+from tempo.llm.common import cut_lineage, doc_texts, written
 
 LENGTH = 400
 KMER = 48
 SHARD = 2048  # segments of one minimizer hash in a shard
 _AT_ONCE = 1 << 20  # bytes that are hashed or sorted together
 _BASE = 0x9E3779B97F4A7C15
-_NO_ID = -(2**63)  # stands for a null doc_id in keys
 
 
 def _kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -160,13 +159,16 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
-_SEGMENT = "anchor long, d1 long, d2 int, id long, mark int, first int, n int"
+_SEGMENT = "anchor long, d1 long, d2 int, id long, mark long, first int, n int"
 _COVER = "array<struct<lo: int, hi: int>>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key that is never null: the id and, for rows that share an id, a hash of the text."""
-    return doc_texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.hash("text").alias("mark"), "text")
+    """Rows with a key that is never null: the id, or else a hash of the text, and another hash of the text.
+
+    Rows of one key have the same text, and so the same cuts.
+    """
+    return doc_texts(docs).select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("id"), F.xxhash64("text").alias("mark"), "text")
 
 
 def _segments(keyed: DataFrame, length: int, kmer: int) -> DataFrame:
@@ -218,18 +220,28 @@ def _sorted_shards(segments_: DataFrame, length: int) -> DataFrame:
 def _merged_shards(windows: DataFrame) -> DataFrame:
     """Of distinct windows per shard (anchor, d1, d2, w1, w2, at): those that another shard of the same hash holds too."""
 
+    names = ["anchor", "w1", "w2"]
+
+    def met(frame: pd.DataFrame) -> pd.DataFrame:
+        """Rows whose window occurs more than once; the frame is sorted, so each is found by bisection."""
+        change = (frame[names] != frame[names].shift()).any(axis=1).to_numpy()
+        number = np.cumsum(change)
+        again = np.searchsorted(number, number, side="right") - np.searchsorted(number, number, side="left") > 1
+        return frame.loc[again, ["anchor", "d1", "d2", "at"]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        if not held or not (frame := pd.concat(held, ignore_index=True)).shape[0]:
-            return
-        key = np.rec.fromarrays([frame["anchor"], frame["w1"], frame["w2"]])
-        each = np.sort(key, order=("f0", "f1", "f2")).view([("", "<i8")] * 3)
-        flat = np.unique(each, return_inverse=True)[1].ravel()
-        number = np.unique(key.view([("", "<i8")] * 3), return_inverse=True)[1].ravel()
-        found = np.searchsorted(flat, number, side="right") - np.searchsorted(flat, number, side="left") > 1
-        yield frame.loc[found, ["anchor", "d1", "d2", "at"]]
+        rest = None  # the last window's rows, which the next batch may go on with: one for each shard at most
+        for batch in batches:
+            frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(frame):
+                continue
+            last = (frame[names] == frame[names].iloc[-1]).all(axis=1).to_numpy()
+            rest = frame[last]
+            yield met(frame[~last])
+        if rest is not None:
+            yield met(rest)
 
-    return windows.repartition("anchor", "w1").mapInPandas(run, "anchor long, d1 long, d2 int, at int")
+    return windows.repartition("anchor", "w1").sortWithinPartitions("anchor", "w1", "w2").mapInPandas(run, "anchor long, d1 long, d2 int, at int")
 
 
 def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, shard: int = SHARD) -> DataFrame:
@@ -241,16 +253,17 @@ def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, kmer: int
     An empty table gives an empty result.
     """
     keyed = _keyed(docs)
-    found = _segments(keyed, length, kmer)
+    found = written(_segments(keyed, length, kmer))
     same = ["anchor", "d1", "d2"]
-    hashes = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), F.min("d1").alias("d_low"), F.max("d1").alias("d_high")).filter("total > 1")
+    # counts are combined in the tasks that read them and cut off from the joins, so that Spark can split a hot hash there
+    hashes = cut_lineage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), F.min("d1").alias("d_low"), F.max("d1").alias("d_high")).filter("total > 1").drop("total"))
     shared = cut_lineage(found.join(hashes, "anchor").select(*same, "id", "mark", "first", "n", (F.col("d_low") != F.col("d_high")).alias("mixed")))
     variants = shared.groupBy(*same, "mixed").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("id", "mark", "first", "n")])
     whole = variants.filter("copies > 1").select(*same, F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))).alias("cover"))
 
-    many = variants.filter("mixed").groupBy("anchor").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("fewest")).filter("fewest = 1")
+    many = cut_lineage(variants.filter("mixed").groupBy("anchor").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("fewest")).filter("fewest = 1").drop("fewest"))
     sorted_in = variants.filter("mixed").join(many, "anchor")
-    wanted = sorted_in.groupBy("id", "mark").agg(F.collect_list(F.struct(*same, "first", "n", "members")).alias("cuts"))  # bounded by the document
+    wanted = sorted_in.groupBy("id", "mark").agg(F.collect_set(F.struct(*same, "first", "n", "members")).alias("cuts"))  # bounded by the text
     texts = keyed.select("id", "mark", "doc_id", "text")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,7 +286,7 @@ def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, kmer: int
     covers = whole.unionByName(inside).unionByName(across)
 
     marked = shared.join(covers, same).select("id", "mark", F.transform("cover", lambda x: F.struct((F.col("first") + x.lo).alias("lo"), (F.col("first") + x.hi).alias("hi"))).alias("cover"))
-    gone = marked.groupBy("id", "mark").agg(F.flatten(F.collect_list("cover")).alias("cover"))  # bounded by the document
+    gone = marked.groupBy("id", "mark").agg(F.flatten(F.collect_set("cover")).alias("cover"))  # bounded by the text, however often it is repeated
 
     @F.pandas_udf("n_bytes long, spans array<struct<start: long, length: long>>, kept binary")
     def cut(texts: pd.Series, covers: pd.Series) -> pd.DataFrame:
@@ -299,7 +312,11 @@ def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, kmer: int
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``remove_repeated_substrings``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``remove_repeated_substrings``.
+
+    One row per input row, repeated rows and null ids included. A null or empty text has no bytes and the digest of
+    nothing; so has a text that is removed whole. Other columns are not read. An empty table gives an empty result.
+    """
     return remove_repeated_substrings(docs).select(
         "doc_id",
         "n_bytes",

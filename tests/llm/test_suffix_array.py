@@ -57,6 +57,14 @@ def test_matches_brute_force(spark, length, kmer, shard):
     assert got == Counter((i, *b) for i, b in zip(ids, brute([(t or "").encode() for t in texts], length), strict=True))
 
 
+def test_least_doc_id_is_not_a_null_one(spark):
+    """Ids at the end of their range, null ones and different texts under one id are told apart."""
+    texts = ["a" * 30, "b" * 30 + "cd", "cd" * 20, "xyz" * 9 + "b" * 25]
+    rows = [(i, t) for i in (None, -(2**63), 5) for t in texts[:2]] + [(5, texts[2]), (None, texts[3])]
+    got = Counter((r.doc_id, bytes(r.kept)) for r in S.remove_repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 20, 6).collect())
+    assert got == Counter((i, b[3]) for (i, _), b in zip(rows, brute([t.encode() for _, t in rows], 20), strict=True))
+
+
 def test_repeated_rows_and_empty(awkward, empty):
     got = S.substring_digests(awkward)
     want = brute([(r.text or "").encode() for r in awkward.collect()], S.LENGTH)
