@@ -1,10 +1,11 @@
 """Substring deduplication by sliding runs of sentences.
 
-Every run of two consecutive sentences with enough words, every longer run that short sentences need to have enough
-words, and every sentence that is long by itself, is hashed. The first document (smallest doc_id, first place in it)
-keeps a run; sentences that any other occurrence covers go. Runs are counted by a map-side aggregate, then joined back
-by their hash, so a run that very many documents share costs one row per task before the exchange; what is left of its
-occurrences can be split over tasks.
+Every run of two consecutive sentences with enough words, and every longer run that short sentences need to have enough
+words, is hashed. A sentence of ALONE words or more, as long as several, is a run by itself: its neighbours differ from
+place to place, and a passage of one such sentence would stay otherwise. The first document (smallest doc_id, first
+place in it) keeps a run; sentences that any other occurrence covers go. Runs are written once, counted by a map-side
+aggregate and joined back by their hash to counts that are cut off from that aggregate, so that Spark can split the
+occurrences of a run that very many documents share over tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempo.llm.common import doc_texts
+from tempo.llm.common import cut_lineage, doc_texts, free_name, written
 
 RUN = 2  # sentences in a run, at least
 MIN_WORDS = 10  # words in a run, at least
@@ -112,22 +113,27 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     one document, whose own runs are told apart by place only; a null doc_id orders last. Columns named n_sentences
     or n_removed are replaced. An empty table gives an empty result.
     """
-    marks = _marks(docs)
-    firsts = marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    marks = written(_marks(docs))
+    firsts = cut_lineage(marks.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("held")).filter("held > 1").drop("held"))
     later = marks.join(firsts, ["h1", "h2"]).filter("first_id is not null and not doc_id <=> first_id")
-    cuts = later.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_set(F.struct("at", "n")).alias("_cuts"))  # bounded by the document
-    kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "_cut_id", "_cuts")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed")]
+    rows = docs.select(*kept)
+    owner, spans, done = (free_name(rows, n) for n in ("cut_id", "cuts", "done"))
+    cuts = later.groupBy(F.col("doc_id").alias(owner)).agg(F.collect_set(F.struct("at", "n")).alias(spans))  # bounded by the document
 
     @F.pandas_udf("text string, n_sentences int, n_removed int")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         found = [_without(t or "", [(s["at"], s["n"]) for s in later] if later is not None else []) for t, later in zip(texts, spans, strict=True)]
         return pd.DataFrame(found, columns=["text", "n_sentences", "n_removed"])
 
-    joined = docs.select(*kept).join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("_cut_id")), "left")
-    done = joined.withColumn("_done", cut(F.col("text"), F.col("_cuts")))
-    return done.select(*[F.col("_done.text").alias("text") if c == "text" else F.col(c) for c in kept], "_done.n_sentences", "_done.n_removed")
+    joined = rows.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col(owner)), "left").withColumn(done, cut(F.col("text"), F.col(spans)))
+    return joined.select(*[F.col(f"{done}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], f"{done}.n_sentences", f"{done}.n_removed")
 
 
 def span_dedup(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, text (what is left), n_sentences, n_removed, n_chars (of what is left)."""
+    """One row per input row: doc_id, text (what is left), n_sentences, n_removed, n_chars (of what is left).
+
+    Null texts become empty; null ids, repeated rows and empty tables as in ``remove_repeated_spans``. Other columns
+    are not read, so none can clash.
+    """
     return remove_repeated_spans(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars"))

@@ -1,26 +1,69 @@
+import random
+
 from tempo.llm import sentence_spans as S
 
 
+def pieces(text):
+    """Sentences with the white space after them, cut by a scan over the characters."""
+    out, start, i = [], 0, 0
+    while i < len(text):
+        if text[i] == "\n":
+            while i < len(text) and text[i].isspace():
+                i += 1
+        elif text[i].isspace() and i and text[i - 1] in ".!?":
+            while i < len(text) and text[i].isspace():
+                i += 1
+        else:
+            i += 1
+            continue
+        if i > start:
+            out.append(text[start:i])
+        start = i
+    return [*out, text[start:]] if start < len(text) else out
+
+
+def all_runs(parts):
+    """Every run that is to be hashed, as (places, words): two sentences, more where those are short, and long ones."""
+    full = [(k, p.lower().split()) for k, p in enumerate(parts) if p.split()]
+    found = {((k,), tuple(w)) for k, w in full if len(w) >= 25}
+    for i in range(len(full)):
+        for j in range(i + 2, len(full) + 1):
+            size = [len(w) for _, w in full[i:j]]
+            needed = sum(size) >= 10 and (j - i == 2 or sum(size[:-1]) < 10 or sum(size[1:]) < 10)
+            if needed:
+                places = tuple(range(full[i][0], full[j - 1][0] + 1))
+                found.add((places, tuple(tuple(w) for _, w in full[i:j])))
+    return sorted(found, key=lambda r: (r[0][0], len(r[0])))
+
+
 def brute(rows):
     """First document by id keeps a run; within a document the first place does."""
     docs = {}
     for i, t in rows:
         docs.setdefault(i, t or "")
     first = {}
-    for i in sorted(docs, key=lambda i: (i is None, i or 0)):
-        for _, _, key in S.runs(docs[i], S.split_sentences(docs[i])):
-            first.setdefault(key, i)
+    for i in sorted(docs):
+        for _, words in all_runs(pieces(docs[i])):
+            first.setdefault(words, i)
     out = {}
     for i, t in docs.items():
-        parts, gone, seen = S.split_sentences(t), set(), set()
-        for a, n, key in S.runs(t, parts):
-            if key in seen or (first[key] is not None and first[key] != i):
-                gone |= set(range(a, a + n))
-            seen.add(key)
-        out[i] = "".join(t[x:y] for k, (x, y) in enumerate(parts) if k not in gone)
+        parts, gone, seen = pieces(t), set(), set()
+        for places, words in all_runs(parts):
+            if words in seen or first[words] != i:
+                gone |= set(places)
+            seen.add(words)
+        out[i] = "".join(p for k, p in enumerate(parts) if k not in gone)
     return out
 
 
+def test_random_texts_match_brute_force(spark):
+    rng = random.Random(8)
+    stock = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice((1, 2, 3, 5, 9, 14, 30)))) + rng.choice((".", "!", "?", "", ":")) for _ in range(30)]
+    rows = [(i, "".join(rng.choice(stock) + rng.choice((" ", "\n", "  ", "\n\n ")) for _ in range(rng.randint(0, 14)))) for i in range(120)]
+    got = {r.doc_id: r.text for r in S.span_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute(rows)
+
+
 def test_awkward_rows(awkward):
     rows = [(r.doc_id, r.text) for r in awkward.filter("doc_id is not null").collect()]
     want = brute(rows)
