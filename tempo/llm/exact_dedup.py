@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tempo.llm.common import cut_lineage, doc_texts
+from tempo.llm.common import cut_lineage, doc_texts, free_name
 
 WHITESPACE = " \t\n\x0b\f\r"
 _WIDE = "decimal(38,0)"
@@ -108,9 +108,10 @@ def drop_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
 
     Rows that repeat a kept row's doc_id and text stay with it.
     """
-    gone = _judged(docs, salts).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_size")).distinct()
+    owner, sha, size = (free_name(docs, n) for n in ("gone_id", "gone_sha", "gone_size"))
+    gone = _judged(docs, salts).filter("not kept").select(F.col("doc_id").alias(owner), F.col("text_sha256").alias(sha), F.col("n_chars").alias(size)).distinct()
     text = F.coalesce("text", F.lit(""))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(normalised(text), 256) == F.col("_sha")) & (F.length(text) == F.col("_size"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(owner)) & (F.sha2(normalised(text), 256) == F.col(sha)) & (F.length(text) == F.col(size))
     return docs.join(gone, same, "left_anti")
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempo.llm.common import cut_lineage, doc_texts
+from tempo.llm.common import cut_lineage, doc_texts, written
 from tempo.llm.components import connected_components
 
 RADIUS = 2
@@ -115,7 +115,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) ->
     linked = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
     named = linked.groupBy("root").agg(F.min("least").alias("component"))
     moved = linked.join(named, "root").select("fp", "component")
-    names = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # cut off from its aggregates, so that Spark can split the rows of one very frequent fingerprint over tasks
+    names = cut_lineage(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -137,10 +138,11 @@ def band_fingerprints(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+def _jaccard(a: bytes, b: bytes) -> float:
+    """Of two sets of distinct hashes."""
+    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
 def _links_between(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -172,7 +174,7 @@ def _links_between(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
-def _rest_of_links(texts: DataFrame, groups: DataFrame, roots: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+def _rest_of_links(sets: DataFrame, groups: DataFrame, roots: DataFrame, similarity: float, block: int) -> DataFrame:
     """Edges (a, b) that connect what reaches ``similarity`` within a group (band, fp) and is not of one root so far.
 
     Only pairs of the same root are passed over, since they are connected already. A group is cut into blocks of about
@@ -190,11 +192,6 @@ def _rest_of_links(texts: DataFrame, groups: DataFrame, roots: DataFrame, shingl
     pairs = blocks.withColumnRenamed("block", "i").join(blocks.withColumnRenamed("block", "j"), ["band", "fp"]).filter((F.col("i") <= F.col("j")) & ~one_root)
     sides = pairs.select("band", "fp", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(pairs.filter("i <> j").select("band", "fp", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
 
-    def distinct_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in batch["text"]]})
-
-    sets = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(distinct_shingles, "doc_id long, shingles binary")
     work = members.join(sides, ["band", "fp", "block"]).select("doc_id", "root", "band", "fp", "i", "j", "side").join(sets, "doc_id")
     return work.groupBy("band", "fp", "i", "j").applyInPandas(lambda part: _links_between(part, similarity), "a long, b long")
 
@@ -228,19 +225,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     roots = connected_components(fingerprint_links(whole.select("fp").distinct()))
     grouped = whole.join(roots, whole.fp == roots.node, "left").select("doc_id", "band", F.coalesce("root", "fp").alias("fp")).unionByName(marks.filter("band > 0"))
     turn = F.col("band") % centres
-    centre = grouped.groupBy("band", "fp").agg(F.min(F.struct(F.xxhash64("doc_id", turn).alias("o"), F.col("doc_id").alias("id"))).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "fp", F.col("c.id").alias("centre"))
+    centre = cut_lineage(grouped.groupBy("band", "fp").agg(F.min(F.struct(F.xxhash64("doc_id", turn).alias("o"), F.col("doc_id").alias("id"))).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "fp", F.col("c.id").alias("centre")))
     held = cut_lineage(grouped.join(centre, ["band", "fp"]))
     edges = held.filter("doc_id <> centre").select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b")).distinct()
 
+    def distinct_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "shingles": [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in part["text"]]})
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hit = [_jaccard(shingle_hashes(x, shingle), shingle_hashes(y, shingle)) >= similarity for x, y in zip(batch["text_a"], batch["text_b"], strict=True)]
+            hit = [_jaccard(x, y) >= similarity for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[hit, ["a", "b"]]
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    true = edges.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(verify, "a long, b long")
+    # texts are hashed once more for those that have a partner only; sets are what is compared from here on
+    sets = written(texts.join(cut_lineage(held.select("doc_id").distinct()), "doc_id", "left_semi").mapInPandas(distinct_shingles, "doc_id long, shingles binary"))
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    true = edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
     first = cut_lineage(connected_components(true))
-    rest = _rest_of_links(texts, held.select("band", "fp", "doc_id"), first, shingle, similarity, block)
+    rest = _rest_of_links(sets, held.select("band", "fp", "doc_id"), first, similarity, block)
     every = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest)
     return connected_components(every).withColumnsRenamed({"node": "doc_id", "root": "component_id"})
