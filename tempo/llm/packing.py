@@ -2,8 +2,8 @@
 
 Every task packs the rows of its own input split, so nothing is shuffled and a lost task is simply run again.
 Inside a task an array counts the open windows by fill level; each document's remainder goes to the level that
-keeps the sum of squared counts smallest. What is open at the end is cut up again into full windows and windows
-of a power of two, which need no padding.
+keeps the sum of squared counts smallest. At the end the emptiest open windows are taken apart to fill up the fullest,
+which stay as the rule made them; the last remainder is cut into powers of two. So nothing needs padding.
 """
 
 from __future__ import annotations
@@ -106,19 +106,33 @@ class Packer:
                 self.count[level] += 1
 
     def finish(self) -> None:
-        """Cut the pieces of the open windows again: full windows, then one of each power of two in what is left."""
-        left = [p for level in sorted(self.open, reverse=True) for pieces in self.open[level] for p in pieces]
-        rest = sum(len(p[2]) for p in left)
-        self.open, pieces, room = {}, [], 0
-        for doc_id, start, ids, total in left:
-            while len(ids):
-                room = room or min(self.window, 1 << (rest.bit_length() - 1))
-                part, ids = ids[:room], ids[room:]
+        """Fill up the fullest open windows with pieces of the emptiest ones; cut what is left into powers of two."""
+        windows = [(level, pieces) for level in sorted(self.open, reverse=True) for pieces in self.open[level]]
+        self.open, low, high = {}, 0, len(windows) - 1
+        spare: list[tuple] = []  # pieces of the window that is being taken apart, the next one last
+        while low <= high or spare:
+            if low > high:  # the remainder of the last window
+                level, pieces, rest = 0, [], sum(len(p[2]) for p in spare)
+                goal = 1 << (rest.bit_length() - 1)
+            else:
+                (level, pieces), goal = windows[low], self.window
+                low += 1
+            while level < goal:
+                if not spare:
+                    if low > high:
+                        break
+                    spare = windows[high][1][::-1]
+                    high -= 1
+                doc_id, start, ids, total = spare.pop()
+                part, ids = ids[: goal - level], ids[goal - level :]
                 pieces.append((doc_id, start, part, total))
-                start, room, rest = start + len(part), room - len(part), rest - len(part)
-                if not room:
-                    self.close(pieces)
-                    pieces = []
+                level += len(part)
+                if len(ids):
+                    spare.append((doc_id, start + len(part), ids, total))
+            if level == goal:
+                self.close(pieces)
+            else:  # nothing is left to fill it up with
+                spare = pieces[::-1]
 
     def take(self) -> pd.DataFrame:
         rows, self.rows = self.rows, []
@@ -156,5 +170,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
-    """The pieces of ``pack`` with a checksum in place of their ids."""
+    """The pieces of ``pack`` with a checksum in place of their ids.
+
+    A null or empty text is one piece of one id; repeated rows, null ids and empty tables as in ``pack``. Other columns
+    are not read.
+    """
     return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

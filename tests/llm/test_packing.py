@@ -68,6 +68,18 @@ def test_level_minimises_sum_of_squares():
     assert sum(s != 16 for s in sizes.values()) <= 4
 
 
+def test_most_pieces_stay_where_the_rule_put_them():
+    rng = np.random.default_rng(2)
+    packer = packing.Packer(0, 256)
+    for doc_id in range(4000):
+        packer.add(doc_id, np.arange(int(rng.integers(5, 200)), dtype="<u4"))
+    total = sum(len(p[2]) for windows in packer.open.values() for w in windows for p in w) + sum(r[2] for r in packer.rows)
+    packer.finish()
+    assert sum(r[2] for r in packer.rows) == total
+    whole = sum(r[2] for r in packer.rows if r[1] == 0 and r[2] == r[4])
+    assert whole > 0.95 * total  # the others were cut to fill up windows
+
+
 def test_window_has_to_be_a_power_of_two(awkward):
     with pytest.raises(ValueError):
         packing.pack(awkward, window=1000)
