@@ -3,7 +3,8 @@
 The corpus's most frequent words are compiled, with the ids that the merges give them, into an automaton whose
 equal suffixes are shared. Every arc carries the number of words that sort before its branch, so the sum along a path
 numbers the word and finds its ids. The automaton is one block of bytes, broadcast and memory-mapped by the
-workers; words outside it are merged by the ranked merges, which gives the same ids.
+workers, which walk it with all distinct words of a batch at once; words outside it are merged by the ranked merges,
+which gives the same ids.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempo.llm.common import doc_texts
+from tempo.llm.common import doc_texts, written
 
 LEXICON = 50_000  # frequent words that are compiled
-_BYTES = [bytes((b,)) for b in range(256)]
 _CACHE = 400_000
 _COUNTED = 200_000
 # Texts of these characters are normalised and split here; any other goes through the tokenizer file's own rules.
@@ -36,30 +36,43 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-
 
 
 class Lexicon:
-    """A word's number and ids by walking the automaton; ``data`` is what ``compile_lexicon`` made, or a map of it."""
+    """Words' numbers and ids by walking the automaton; ``data`` is what ``compile_lexicon`` made, or a map of it."""
 
     def __init__(self, data):
         nodes, arcs, words, ids = struct.unpack_from("<4q", data, 0)
-        self.data, view, at = data, memoryview(data), 32
-        parts = []
+        at, parts = 32, []
         for n in (nodes + 1, nodes, arcs, arcs, words + 1, ids):
-            parts.append(view[at : at + 4 * n].cast("i"))
+            parts.append(np.frombuffer(data, dtype="<i4", count=n, offset=at))
             at += 4 * n
-        self.first, self.final, self.target, self.skip, self.start, self.ids = parts
-        self.labels = at
-
-    def __getitem__(self, word: bytes) -> array | None:
-        node, number, labels, find, first, skip, target = 0, 0, self.labels, self.data.find, self.first, self.skip, self.target
-        for label in word:
-            low, high = labels + first[node], labels + first[node + 1]
-            arc = find(_BYTES[label], low, high) - labels
-            if arc < 0:
-                return None
-            number += skip[arc]
-            node = target[arc]
-        if not self.final[node]:
-            return None
-        return array("i", self.ids[self.start[number] : self.start[number + 1]])
+        first, self.final, self.target, self.skip, self.start, self.ids = parts
+        labels = np.frombuffer(data, dtype=np.uint8, count=arcs, offset=at)
+        self.arcs = np.repeat(np.arange(nodes, dtype=np.int64) << 8, np.diff(first)) | labels  # ascending: node, then label
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 for those that the automaton does not accept."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        flat = np.frombuffer(b"".join(words), dtype=np.uint8)
+        node, number = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        out = np.full(len(words), -1, dtype=np.int64)
+        live, step = np.arange(len(words)), 0
+        while len(live):
+            done = size[live] == step
+            ended = live[done]
+            ended = ended[self.final[node[ended]] != 0]
+            out[ended] = number[ended]
+            live = live[~done]
+            wanted = (node[live] << 8) | flat[begin[live] + step]
+            arc = np.minimum(np.searchsorted(self.arcs, wanted), max(0, len(self.arcs) - 1))
+            known = self.arcs[arc] == wanted if len(self.arcs) else np.zeros(len(live), dtype=bool)
+            live, arc = live[known], arc[known]
+            number[live] += self.skip[arc]
+            node[live] = self.target[arc]
+            step += 1
+        return out
+
+    def ids_of(self, number: int) -> np.ndarray:
+        return self.ids[self.start[number] : self.start[number + 1]]
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -198,45 +211,55 @@ class Tokenizer:
         return " ".join(self.pieces[int(i)] for i in ids)
 
 
-class _Words(dict):
-    """Word -> (its ids as bytes, its decoded text), through the lexicon or else the merges."""
+class _Merged(dict):
+    """Word -> (its ids as bytes, its decoded text), by the merges."""
 
-    def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon | None):
-        self.tokenizer, self.lexicon = tokenizer, lexicon
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
 
     def __missing__(self, word: str):
-        raw = word.encode("utf-8", "surrogateescape")
-        ids = self.lexicon[raw] if self.lexicon is not None else None
-        if ids is None:
-            ids = array("i", self.tokenizer.merge(raw))
+        ids = array("i", self.tokenizer.merge(word.encode("utf-8", "surrogateescape")))
         value = (ids.tobytes(), self.tokenizer.decode(ids))
-        if len(self) < _CACHE:  # frequent words come early
+        if len(self) < _CACHE:
             self[word] = value
         return value
 
 
 @functools.lru_cache(maxsize=2)
-def _known_words(tokenizer: Tokenizer) -> _Words:
-    """A worker's words outlive a task: what they encode to does not depend on the lexicon."""
-    return _Words(tokenizer, None)
+def _merged_words(tokenizer: Tokenizer) -> _Merged:
+    """What a worker has merged outlives a task; only words that the automaton does not accept get here."""
+    return _Merged(tokenizer)
 
 
 class Encoder:
-    def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon | None = None):
-        self.tokenizer, self.words = tokenizer, _known_words(tokenizer)
-        self.words.lexicon = lexicon
-
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """The ids and the text they decode to."""
-        ids, decoded = [], []
-        for words, special in self.tokenizer.segments(text):
-            for a, b in map(self.words.__getitem__, words):
-                ids.append(a)
-                decoded.append(b)
-            if special is not None:
-                ids.append(array("i", [special]).tobytes())
-                decoded.append(self.tokenizer.decode([special]))
-        return np.frombuffer(b"".join(ids), dtype=np.int32), " ".join(decoded)
+    def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon):
+        self.tokenizer, self.lexicon, self.merged = tokenizer, lexicon, _merged_words(tokenizer)
+        self.frequent: dict[int, tuple[bytes, str]] = {}  # by number: as many as the automaton has words
+
+    def _frequent(self, number: int) -> tuple[bytes, str]:
+        if number not in self.frequent:
+            ids = self.lexicon.ids_of(number)
+            self.frequent[number] = (ids.tobytes(), self.tokenizer.decode(ids))
+        return self.frequent[number]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        """The ids of each text and the text they decode to."""
+        parts = [self.tokenizer.segments(text) for text in texts]
+        words = list({w for segments in parts for found, _ in segments for w in found})
+        numbers = self.lexicon.numbers([w.encode("utf-8", "surrogateescape") for w in words]).tolist()
+        value = {w: self._frequent(n) if n >= 0 else self.merged[w] for w, n in zip(words, numbers, strict=True)}
+        out = []
+        for segments in parts:
+            ids, decoded = [], []
+            for found, special in segments:
+                for a, b in map(value.__getitem__, found):
+                    ids.append(a)
+                    decoded.append(b)
+                if special is not None:
+                    ids.append(array("i", [special]).tobytes())
+                    decoded.append(self.tokenizer.decode([special]))
+            out.append((np.frombuffer(b"".join(ids), dtype=np.int32), " ".join(decoded)))
+        return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -245,7 +268,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 def frequent_words(docs: DataFrame, path: str, size: int) -> list[str]:
-    """The ``size`` most frequent words, counted over all texts; ties go to the smaller word."""
+    """The ``size`` most frequent words of those that occur twice, counted over all texts; ties go to the smaller word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, seen = tokenizer(path), Counter()
@@ -259,8 +282,15 @@ def frequent_words(docs: DataFrame, path: str, size: int) -> list[str]:
         if seen:  # an empty frame would have no types
             yield pd.DataFrame({"word": [w.encode("utf-8", "surrogateescape") for w in seen], "n": list(seen.values())})
 
-    counted = doc_texts(docs).mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    most = counted.orderBy(F.desc("n"), "word").limit(size).filter("n > 0")  # the filter has the executors merge the tasks' lists
+    counted = written(doc_texts(docs).mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"))
+    # how many words have which power of 2 ** (1 / 8) as their count tells from which count on they are wanted, so few are sorted
+    power = F.floor(F.log2("n") * 8).cast("int")
+    held, least = 0, 0
+    for r in counted.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("power")).collect():  # at most 8 * 63 rows
+        least, held = r["power"], held + r["words"]
+        if held >= size:
+            break
+    most = counted.filter(power >= least).orderBy(F.desc("n"), "word").limit(size).filter("n > 0")  # the filter has the executors merge the tasks' lists
     return [bytes(r["word"]) for r in most.collect()]  # bounded by size
 
 
@@ -287,14 +317,18 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, lexicon_size: int
             for batch in batches:
                 for at in range(0, len(batch), 1000):
                     part = batch.iloc[at : at + 1000]
-                    found = [encoder.encode(t) for t in part["text"]]
+                    found = encoder.encode(part["text"].tolist())
                     yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "ids": [f[0] for f in found], "decoded": [f[1] for f in found]})
 
     return doc_texts(docs).mapInPandas(run, "doc_id long, ids array<int>, decoded string")
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode``."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``encode``.
+
+    A null or empty text has 0 tokens and the digests of nothing; repeated rows, null ids and empty tables as in
+    ``encode``. Other columns are not read.
+    """
     return encode(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

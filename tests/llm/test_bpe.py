@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tempo.llm import bpe
@@ -30,12 +31,39 @@ def test_lexicon_is_exact_and_shares_suffixes():
     rng = random.Random(3)
     words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))).encode() + b"ing" for _ in range(800)}
     ids = {w: [len(w), hash(w) % 1000] for w in words}
-    data = bpe.compile_lexicon(ids)
-    found = bpe.Lexicon(data)
-    assert all(list(found[w]) == ids[w] for w in words)
-    assert found[b""] is None and found[b"zzz"] is None and found[b"ing"] is None
+    found = bpe.Lexicon(bpe.compile_lexicon(ids))
+    ordered = sorted(words)
+    assert found.numbers(ordered).tolist() == list(range(len(ordered)))
+    assert all(found.ids_of(i).tolist() == ids[w] for i, w in enumerate(ordered))
+    assert found.numbers([b"", b"zzz", b"ing", ordered[5] + b"x", ordered[5]]).tolist() == [-1, -1, -1, -1, 5]
     assert len(found.target) < sum(map(len, words))
-    assert bpe.Lexicon(bpe.compile_lexicon({}))[b"a"] is None
+    assert bpe.Lexicon(bpe.compile_lexicon({})).numbers([b"a", b""]).tolist() == [-1, -1]
+
+
+def test_the_automaton_answers_for_frequent_words(spark, monkeypatch):
+    """Words of the lexicon never reach the merges, and all others do, once."""
+    asked = []
+    merge = bpe.Tokenizer.merge
+    read = bpe.Tokenizer(PATH)
+    lexicon = bpe.Lexicon(bpe.compile_lexicon({w: read.merge(w) for w in (b"the", b"cat")}))
+    monkeypatch.setattr(bpe.Tokenizer, "merge", lambda self, word: asked.append(word) or merge(self, word))
+    bpe.Encoder(read, lexicon).encode(["the cat the", "the hat", "hat cat"])
+    assert asked == [b"hat"]
+
+
+def test_frequent_words(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b b c c c d d d d", "e e e e e f", "g g h h"])], "doc_id long, text string")
+    for size, want in ((1, [b"e"]), (3, [b"e", b"d", b"c"]), (5, [b"e", b"d", b"c", b"b", b"g"]), (50, [b"e", b"d", b"c", b"b", b"g", b"h"])):
+        assert bpe.frequent_words(docs, PATH, size) == want
+
+
+def test_whole_table_matches_the_library(spark, library, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 10**6).alias("doc_id"), F.concat(F.lit("ﬁ Ω "), "text").alias("text")))  # characters that the library splits
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.encode(docs, lexicon_size=2000).collect()}
+    rows = docs.collect()
+    for r, e in zip(rows, library.encode_batch([r.text or "" for r in rows], add_special_tokens=False), strict=True):
+        assert got[r.doc_id] == (e.ids, library.decode(e.ids, skip_special_tokens=False)), r.doc_id
 
 
 def test_long_words_merge_alike():
