@@ -1,15 +1,16 @@
 """Licence scans with a positional index of the templates' rare words.
 
-Document frequencies of the licence vocabulary are counted over the whole corpus. A file's licence words of the
-highest inverse document frequency, chosen for each template by itself, are looked up in its postings; each hit votes
-for one relative position of template and file. Every position with the votes that a match must have is intersected
-with the full template, and a template counts once enough of its words stand in place and all its key phrases occur
-word for word.
+Document frequencies of the licence vocabulary are counted over the whole corpus. The index posts each template's
+places of the highest inverse document frequency: one more than a match may lack, so that every match has one of them.
+A file's words are looked up in it first; each hit gives one relative position of template and file, every position
+found is intersected with the full template, and a template counts once enough of its words stand in place and all its
+key phrases occur word for word. A licence has several templates, its passages, under one label.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -20,24 +21,34 @@ from pyspark.sql import functions as F
 
 from tempo.llm.common import doc_texts
 
-# The base phrases with their labels, and the opening sentences of public licences with their key phrases.
+# The base phrases with their labels, and passages of public licences with their key phrases.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 TEMPLATES = (
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("hereby granted free of charge",)),
     ("mit-notice", "released under the mit license", ("mit license",)),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    ("mit-text", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("shall be included in all copies or substantial portions",)),
+    ("mit-text", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("the software is provided as is", "and noninfringement")),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("www apache org licenses license 2 0",)),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("gnu general public license", "free software")),
+    ("gpl-text", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("gnu general public license for more details",)),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license", "free software foundation")),
     ("lgpl", "licensed under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("must retain the above copyright notice",)),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("to endorse or promote products derived from this software",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("held liable for any damages arising from the use of this software",)),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", ("must not be misrepresented",)),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("accompanying documentation covered by this license",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("for any purpose commercial or non commercial",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
     ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
 )
-RAREST = 6  # words of a template that vote, at least
 COVERAGE = 0.75
 _SEPARATORS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -76,53 +87,34 @@ def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, in
 
 
 class Index:
-    """Positional postings of the templates' words, with each word's inverse document frequency."""
+    """Positional postings of the templates' rarest words: word -> (template, place)."""
 
     def __init__(self, frequencies: dict[bytes, int], templates=TEMPLATES, coverage: float = COVERAGE):
         total = frequencies.get(b"", 0)
         self.coverage, self.labels = coverage, [t[0] for t in templates]
         self.words = [_phrase(t[1]) for t in templates]
         self.keys = [[b" " + b" ".join(_phrase(k)) + b" " for k in t[2]] for t in templates]
-        self.sets = [frozenset(w) for w in self.words]
-        self.known = frozenset().union(*self.sets)
-        self.idf = {w: math.log((1 + total) / (1 + frequencies.get(w, 0))) for w in self.known}
-        self.places = [defaultdict(list) for _ in self.words]
+        idf = {w: math.log((1 + total) / (1 + frequencies.get(w, 0))) for words in self.words for w in words}
+        self.postings = defaultdict(list)
         for t, words in enumerate(self.words):
-            for at, word in enumerate(words):
-                self.places[t][word].append(at)
+            spare = sum(miss <= len(words) and (len(words) - miss) / len(words) >= coverage for miss in range(1, len(words) + 1))  # words that a match may lack
+            for at in sorted(range(len(words)), key=lambda i: (-idf[words[i]], words[i], i))[: spare + 1]:
+                self.postings[words[at]].append((t, at))
 
     def labels_of(self, words: list[bytes]) -> tuple[set[str], float]:
         """The templates found and the greatest share of a found template that stands in place."""
-        present = self.known.intersection(words)
-        likely = {t for t, s in enumerate(self.sets) if len(s & present) >= self.coverage * len(s)}
-        if not likely:
-            return set(), 0.0
-        joined = b" " + b" ".join(words) + b" "
-        likely = {t for t in likely if all(key in joined for key in self.keys[t])}
         found, best = set(), 0.0
-        if not likely:
+        if self.postings.keys().isdisjoint(words):
             return found, best
-        voters = defaultdict(list)  # by word: template and place
-        need = {}
-        for t in likely:
-            spare = sum((len(self.words[t]) - miss) / len(self.words[t]) >= self.coverage for miss in range(1, len(self.words[t]) + 1))  # words a match may lack
-            rare = sorted(self.sets[t] & present, key=lambda w: (-self.idf[w], w))[: max(RAREST, spare + 1)]
-            places = [(w, at) for w in rare for at in self.places[t][w]]
-            need[t] = max(1, len(places) - spare)
-            for w, at in places:
-                voters[w].append((t, at))
-        votes = defaultdict(Counter)
-        for at, word in enumerate(words):
-            if word in voters:
-                for t, place in voters[word]:
-                    votes[t][at - place] += 1
-        for t in likely:
+        starts = {(t, at - place) for at, word in enumerate(words) if word in self.postings for t, place in self.postings[word]}
+        joined = b""
+        for t, start in starts:
             template = self.words[t]
-            for start, cast in votes[t].items():
-                if cast < need[t]:
-                    continue
-                held = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template)) / len(template)
-                if held >= self.coverage:
+            low, high = max(0, -start), min(len(template), len(words) - start)
+            held = sum(map(operator.eq, template[low:high], words[start + low : start + high])) / len(template)
+            if held >= self.coverage and held > best or held >= self.coverage and self.labels[t] not in found:
+                joined = joined or b" " + b" ".join(words) + b" "
+                if all(key in joined for key in self.keys[t]):
                     found.add(self.labels[t])
                     best = max(best, held)
         return found, best
