@@ -42,6 +42,30 @@ def test_stages_take_awkward_and_empty_tables(spark, awkward, empty, tmp_path):
             assert name == "packing" or out.columns == docs.columns
 
 
+def test_stages_keep_columns_named_like_working_ones(spark, tmp_path):
+    names = ["gone_id", "GONE_ID_", "gone_sha", "gone_size", "cut_id", "cuts", "done", "n_sentences", "n_removed", "component_id", "text_sha256", "kept"]
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text = "One sentence with quite a few words in it. Another sentence with quite a few words in it."
+    rows = [(i, text if i < 3 else f"{text} And document {i} goes on alone here.", *[f"{n}{i}" for n in names]) for i in range(6)] + [(None, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(r[n] == (f"{n}{r.doc_id}" if r.doc_id is not None else None) for r in out.collect() for n in names), name
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tempo.llm import common
+
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        common.shared_folder(cluster)
+
+
 def test_registered():
     import __spark_entry__ as entry
 
