@@ -6,14 +6,13 @@ shared folder and reads them back as the next one's documents, so a lost executo
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempo.llm import exact_dedup, packing, sentence_spans, simhash, toxicity
-from tempo.llm.common import table
+from tempo.llm.common import drop_folder, free_name, shared_folder, table
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,24 +25,42 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest original, then the smallest doc_id.
+
+    Null texts count as empty and equal blank ones; a null doc_id orders last; rows that repeat the one that stays stay
+    with it. All columns are kept, whatever their names. An empty table gives an empty result.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that shares 0.8 of its five-word shingles."""
-    groups = simhash.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(groups, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """The document with the smallest doc_id of each group that shares 0.8 of its five-word shingles.
+
+    Null and blank texts and rows with a null doc_id take no part and stay; rows that repeat a doc_id share its fate.
+    All columns are kept, whatever their names. An empty table gives an empty result.
+    """
+    gone = free_name(docs, "gone_id")
+    groups = simhash.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone))
+    return docs.join(groups, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without sentences of spans that an earlier place has; n_chars follows the text."""
-    done = sentence_spans.remove_repeated_spans(docs)
+    """All documents, without sentences of spans that an earlier place has; n_chars follows the text.
+
+    A null text becomes empty; a null doc_id orders last; repeated rows of one doc_id are one document. All columns are
+    kept: those named as the operator's own counts are set aside. An empty table gives an empty result.
+    """
+    own = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in ("n_sentences", "n_removed")}
+    done = sentence_spans.remove_repeated_spans(docs.withColumnsRenamed(own)).drop("n_sentences", "n_removed").withColumnsRenamed({v: k for k, v in own.items()})
     return done.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training windows."""
+    """Pieces of training windows, one row each; the columns of documents end here.
+
+    A null or empty text is its end id alone; repeated rows and null ids are packed like others; an empty table gives
+    an empty result.
+    """
     return packing.packed_pieces(docs)
 
 
@@ -55,17 +72,20 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Training, near-duplicate groups and tokenization are beyond SQL; tests hold the pipeline against brute force.
+#: Training, near-duplicate groups and tokenization are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-pipeline-")
-    base = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's folder is deleted when the next one's is complete."""
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            drop_folder(spark, before)
+        before = f"{base}/{name}"
     return docs
 
 
