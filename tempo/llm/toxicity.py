@@ -42,6 +42,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-*_]+){3,}[^\W\d_](?![^\W\d_])")
 _LETTERS = re.compile(r"[\W\d_]+")
 _CACHE = 400_000
+_ROWS = 1 << 12  # words whose letters are compared with those of all landmarks together
 _PAIRS = 1 << 14  # words and landmarks whose kernels are worked out together
 
 
@@ -120,7 +121,8 @@ class Kernel:
             return
         codes = np.array([p for _, p in pieces], dtype=f"<U{WIDEST}").view("<u4").reshape(len(pieces), WIDEST)
         size, masks = (codes != 0).sum(1), _masks(codes)
-        row, mark = np.nonzero((np.bitwise_count(masks[:, None] & self.masks) >= self.need) & (size[:, None] <= LONGER * self.size))
+        near = [np.nonzero((np.bitwise_count(masks[at : at + _ROWS, None] & self.masks) >= self.need) & (size[at : at + _ROWS, None] <= LONGER * self.size)) for at in range(0, len(pieces), _ROWS)]
+        row, mark = np.concatenate([r + at for (r, _), at in zip(near, range(0, len(pieces), _ROWS), strict=True)]), np.concatenate([k for _, k in near])
         own = np.ones(len(pieces))
         held = np.unique(row)
         for part in _alike(size[held]):
@@ -132,14 +134,14 @@ class Kernel:
             value[part] = subsequence_kernel(codes[r, : size[r].max()], self.codes[k, : self.size[k].max()]) / np.sqrt(own[r] * self.self_value[k])
         hit = value >= FLOOR
         for r, k, v in zip(row[hit].tolist(), mark[hit].tolist(), (value[hit] ** POWER).tolist(), strict=True):
-            found = self.near.setdefault(pieces[r][0], np.zeros(len(self.landmarks)))
+            found = self.near.setdefault(pieces[r][0], np.zeros(len(self.landmarks), dtype=np.float32))
             found[k] = max(found[k], v)
 
     def documents(self, texts: list[str]) -> list[np.ndarray]:
         """For each text, the features of its sentences that have a word near a landmark; there may be none."""
         out = []
-        for at in range(0, len(texts), 1000):
-            plain = [_plain(t) for t in texts[at : at + 1000]]
+        for at in range(0, len(texts), 500):
+            plain = [_plain(t) for t in texts[at : at + 500]]
             words = [set(t.split()) for t in plain]
             self.learn(set().union(*words))
             for text, held in zip(plain, words, strict=True):
@@ -149,7 +151,7 @@ class Kernel:
                         if near := self.near.keys() & sentence.split():
                             starts.append(len(rows))
                             rows += [self.near[w] for w in near]
-                out.append(np.maximum.reduceat(np.array(rows), starts) if rows else np.zeros((0, len(self.landmarks))))
+                out.append(np.maximum.reduceat(np.array(rows), starts) if rows else np.zeros((0, len(self.landmarks)), dtype=np.float32))
         return out
 
 
@@ -250,15 +252,15 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     white = vector / np.sqrt(np.maximum(value, 1e-3))
     linked = max(1, len(landmarks) - CONTRAST)
     worst = [f[:, :linked].max(1) if len(f) else np.zeros(0) for f in found]
-    empty = np.zeros((1, len(landmarks)))
-    calm = np.vstack([f if len(f) else empty for f, y in zip(found, toxic, strict=True) if not y])
+    empty = np.zeros((1, len(landmarks)), dtype=np.float32)
+    calm, many = np.unique(np.vstack([f if len(f) else empty for f, y in zip(found, toxic, strict=True) if not y]), axis=0, return_counts=True)
+    calm = calm @ white
     weights = np.zeros(len(landmarks))
     for _ in range(ROUNDS):
         usual = np.quantile(np.concatenate([s if len(s) else [0.0] for s, y in zip(worst, toxic, strict=True) if not y]), USUAL)
         worse = np.vstack([f[(s > usual) | (s == s.max())] if len(f) else empty for f, s, y in zip(found, worst, toxic, strict=True) if y])
-        x, y = np.vstack([worse, calm]) @ white, np.r_[np.ones(len(worse)), -np.ones(len(calm))]
-        balance = np.where(y > 0, 1.0, len(worse) / len(calm) * (1 / rate - 1))
-        weights = white @ _svm(x, y, balance)[0]
+        balance = np.r_[np.ones(len(worse)), many * (len(worse) / many.sum() * (1 / rate - 1))]
+        weights = white @ _svm(np.vstack([worse @ white, calm]), np.r_[np.ones(len(worse)), -np.ones(len(calm))], balance)[0]
         worst = [f @ weights if len(f) else np.zeros(0) for f in found]
     target = np.where(toxic == 1, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / (len(toxic) - toxic.sum() + 2))
     slopes, shift = _logistic(worst_sentences(found, weights), target, np.where(toxic == 1, MISSED, 1.0))
