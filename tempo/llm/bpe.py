@@ -30,6 +30,8 @@ from tempo.llm.common import doc_texts, written
 LEXICON = 50_000  # frequent words that are compiled
 _CACHE = 400_000
 _COUNTED = 200_000
+_SHORT = 40  # bytes of a word that is merged together with others
+_AT_ONCE = 8_000_000  # characters whose distinct words are walked through the automaton together
 # Texts of these characters are normalised and split here; any other goes through the tokenizer file's own rules.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -186,6 +188,49 @@ class Tokenizer:
                 order[at] = ranks.get((symbols[at], symbols[at + 1]), worst)
         return [self.ids[s] for s in symbols]
 
+    @functools.cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of the pairs that merge, their ranks and what they merge to; the ids of bytes, of last ones after 256."""
+        wide = len(self.ids)
+        rows = sorted((self.ids[a] * wide + self.ids[b], rank, self.ids[a + b]) for (a, b), rank in self.ranks.items())
+        key, rank, made = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
+        return key, rank, made, np.array([self.ids[self.char[b] + end] for end in ("", self.suffix) for b in range(256)], dtype=np.int64)
+
+    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
+        """``merge`` of many words at once: in every round each word's pair of lowest rank, leftmost first, is merged."""
+        out: list = [None] * len(words)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= _SHORT]
+        for i, w in enumerate(words):
+            if not 0 < len(w) <= _SHORT:
+                out[i] = np.array(self.merge(w), dtype=np.int32)
+        if not short:
+            return out
+        keys, ranks, made, first = self._pairs
+        wide, none = len(self.ids), len(self.ranks)
+        size = np.array([len(words[i]) for i in short])
+        symbol = np.frombuffer(b"".join(words[i] for i in short), dtype=np.uint8).astype(np.int64)
+        symbol[np.cumsum(size) - 1] += 256
+        symbol = first[symbol]
+        word = np.repeat(np.array(short), size)
+        while len(symbol):
+            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            pair = np.append(symbol[:-1] * wide + symbol[1:], -1)
+            pair[np.append(begin[1:], len(word)) - 1] = -1  # no pair across words
+            at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            rank = np.where(keys[at] == pair, ranks[at], none)
+            best = np.minimum.reduceat(rank * len(word) + np.arange(len(word)), begin)  # lowest rank, then leftmost
+            merges = best // len(word) < none
+            if not merges.all():
+                for a, b, done in zip(begin.tolist(), [*begin[1:].tolist(), len(word)], (~merges).tolist(), strict=True):
+                    if done:
+                        out[word[a]] = symbol[a:b].astype(np.int32)
+            place = best[merges] % len(word)
+            symbol[place] = made[at[place]]
+            keep = np.repeat(merges, np.diff(np.append(begin, len(word))))
+            keep[place + 1] = False
+            symbol, word = symbol[keep], word[keep]
+        return out
+
     def _merge_long(self, symbols: list) -> list[int]:
         """The same over a linked list and a heap, for words where rescanning would cost the square of the length."""
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
@@ -208,27 +253,13 @@ class Tokenizer:
         return [self.ids[s] for s in symbols if s is not None]
 
     def decode(self, ids) -> str:
-        return " ".join(self.pieces[int(i)] for i in ids)
-
-
-class _Merged(dict):
-    """Word -> (its ids as bytes, its decoded text), by the merges."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str):
-        ids = array("i", self.tokenizer.merge(word.encode("utf-8", "surrogateescape")))
-        value = (ids.tobytes(), self.tokenizer.decode(ids))
-        if len(self) < _CACHE:
-            self[word] = value
-        return value
+        return " ".join([self.pieces[int(i)] for i in ids])
 
 
 @functools.lru_cache(maxsize=2)
-def _merged_words(tokenizer: Tokenizer) -> _Merged:
+def _merged_words(tokenizer: Tokenizer) -> dict[str, tuple[bytes, str]]:
     """What a worker has merged outlives a task; only words that the automaton does not accept get here."""
-    return _Merged(tokenizer)
+    return {}
 
 
 class Encoder:
@@ -247,14 +278,25 @@ class Encoder:
         parts = [self.tokenizer.segments(text) for text in texts]
         words = list({w for segments in parts for found, _ in segments for w in found})
         numbers = self.lexicon.numbers([w.encode("utf-8", "surrogateescape") for w in words]).tolist()
-        value = {w: self._frequent(n) if n >= 0 else self.merged[w] for w, n in zip(words, numbers, strict=True)}
+        ids_of, text_of, unseen = {}, {}, []
+        for w, n in zip(words, numbers, strict=True):
+            if n >= 0:
+                ids_of[w], text_of[w] = self._frequent(n)
+            elif w in self.merged:
+                ids_of[w], text_of[w] = self.merged[w]
+            else:
+                unseen.append(w)
+        for w, found in zip(unseen, self.tokenizer.merge_many([w.encode("utf-8", "surrogateescape") for w in unseen]), strict=True):
+            ids_of[w], text_of[w] = value = (found.tobytes(), self.tokenizer.decode(found.tolist()))
+            if len(self.merged) < _CACHE:
+                self.merged[w] = value
         out = []
         for segments in parts:
             ids, decoded = [], []
             for found, special in segments:
-                for a, b in map(value.__getitem__, found):
-                    ids.append(a)
-                    decoded.append(b)
+                ids.append(b"".join(map(ids_of.__getitem__, found)))
+                if found:
+                    decoded.append(" ".join(map(text_of.__getitem__, found)))
                 if special is not None:
                     ids.append(array("i", [special]).tobytes())
                     decoded.append(self.tokenizer.decode([special]))
@@ -315,8 +357,9 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, lexicon_size: int
             file.flush()
             encoder = Encoder(tokenizer(tokenizer_path), Lexicon(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)))
             for batch in batches:
-                for at in range(0, len(batch), 1000):
-                    part = batch.iloc[at : at + 1000]
+                cuts = np.flatnonzero(np.diff(batch["text"].str.len().cumsum() // _AT_ONCE)) + 1
+                for rows in np.split(np.arange(len(batch)), cuts):
+                    part = batch.iloc[rows]
                     found = encoder.encode(part["text"].tolist())
                     yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "ids": [f[0] for f in found], "decoded": [f[1] for f in found]})
 

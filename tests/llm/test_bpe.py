@@ -43,11 +43,13 @@ def test_lexicon_is_exact_and_shares_suffixes():
 def test_the_automaton_answers_for_frequent_words(spark, monkeypatch):
     """Words of the lexicon never reach the merges, and all others do, once."""
     asked = []
-    merge = bpe.Tokenizer.merge
+    merge = bpe.Tokenizer.merge_many
     read = bpe.Tokenizer(PATH)
     lexicon = bpe.Lexicon(bpe.compile_lexicon({w: read.merge(w) for w in (b"the", b"cat")}))
-    monkeypatch.setattr(bpe.Tokenizer, "merge", lambda self, word: asked.append(word) or merge(self, word))
-    bpe.Encoder(read, lexicon).encode(["the cat the", "the hat", "hat cat"])
+    monkeypatch.setattr(bpe.Tokenizer, "merge_many", lambda self, words: asked.extend(words) or merge(self, words))
+    encoder = bpe.Encoder(read, lexicon)
+    encoder.encode(["the cat the", "the hat", "hat cat"])
+    encoder.encode(["hat the cat"])
     assert asked == [b"hat"]
 
 
@@ -76,6 +78,14 @@ def test_long_words_merge_alike():
         assert read._merge_long(symbols) == read.merge(word)
 
 
+def test_words_merged_together_and_alone():
+    read = bpe.tokenizer(PATH)
+    rng = random.Random(5)
+    words = [b"", "é".encode() * 60, b"aaaa", b"a"] + ["".join(rng.choice("thisandcaté!0") for _ in range(rng.randint(1, 44))).encode() for _ in range(3000)]
+    assert [x.tolist() for x in read.merge_many(words)] == [read.merge(w) for w in words]
+    assert read.merge_many([]) == [] and read.merge_many([b"x" * 500])[0].tolist() == read.merge(b"x" * 500)
+
+
 def test_awkward_and_empty(awkward, empty):
     assert bpe.encoded_digests(awkward).count() == awkward.count()
     assert bpe.encoded_digests(empty).count() == 0
