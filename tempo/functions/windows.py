@@ -73,7 +73,7 @@ def ordered_scan(df: DataFrame, fields: list[tuple[str, str]], start: Callable[[
     schema = T.StructType([f for f in df.schema.fields if f.name not in {n for n, _ in fields}])
     names = schema.fieldNames()
     for name, kind in fields:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, T.DataType.fromDDL(kind))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tempo.operators import stats
 from tempo.operators.labels import build_outcomes
-from tempo.operators.policy import PolicyConfig, apply_policy
+from tempo.operators.policy import PolicyConfig, apply_policy, check_scores
 
 
 @dataclass(frozen=True)
@@ -17,8 +17,8 @@ class BacktestConfig:
     policy: PolicyConfig = PolicyConfig(minimum_score=0.5)
     horizon: int = 20
     epsilon_bps: float = 30.0
-    random_trials: int = 100
-    bootstrap_trials: int = 500
+    random_trials: int = 200
+    bootstrap_trials: int = 1000
     seed: int = 42
 
 
@@ -39,12 +39,22 @@ def outcome_statistics() -> list[Column]:
 
 def with_total(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
     """Per series and over all series as ``ALL``; ``keys`` group besides."""
-    each = df.groupBy(*keys, "iso").agg(*aggregates)
-    return each.unionByName(df.groupBy(*keys).agg(*aggregates).withColumn("iso", F.lit("ALL")))
+    columns = [F.col(k) for k in keys]
+    return df.groupingSets([[*columns, F.col("iso")], columns], *columns, F.col("iso")).agg(*aggregates).withColumn("iso", F.coalesce("iso", F.lit("ALL")))
+
+
+def one_row_each(df: DataFrame, keys: list[str], name: str) -> None:
+    """Raise ValueError unless ``keys`` are unique, as a join that must not multiply rows needs them (one aggregate runs)."""
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{name} has more than one row for {twice[0].asDict()}")
 
 
 def decisions_with_outcomes(panel: DataFrame, scores: DataFrame, config: BacktestConfig) -> DataFrame:
+    one_row_each(panel, ["iso", "quote_date"], "panel")
     outcomes = build_outcomes(panel, config.horizon, config.epsilon_bps).select("iso", "quote_date", "advantage_bps", "early_send", "regret_bps", "outcome_complete")
+    check_scores(scores)
+    one_row_each(scores, ["iso", "quote_date"], "scores")
     log = apply_policy(scores, config.policy).join(outcomes, ["iso", "quote_date"], "left")
     return log.withColumn("outcome_complete", F.coalesce("outcome_complete", F.lit(False)))
 

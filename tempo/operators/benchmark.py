@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempo.functions.storage import cut_lineage
 from tempo.functions.windows import o
 from tempo.operators import stats
 from tempo.operators.features import BLOCKED, RULES, blend_scores, compute_features, rule_score, trailing_ranks
 from tempo.operators.labels import build_labels, hit_column
-from tempo.operators.models import UtilityRiskConfig, rescore, walk_forward_heads
+from tempo.operators.models import UtilityRiskConfig, net_score, rescore, walk_forward_heads
 from tempo.operators.policy import PolicyConfig, apply_policy, best_per_window
 from tempo.operators.signals import SignalConfig, tuned_scores
 from tempo.operators.tuning import WINDOWS, calibrated, percentile_candidates, rule_candidates
@@ -58,6 +59,7 @@ class Strategy:
     selection: str = "policy"
 
 
+# Names, hit rules and floors of the strategies.
 STRATEGIES = {
     s.name: s
     for s in (
@@ -87,34 +89,55 @@ def get_strategy(name: str) -> Strategy:
     return STRATEGIES[name]
 
 
-def build_scores(panel: DataFrame, strategy: Strategy, features: DataFrame, spec: BenchmarkSpec = BenchmarkSpec()) -> DataFrame:
-    """quote_date, available_on, iso, rub_per_unit, score of one strategy."""
-    base = ["quote_date", "available_on", "iso", "rub_per_unit"]
-    if strategy.kind == "rule":
-        return features.select(*base, rule_score(strategy.family).alias("score"))
-    if strategy.kind == "blend":
-        return blend_scores(trailing_ranks(features)).select(*base, F.col(strategy.family).alias("score"))
-    if strategy.kind == "oracle":
-        return build_labels(panel, spec.horizon, spec.execution_offset).select(*base, F.col("currency_gain_bps").alias("score"))
-    if strategy.kind == "model":
-        return walk_forward_heads(panel, features, UtilityRiskConfig(lam=float(strategy.family))).select(*base, "score")
-    if strategy.kind == "tuned" and strategy.family == "percentile":
-        return calibrated(percentile_candidates(panel), [f"window={n}" for n in WINDOWS]).select(*base, "score")
-    if strategy.kind == "tuned" and strategy.family == "rules":
-        return calibrated(rule_candidates(features), [f"rule={r}" for r in RULES]).select(*base, "score")
-    tuned = tuned_scores(panel, SignalConfig(require_true_fact=False))
-    if strategy.kind == "live":
-        return tuned.select(*base, F.when(F.col("deviation_pct") < 0, F.col("score")).otherwise(BLOCKED).alias("score"))
-    if strategy.kind == "live_vetoed":
-        return tuned.select(*base, F.when(F.col("deviation_pct") < 0, BLOCKED).otherwise(F.col("score")).alias("score"))
-    return tuned.select(*base, "score")
-
-
-def emit(scores: DataFrame, strategy: Strategy, policy: PolicyConfig) -> DataFrame:
-    """iso, quote_date of the signals."""
-    if strategy.selection == "weekly_best":
-        return best_per_window(scores, policy.window, policy.max_signals_per_window).select("iso", "quote_date")
-    return apply_policy(scores, replace(policy, minimum_score=strategy.minimum_score)).filter("decision").select("iso", "quote_date")
+BASE = ("quote_date", "available_on", "iso", "rub_per_unit")
+
+
+def _stacked(rows: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    """One row per strategy name and row of ``rows``, with its score."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), c.cast("double").alias("score")) for n, c in scores.items()]))
+    return rows.select(*BASE, each.alias("s")).select(*BASE, "s.strategy", "s.score")
+
+
+def build_scores(panel: DataFrame, strategies: list[Strategy], features: DataFrame, spec: BenchmarkSpec = BenchmarkSpec()) -> DataFrame:
+    """quote_date, available_on, iso, rub_per_unit, strategy, score of all ``strategies``.
+
+    Strategies that score from the same table are read off it together: heads are fitted once for all prices of risk,
+    the z-score is tuned once for its gated and vetoed forms.
+    """
+    of = lambda *kinds: [s for s in strategies if s.kind in kinds]
+    parts = []
+    if found := of("rule"):
+        parts.append(_stacked(features, {s.name: rule_score(s.family) for s in found}))
+    if found := of("blend"):
+        parts.append(_stacked(blend_scores(trailing_ranks(features)), {s.name: F.col(s.family) for s in found}))
+    if found := of("oracle"):
+        parts.append(_stacked(build_labels(panel, spec.horizon, spec.execution_offset), {s.name: F.col("currency_gain_bps") for s in found}))
+    if found := of("model"):
+        parts.append(_stacked(walk_forward_heads(panel, features, UtilityRiskConfig()), {s.name: net_score(float(s.family)) for s in found}))
+    for s in [s for s in of("tuned") if s.family == "percentile"]:
+        parts.append(_stacked(calibrated(percentile_candidates(panel), [f"window={n}" for n in WINDOWS]), {s.name: F.col("score")}))
+    for s in [s for s in of("tuned") if s.family == "rules"]:
+        parts.append(_stacked(calibrated(rule_candidates(features), [f"rule={r}" for r in RULES]), {s.name: F.col("score")}))
+    if found := [s for s in of("live", "live_vetoed", "tuned") if s.kind != "tuned" or s.family == "zscore"]:
+        true = F.col("deviation_pct") < 0
+        form = {"live": F.when(true, F.col("score")).otherwise(BLOCKED), "live_vetoed": F.when(true, BLOCKED).otherwise(F.col("score")), "tuned": F.col("score")}
+        parts.append(_stacked(tuned_scores(panel, SignalConfig(require_true_fact=False)), {s.name: form[s.kind] for s in found}))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def emit(scores: DataFrame, strategies: list[Strategy], policy: PolicyConfig) -> DataFrame:
+    """strategy, iso, quote_date of the signals: one policy over all strategies, whose series it keeps apart."""
+    series = F.concat_ws("|", "strategy", "iso")
+    parts = []
+    if weekly := [s.name for s in strategies if s.selection == "weekly_best"]:
+        rows = scores.filter(F.col("strategy").isin(weekly)).withColumn("iso", series)
+        parts.append(best_per_window(rows, policy.window, policy.max_signals_per_window))
+    if sent := [s for s in strategies if s.selection != "weekly_best"]:
+        floors = [F.when(F.col("strategy") == s.name, F.lit(s.minimum_score).cast("double")) for s in sent if s.minimum_score is not None]
+        rows = scores.filter(F.col("strategy").isin([s.name for s in sent])).withColumn("minimum_score", F.coalesce(*floors, F.lit(None).cast("double"))).withColumn("iso", series)
+        parts.append(apply_policy(rows, policy).filter("decision"))
+    found = reduce(DataFrame.unionByName, [p.select("strategy", F.substring_index("iso", "|", -1).alias("iso"), "quote_date") for p in parts])
+    return found
 
 
 def folds(spark: SparkSession, start: str, end: str | DataFrame, months: int = 6) -> DataFrame:
@@ -260,9 +283,10 @@ def fold_assigned_signals(panel: DataFrame, names: list[str], spec: BenchmarkSpe
     """Labelled signals of the strategies and all labelled days, both with their fold."""
     labels = build_labels(panel, spec.horizon, spec.execution_offset).filter("outcome_complete")
     ranges = folds(panel.sparkSession, spec.eval_start, labels.agg(F.max("quote_date")), spec.fold_months)
-    features = compute_features(panel)
-    sent = [emit(build_scores(panel, s, features, spec), s, spec.policy).withColumn("strategy", F.lit(s.name)) for s in map(get_strategy, names)]
-    signals = in_folds(reduce(DataFrame.unionByName, sent).join(labels, ["iso", "quote_date"]), ranges)
+    strategies = [get_strategy(n) for n in names]
+    features = cut_lineage(compute_features(panel))
+    sent = emit(cut_lineage(build_scores(panel, strategies, features, spec)), strategies, spec.policy)
+    signals = in_folds(sent.join(labels, ["iso", "quote_date"]), ranges)
     return signals, in_folds(labels, ranges)
 
 
@@ -278,16 +302,17 @@ class BenchmarkResult:
 
 
 def run_benchmark(panel: DataFrame, spec: BenchmarkSpec = BenchmarkSpec(), names: list[str] | None = None) -> BenchmarkResult:
-    """All tables of one evaluation, lazy; signals, labelled days and cells feed several of them and are persisted."""
+    """All tables of one evaluation; signals, labelled days, cells and the null feed several of them and are kept as tables."""
     signals, universe = fold_assigned_signals(panel, names or ["percentile", "zscore", "drawdown", "oracle"], spec)
     hit = hit_column(spec.scenario)
-    signals, universe = signals.persist(), universe.persist()
+    signals, universe = cut_lineage(signals), cut_lineage(universe)
     universe = universe.withColumns({"hit_rate": F.col(hit), "hit_favourable": F.col("held_favourable"), "hit_closing": F.col("held_window_closing"), "currency_uplift_bps": F.col("currency_gain_bps"), "bad_push_rate": F.col("bad_push")})
-    cell = cells(signals, universe, hit).persist()
-    null = stats.fold_null(universe, cell, spec.random_trials, spec.seed, list(NULLS)).persist()
+    cell = cut_lineage(cells(signals, universe, hit))
+    null = stats.fold_null(universe, cell, spec.random_trials, spec.seed, list(NULLS))
+    null = cut_lineage(null)
     days = universe.groupBy("iso").agg(F.countDistinct("quote_date").alias("days"))
-    corridors = per_corridor(cell, null, signals, days)
-    board = leaderboard(corridors, null, signals, spec)
+    corridors = cut_lineage(per_corridor(cell, null, signals, days))
+    board = cut_lineage(leaderboard(corridors, null, signals, spec))
     return BenchmarkResult(signals, cell, corridors, board, evaluate_gates(board), horizon_table(panel, signals, scenario=spec.scenario, offset=spec.execution_offset), null)
 
 

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tempo.functions.windows import ew_zscore, last_rows, log_return, o, roll, rolling_rank, with_ewma, with_streak
 
+# Names of features and rules, and a vetoed day's score, which is finite so that quantiles stay defined.
 FEATURES = (
     "ewma_zscore", "residual_pct", "down_streak", "ret_1", "ret_5", "ret_10", "ret_20", "accel_5", "vol_20", "vol_ratio", "drawdown_60",
     "pct_rank_90", "dist_to_min_90", "rub_strength", "month_sin", "month_cos", "dom_sin", "dom_cos", "seasonal_zscore", "days_to_eom",
     "is_month_start", "is_month_end",
 )
-BLOCKED = -1e6  # a vetoed day's score: finite, so quantiles stay defined
+BLOCKED = -1e6
 RULES = ("percentile", "zscore", "momentum", "drawdown", "seasonal", "reversal")
 V = "rub_per_unit"
 
@@ -45,7 +46,7 @@ def compute_features(panel: DataFrame, usd: DataFrame | None = None, ewma_span:
     """The panel with all features. ``usd`` is the USD series, from the panel itself unless given."""
     df = with_ewma(panel, V, (ewma_span,))
     df = df.withColumns({
-        "residual": F.col(V) / F.col(f"mean_{ewma_span}") - 1, "ewma_zscore": ew_zscore(V, ewma_span), "ret_1": log_return(V, 1), "ret_5": log_return(V, 5),
+        "residual": F.col(V) - F.col(f"mean_{ewma_span}"), "ewma_zscore": ew_zscore(V, ewma_span), "ret_1": log_return(V, 1), "ret_5": log_return(V, 5),
         "ret_10": log_return(V, 10), "ret_20": log_return(V, 20), "pct_rank_90": rolling_rank(V, 90, 20), "seasonal_zscore": seasonal_zscore(),
     })
     high, low = roll(F.max, V, dd_window, 5), roll(F.min, V, 90, 20)

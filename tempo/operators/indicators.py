@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempo.functions.windows import o, roll, with_streak
+from tempo.operators.policy import cooldown_emission
 
 V = "rub_per_unit"
 EVENTS = ("iso", "signal_date", V)
 LIFT_FLOOR, LIFT_TARGET, FREQ_MIN, FREQ_MAX = 1.0, 1.3, 1.0, 2.0
-SPEED = {"value": "fast", "momentum": "fast", "value_reversal": "slow", "reversal_from_min": "slow", "model_ridge": "model"}
+# Each indicator's speed and the parameters that calibration tries.
+SPEED = {"value": "fast", "momentum": "fast", "value_reversal": "medium", "reversal_from_min": "slow", "model_ridge": "model"}
+GRIDS = {
+    "value": {"window": (20, 60, 120), "lo_pct": (0.1, 0.2, 0.3)},
+    "momentum": {"n": (3, 5)},
+    "value_reversal": {"window": (20, 60, 120), "lo_pct": (0.2, 0.3)},
+    "reversal_from_min": {"window": (60, 120), "pct": (0.01, 0.02)},
+}
 
 
 def _events(df: DataFrame, mask: Column) -> DataFrame:
@@ -52,6 +61,19 @@ def reversal_from_min(panel: DataFrame, window: int = 60, pct: float = 0.005) ->
     return _events(df, ((F.col(V) - F.col("_low")) / F.col("_low") < pct) & F.col("_up"))
 
 
+def model_ridge(predictions: DataFrame, slots_per_week: float = 1.5) -> DataFrame:
+    """Days that a fitted ``prediction`` singles out, about ``slots_per_week`` of them."""
+    return cooldown_emission(predictions, slots_per_week).select("iso", F.col("quote_date").alias("signal_date"), V)
+
+
+INDICATORS = {"value": value, "momentum": momentum, "value_reversal": value_reversal, "reversal_from_min": reversal_from_min}
+
+
+def parameter_sets(grid: Mapping[str, Sequence[float]]) -> list[dict[str, float]]:
+    """Every combination of a short grid, the last name varying fastest."""
+    return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+
+
 def parameter_grid(spark: SparkSession, grid: Mapping[str, Sequence[float]]) -> DataFrame:
     """Every combination of a few parameter values, one column each."""
     out = spark.range(1).drop("id")
@@ -65,6 +87,11 @@ def params_key(params: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ",")
 
 
+def params_of(key: Column) -> Column:
+    """The map of ``a=1,b=x`` from a key: values as text, to be cast by who reads them."""
+    return F.when(key == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(key, F.lit(","), F.lit("=")))
+
+
 def future_paths(panel: DataFrame, h: int) -> DataFrame:
     """The next quotes of each day, ``h`` at most, as an array."""
     return panel.select("iso", F.col("quote_date").alias("signal_date"), V, F.collect_list(V).over(o().rowsBetween(1, h)).alias("future"))
@@ -129,13 +156,13 @@ def waiting_cost(panel: DataFrame, fast: DataFrame, slow: DataFrame) -> DataFram
 
 
 def calibrate(scored: DataFrame) -> DataFrame:
-    """Best parameters per (indicator, iso): greatest median uplift over at least two folds, the first key on ties.
+    """Best parameters per (indicator, iso): greatest median uplift over at least two folds, the first of the grid on ties.
 
-    ``scored`` has indicator, iso, params, fold, uplift.
+    ``scored`` has indicator, iso, params, turn (place in the grid), fold, uplift.
     """
-    mid = scored.filter("uplift is not null").groupBy("indicator", "iso", "params").agg(F.expr("percentile(uplift, 0.5)").alias("median_uplift"), F.count(F.lit(1)).alias("n_folds")).filter("n_folds >= 2")
-    place = F.row_number().over(Window.partitionBy("indicator", "iso").orderBy(F.desc("median_uplift"), "params"))
-    return mid.withColumn("place", place).filter("place = 1").drop("place")
+    mid = scored.filter("uplift is not null").groupBy("indicator", "iso", "params", "turn").agg(F.expr("percentile(uplift, 0.5)").alias("median_uplift"), F.count(F.lit(1)).alias("n_folds")).filter("n_folds >= 2")
+    place = F.row_number().over(Window.partitionBy("indicator", "iso").orderBy(F.desc("median_uplift"), "turn"))
+    return mid.withColumn("place", place).filter("place = 1").drop("place", "turn")
 
 
 def verdicts(matrix: DataFrame) -> DataFrame:

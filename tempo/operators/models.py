@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempo.functions.windows import o, ordered_scan
@@ -118,56 +118,81 @@ def heads_data(panel: DataFrame, features: DataFrame, config: UtilityRiskConfig)
     return known.withColumn("pos", F.row_number().over(o()) - 1)
 
 
-def walk_forward_coefficients(data: DataFrame, config: UtilityRiskConfig) -> DataFrame:
-    """One row per series and refit: coefficients of the three heads and baselines. Refits run as separate tasks."""
+_FIT = "training_observations: long, mean_bad_move_bps: double, base_utility_bps: double, base_risk_bps: double, base_rate_local_min: double, base_rate_bad_push: double, u: array<double>, m: array<double>, b: array<double>"
+
+
+def with_refits(data: DataFrame, config: UtilityRiskConfig) -> DataFrame:
+    """``data`` from the first refit on, with ``turn`` and, on the rows that refit the heads, ``fit``; null on others.
+
+    Rows are streamed along each series once. The state is the series' own past, a few hundred bytes a day, which the
+    heads need whole; no refit reads it anew.
+    """
     columns = list(config.columns)
-    first = F.min(F.when(F.col("k") >= config.min_train, F.col("pos"))).over(Window.partitionBy("iso"))
-    rows = data.withColumn("first", first)
-    fits = rows.filter((F.col("k") >= config.min_train) & ((F.col("pos") - F.col("first")) % config.refit_every == 0))
-    fits = fits.select("iso", ((F.col("pos") - F.col("first")) / config.refit_every).cast("int").alias("turn"), F.col("quote_date").alias("fitted_on"), F.col("k").alias("training_observations"))
-    train = data.select("iso", "pos", *columns, "fwd_advantage_bps", "adverse_bps", F.col("bad_push").cast("double").alias("bad"), F.col("is_local_min").cast("double").alias("low"))
-    used = fits.join(train, "iso").filter("pos < training_observations")
-    arrays = "array<double>"
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        x, u, bad, low = frame[columns].to_numpy(float), frame["fwd_advantage_bps"].to_numpy(float), frame["bad"].to_numpy(float), frame["low"].to_numpy(float)
-        adverse = frame["adverse_bps"].to_numpy(float)
+
+    def start() -> dict:
+        return {"x": [], "y": [], "n": 0, "first": None}
+
+    def step(state: dict, part: pd.DataFrame) -> dict:
+        outcome = part[["fwd_advantage_bps", "adverse_bps", "bad_push", "is_local_min"]].astype(float).to_numpy()
+        state["x"].append(part[columns].to_numpy(float))
+        state["y"].append(outcome)
+        turns, fits = [], []
+        for i, k in enumerate(part["k"]):
+            at = state["n"] + i
+            if state["first"] is None and k >= config.min_train:
+                state["first"] = at
+            turn, late = divmod(at - state["first"], config.refit_every) if state["first"] is not None else (-1, -1)
+            turns.append(turn)
+            fits.append(None if late else fitted(state, int(k)))
+        state["n"] += len(part)
+        return {"turn": turns, "fit": fits}
+
+    def fitted(state: dict, k: int) -> dict:
+        if len(state["x"]) > 1:
+            state["x"], state["y"] = [np.concatenate(state["x"])], [np.concatenate(state["y"])]
+        x, (u, adverse, bad, low) = state["x"][0][:k], state["y"][0][:k].T
         wu, bu = ridge_from_sums(len(x), x.sum(0), x.T @ x, u.sum(), x.T @ u, config.ridge_alpha)
         wm, bm = logistic(x, low, config.logit_l2)
         wb, bb = logistic(x, bad, config.logit_l2)
-        worst = float(adverse[bad > 0.5].mean()) if (bad > 0.5).any() else 0.0
-        one = frame.iloc[0]
-        return pd.DataFrame([{
-            "iso": one["iso"], "turn": one["turn"], "fitted_on": one["fitted_on"], "training_observations": len(x), "mean_bad_move_bps": worst,
+        return {
+            "training_observations": len(x), "mean_bad_move_bps": float(adverse[bad > 0.5].mean()) if (bad > 0.5).any() else 0.0,
             "base_utility_bps": float(u.mean()), "base_risk_bps": float((adverse * (bad > 0.5)).mean()), "base_rate_local_min": float(low.mean()),
             "base_rate_bad_push": float(bad.mean()), "u": [*wu, bu], "m": [*wm, bm], "b": [*wb, bb],
-        }])
+        }
 
-    schema = f"iso string, turn int, fitted_on date, training_observations long, mean_bad_move_bps double, base_utility_bps double, base_risk_bps double, base_rate_local_min double, base_rate_bad_push double, u {arrays}, m {arrays}, b {arrays}"
-    return used.groupBy("iso", "turn").applyInPandas(fit, schema)
+    return ordered_scan(data, [("turn", "int"), ("fit", f"struct<{_FIT}>")], start, step).filter("turn >= 0")
+
+
+def walk_forward_coefficients(data: DataFrame, config: UtilityRiskConfig) -> DataFrame:
+    """One row per series and refit: coefficients of the three heads and baselines."""
+    return with_refits(data, config).filter("fit is not null").select("iso", "turn", F.col("quote_date").alias("fitted_on"), "fit.*")
 
 
 def walk_forward_heads(panel: DataFrame, features: DataFrame, config: UtilityRiskConfig = UtilityRiskConfig()) -> DataFrame:
     """p_min, p_bad, u_bps, risk_bps, baselines and the net score of every row from the first refit on."""
-    data = heads_data(panel, features, config)
-    first = F.min(F.when(F.col("k") >= config.min_train, F.col("pos"))).over(Window.partitionBy("iso"))
-    rows = data.withColumn("turn", F.floor((F.col("pos") - first) / config.refit_every).cast("int")).filter("turn >= 0")
-    fitted = walk_forward_coefficients(data, config).select("iso", "turn", "mean_bad_move_bps", F.col("base_utility_bps").alias("base_u_bps"), "base_risk_bps", "training_observations", "u", "m", "b")
+    scored = with_refits(heads_data(panel, features, config), config).withColumn("fit", F.last("fit", ignorenulls=True).over(o()))
     x = F.array(*[F.col(c).cast("double") for c in config.columns], F.lit(1.0))
 
     def linear(w: str):
-        return F.aggregate(F.zip_with(x, F.col(w), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return F.aggregate(F.zip_with(x, F.col(f"fit.{w}"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
     def chance(w: str):
         return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), linear(w)))))
 
-    scored = rows.join(fitted, ["iso", "turn"]).select("quote_date", "available_on", "iso", "rub_per_unit", chance("m").alias("p_min"), chance("b").alias("p_bad"), linear("u").alias("u_bps"), "mean_bad_move_bps", "base_u_bps", "base_risk_bps", "training_observations")
+    scored = scored.select(
+        "quote_date", "available_on", "iso", "rub_per_unit", chance("m").alias("p_min"), chance("b").alias("p_bad"), linear("u").alias("u_bps"), "fit.mean_bad_move_bps",
+        F.col("fit.base_utility_bps").alias("base_u_bps"), "fit.base_risk_bps", "fit.training_observations",
+    )
     return rescore(scored.withColumn("risk_bps", F.col("p_bad") * F.col("mean_bad_move_bps")).drop("mean_bad_move_bps"), config.lam)
 
 
+def net_score(lam: float) -> Column:
+    return (F.col("u_bps") - lam * F.col("risk_bps")) - (F.col("base_u_bps") - lam * F.col("base_risk_bps"))
+
+
 def rescore(scores: DataFrame, lam: float) -> DataFrame:
     """The net score for another price of risk; no head is fitted again."""
-    return scores.withColumn("score", (F.col("u_bps") - lam * F.col("risk_bps")) - (F.col("base_u_bps") - lam * F.col("base_risk_bps")))
+    return scores.withColumn("score", net_score(lam))
 
 
 def scores_asof(panel: DataFrame, asof: str, build, config: UtilityRiskConfig = UtilityRiskConfig()) -> DataFrame:

@@ -35,10 +35,22 @@ class PolicyConfig:
         return [min(1.0, max(0.0, 1 - s / r)) for s in range(self.max_signals_per_window + 1) for r in range(1, self.expected + 1)]
 
 
+SCORES = ("quote_date", "available_on", "iso", "rub_per_unit", "score")
+
+
+def check_scores(scores: DataFrame) -> None:
+    """Raise ValueError if a column that a policy reads is missing or there are no rows."""
+    if missing := [c for c in SCORES if c not in scores.columns]:
+        raise ValueError(f"scores lack the columns {missing}")
+    if scores.isEmpty():
+        raise ValueError("there are no scores")
+
+
 def with_thresholds(scores: DataFrame, config: PolicyConfig) -> DataFrame:
     """Adds decision_date, window_id, observation_position, seen, history count and a threshold per number of free slots.
 
     All of it is known without the decisions; today's score is not part of its own history. Null scores are left out.
+    A column ``minimum_score`` takes the place of the policy's own.
     """
     df = scores.filter("score is not null and not isnan(score)").withColumn("decision_date", F.coalesce("available_on", "quote_date"))
     df = df.withColumn("window_id", window_id("decision_date", config.window)).withColumn("observation_position", F.row_number().over(o()) - 1)
@@ -47,11 +59,14 @@ def with_thresholds(scores: DataFrame, config: PolicyConfig) -> DataFrame:
     levels = ", ".join(f"{q!r}D" for q in config.levels())
     df = df.withColumns({"seen": seen, "score_history_count": F.count("score").over(history), "_q": F.expr(f"percentile(score, array({levels}))").over(history)})
     left = F.greatest(F.lit(1), config.expected - F.col("seen") + 1)
+    own = "minimum_score" in scores.columns
     floor = config.minimum_score
 
     def threshold(slots: int):
         q = F.get(F.col("_q"), slots * config.expected + left - 1)
         q = F.when(F.col("score_history_count") >= config.minimum_threshold_history, q)
+        if own:  # null where a row's strategy has no floor
+            return F.greatest(q, F.when(q.isNotNull(), F.col("minimum_score")))
         return q if floor is None else F.greatest(q, F.when(q.isNotNull(), F.lit(float(floor))))
 
     return df.withColumn("thresholds", F.array(*[threshold(s) for s in range(config.max_signals_per_window + 1)])).drop("_q")
@@ -98,7 +113,7 @@ def apply_policy(scores: DataFrame, config: PolicyConfig = PolicyConfig()) -> Da
     return done.withColumn("threshold", F.when(~F.isnan("threshold"), F.col("threshold"))).drop("thresholds")
 
 
-def cooldown_emission(predictions: DataFrame, slots_per_week: int = 2, lookback: int = 250) -> DataFrame:
+def cooldown_emission(predictions: DataFrame, slots_per_week: float = 2, lookback: int = 250) -> DataFrame:
     """Days whose prediction exceeds the trailing (1 - slots / 5) quantile, ``round(5 / slots)`` observations apart."""
     q, wait = 1 - slots_per_week / 5, round(5 / slots_per_week)
     history = o().rowsBetween(-lookback, -1)

@@ -13,6 +13,7 @@ from tempo.operators.policy import PolicyConfig, apply_policy
 from tempo.operators.tuning import SPANS, TuningConfig, calibrated, zscore_candidates
 from tempo.sources.panel import latest_quotes
 
+# What a signal is called and its columns.
 INDICATOR, SCENARIO = "zscore_tuned", "favourable_now"
 COLUMNS = ("signal_date", "iso", "indicator", "direction", "strength", "strength_pct", "speed", "scenario", "window", "rub_per_unit", "level_percentile", "deviation_pct", "message")
 

@@ -28,10 +28,16 @@ def matched_random_schedules(log: DataFrame, trials: int, seed: int = 0) -> Data
 
 def fold_null(universe: DataFrame, cells: DataFrame, trials: int, seed: int, metrics: list[str]) -> DataFrame:
     """Means of ``metrics`` per (strategy, iso, fold, trial) over random schedules that spend a cell's own budget."""
-    pool = with_trials(cells.filter("n_signals > 0").select("strategy", "iso", "fold", "n_signals").join(universe, ["iso", "fold"]), trials)
-    order = Window.partitionBy("strategy", "iso", "fold", "trial").orderBy(draw_key(seed, "trial", "iso", "quote_date"))
-    picked = pool.withColumn("place", F.row_number().over(order)).filter("place <= n_signals")
-    return picked.groupBy("strategy", "iso", "fold", "trial", "n_signals").agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics])
+    spent = cells.filter("n_signals > 0").select("strategy", "iso", "fold", "n_signals")
+    sizes = universe.groupBy("iso", "fold").agg(F.count(F.lit(1)).alias("_days"))
+    wanted = spent.join(sizes, ["iso", "fold"]).select("strategy", "iso", "fold", "n_signals", F.least("n_signals", "_days").alias("place"))
+    budgets = wanted.select("iso", "fold", "place").distinct()
+    # every strategy of a fold draws the same days in the same order, so one order per trial serves all of them
+    pool = with_trials(universe.select("iso", "fold", "quote_date", *metrics).join(budgets.select("iso", "fold").distinct(), ["iso", "fold"]), trials)
+    order = Window.partitionBy("iso", "fold", "trial").orderBy(draw_key(seed, "trial", "iso", "quote_date"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    drawn = pool.select("iso", "fold", "trial", F.row_number().over(order).cast("long").alias("place"), *[F.avg(F.col(m).cast("double")).over(so_far).alias(m) for m in metrics])
+    return drawn.join(wanted, ["iso", "fold", "place"]).drop("place")
 
 
 def weighted_mean(value: str, weight: str) -> Column:

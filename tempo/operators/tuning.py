@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempo.functions.windows import ew_zscore, o, rolling_rank, with_ewma
+from tempo.functions.windows import ew_zscore, ordered_scan, rolling_rank, with_ewma
 from tempo.operators.features import RULES, rule_score
-from tempo.operators.labels import build_labels, matured_before
+from tempo.operators.labels import build_labels
 
 SPANS = (5, 10, 20, 40, 60, 120, 250)
 WINDOWS = (20, 30, 60, 90, 180, 250)
@@ -54,31 +57,60 @@ def with_spearman(pairs: DataFrame, keys: list[str], min_pairs: int = 30) -> Dat
     return ranked.groupBy(*keys).agg(F.when(varied, F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias("rho"))
 
 
+def _rank_correlations(x: np.ndarray, y: np.ndarray, min_pairs: int) -> np.ndarray:
+    """Rank correlation of each column of ``x`` with ``y`` over the pairs both have; nan where ``with_spearman`` is null."""
+
+    def ranks(v: np.ndarray) -> np.ndarray:
+        _, place, many = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(many) - (many - 1) / 2)[place]
+
+    out = np.full(x.shape[1], np.nan)
+    for i in range(x.shape[1]):
+        both = ~(np.isnan(x[:, i]) | np.isnan(y))
+        if both.sum() >= min_pairs:
+            a, b = ranks(x[both, i]), ranks(y[both])
+            a, b = a - a.mean(), b - b.mean()
+            if (scale := a @ a * (b @ b)) > 0:
+                out[i] = round(a @ b / np.sqrt(scale), 12)
+    return out
+
+
 def calibrated(scored: DataFrame, names: list[str], config: TuningConfig = TuningConfig()) -> DataFrame:
     """The rows with ``score`` and ``chosen`` from the candidate columns ``names``; rows without a score are left out.
 
     A candidate is judged on the last ``lookback`` labels known when it is chosen, every ``refit_every`` rows from
-    the first with ``min_train`` of them. Refits are joined with their training rows by position, candidates are
-    ranked within a refit, the best (the first on ties) holds until the next one.
+    the first with ``min_train`` of them; the best (the first on ties) holds until the next choice. A choice that
+    finds no correlation is tried again on the next row. Rows are streamed along each series: the state is the
+    labels of the lookback and those not known yet, so nothing is joined or repeated per choice.
     """
     labels = build_labels(scored.select("iso", "quote_date", "available_on", "rub_per_unit"), config.horizon, config.execution_offset)
-    known = matured_before(labels.select("iso", "quote_date", "available_on", "currency_gain_bps", "label_available_on")).drop("available_on")
-    rows = scored.join(known, ["iso", "quote_date"]).withColumn("pos", F.row_number().over(o()) - 1)
-    first = F.min(F.when(F.col("k") >= config.min_train, F.col("pos"))).over(Window.partitionBy("iso"))
-    rows = rows.withColumn("_since", F.when(F.col("k") >= config.min_train, F.col("pos") - first))
-    rows = rows.withColumn("turn", F.floor(F.col("_since") / config.refit_every).cast("int"))
-    fits = rows.filter(F.col("_since") % config.refit_every == 0).select("iso", "turn", "k", F.greatest(F.lit(0), F.col("k") - config.lookback).alias("low"))
-    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("idx"), F.col(f"`{n}`").alias("x")) for i, n in enumerate(names)]))
-    # a training row serves the refits whose window holds it: joined by blocks of positions, not by all pairs
-    block = config.lookback
-    spans = fits.withColumn("block", F.explode(F.expr(f"sequence(low div {block}, greatest(low, k - 1) div {block})")))
-    rowed = rows.select("iso", "pos", F.col("currency_gain_bps").alias("y"), *[F.col(f"`{n}`") for n in names]).withColumn("block", F.expr(f"pos div {block}"))
-    used = spans.join(rowed, ["iso", "block"]).filter("pos >= low and pos < k")
-    pairs = used.select("iso", "turn", "y", stacked.alias("c")).select("iso", "turn", "c.idx", "c.x", "y")
-    rho = with_spearman(pairs, ["iso", "turn", "idx"], config.min_pairs).filter("rho is not null")
-    best = rho.groupBy("iso", "turn").agg(F.min_by("idx", F.struct(-F.col("rho"), F.col("idx"))).alias("best"))
-    held = rows.join(best, ["iso", "turn"], "left").withColumn("best", F.last("best", ignorenulls=True).over(o()))
-    score = F.get(F.array(*[F.col(f"`{n}`") for n in names]), F.col("best"))
-    chosen = F.get(F.array(*[F.lit(n) for n in names]), F.col("best"))
+    rows = scored.join(labels.select("iso", "quote_date", F.col("currency_gain_bps").alias("_gain"), "label_available_on"), ["iso", "quote_date"])
+
+    def start() -> dict:
+        return {"open": deque(), "latest": None, "train": deque(maxlen=config.lookback), "k": 0, "best": None, "since": 0}
+
+    def step(state: dict, part: pd.DataFrame) -> dict:
+        score, chosen = np.full(len(part), np.nan), np.full(len(part), None, dtype=object)
+        for i, (x, y, known, now) in enumerate(zip(part[names].to_numpy(float), part["_gain"].to_numpy(float), part["label_available_on"], part["available_on"], strict=True)):
+            # a label counts once it and all before it are known; one that never is holds up those after it
+            never = pd.isna(known) or state["latest"] == "never"
+            state["latest"] = "never" if never else max(known, state["latest"] or known)
+            state["open"].append((state["latest"], x, y))
+            while state["open"] and state["open"][0][0] != "never" and state["open"][0][0] <= now:
+                _, a, b = state["open"].popleft()
+                state["train"].append((a, b))
+                state["k"] += 1
+            if state["k"] < config.min_train:
+                continue
+            if state["best"] is None or state["since"] >= config.refit_every:
+                rho = _rank_correlations(np.array([a for a, _ in state["train"]]), np.array([b for _, b in state["train"]]), config.min_pairs)
+                if not np.isnan(rho).all():
+                    state["best"], state["since"] = int(np.nanargmax(rho)), 0
+            state["since"] += 1
+            if state["best"] is not None and not np.isnan(x[state["best"]]):
+                score[i], chosen[i] = x[state["best"]], names[state["best"]]
+        return {"score": score, "chosen": chosen}
+
     kept = [c for c in scored.columns if c not in names]
-    return held.withColumns({"score": score, "chosen": chosen}).filter("score is not null").select(*kept, "score", "chosen")
+    done = ordered_scan(rows, [("score", "double"), ("chosen", "string")], start, step)
+    return done.filter("chosen is not null").select(*kept, "score", "chosen")

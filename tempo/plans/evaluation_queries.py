@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tempo.functions import windows as W
 from tempo.operators import backtest as K
 from tempo.operators import benchmark as B
+from tempo.operators import evaluation as E
 from tempo.operators import indicators as I
 from tempo.operators import labels as L
 from tempo.operators import models as M
@@ -16,6 +17,7 @@ from tempo.operators import signals as S
 from tempo.operators import simulate as U
 from tempo.operators import stats as T
 from tempo.operators import tuning as G
+from tempo.plans import service as C
 from tempo.plans import sql as Q
 from tempo.plans.panel_queries import V, features, on_p, p1, r, rounded, table
 from tempo.sources import panel as N
@@ -79,9 +81,21 @@ def _(s, d):
     return L.matured_before(L.build_labels(p1(s, d))).select("iso", "quote_date", "k")
 
 
-_CAND = (30, 90)
-_SP = ", ".join((f"c1 AS ({Q.ranked('lab', 'v', 30, 20, 'r30')})", f"c2 AS ({Q.ranked('c1', 'v', 90, 22, 'r90')})", "cs AS (SELECT iso, 'window=30' AS candidate, 1 - r30 AS x, currency_gain_bps AS y FROM c2 UNION ALL SELECT iso, 'window=90', 1 - r90, currency_gain_bps FROM c2)",
-"cr AS (SELECT *, rank() OVER (PARTITION BY iso, candidate ORDER BY x) + (count(*) OVER (PARTITION BY iso, candidate, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY iso, candidate ORDER BY y) + (count(*) OVER (PARTITION BY iso, candidate, y) - 1) / 2.0 AS ry FROM cs WHERE x IS NOT NULL AND y IS NOT NULL)"))
+_CAND = G.WINDOWS
+
+
+def _candidates() -> str:
+    """CTEs from lab to cs (stacked) and cr (ranked): 1 - rank over each window, as x<place> in cl."""
+    chain, source = [], "lab"
+    for i, n in enumerate(_CAND):
+        chain.append(f"c{i} AS ({Q.ranked(source, 'v', n, max(20, n // 4), f'r{n}')})")
+        source = f"c{i}"
+    stacked = " UNION ALL ".join(f"SELECT iso, 'window={n}' AS candidate, 1 - r{n} AS x, currency_gain_bps AS y FROM {source}" for n in _CAND)
+    rank = lambda c: f"rank() OVER (PARTITION BY iso, candidate ORDER BY {c}) + (count(*) OVER (PARTITION BY iso, candidate, {c}) - 1) / 2.0 AS r{c}"
+    return ", ".join((*chain, f"cl AS (SELECT * FROM {source})", f"cs AS ({stacked})", f"cr AS (SELECT *, {rank('x')}, {rank('y')} FROM cs WHERE x IS NOT NULL AND y IS NOT NULL)"))
+
+
+_SP = _candidates()
 
 
 @query("spearman_by_candidate", on_p(f"SELECT iso, candidate, {r('CASE WHEN count(*) >= 30 THEN corr(rx, ry) END', 'rho')} FROM cr GROUP BY iso, candidate", _LAB, _SP))
@@ -92,21 +106,43 @@ def _(s, d):
     return rounded(G.with_spearman(pairs, ["iso", "candidate"]), "rho", keep=("iso", "candidate"))
 
 
-_TUNE = """ro AS (SELECT c2.iso, c2.quote_date, 1 - r30 AS x0, 1 - r90 AS x1, currency_gain_bps AS y, k, row_number() OVER (PARTITION BY c2.iso ORDER BY c2.quote_date) - 1 AS pos FROM c2 JOIN pk ON pk.iso = c2.iso AND pk.quote_date = c2.quote_date),
+def _tuned(rows: str, names: int, score) -> str:
+    """CTEs from ro (iso, quote_date, k, pos, y and the scores) to tu and be: refits, their training rows, the best candidate.
+
+    A refit without a correlation would be tried again on the next row; these data have none.
+    """
+    scores = " UNION ALL ".join(f"SELECT iso, pos, {i} AS idx, {score(i)} AS x, y FROM ro" for i in range(names))
+    return f"""ro AS ({rows}),
 rf AS (SELECT *, min(pos) FILTER (k >= 500) OVER (PARTITION BY iso) AS p0 FROM ro), tu AS (SELECT *, CASE WHEN k >= 500 THEN (pos - p0) // 21 END AS turn FROM rf),
 ft AS (SELECT iso, turn, k, greatest(0, k - 750) AS low FROM tu WHERE turn IS NOT NULL AND (pos - p0) % 21 = 0),
-tr AS (SELECT ft.iso, ft.turn, idx, x, y FROM ft JOIN (SELECT iso, pos, 0 AS idx, x0 AS x, y FROM ro UNION ALL SELECT iso, pos, 1, x1, y FROM ro) q ON q.iso = ft.iso AND q.pos >= low AND q.pos < ft.k WHERE x IS NOT NULL AND y IS NOT NULL),
+tr AS (SELECT ft.iso, ft.turn, idx, x, y FROM ft JOIN ({scores}) q ON q.iso = ft.iso AND q.pos >= low AND q.pos < ft.k WHERE x IS NOT NULL AND y IS NOT NULL),
 tk2 AS (SELECT *, rank() OVER (PARTITION BY iso, turn, idx ORDER BY x) + (count(*) OVER (PARTITION BY iso, turn, idx, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY iso, turn, idx ORDER BY y) + (count(*) OVER (PARTITION BY iso, turn, idx, y) - 1) / 2.0 AS ry FROM tr),
-rh AS (SELECT iso, turn, idx, corr(rx, ry) AS rho FROM tk2 GROUP BY iso, turn, idx HAVING count(*) >= 30), be AS (SELECT iso, turn, idx FROM (SELECT *, row_number() OVER (PARTITION BY iso, turn ORDER BY rho DESC, idx) AS n FROM rh) WHERE n = 1)"""
+rh AS (SELECT iso, turn, idx, round(corr(rx, ry), 12) AS rho FROM tk2 GROUP BY iso, turn, idx HAVING count(*) >= 30), be AS (SELECT iso, turn, idx FROM (SELECT *, row_number() OVER (PARTITION BY iso, turn ORDER BY rho DESC, idx) AS n FROM rh) WHERE n = 1)"""
+
 
+_TUNE = _tuned("SELECT cl.*, currency_gain_bps AS y, k, row_number() OVER (PARTITION BY cl.iso ORDER BY cl.quote_date) - 1 AS pos FROM cl JOIN pk ON pk.iso = cl.iso AND pk.quote_date = cl.quote_date", len(_CAND), lambda i: f"1 - r{_CAND[i]}")
+_PICK = lambda form: "CASE idx " + " ".join(f"WHEN {i} THEN {form.format(n)}" for i, n in enumerate(_CAND)) + " END"
 
-@query("tuned_percentile", on_p(f"SELECT * FROM (SELECT tu.iso, quote_date, CASE idx WHEN 0 THEN 'window=30' ELSE 'window=90' END AS chosen, {r('CASE idx WHEN 0 THEN x0 ELSE x1 END', 'score')} FROM tu JOIN be ON be.iso = tu.iso AND be.turn = tu.turn) WHERE score IS NOT NULL", _LAB, _KN, _SP, _TUNE))
+
+@query("tuned_percentile", on_p(f"SELECT * FROM (SELECT tu.iso, quote_date, {_PICK("'window={}'")} AS chosen, {r(_PICK('1 - r{}'), 'score')} FROM tu JOIN be ON be.iso = tu.iso AND be.turn = tu.turn) WHERE score IS NOT NULL", _LAB, _KN, _SP, _TUNE))
 def _(s, d):
     found = G.calibrated(G.percentile_candidates(p1(s, d), _CAND), [f"window={n}" for n in _CAND])
     return found.select("iso", "quote_date", "chosen", F.round("score", 6).alias("score"))
 
 
-@query("tuned_choice")
+def _span_tuning(p: str = Q.P) -> str:
+    """CTEs up to tn: the tuned z-score, the deviation from its mean and the chosen span of every row."""
+    chain, source = [], "p"
+    for n in G.SPANS:
+        chain.append(Q.zscore(source, n, f"y{n}"))
+        source = f"y{n}"
+    rows = "SELECT lab.*, currency_gain_bps AS y, k, row_number() OVER (PARTITION BY lab.iso ORDER BY lab.quote_date) - 1 AS pos FROM lab JOIN pk ON pk.iso = lab.iso AND pk.quote_date = lab.quote_date"
+    pick = lambda form: "CASE idx " + " ".join(f"WHEN {i} THEN {form.format(n)}" for i, n in enumerate(G.SPANS)) + " END"
+    tuned = f"tn AS (SELECT tu.iso, quote_date, available_on, v, idx, {pick('-z_{}')} AS plain, {pick('(v / m_{} - 1) * 100')} AS dev, {pick("'span={}'")} AS chosen, {pick('{}')} AS span FROM tu JOIN be ON be.iso = tu.iso AND be.turn = tu.turn)"
+    return ", ".join((p, *chain, Q.labels(10, 1, source), _KN, _tuned(rows, len(G.SPANS), lambda i: f"-z_{G.SPANS[i]}"), tuned))
+
+
+@query("tuned_choice", f"WITH {_span_tuning()} SELECT iso, quote_date, chosen, {r('plain', 'score')} FROM tn WHERE plain IS NOT NULL")
 def _(s, d):
     return G.calibrated(G.zscore_candidates(p1(s, d)), [f"span={n}" for n in G.SPANS]).select("iso", "quote_date", "chosen", F.round("score", 6).alias("score"))
 
@@ -236,8 +272,8 @@ def _(s, d):
     return rounded(B.frequency(_evaluated(s, d)[0], p1(s, d)), "per_week", "per_month", keep=("iso", "n_signals"))
 
 
-_TRIALS, _SEED = 20, 7
-_NULL = f"""nu AS (SELECT iso, fold, trial, n_signals, avg(CAST(held_favourable AS INT)) AS hit_rate, avg(currency_gain_bps) AS currency_uplift_bps FROM (
+_TRIALS, _SEED = 500, 7
+_NULL = f"""nu AS (SELECT iso, fold, trial, n_signals, avg(CAST(held_favourable AS INT)) AS hit_rate, avg(currency_gain_bps) AS currency_uplift_bps, avg(CAST(bad_push AS INT)) AS bad_push_rate FROM (
   SELECT un.*, trial, n_signals, row_number() OVER (PARTITION BY un.iso, un.fold, trial ORDER BY {Q.md5_key(_SEED, 'trial', 'un.iso', 'un.quote_date')}) AS place FROM un JOIN ce USING (iso, fold), (SELECT unnest(range({_TRIALS})) AS trial)) WHERE place <= n_signals GROUP BY ALL),
 ni AS (SELECT iso, trial, sum(hit_rate * n_signals) / sum(n_signals) AS hit_rate, sum(currency_uplift_bps * n_signals) FILTER (currency_uplift_bps IS NOT NULL) / sum(n_signals) FILTER (currency_uplift_bps IS NOT NULL) AS currency_uplift_bps FROM nu GROUP BY iso, trial),
 ob AS (SELECT iso, sum(currency_uplift_bps * n_signals) FILTER (currency_uplift_bps IS NOT NULL) / sum(n_signals) FILTER (currency_uplift_bps IS NOT NULL) AS o, sum(hit_rate * n_signals) / sum(n_signals) AS oh FROM ce GROUP BY iso),
@@ -291,33 +327,52 @@ def _(s, d):
     return rounded(T.newey_west(_evaluated(s, d)[0], ["iso"], "currency_gain_bps", "quote_date"), "mean", "se", "t_stat", digits=4, keep=("iso", "n"))
 
 
-@query("block_bootstrap")
+_BOOT = f"""bv AS (SELECT iso, window_advantage_bps AS x, row_number() OVER (PARTITION BY iso ORDER BY quote_date) - 1 AS place, count(*) OVER (PARTITION BY iso) AS n FROM sg WHERE window_advantage_bps IS NOT NULL),
+bp AS (SELECT iso, n, least(10, n) AS w, trial, unnest(range(CAST(ceil(n / least(10, n)::DOUBLE) AS BIGINT))) AS blk FROM (SELECT DISTINCT iso, n FROM bv), (SELECT unnest(range(1000)) AS trial)),
+bd AS (SELECT iso, trial, start_at + i AS place FROM (SELECT *, CAST('0x' || substr({Q.md5_key(_SEED, 'iso', 'trial', 'blk')}, 1, 12) AS BIGINT) % (n - w + 1) AS start_at, unnest(range(w)) AS i FROM bp) WHERE blk * w + i < n),
+bm AS (SELECT iso, trial, avg(x) AS m FROM bd JOIN bv USING (iso, place) GROUP BY iso, trial), bc AS (SELECT iso, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM bm GROUP BY iso)"""
+
+
+@query("block_bootstrap", on_p(f"SELECT iso, {r('ci_low', 'ci_low', 4)}, {r('ci_high', 'ci_high', 4)} FROM bc", *_EVAL, _BOOT))
 def _(s, d):
-    return rounded(T.block_bootstrap(_evaluated(s, d)[0], ["iso"], "window_advantage_bps", "quote_date", 10, 200, _SEED), "ci_low", "ci_high", digits=4, keep=("iso",))
+    return rounded(T.block_bootstrap(_evaluated(s, d)[0], ["iso"], "window_advantage_bps", "quote_date", 10, 1000, _SEED), "ci_low", "ci_high", digits=4, keep=("iso",))
 
 
-_GATE = f"""gv AS (SELECT iso AS strategy, gate, value, ok FROM (SELECT iso, count(*) AS n, stddev_samp(gap) / avg(gap) AS cv, max(gap) AS mg, avg(currency_gain_bps) AS gain FROM gp GROUP BY iso) g,
-LATERAL (VALUES ('A_evenness', cv, cv <= 1.0), ('B_gap', CAST(mg AS DOUBLE), mg <= 75), ('C_gain', gain, gain > 0), ('D_count', CAST(n AS DOUBLE), n BETWEEN 100 AND 600)) AS t(gate, value, ok))"""
-_GATES = (("A_evenness", "interval_cv", "<=", 1.0, None), ("B_gap", "max_gap_days", "<=", 75.0, None), ("C_gain", "gain", ">", 0.0, None), ("D_count", "n_signals", "between", 100.0, 600.0))
+# The seven gates over the weekly best days; each series stands for a strategy
+_GATE = """nb AS (SELECT iso, fold, trial, n_signals, hit_rate, currency_uplift_bps, bad_push_rate FROM nu), gr AS (SELECT iso, sum(hit_rate * n_signals) / sum(n_signals) AS rh, sum(bad_push_rate * n_signals) / sum(n_signals) AS rb FROM nb GROUP BY iso, trial),
+gm AS (SELECT iso, avg(rh) AS random_hit, avg(rb) AS random_bad FROM gr GROUP BY iso), gs AS (SELECT iso, sum(bad_push_rate * n_signals) / sum(n_signals) AS bad FROM ce GROUP BY iso),
+gd AS (SELECT iso, count(DISTINCT quote_date) AS days FROM un GROUP BY iso), gg AS (SELECT iso, count(*) AS n, stddev_samp(gap) / avg(gap) AS cv, max(gap) AS mg FROM gp GROUP BY iso),
+gv AS (SELECT iso AS strategy, gate, value, ok FROM (SELECT iso, oh / random_hit AS lift, ci_low, p_value, n / (days / 5.0) AS pw, cv, CAST(mg AS DOUBLE) AS mg, bad - random_bad AS bd FROM ob JOIN gm USING (iso) JOIN gs USING (iso) JOIN pv USING (iso) JOIN bc USING (iso) JOIN gg USING (iso) JOIN gd USING (iso)) g,
+LATERAL (VALUES ('G1_lift', lift, lift >= 1.0), ('G2_advantage', ci_low, ci_low > 0), ('G3_significance', p_value, p_value <= 0.05), ('G4_frequency', pw, pw BETWEEN 1.0 AND 2.0), ('G5_evenness', cv, cv <= 1.0), ('G6_gap', mg, mg <= 75), ('G7_risk', bd, bd <= 0)) AS t(gate, value, ok))"""
+_GATED = (*_EVAL, _CELL, _NULL, _GAP, _BOOT, _GATE)
 
 
 def _gated(s, d):
-    signals = _evaluated(s, d)[0]
-    board = B.cadence(signals, ["iso"]).join(signals.groupBy("iso").agg(F.avg("currency_gain_bps").alias("gain")), "iso").withColumnRenamed("iso", "strategy")
-    return B.evaluate_gates(board, _GATES)
+    signals, universe, _ = _evaluated(s, d)
+    signals = signals.persist()
+    cell = B.cells(signals, universe, "held_favourable").persist()
+    metrics = {"hit_rate": "held_favourable", "hit_favourable": "held_favourable", "hit_closing": "held_window_closing", "currency_uplift_bps": "currency_gain_bps", "bad_push_rate": "bad_push"}
+    named = universe.withColumns({k: F.col(v) for k, v in metrics.items()})
+    null = T.pooled_null(T.fold_null(named, cell, _TRIALS, _SEED, list(B.NULLS)), ["iso"], list(B.NULLS))
+    observed = cell.groupBy("iso").agg(*[T.weighted_mean(c, "n_signals").alias(c) for c in B.WEIGHTED])
+    board = B.null_comparison(observed, null.persist(), ["iso"])
+    ci = T.block_bootstrap(signals, ["iso"], "window_advantage_bps", "quote_date", 10, 1000, _SEED).select("iso", F.col("ci_low").alias("window_advantage_ci_low"))
+    days = universe.groupBy("iso").agg(F.countDistinct("quote_date").alias("days"))
+    rhythm = B.cadence(signals, ["iso"]).join(days, "iso").withColumn("per_week", F.col("n_signals") / (F.col("days") / 5.0))
+    return B.evaluate_gates(board.join(ci, "iso").join(rhythm, "iso").withColumnRenamed("iso", "strategy"))
 
 
-@query("gates_eval", on_p(f"SELECT strategy, gate, {r('value', 'value', 4)}, CAST(ok AS INT) AS passed FROM gv", *_EVAL, _GAP, _GATE))
+@query("gates_eval", on_p(f"SELECT strategy, gate, {r('value', 'value', 4)}, CAST(ok AS INT) AS passed FROM gv", *_GATED))
 def _(s, d):
     return _gated(s, d).select("strategy", "gate", F.round("value", 4).alias("value"), F.col("passed").cast("int").alias("passed"))
 
 
-@query("pivot_gates", on_p("SELECT strategy, " + ", ".join(f"CAST(max(CAST(ok AS INT)) FILTER (gate = '{g[0]}') AS INT) AS {g[0]}" for g in _GATES) + " FROM gv GROUP BY strategy", *_EVAL, _GAP, _GATE))
+@query("pivot_gates", on_p("SELECT strategy, " + ", ".join(f"CAST(max(CAST(ok AS INT)) FILTER (gate = '{g[0]}') AS INT) AS {g[0]}" for g in B.GATES) + " FROM gv GROUP BY strategy", *_GATED))
 def _(s, d):
-    return B.gate_matrix(_gated(s, d), _GATES).select("strategy", *[F.col(g[0]).cast("int").alias(g[0]) for g in _GATES])
+    return B.gate_matrix(_gated(s, d)).select("strategy", *[F.col(g[0]).cast("int").alias(g[0]) for g in B.GATES])
 
 
-@query("gate_verdicts", on_p("SELECT strategy, count(*) FILTER (ok) AS n_passed, count(*) AS n_gates, coalesce(string_agg(gate, ', ' ORDER BY gate) FILTER (NOT ok), '') AS failed, CASE WHEN bool_and(ok) THEN 'pass' ELSE 'fail' END AS verdict FROM gv GROUP BY strategy", *_EVAL, _GAP, _GATE))
+@query("gate_verdicts", on_p("SELECT strategy, count(*) FILTER (ok) AS n_passed, count(*) AS n_gates, coalesce(string_agg(gate, ', ' ORDER BY gate) FILTER (NOT ok), '') AS failed, CASE WHEN bool_and(ok) THEN 'pass' ELSE 'fail' END AS verdict FROM gv GROUP BY strategy", *_GATED))
 def _(s, d):
     return B.gate_verdicts(_gated(s, d))
 
@@ -348,24 +403,23 @@ def _(s, d):
 
 
 @query("matched_random_schedules", on_p(f"""SELECT trial, iso, quote_date FROM (SELECT trial, lg.iso, lg.quote_date, take, row_number() OVER (PARTITION BY trial, lg.iso, lg.w ORDER BY {Q.md5_key(3, 'trial', 'lg.iso', 'lg.quote_date')}) AS place
-FROM lg JOIN (SELECT iso, w, count(*) FILTER (sel) AS take FROM lg GROUP BY iso, w) USING (iso, w), (SELECT unnest(range(5)) AS trial) WHERE take > 0) WHERE place <= take""", _RK, _TOP, f"lg AS (SELECT rk.iso, rk.quote_date, {Q.week('rk.quote_date')} AS w, tk.quote_date IS NOT NULL AS sel FROM rk LEFT JOIN tk USING (iso, quote_date) WHERE k IS NOT NULL)"))
+FROM lg JOIN (SELECT iso, w, count(*) FILTER (sel) AS take FROM lg GROUP BY iso, w) USING (iso, w), (SELECT unnest(range(200)) AS trial) WHERE take > 0) WHERE place <= take""", _RK, _TOP, f"lg AS (SELECT rk.iso, rk.quote_date, {Q.week('rk.quote_date')} AS w, tk.quote_date IS NOT NULL AS sel FROM rk LEFT JOIN tk USING (iso, quote_date) WHERE k IS NOT NULL)"))
 def _(s, d):
     scored = _scores(s, d).filter("score is not null").withColumn("window_id", W.window_id("quote_date", "week"))
     best = A.best_per_window(_scores(s, d)).select("iso", "quote_date", F.lit(True).alias("decision"))
     log = scored.join(best, ["iso", "quote_date"], "left").withColumn("decision", F.coalesce("decision", F.lit(False)))
-    return T.matched_random_schedules(log.select("iso", "quote_date", "window_id", "decision"), 5, 3).select(F.col("trial").cast("long").alias("trial"), "iso", "quote_date")
+    return T.matched_random_schedules(log.select("iso", "quote_date", "window_id", "decision"), 200, 3).select(F.col("trial").cast("long").alias("trial"), "iso", "quote_date")
 
 
 @query("backtest_report")
 def _(s, d):
-    _, found = K.run_backtest(p1(s, d), K.baseline_scores(features(s, d)), K.BacktestConfig(random_trials=20, bootstrap_trials=50))
+    _, found = K.run_backtest(p1(s, d), K.baseline_scores(features(s, d)))
     return found
 
 
 @query("leaderboard")
 def _(s, d):
-    spec = B.BenchmarkSpec(random_trials=20, bootstrap_trials=50)
-    return B.run_benchmark(p1(s, d), spec, ["percentile", "drawdown", "oracle_topk"]).leaderboard
+    return B.run_benchmark(p1(s, d), names=list(B.STRATEGIES)).leaderboard
 
 
 @query("cadence_sweep")
@@ -427,11 +481,23 @@ def _(s, d):
     return rounded(I.hit_rates(p1(s, d), I.value(p1(s, d)), 5, "favourable_now"), "hit_rate", "random_hit", "lift", keep=("iso", "n_signals"))
 
 
-@query("metric_matrix")
+def _lift(h: int) -> str:
+    """A SELECT of n_signals, hit_rate, random_hit and lift per series and of all at horizon ``h``."""
+    held = f"SELECT *, coalesce(max(v) {Q.over(1, h)} <= v + 1e-12, false) AS hit, row_number() OVER ({Q.O}) AS pos, count(*) OVER (PARTITION BY iso) AS n FROM p"
+    return f"""SELECT coalesce(iso, 'ALL') AS iso, {h} AS horizon, CAST(sum(n) AS BIGINT) AS n_signals, {r('sum(h) / sum(n)', 'hit_rate')}, {r('sum(b * n) / sum(n)', 'random_hit')}, {r('(sum(h) / sum(n)) / (sum(b * n) / sum(n))', 'lift')}
+FROM (SELECT iso, count(*) AS n, CAST(sum(CAST(hit AS INT)) AS DOUBLE) AS h FROM ({held}) JOIN fa USING (iso, quote_date) GROUP BY iso) JOIN (SELECT iso, avg(CAST(hit AS INT)) AS b FROM ({held}) WHERE pos <= n - {h} GROUP BY iso) USING (iso) GROUP BY ROLLUP (iso)"""
+
+
+@query("metric_matrix", on_p(f"{_lift(5)} UNION ALL {_lift(15)}", _POS, _PAIR))
 def _(s, d):
     return rounded(I.metric_matrix(p1(s, d), I.value(p1(s, d))), "hit_rate", "random_hit", "lift", keep=("iso", "horizon", "n_signals"))
 
 
+@query("metric_summary", on_p(f"SELECT iso, {r('avg(hit_rate)', 'hit_rate', 3)}, {r('avg(random_hit)', 'random_hit', 3)}, {r('avg(lift)', 'lift', 3)} FROM ({_lift(5)} UNION ALL {_lift(15)}) GROUP BY iso", _POS, _PAIR))
+def _(s, d):
+    return E.metric_summary(rounded(I.metric_matrix(p1(s, d), I.value(p1(s, d))), "hit_rate", "random_hit", "lift", keep=("iso", "horizon", "n_signals")))
+
+
 @query("window_advantage", on_p(f"SELECT {r('avg(a)', 'advantage_bps', 4)}, {r('stddev_samp(a) / sqrt(count(a))', 'stderr', 4)}, count(a) AS n, {r('avg(a) / (stddev_samp(a) / sqrt(count(a)))', 't_stat', 4)} FROM (SELECT iso, quote_date, CASE WHEN count(v) {Q.over(-5, 5)} >= 2 THEN (avg(v) {Q.over(-5, 5)} - v) / v * 10000 END AS a FROM p) JOIN fa USING (iso, quote_date)", _POS, _PAIR))
 def _(s, d):
     return rounded(I.window_advantage(p1(s, d), I.value(p1(s, d)), 5), "advantage_bps", "stderr", "t_stat", digits=4, keep=("n",))
@@ -446,62 +512,83 @@ def _(s, d):
 _SIM = f"""bu AS (SELECT iso, 50000.0::DOUBLE * greatest(1.0, date_diff('day', min(quote_date), max(quote_date)) / 30.44::DOUBLE) AS total, count(*) AS days FROM p GROUP BY iso),
 fn AS (SELECT iso, count(*) AS n FROM fa GROUP BY iso), mo AS (SELECT iso, sum(total / n / v) AS currency, avg(v) AS avg_rate, count(*) AS n_buys FROM fa JOIN p USING (iso, quote_date) JOIN fn USING (iso) JOIN bu USING (iso) GROUP BY iso),
 rg AS (SELECT * FROM (SELECT *, row_number() OVER ({Q.O}) - 1 AS pos FROM p) WHERE pos % 5 = 0), rn AS (SELECT iso, count(*) AS n FROM rg GROUP BY iso), dc AS (SELECT iso, sum(total / n / v) AS currency, avg(v) AS avg_rate, count(*) AS n_buys FROM rg JOIN rn USING (iso) JOIN bu USING (iso) GROUP BY iso),
-rw AS (SELECT iso, trial, sum(total / n / v) AS currency, avg(v) AS avg_rate, count(*) AS n_buys FROM (SELECT p.iso, v, total, fn.n, trial, row_number() OVER (PARTITION BY p.iso, trial ORDER BY {Q.md5_key(0, 'trial', 'p.iso', 'p.quote_date')}) AS place FROM p JOIN fn USING (iso) JOIN bu USING (iso), (SELECT unnest(range(10)) AS trial) WHERE days > fn.n) WHERE place <= n GROUP BY iso, trial),
+rw AS (SELECT iso, trial, sum(total / n / v) AS currency, avg(v) AS avg_rate, count(*) AS n_buys FROM (SELECT p.iso, v, total, fn.n, trial, row_number() OVER (PARTITION BY p.iso, trial ORDER BY {Q.md5_key(0, 'trial', 'p.iso', 'p.quote_date')}) AS place FROM p JOIN fn USING (iso) JOIN bu USING (iso), (SELECT unnest(range(500)) AS trial) WHERE days > fn.n) WHERE place <= n GROUP BY iso, trial),
 si AS (SELECT 'model' AS strategy, * FROM mo UNION ALL SELECT 'dca', * FROM dc UNION ALL SELECT 'random', iso, avg(currency), avg(avg_rate), max(n_buys) FROM rw GROUP BY iso)"""
 
 
 @query("budget_simulation", on_p(f"SELECT strategy, iso, {r('currency', 'currency', 4)}, {r('avg_rate', 'avg_rate', 4)}, n_buys FROM si", _POS, _PAIR, _SIM))
 def _(s, d):
-    return rounded(U.simulate(p1(s, d), I.value(p1(s, d)), trials=10), "currency", "avg_rate", digits=4, keep=("strategy", "iso", "n_buys"))
+    return rounded(U.simulate(p1(s, d), I.value(p1(s, d))), "currency", "avg_rate", digits=4, keep=("strategy", "iso", "n_buys"))
 
 
 @query("uplift_pct", on_p(f"SELECT iso, {r('(max(currency) FILTER (strategy = $$model$$) / max(currency) FILTER (strategy = $$dca$$) - 1) * 100', 'uplift_vs_dca')}, {r('(max(currency) FILTER (strategy = $$model$$) / max(currency) FILTER (strategy = $$random$$) - 1) * 100', 'uplift_vs_random')} FROM si GROUP BY iso", _POS, _PAIR, _SIM))
 def _(s, d):
-    return rounded(U.uplift(U.simulate(p1(s, d), I.value(p1(s, d)), trials=10)), "uplift_vs_dca", "uplift_vs_random", keep=("iso",))
+    return rounded(U.uplift(U.simulate(p1(s, d), I.value(p1(s, d)))), "uplift_vs_dca", "uplift_vs_random", keep=("iso",))
 
 
-@query("verdicts")
+_VERDICT = """SELECT iso, CASE WHEN lift < 1.0 OR dca <= 0 THEN 'drop' WHEN lift >= 1.3 AND dca > 0 AND (pw < 1.0 OR pw > 2.0) THEN 'marginal' WHEN lift >= 1.3 AND dca > 0 THEN 'keep' ELSE 'marginal' END AS verdict,
+concat_ws(';', CASE WHEN lift < 1.0 THEN 'lift' END, CASE WHEN dca <= 0 THEN 'dca' END) AS reason FROM"""
+
+
+@query("verdicts", on_p(f"""{_VERDICT} (SELECT iso, lift FROM ({_lift(5)})) JOIN (SELECT iso, (max(currency) FILTER (strategy = $$model$$) / max(currency) FILTER (strategy = $$dca$$) - 1) * 100 AS dca FROM si GROUP BY iso) USING (iso)
+JOIN (SELECT iso, n / (days / 5.0) AS pw FROM fn JOIN bu USING (iso)) USING (iso)""", _POS, _PAIR, _SIM))
 def _(s, d):
     panel = p1(s, d)
     events = I.value(panel)
     lift = I.hit_rates(panel, events, 5, "favourable_now").select("iso", F.col("lift").alias("lift_h5"))
     week = B.frequency(events, panel).select("iso", "per_week")
-    return I.verdicts(lift.join(U.uplift(U.simulate(panel, events, trials=10)), "iso").join(week, "iso")).select("iso", "verdict", "reason")
+    return I.verdicts(lift.join(U.uplift(U.simulate(panel, events)), "iso").join(week, "iso")).select("iso", "verdict", "reason")
+
 
+def _grid_sql() -> str:
+    """CTEs to gu (uplift per parameters and fold): all grids over the last four half years."""
+    windows = sorted({w for g in I.GRIDS.values() for w in g.get("window", ())})
+    pos = f"gp0 AS (SELECT *, v > {Q.lag('v')} AS up, " + ", ".join(f"{Q.roll('min', 'v', w, max(5, w // 4))} AS lo{w}, {Q.roll('max', 'v', w, max(5, w // 4))} AS hi{w}" for w in windows) + " FROM streak)"
+    mask = {
+        "value": "(v - lo{window}) / nullif(hi{window} - lo{window}, 0) < {lo_pct}", "momentum": "down_streak >= {n}",
+        "value_reversal": "(v - lo{window}) / nullif(hi{window} - lo{window}, 0) < {lo_pct} AND up", "reversal_from_min": "(v - lo{window}) / lo{window} < {pct} AND up",
+    }
+    sets = [(name, turn, given) for name, grid in I.GRIDS.items() for turn, given in enumerate(I.parameter_sets(grid))]
+    events = " UNION ALL ".join(f"SELECT '{name}' AS indicator, {turn} AS turn, iso, quote_date, v FROM gp0 WHERE {mask[name].format(**given)}" for name, turn, given in sets)
+    values = ", ".join(f"('{name}', {turn}, '{','.join(f'{k}={v}' for k, v in sorted(given.items()))}')" for name, turn, given in sets)
+    return f"""{Q.STREAK}, {pos}, ge AS ({events}), gt AS (SELECT * FROM (VALUES {values}) AS t(indicator, turn, params)),
+    gf AS (SELECT iso, i AS fold, CAST(last - to_months(CAST(6 * (i + 1) AS INT)) AS DATE) AS fs FROM (SELECT iso, max(quote_date) AS last, min(quote_date) AS first FROM p GROUP BY iso), (SELECT unnest(range(4)) AS i) WHERE first < CAST(last - to_months(CAST(6 * (i + 1) AS INT)) AS DATE)),
+    gw AS (SELECT p.*, fold, row_number() OVER (PARTITION BY p.iso, fold ORDER BY quote_date) - 1 AS pos FROM p JOIN gf ON gf.iso = p.iso AND quote_date >= fs),
+    gb AS (SELECT iso, fold, 50000.0::DOUBLE * greatest(1.0, date_diff('day', min(quote_date), max(quote_date)) / 30.44::DOUBLE) AS total FROM gw GROUP BY iso, fold),
+    gc AS (SELECT iso, fold, total / count(*) * sum(1 / v) AS paced, any_value(total) AS total FROM gw JOIN gb USING (iso, fold) WHERE pos % 5 = 0 GROUP BY iso, fold, total),
+    gn AS (SELECT indicator, turn, ge.iso, fold, count(*) AS n, sum(1 / v) AS per FROM ge JOIN gf ON gf.iso = ge.iso AND quote_date >= fs GROUP BY ALL),
+    gu AS (SELECT indicator, turn, params, gc.iso, fold, round((coalesce(total / n * per, 0) - paced) / paced * 100, 9) AS uplift FROM gc CROSS JOIN gt LEFT JOIN gn USING (indicator, turn, iso, fold))"""
 
-@query("calibrate")
+
+@query("fold_uplifts", on_p(f"SELECT indicator, iso, params, fold, {r('uplift', 'uplift', 4)} FROM gu", _grid_sql()))
 def _(s, d):
-    panel = p1(s, d)
-    scored = None
-    for w, lo in ((30, 0.1), (30, 0.2), (60, 0.1), (60, 0.2)):
-        ups = U.uplift(U.simulate(panel, I.value(panel, w, lo), trials=5))
-        for fold, c in enumerate(("uplift_vs_dca", "uplift_vs_random")):
-            part = ups.select(F.lit("value").alias("indicator"), "iso", F.lit(f"lo_pct={lo},window={w}").alias("params"), F.lit(fold).alias("fold"), F.col(c).alias("uplift"))
-            scored = part if scored is None else scored.unionByName(part)
-    return I.calibrate(scored)
+    return E.fold_uplifts(p1(s, d)).select("indicator", "iso", "params", F.col("fold").cast("long").alias("fold"), F.round("uplift", 4).alias("uplift"))
+
+
+@query("calibrate", on_p(f"""SELECT indicator, iso, params, {r('mid', 'median_uplift', 4)}, n_folds FROM (SELECT *, row_number() OVER (PARTITION BY indicator, iso ORDER BY mid DESC, turn) AS place FROM
+(SELECT indicator, iso, params, turn, quantile_cont(uplift, 0.5) AS mid, count(*) AS n_folds FROM gu GROUP BY ALL HAVING count(*) >= 2)) WHERE place = 1""", _grid_sql()))
+def _(s, d):
+    return E.calibrate_indicators(p1(s, d)).select("indicator", "iso", "params", F.round("median_uplift", 4).alias("median_uplift"), "n_folds")
+
+
+@query("indicator_matrix")
+def _(s, d):
+    return C.indicator_matrix(p1(s, d))
+
+
+@query("trailing_year", on_p("SELECT iso, quote_date, round(v, 6) AS rub_per_unit, sig AS is_signal, pos % 5 = 0 AS is_regular FROM (SELECT p.iso, p.quote_date, v, fa.quote_date IS NOT NULL AS sig, row_number() OVER (PARTITION BY p.iso ORDER BY p.quote_date) - 1 AS pos FROM p LEFT JOIN fa USING (iso, quote_date) JOIN (SELECT iso, CAST(max(quote_date) - to_months(12) AS DATE) AS since FROM p GROUP BY iso) y ON y.iso = p.iso AND p.quote_date >= since)", _POS, _PAIR))
+def _(s, d):
+    return E.trailing_year(p1(s, d), I.value(p1(s, d))).select("iso", "quote_date", F.round(V, 6).alias(V), "is_signal", "is_regular")
 
 
 # The signal table, models and the audit
 
 
-def _signal_sql() -> str:
-    chain, source = [], "p"
-    for n in G.SPANS:
-        chain.append(Q.zscore(source, n, f"y{n}"))
-        source = f"y{n}"
-    scores = " UNION ALL ".join(f"SELECT iso, pos, {i} AS idx, -z_{n} AS x, currency_gain_bps AS y FROM ro" for i, n in enumerate(G.SPANS))
-    pick = lambda form: "CASE idx " + " ".join(f"WHEN {i} THEN {form.format(n)}" for i, n in enumerate(G.SPANS)) + " END"
-    tune = f"""ro AS (SELECT lab.*, k, row_number() OVER (PARTITION BY lab.iso ORDER BY lab.quote_date) - 1 AS pos FROM lab JOIN pk ON pk.iso = lab.iso AND pk.quote_date = lab.quote_date),
-    rf AS (SELECT *, min(pos) FILTER (k >= 500) OVER (PARTITION BY iso) AS p0 FROM ro), tu AS (SELECT *, CASE WHEN k >= 500 THEN (pos - p0) // 21 END AS turn FROM rf),
-    ft AS (SELECT iso, turn, k, greatest(0, k - 750) AS low FROM tu WHERE turn IS NOT NULL AND (pos - p0) % 21 = 0),
-    tr AS (SELECT ft.iso, ft.turn, idx, x, y FROM ft JOIN ({scores}) q ON q.iso = ft.iso AND q.pos >= low AND q.pos < ft.k WHERE x IS NOT NULL AND y IS NOT NULL),
-    tk2 AS (SELECT *, rank() OVER (PARTITION BY iso, turn, idx ORDER BY x) + (count(*) OVER (PARTITION BY iso, turn, idx, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY iso, turn, idx ORDER BY y) + (count(*) OVER (PARTITION BY iso, turn, idx, y) - 1) / 2.0 AS ry FROM tr),
-    rh AS (SELECT iso, turn, idx, corr(rx, ry) AS rho FROM tk2 GROUP BY iso, turn, idx HAVING count(*) >= 30), be AS (SELECT iso, turn, idx FROM (SELECT *, row_number() OVER (PARTITION BY iso, turn ORDER BY rho DESC, idx) AS n FROM rh) WHERE n = 1),
-    tn AS (SELECT tu.iso, quote_date, available_on, v, idx, {pick("-z_{}")} AS plain, {pick("(v / m_{} - 1) * 100")} AS dev, {pick("'span={}'")} AS chosen, {pick("{}")} AS span FROM tu JOIN be ON be.iso = tu.iso AND be.turn = tu.turn),
-    sc AS (SELECT *, CASE WHEN dev < 0 THEN plain ELSE -1e6 END AS score FROM tn WHERE plain IS NOT NULL)"""
+def _signal_sql(p: str = Q.P) -> str:
+    gated = "sc AS (SELECT *, CASE WHEN dev < 0 THEN plain ELSE -1e6 END AS score FROM tn WHERE plain IS NOT NULL)"
     facts = f"fx AS (SELECT iso, quote_date, v / {Q.lag('v', 5)} - 1 AS ret, CASE WHEN len(w) + 1 >= 20 THEN len(list_filter(w, lambda x: x > v)) * 100.0 / len(w) END AS lp FROM (SELECT *, coalesce(list(v) {Q.over(-89, -1)}, []) AS w FROM p))"
     ranks = f"sk AS ({Q.ranked('th', 'score', 250, 20, 'sp')})"
-    ctes = ", ".join((Q.P, *chain, Q.labels(10, 1, source), _KN, tune, _policy("-500000.0"), _DEC, facts, ranks))
+    ctes = ", ".join((_span_tuning(p), gated, _policy("-500000.0"), _DEC, facts, ranks))
     return f"""WITH RECURSIVE {ctes} SELECT sk.quote_date AS signal_date, sk.iso, 'zscore_tuned' AS indicator, CASE WHEN ret < 0 THEN 'down' ELSE 'up' END AS direction, {r('sk.score', 'strength')}, {r('sp', 'strength_pct')},
     CASE WHEN span <= 10 THEN 'fast' WHEN span <= 60 THEN 'medium' ELSE 'slow' END AS speed, 'favourable_now' AS scenario, chosen AS "window", {r('sk.v', V)}, {r('lp', 'level_percentile')}, {r('dev', 'deviation_pct')},
     CASE WHEN dev < 0 THEN 'Курс ' || sk.iso || ' сейчас на ' || replace(printf('%.1f', abs(dev)), '.', ',') || '% ниже своего среднего за последние ' || span || ' наблюдений.' ELSE '' END AS message
@@ -514,7 +601,10 @@ def _(s, d):
     return df.select("signal_date", "iso", "indicator", "direction", F.round("strength", 6).alias("strength"), F.round("strength_pct", 6).alias("strength_pct"), "speed", "scenario", "window", F.round(V, 6).alias(V), F.round("level_percentile", 6).alias("level_percentile"), F.round("deviation_pct", 6).alias("deviation_pct"), "message")
 
 
-@query("signals_asof")
+_ASOF = Q.P.replace("FROM raw)", "FROM raw WHERE quote_date + 1 <= DATE '2000-06-30')")
+
+
+@query("signals_asof", f'SELECT signal_date, iso, "window", strength FROM ({_signal_sql(_ASOF)})')
 def _(s, d):
     return S.signals_asof(p1(s, d), "2000-06-30").select("signal_date", "iso", "window", F.round("strength", 6).alias("strength"))
 
@@ -567,11 +657,9 @@ def _(s, d):
     return rounded(I.following_quotes(p1(s, d)), "drift_bps", digits=4, keep=("iso", "quote_date", "step", "next_date"))
 
 
-@query("usual_choice", on_p("SELECT iso, min_by(c, (-n, c)) AS chosen, max(n) AS n FROM (SELECT iso, c, count(*) AS n FROM (SELECT iso, CASE WHEN k <= 0.2 THEN 'low' WHEN k >= 0.8 THEN 'high' ELSE 'middle' END AS c FROM rk WHERE k IS NOT NULL) GROUP BY iso, c) GROUP BY iso", _RK))
+@query("usual_choice", f"WITH {_span_tuning()} SELECT iso, min_by(chosen, (-n, chosen)) AS chosen, max(n) AS n FROM (SELECT iso, chosen, count(*) AS n FROM tn WHERE plain IS NOT NULL GROUP BY iso, chosen) GROUP BY iso")
 def _(s, d):
-    k = W.rolling_rank(V, 90, 20)
-    named = p1(s, d).withColumn("k", k).filter("k is not null").withColumn("chosen", F.when(F.col("k") <= 0.2, "low").when(F.col("k") >= 0.8, "high").otherwise("middle"))
-    return I.usual_choice(named)
+    return I.usual_choice(S.tuned_scores(p1(s, d)))
 
 
 @query("daily_payload")

@@ -171,12 +171,12 @@ def _(s, d):
     return rounded(W.with_ewma(p1(s, d), V, (60,)).withColumn("ewma_zscore", W.ew_zscore(V, 60)), "ewma_zscore")
 
 
-_RES = "rs AS (SELECT *, v / m_60 - 1 AS res FROM z_m)"
+_RES = "rs AS (SELECT *, v - m_60 AS res FROM z_m)"
 
 
 @query("residual_pct_250", on_p(f"SELECT iso, quote_date, {r('k', 'residual_pct')} FROM ({Q.ranked('rs', 'res', 250, 20, 'k')})", _Z, _RES))
 def _(s, d):
-    df = W.with_ewma(p1(s, d), V, (60,)).withColumn("residual", F.col(V) / F.col("mean_60") - 1)
+    df = W.with_ewma(p1(s, d), V, (60,)).withColumn("residual", F.col(V) - F.col("mean_60"))
     return rounded(df.withColumn("residual_pct", W.rolling_rank("residual", 250, 20)), "residual_pct")
 
 

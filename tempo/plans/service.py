@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempo.operators import backtest, benchmark, features, signals
+from tempo.operators import backtest, benchmark, features, models, signals, stats
+from tempo.operators import evaluation as E
+from tempo.operators import indicators as I
 from tempo.operators.labels import build_labels
 from tempo.operators.models import walk_forward_ridge
 from tempo.operators.policy import PolicyConfig
@@ -45,15 +48,38 @@ def day(decisions: DataFrame, iso: str, date: str) -> DataFrame:
     return decisions.filter((F.col("iso") == iso) & (F.col("quote_date") == F.lit(date).cast("date")))
 
 
-def backtest_summary(panel: DataFrame, usd: DataFrame | None, as_of: str, source: str = "baseline", horizon: int = 20, trials: int = 100) -> DataFrame:
-    """The report rows; ``source`` is baseline or ridge. Bounds: horizon 1..60, trials 10..1000."""
-    if not 1 <= horizon <= 60 or not 10 <= trials <= 1000 or source not in ("baseline", "ridge"):
-        raise ValueError("horizon 1..60, trials 10..1000, source baseline or ridge")
+def health(panel: DataFrame, wanted: list[str]) -> DataFrame:
+    """The quotes at hand per series with ``status``: degraded where one that is wanted has none, else ok."""
+    held = N.readiness(panel)
+    lost = N.unknown_sources(panel, wanted).select("iso", F.lit(0).cast("long").alias("n_quotes"), F.lit(None).cast("date").alias("available_until"))
+    return held.unionByName(lost).withColumn("status", F.when(F.col("n_quotes") > 0, "ok").otherwise("degraded"))
+
+
+def signal_payloads(panel: DataFrame, config: signals.SignalConfig = signals.SignalConfig()) -> DataFrame:
+    """Signals as a client sees them: the currency's name in place of its code, once; no number that JSON lacks."""
+    rows = N.with_names(signals.signal_table(panel, config))
+    before, after = F.substring_index("message", F.col("iso"), 1), F.substr(F.col("message"), F.instr("message", F.col("iso")) + F.length("iso"))
+    said = F.when(F.contains(F.col("message"), F.col("iso")), F.concat(before, F.col("currency_name"), after)).otherwise(F.col("message"))
+    return rows.withColumns({"client_message": said, **{c: sinks.finite(F.round(c, n)) for c, n in (("rub_per_unit", 6), ("deviation_pct", 3), ("strength_pct", 4))}})
+
+
+def backtest_summary(panel: DataFrame, usd: DataFrame | None, as_of: str, source: str = "baseline", horizon: int = 20, trials: int = 200) -> DataFrame:
+    """The report rows; ``source`` is live, baseline or ridge. Bounds: horizon 1..60, trials 10..1000."""
+    return run_backtest(panel, usd, as_of, source, horizon, trials)[1]
+
+
+def run_backtest(panel: DataFrame, usd: DataFrame | None, as_of: str, source: str = "live", horizon: int = 20, trials: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(decision log, report) of the tuned and gated score that is shipped, the baseline or the ridge."""
+    if not 1 <= horizon <= 60 or not 10 <= trials <= 1000 or source not in ("live", "baseline", "ridge"):
+        raise ValueError("horizon 1..60, trials 10..1000, source live, baseline or ridge")
     known = N.as_of(panel, as_of)
-    built = features.compute_features(known, usd if usd is None else N.as_of(usd, as_of))
-    scores = backtest.baseline_scores(built) if source == "baseline" else walk_forward_ridge(built, known, horizon).withColumnRenamed("prediction", "score")
-    config = backtest.BacktestConfig(PolicyConfig(minimum_score=0.5 if source == "baseline" else 0.0), horizon, random_trials=trials)
-    return backtest.run_backtest(known, scores, config)[1]
+    if source == "live":
+        scores = signals.tuned_scores(known).select("quote_date", "available_on", "iso", "rub_per_unit", "score")
+    else:
+        built = features.compute_features(known, usd if usd is None else N.as_of(usd, as_of))
+        scores = backtest.baseline_scores(built) if source == "baseline" else walk_forward_ridge(built, known, horizon).withColumnRenamed("prediction", "score")
+    floor = {"live": features.BLOCKED / 2, "baseline": 0.5, "ridge": 0.0}[source]
+    return backtest.run_backtest(known, scores, backtest.BacktestConfig(PolicyConfig(minimum_score=floor), horizon, random_trials=trials))
 
 
 def scorecard(board: DataFrame, gates: DataFrame) -> str:
@@ -64,23 +90,67 @@ def scorecard(board: DataFrame, gates: DataFrame) -> str:
     return "\n".join(["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
 
 
+def indicator_matrix(panel: DataFrame, predictions: DataFrame | None = None, trials: int = 500) -> DataFrame:
+    """Every indicator with its calibrated parameters: its evaluation per series and the verdict."""
+    chosen = E.calibrate_indicators(panel)
+    parts = []
+    for name, grid in I.GRIDS.items():
+        sets = I.parameter_sets(grid)
+        keys = [",".join(f"{k}={v}" for k, v in sorted(given.items())) for given in sets]
+        best = chosen.filter(F.col("indicator") == name).select("iso", "params")
+        named = panel.select("iso").distinct().join(best, "iso", "left").withColumn("params", F.coalesce("params", F.lit(keys[0])))
+        events = reduce(DataFrame.unionByName, [I.INDICATORS[name](panel, **given).withColumn("params", F.lit(key)) for given, key in zip(sets, keys, strict=True)])
+        parts.append(E.evaluate_indicator(panel, events.join(named, ["iso", "params"]).select("iso", "signal_date", "rub_per_unit"), name, trials).join(named, "iso"))
+    if predictions is not None:
+        parts.append(E.evaluate_indicator(panel, I.model_ridge(predictions), "model_ridge", trials).withColumn("params", F.lit("")))
+    return I.verdicts(reduce(DataFrame.unionByName, parts))
+
+
 def main(argv: list[str] | None = None) -> None:
-    """spark-submit tempo/plans/service.py signals|benchmark|backtest RATES_DIR OUT [--as-of DATE]"""
-    args = argparse.ArgumentParser(description=main.__doc__)
-    args.add_argument("command", choices=("signals", "benchmark", "backtest"))
+    """spark-submit tempo/plans/service.py COMMAND RATES_DIR OUT [--as-of DATE] [--source live|baseline|ridge]
+
+    COMMAND: signals, benchmark, backtest, indicators, ridge (predictions, their signals, hit rates and rhythm),
+    rates (the validated panel, written so that it can be read as RATES_DIR again).
+    """
+    args = argparse.ArgumentParser(description=main.__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    args.add_argument("command", choices=("signals", "benchmark", "backtest", "indicators", "ridge", "rates"))
     args.add_argument("rates")
     args.add_argument("out")
     args.add_argument("--as-of", default="9999-12-31")
+    args.add_argument("--source", default="live", choices=("live", "baseline", "ridge"))
     given = args.parse_args(argv)
     spark = SparkSession.builder.appName("tempo").getOrCreate()
-    panel = N.as_of(N.read_rate_directory(spark, given.rates), given.as_of)
+    panel = N.as_of(N.read_rate_directory(spark, given.rates), given.as_of).persist()
+    tables = {}
     if given.command == "signals":
         tables = {"signals": signals.signal_table(panel)}
+    elif given.command == "rates":
+        sinks.write_rates(panel, given.out)
     elif given.command == "backtest":
-        tables = {"report": backtest_summary(panel, None, given.as_of)}
+        log, report = run_backtest(panel, None, given.as_of, given.source)
+        drawn = stats.matched_random_schedules(log.filter("outcome_complete").select("iso", "quote_date", "window_id", "decision"), backtest.BacktestConfig().random_trials, backtest.BacktestConfig().seed)
+        sinks.write_backtest(log.drop("thresholds"), drawn, report, given.out)
+    elif given.command == "indicators":
+        fast, slow = I.value(panel), I.value_reversal(panel)
+        tables = {"indicators_matrix": indicator_matrix(panel), "waiting_cost": I.waiting_cost(panel, fast, slow)}
+    elif given.command == "ridge":
+        predicted = walk_forward_ridge(features.compute_features(panel), panel).persist()
+        events = I.model_ridge(predicted)
+        matrix = I.metric_matrix(panel, events, scenario="window_closing")
+        tables = {"predictions": predicted, "signals": events, "metrics": matrix, "frequency": benchmark.frequency(events, panel), "summary": E.metric_summary(matrix)}
     else:
-        result = benchmark.run_benchmark(panel)
-        tables = {"leaderboard": result.leaderboard, "corridors": result.corridors, "cells": result.cells, "gates": result.gates, "horizons": result.horizons, "null": result.null, "signals": result.signals}
+        result = benchmark.run_benchmark(panel, names=list(benchmark.STRATEGIES))
+        labels, scores = build_labels(panel), signals.tuned_scores(panel).persist()
+        built = features.compute_features(panel)
+        heads = models.walk_forward_heads(panel, built).persist()
+        config = models.UtilityRiskConfig()
+        coefficients = models.walk_forward_coefficients(models.heads_data(panel, built, config), config)
+        tables = {
+            "leaderboard": result.leaderboard, "per_corridor": result.corridors, "per_fold": result.cells, "gates": result.gates, "horizons": result.horizons, "null_distribution": result.null,
+            "signals": result.signals, "cadence_sweep": benchmark.cadence_sweep(scores, labels), "lambda_sweep": benchmark.lambda_sweep(heads, labels, PolicyConfig(cooldown_observations=1)),
+            "coefficients": coefficients.withColumns({c: F.to_json(c) for c in ("u", "m", "b")}),
+        }
+        spark.createDataFrame([(scorecard(result.leaderboard, result.gates),)], "value string").coalesce(1).write.mode("overwrite").text(f"{given.out.rstrip('/')}/scorecard")
     sinks.write_artefacts(tables, given.out)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tempo.functions.windows import o
 REQUIRED = ("date", "iso", "nominal", "rate")
 PANEL = ("quote_date", "available_on", "iso", "nominal", "rate", "rub_per_unit")
 BREAK_RATIO = 10.0
+NAMES = {"TJS": ("сомони", "Таджикистан"), "UZS": ("сум", "Узбекистан"), "KGS": ("сом", "Кыргызстан"), "AMD": ("драм", "Армения"), "KZT": ("тенге", "Казахстан")}  # fixed values: currency, country
 CHUNK_DAYS = 366
 
 
@@ -78,24 +80,56 @@ def normalize(frame: DataFrame, availability_lag_days: int = 1) -> DataFrame:
     return panel_of(read, availability_lag_days)
 
 
+def read_rate_csv(spark: SparkSession, path: str, availability_lag_days: int = 1) -> DataFrame:
+    """The canonical panel of one quote file; columns are found by their names."""
+    return normalize(spark.read.option("header", True).option("nullValue", "").csv(path), availability_lag_days)
+
+
+def _quote_files(spark: SparkSession, directory: str) -> DataFrame:
+    """path, iso of the files that are named ``rates_<ISO>.csv`` or lie in a folder ``iso=<ISO>``, as ``write_rates`` leaves them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(directory)
+    named, foldered = F.regexp_extract("path", r"/rates_([A-Za-z]{3})\.csv$", 1), F.regexp_extract("path", r"/iso=([A-Za-z]{3})/[^/]+$", 1)
+    return files.select("path", F.upper(F.concat(named, foldered)).alias("iso"), F.regexp_extract(F.decode("content", "UTF-8"), r"^[^\r\n]*", 0).alias("header")).filter("iso <> ''")
+
+
 def read_rate_directory(spark: SparkSession, directory: str, currencies: Sequence[str] | None = None, availability_lag_days: int = 1) -> DataFrame:
-    """All ``rates_<ISO>.csv`` of a folder, or only those asked for: other files are not opened."""
-    names = [c.strip().upper() for c in currencies] if currencies is not None else ["*"]
-    paths = [f"{directory.rstrip('/')}/rates_{n}.csv" for n in names]
-    frame = spark.read.option("header", True).option("nullValue", "").csv(paths).withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), r"rates_([A-Za-z]{3})\.csv", 1))
-    strays = frame.filter(F.upper(F.trim("iso")) != F.upper("_file")).limit(1).count()
+    """All quote files of a folder, or only those of the currencies asked for: no quote of others is read.
+
+    Files may order their columns differently and lack optional ones: files with equal headers are read together, then
+    united by column names. A currency has one file or a few, so their list is short.
+    """
+    found = _quote_files(spark, directory)
+    if currencies is not None:
+        found = found.filter(F.col("iso").isin([c.strip().upper() for c in currencies]))
+    listed = found.collect()
+    if not listed:
+        raise RateDataError("None of the requested currencies has a source file" if currencies is not None else f"No quote files in {directory}")
+    by_header: dict[str, list[str]] = {}
+    for r in listed:
+        by_header.setdefault(r["header"], []).append(r["path"])
+    frames = [spark.read.option("header", True).option("nullValue", "").csv(sorted(paths)).withColumn("_path", F.col("_metadata.file_path")) for _, paths in sorted(by_header.items())]
+    frame = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    named = F.upper(F.regexp_extract("_path", r"/(?:rates_|iso=)([A-Za-z]{3})(?:\.csv$|/)", 1))
+    frame = frame.withColumn("_file", named).drop("_path")
+    if "iso" not in frame.columns:
+        frame = frame.withColumn("iso", F.col("_file"))
+    strays = frame.filter(F.upper(F.trim(F.coalesce("iso", "_file"))) != F.col("_file")).limit(1).count()
     if strays:
         raise RateDataError("A file holds quotes of another currency than its name says")
-    return normalize(frame.drop("_file"), availability_lag_days)
+    return normalize(frame.withColumn("iso", F.coalesce("iso", "_file")).drop("_file"), availability_lag_days)
 
 
 def parse_rate_xml(documents: DataFrame) -> DataFrame:
-    """``documents`` (iso, xml) of daily records -> raw quotes; decimal commas, blanks are null, unit rate optional."""
-    text = lambda name: F.xpath("xml", F.lit(f"//Record/{name}/text()"))
+    """``documents`` (iso, xml) of daily records -> raw quotes: one row per record, whatever it leaves blank.
+
+    Numbers have decimal commas. A blank nominal counts as 1 in the unit rate, which is the record's own where given.
+    """
+    record = "array<struct<_Date: string, Nominal: string, Value: string, VunitRate: string>>"
     number = lambda c: F.expr(f"try_cast(replace(replace(nullif(trim({c}), ''), ' ', ''), ',', '.') AS double)")
-    rows = documents.select("iso", F.explode(F.arrays_zip(F.xpath("xml", F.lit("//Record/@Date")).alias("d"), text("Nominal").alias("n"), text("Value").alias("v"))).alias("r"))
-    quotes = rows.select(F.to_date("r.d", "dd.MM.yyyy").alias("date"), "iso", F.col("r.n").alias("n"), F.col("r.v").alias("v"))
-    return quotes.select("date", "iso", number("n").alias("nominal"), number("v").alias("rate")).withColumn("rate_per_unit", F.try_divide("rate", "nominal"))
+    rows = documents.select("iso", F.explode(F.from_xml("xml", f"Record {record}").getField("Record")).alias("r"))
+    quotes = rows.select(F.to_date("r._Date", "dd.MM.yyyy").alias("date"), "iso", number("r.Nominal").alias("nominal"), number("r.Value").alias("rate"), number("r.VunitRate").alias("given"))
+    unit = F.coalesce("given", F.try_divide("rate", F.coalesce(F.nullif("nominal", F.lit(0.0)), F.lit(1.0))))
+    return quotes.select("date", "iso", "nominal", "rate", unit.alias("rate_per_unit"))
 
 
 def request_chunks(spark: SparkSession, start: str, end: str, days: int = CHUNK_DAYS) -> DataFrame:
@@ -136,6 +170,27 @@ def latest_quotes(panel: DataFrame, date: str | Column) -> DataFrame:
     return as_of(panel, date).groupBy("iso").agg(row.alias("r")).select("iso", "r.*")
 
 
+def with_names(rows: DataFrame) -> DataFrame:
+    """Adds currency_name and country of ``iso``; the code itself and an empty string where there is none."""
+    name = F.element_at(F.create_map(*[F.lit(x) for k, v in NAMES.items() for x in (k, v[0])]), F.col("iso"))
+    country = F.element_at(F.create_map(*[F.lit(x) for k, v in NAMES.items() for x in (k, v[1])]), F.col("iso"))
+    return rows.withColumns({"currency_name": F.coalesce(name, "iso"), "country": F.coalesce(country, F.lit(""))})
+
+
+def unknown_sources(panel: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """The series asked for without a quote: a service with any is degraded."""
+    asked = panel.sparkSession.createDataFrame([(w.strip().upper(),) for w in wanted], "iso string")
+    return asked.join(panel.select("iso").distinct(), "iso", "left_anti")
+
+
+def between(rows: DataFrame, start: str | Column | None = None, end: str | Column | None = None, date: str = "quote_date") -> DataFrame:
+    """Rows dated from ``start`` to ``end``, both inclusive; an open side is None."""
+    for bound, inside in ((start, lambda d: F.col(date) >= d), (end, lambda d: F.col(date) <= d)):
+        if bound is not None:
+            rows = rows.filter(inside(F.lit(bound).cast("date") if isinstance(bound, str) else bound))
+    return rows
+
+
 def readiness(panel: DataFrame) -> DataFrame:
     """How many quotes there are per series and until when."""
     return panel.groupBy("iso").agg(F.count(F.lit(1)).alias("n_quotes"), F.max("available_on").alias("available_until"))

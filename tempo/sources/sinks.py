@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_rates(panel: DataFrame, path: str) -> None:
-    """CSV with a header, one folder per currency, so that readers prune by ``iso``."""
-    panel.write.mode("overwrite").partitionBy("iso").option("header", True).csv(path)
+    """Quotes as CSV with a header in one folder ``iso=<ISO>`` per currency, which ``read_rate_directory`` reads back."""
+    quotes = panel.select(F.col("quote_date").alias("date"), "iso", "nominal", "rate", F.col("rub_per_unit").alias("rate_per_unit"))
+    quotes.repartition("iso").write.mode("overwrite").partitionBy("iso").option("header", True).csv(path)
 
 
 def write_log(decisions: DataFrame, path: str) -> None:
@@ -17,6 +19,25 @@ def write_log(decisions: DataFrame, path: str) -> None:
     decisions.write.mode("overwrite").option("dateFormat", "yyyy-MM-dd").json(path)
 
 
+def finite(c: str | Column) -> Column:
+    """The number, or null where JSON has none for it."""
+    v = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
+def write_backtest(decisions: DataFrame, drawn: DataFrame, report: DataFrame, path: str) -> None:
+    """A backtest's decision log, the days that its random schedules drew, and its summary, each as JSON lines."""
+    write_log(decisions, f"{path.rstrip('/')}/decision_log")
+    write_log(drawn, f"{path.rstrip('/')}/random_baseline")
+    numbers = [f.name for f in report.schema.fields if f.dataType.typeName() == "double"]
+    write_log(report.withColumns({c: finite(c) for c in numbers}), f"{path.rstrip('/')}/summary")
+
+
+def read_artefact(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table that ``write_artefacts`` left as CSV, with dates and numbers typed again."""
+    return spark.read.option("header", True).option("inferSchema", True).option("dateFormat", "yyyy-MM-dd").csv(f"{path.rstrip('/')}/{name}")
+
+
 def write_artefacts(tables: Mapping[str, DataFrame], path: str, kind: str = "csv") -> list[str]:
     """Each table under its name; empty ones are left out. Returns the names written."""
     written = []

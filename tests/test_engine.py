@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempo.functions import windows as W
-from tempo.operators import backtest, benchmark, features, indicators, labels, models, policy, signals, stats, tuning
+from tempo.operators import backtest, benchmark, evaluation, features, indicators, labels, models, policy, signals, stats, tuning
+from tempo.plans import service
 from tempo.sources import panel as N
 from tempo.sources import sinks
 
@@ -68,6 +69,108 @@ def test_xml(spark):
     assert [(r.date, r.nominal, r.rate) for r in got] == [(dt.date(2026, 9, 2), 100.0, 1023.8162), (dt.date(2026, 9, 3), 1.0, 2.5)]
 
 
+def test_xml_keeps_records_apart(spark):
+    """Blanks stay where they are, a unit rate of the record's own is used, numbers have decimal commas."""
+    xml = (
+        '<ValCurs><Record Date="01.01.2026"><Nominal>10</Nominal><Value>30,0</Value><VunitRate>3,01</VunitRate></Record>'
+        '<Record Date="02.01.2026"><Nominal>10</Nominal><Value></Value></Record>'
+        '<Record Date="03.01.2026"><Nominal></Nominal><Value>30,5</Value></Record></ValCurs>'
+    )
+    got = N.parse_rate_xml(spark.createDataFrame([("AMD", xml), ("KZT", "<ValCurs></ValCurs>")], "iso string, xml string")).orderBy("date").collect()
+    assert [(r.iso, r.date.day, r.nominal, r.rate, r.rate_per_unit) for r in got] == [("AMD", 1, 10.0, 30.0, 3.01), ("AMD", 2, 10.0, None, None), ("AMD", 3, None, 30.5, 30.5)]
+
+
+def test_directory_finds_columns_by_name(spark, tmp_path):
+    (tmp_path / "rates_AMD.csv").write_text("date,iso,nominal,rate\n2026-01-01,AMD,10,25.5\n")
+    (tmp_path / "rates_TJS.csv").write_text("rate,nominal,iso,date,rate_per_unit\n50.5,5,TJS,2026-01-01,10.1\n")
+    (tmp_path / "notes.csv").write_text("anything\n1\n")
+    got = {r.iso: (r.nominal, r.rate) for r in N.read_rate_directory(spark, str(tmp_path)).collect()}
+    assert got == {"AMD": (10, 25.5), "TJS": (5, 50.5)}
+    assert N.read_rate_csv(spark, f"{tmp_path}/rates_TJS.csv").first().rub_per_unit == pytest.approx(10.1)
+    with pytest.raises(N.RateDataError):
+        N.read_rate_directory(spark, str(tmp_path), ["GEL"])
+
+
+def test_written_rates_are_read_back(spark, tmp_path):
+    panel = quotes(spark, [10.0, 10.5, 9.75], "AMD").unionByName(quotes(spark, [3.0, 3.1], "TJS"))
+    sinks.write_rates(panel, f"{tmp_path}/out")
+    again = N.read_rate_directory(spark, f"{tmp_path}/out")
+    assert sorted(map(tuple, again.select(*panel.columns).collect())) == sorted(map(tuple, panel.collect()))
+    assert {r.iso for r in N.read_rate_directory(spark, f"{tmp_path}/out", ["tjs"]).collect()} == {"TJS"}
+
+
+def test_names_health_and_trim(spark):
+    panel = quotes(spark, [10.0, 10.5, 9.75], "AMD").unionByName(quotes(spark, [3.0], "XXX"))
+    named = {r.iso: (r.currency_name, r.country) for r in N.with_names(panel).collect()}
+    assert named["AMD"][0] == "драм" and named["XXX"] == ("XXX", "")
+    status = {r.iso: (r.status, r.n_quotes) for r in service.health(panel, ["amd", "KZT"]).collect()}
+    assert status == {"AMD": ("ok", 3), "XXX": ("ok", 1), "KZT": ("degraded", 0)}
+    assert N.between(panel, "2026-01-02", "2026-01-05").count() == 2 and N.between(panel).count() == 4
+
+
+def test_policy_input_is_checked(spark):
+    scores = quotes(spark, walk(60, 3)).withColumn("score", F.col(V))
+    with pytest.raises(ValueError, match="score"):
+        policy.check_scores(scores.drop("score"))
+    with pytest.raises(ValueError, match="no scores"):
+        policy.check_scores(scores.limit(0))
+    with pytest.raises(ValueError, match="more than one row"):
+        backtest.decisions_with_outcomes(quotes(spark, walk(60, 3)), scores.unionByName(scores), backtest.BacktestConfig())
+
+
+def test_residual_is_a_difference(spark):
+    rates = walk(320, 6)
+    got = features.compute_features(quotes(spark, rates)).orderBy("quote_date").toPandas()["residual_pct"]
+    x = pd.Series(rates)
+    want = (x - x.ewm(span=60, adjust=False).mean()).rolling(250, min_periods=20).rank(pct=True)
+    assert np.allclose(got.to_numpy(float), want.to_numpy(), equal_nan=True)
+
+
+def test_tuner_tries_again_on_the_next_row(spark):
+    """A choice that finds no correlation does not use up its turn."""
+    n = 700
+    panel = quotes(spark, walk(n, 9))
+    days = [r.quote_date for r in panel.orderBy("quote_date").collect()]
+    late = 540  # candidates are constant, and so without a correlation, before
+    rows = panel.withColumn("c=1", F.when(F.col("quote_date") >= F.lit(days[late]), F.hash("quote_date") % 97).otherwise(1).cast("double")).withColumn("c=2", F.lit(1.0))
+    got = tuning.calibrated(rows, ["c=1", "c=2"], tuning.TuningConfig(min_train=500)).orderBy("quote_date").toPandas()
+    assert set(got["chosen"]) == {"c=1"}
+    first = days.index(got["quote_date"].iloc[0])
+    assert first < late + 21 + 11 and (first - 512) % 21 != 0 and len(got) == n - first
+
+
+def test_calibration_is_a_plain_loop(spark):
+    panel = quotes(spark, walk(900, 4), "AMD", "2020-01-01")
+    got = {(r.indicator, r.params, r.fold): r.uplift for r in evaluation.fold_uplifts(panel, {"momentum": {"n": (3, 5, 40)}}).collect()}
+    frame = panel.orderBy("quote_date").toPandas()
+    x = frame[V].to_numpy()
+    fall = np.zeros(len(x), dtype=int)
+    for i in range(1, len(x)):
+        fall[i] = fall[i - 1] + 1 if x[i] < x[i - 1] else 0
+    dates = pd.to_datetime(frame["quote_date"])
+    for fold in range(4):
+        inside = (dates >= dates.max() - pd.DateOffset(months=6 * (fold + 1))).to_numpy()
+        total = 50_000 * max(1.0, (dates[inside].max() - dates[inside].min()).days / 30.44)
+        paced = x[inside][::5]
+        dca = (total / len(paced) / paced).sum()
+        for n in (3, 5, 40):
+            buys = x[inside & (fall >= n)]
+            bought = (total / len(buys) / buys).sum() if len(buys) else 0.0
+            assert got["momentum", f"n={n}", fold] == pytest.approx((bought - dca) / dca * 100, abs=1e-6)
+
+
+def test_null_orders_days_once_for_all_strategies(spark):
+    """Every strategy's random days equal those that it would draw alone."""
+    universe = quotes(spark, walk(40, 5), "AMD").withColumn("fold", F.lit("f")).withColumn("m", F.col(V))
+    cells = spark.createDataFrame([("a", "AMD", "f", 7), ("b", "AMD", "f", 3), ("c", "AMD", "f", 90), ("d", "AMD", "f", 0)], "strategy string, iso string, fold string, n_signals long")
+    both = {(r.strategy, r.trial): r.m for r in stats.fold_null(universe, cells, 6, 1, ["m"]).collect()}
+    assert {k[0] for k in both} == {"a", "b", "c"} and len(both) == 18
+    rows = universe.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("key", stats.draw_key(1, "trial", "iso", "quote_date")).toPandas()
+    for (name, trial), mean in both.items():
+        part = rows[rows["trial"] == trial].sort_values("key")
+        assert mean == pytest.approx(part["m"].head({"a": 7, "b": 3, "c": 90}[name]).mean())
+
+
 def test_request_chunks_cover_the_range(spark):
     got = N.request_chunks(spark, "2020-01-01", "2022-06-30").orderBy("chunk_start").collect()
     assert got[0].chunk_start == dt.date(2020, 1, 1) and got[-1].chunk_end == dt.date(2022, 6, 30)
