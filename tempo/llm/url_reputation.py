@@ -2,7 +2,8 @@
 
 Labelled page outcomes are counted per host, registered domain and suffix. Each level's bad rate has a beta prior
 centred on its parent's posterior mean; the prior's strength is fitted to the spread of the rates on that level by
-the method of moments. A host is blocked when the lower bound of its posterior bad rate reaches the threshold.
+the method of moments. A host is blocked when the lower bound of its posterior bad rate reaches the threshold; a host
+without outcomes is judged by its prior, so by what its domain, or else its suffix, has shown.
 """
 
 from __future__ import annotations
@@ -53,16 +54,17 @@ def _strength(level: DataFrame) -> DataFrame:
 
 def _posterior(level: DataFrame) -> DataFrame:
     """Adds a, b: the beta posterior given ``prior`` (mean) and the level's fitted strength."""
-    k = _strength(level)  # one row
+    k = _strength(level.filter("n > 0"))  # one row
     return level.crossJoin(F.broadcast(k)).withColumn("a", F.col("prior") * F.col("k") + F.col("bad")).withColumn("b", (1 - F.col("prior")) * F.col("k") + F.col("n") - F.col("bad")).drop("k")
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """``outcomes`` (host, bad 0/1) -> host, mean, bound: posterior bad rate and its lower bound, hosts with outcomes only.
+    """``outcomes`` (host, bad 0/1 or null) -> host, mean, bound: posterior bad rate and its lower bound of every host.
 
+    A host, domain or suffix with null outcomes only has its parent's mean.
     The registered domain is the last two labels of a host, its suffix the last one. Counts cover all outcomes.
     """
-    hosts = outcomes.filter("host <> '' and bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    hosts = outcomes.filter("host <> ''").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -79,12 +81,12 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[st
     """One row per page: page_id, host, path, rule, verdict.
 
     ``outcomes`` (page_id, bad 0/1) are the labelled pages. A url that is null or has no ``://`` has an empty host and
-    path, fits no rule and is allowed, as is a host without outcomes. Repeated pages each give a row; a null page_id
-    stays null and has no outcome. Empty tables give an empty result.
+    path, fits no rule and is allowed. Repeated pages each give a row and count their outcome each; a null page_id stays
+    null and has no outcome. An empty table of pages gives an empty result; without outcomes only rules block.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    labelled = rows.join(outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("bad").cast("long").alias("bad")), "page_id")
+    labelled = rows.join(outcomes.select(F.col("page_id").cast("long").alias("page_id"), F.col("bad").cast("long").alias("bad")), "page_id", "left")
     blocked = host_reputation(labelled.select("host", "bad")).filter(F.col("bound") >= threshold).select("host", F.lit("block").alias("learned"))
     fit = longest_rule(F.col("host"), F.col("path"), rules)
     judged = rows.withColumn("fit", fit).join(blocked, "host", "left")
@@ -108,20 +110,20 @@ WITH u AS (
                  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
                  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM r
 ), h AS (
-  SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS bad
-  FROM r JOIN labels ON doc_id = page_id WHERE host <> '' GROUP BY host
+  SELECT host, CAST(count(doc_id) AS DOUBLE) AS n, CAST(sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS bad
+  FROM r LEFT JOIN labels ON doc_id = page_id WHERE host <> '' GROUP BY host
 ), hd AS (
   SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hd GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
 s1 AS (SELECT *, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM s) AS prior FROM s),
-sk AS (SELECT sum(n * pow(bad / n - m, 2) - m * (1 - m)) AS extra, sum(m * (1 - m) * (n - 1)) AS room FROM (SELECT *, greatest(least(prior, 0.999), 0.001) AS m FROM s1)),
+sk AS (SELECT sum(n * pow(bad / n - m, 2) - m * (1 - m)) AS extra, sum(m * (1 - m) * (n - 1)) AS room FROM (SELECT *, greatest(least(prior, 0.999), 0.001) AS m FROM s1 WHERE n > 0)),
 s2 AS (SELECT suffix, (prior * k + bad) / (k + n) AS prior FROM s1, (SELECT CASE WHEN room > 0 AND extra / room > 0 THEN greatest(least(room / extra - 1, 1000.0), 1.0) ELSE 1000.0 END AS k FROM sk)),
 d1 AS (SELECT d.*, s2.prior FROM d JOIN s2 USING (suffix)),
-dk AS (SELECT sum(n * pow(bad / n - m, 2) - m * (1 - m)) AS extra, sum(m * (1 - m) * (n - 1)) AS room FROM (SELECT *, greatest(least(prior, 0.999), 0.001) AS m FROM d1)),
+dk AS (SELECT sum(n * pow(bad / n - m, 2) - m * (1 - m)) AS extra, sum(m * (1 - m) * (n - 1)) AS room FROM (SELECT *, greatest(least(prior, 0.999), 0.001) AS m FROM d1 WHERE n > 0)),
 d2 AS (SELECT domain, (prior * k + bad) / (k + n) AS prior FROM d1, (SELECT CASE WHEN room > 0 AND extra / room > 0 THEN greatest(least(room / extra - 1, 1000.0), 1.0) ELSE 1000.0 END AS k FROM dk)),
 h1 AS (SELECT hd.*, d2.prior FROM hd JOIN d2 USING (domain)),
-hk AS (SELECT sum(n * pow(bad / n - m, 2) - m * (1 - m)) AS extra, sum(m * (1 - m) * (n - 1)) AS room FROM (SELECT *, greatest(least(prior, 0.999), 0.001) AS m FROM h1)),
+hk AS (SELECT sum(n * pow(bad / n - m, 2) - m * (1 - m)) AS extra, sum(m * (1 - m) * (n - 1)) AS room FROM (SELECT *, greatest(least(prior, 0.999), 0.001) AS m FROM h1 WHERE n > 0)),
 h2 AS (SELECT host, n, k, (prior * k + bad) / (k + n) AS mean FROM h1, (SELECT CASE WHEN room > 0 AND extra / room > 0 THEN greatest(least(room / extra - 1, 1000.0), 1.0) ELSE 1000.0 END AS k FROM hk)),
 b AS (SELECT host FROM h2 WHERE mean - 1.645 * sqrt(mean * (1 - mean) / (k + n + 1)) >= 0.5)
 SELECT f.page_id, f.host, f.path, f.rule,

@@ -72,6 +72,17 @@ def test_bad_hosts_are_blocked_and_few_outcomes_shrunk(spark):
     assert got[2000] == "allow" and all(got[i] == "allow" for i in range(400))
 
 
+def test_hosts_without_outcomes_follow_their_domain(spark):
+    rows = [(i, f"http://h{i % 40}.bad.com/{i}", 1) for i in range(2000)] + [(5000 + i, f"http://h{i % 40}.good.com/{i}", 0) for i in range(2000)]
+    rows += [(9000, "http://new.bad.com/", None), (9001, "http://new.good.com/", None), (9002, "http://other.net.fr/", None), (9000, "http://new.bad.com/", None), (None, "http://new.bad.com/", None)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    outcomes = spark.createDataFrame([(r[0], r[2]) for r in rows if r[2] is not None], "page_id long, bad int")
+    got = [(r.page_id, r.verdict) for r in url_reputation.url_verdicts(pages, outcomes).filter("page_id is null or page_id >= 9000").collect()]
+    assert sorted(got, key=str) == [(9000, "block"), (9000, "block"), (9001, "allow"), (9002, "allow"), (None, "block")]
+    assert url_reputation.url_verdicts(pages.limit(0), outcomes).count() == 0
+    assert url_reputation.url_verdicts(pages, outcomes.limit(0)).filter("verdict = 'block'").count() == 0
+
+
 def test_kernel_counts_gapped_triples():
     def brute(a, b, lam=toxicity.DECAY):
         from itertools import combinations
