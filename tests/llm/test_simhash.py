@@ -122,3 +122,18 @@ def test_embedding_is_a_lower_bound():
         a, b = rng.getrandbits(64), rng.getrandbits(64)
         counts = lambda x: np.array([(x >> 2 * s & 3).bit_count() for s in range(32)])
         assert abs(counts(a) - counts(b)).sum() <= (a ^ b).bit_count()
+
+
+def test_near_duplicates_of_a_whole_table_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text or "", 5).tolist()) for r in docs.collect()}
+    ids = sorted(i for i, s in sets.items() if s)
+    root = {i: i for i in ids}
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    groups = {i: r for i, r in root.items() if i != r or sum(q == r for q in root.values()) > 1}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == groups
