@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tempo.llm.common import doc_texts, written
 
 LEXICON = 50_000  # frequent words that are compiled
-_CACHE = 900_000  # merged words that a worker remembers
+_CACHE = 400_000  # merged words that a worker remembers: two workers with 900,000 each exceed 3 GB
 _COUNTED = 200_000
 _SHORT = 40  # bytes of a word that is merged together with others
 _AT_ONCE = 8_000_000  # characters whose distinct words are walked through the automaton together
