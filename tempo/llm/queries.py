@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tempo.llm import bpe, embedding_dedup, exact_dedup, licenses, packing, sentence_spans, simhash, suffix_array, toxicity, url_reputation
+from tempo.llm import alignment, bpe, embedding_dedup, exact_dedup, licenses, packing, sentence_spans, simhash, spelling, suffix_array, token_counts, toxicity, url_reputation
 from tempo.llm.common import table
 
 
@@ -18,6 +18,9 @@ def queries():
         "op5_bpe": lambda spark, sf_dir: bpe.encoded_digests(table(spark, sf_dir, "documents")),
         "op6_suffix_array": lambda spark, sf_dir: suffix_array.substring_digests(table(spark, sf_dir, "documents")),
         "op10_packing": lambda spark, sf_dir: packing.packed_pieces(table(spark, sf_dir, "documents")),
+        "op11_spelling": lambda spark, sf_dir: spelling.spelling_variants(table(spark, sf_dir, "documents")),
+        "op12_token_counts": lambda spark, sf_dir: token_counts.token_counts(table(spark, sf_dir, "documents")),
+        "op13_alignment": lambda spark, sf_dir: alignment.alignment_digests(table(spark, sf_dir, "documents")),
     }
 
 
