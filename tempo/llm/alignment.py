@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tempo.llm.common import doc_texts, in_tasks, written
 from tempo.llm.packing import _encoder
 
-_AT_ONCE = 16_000_000  # characters whose distinct pieces are encoded together
-_HELD = 4_000_000  # postings that a task holds before it passes them on
+_AT_ONCE = 6_000_000  # characters whose distinct pieces are encoded together
+_HELD = 1_000_000  # postings that a task holds before it passes them on
 _DENSE = 4096  # documents from which on a block is a bitmap instead of a list
 _BLOCK = 1 << 16
 _GROUP = 1 << 12  # pairs of one group from which on equal ones are counted before they are formed
