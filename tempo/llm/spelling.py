@@ -4,7 +4,8 @@ Two words that differ by one code point share most of their bigrams. Each word k
 picks, by dynamic programming, two disjoint ones among them that are rarest together (its pivots). One edit touches one
 of two disjoint bigrams at most, so the other pivot of one word stands in the other's prefix, moved by no more than the
 difference of the lengths: the word whose prefix ends earlier in the order of rarity has such a pivot. Words meet where a
-pivot and a prefix bigram agree in gram, position and length, and pairs that meet are verified.
+pivot and a prefix bigram agree in gram, position and length and the words agree on one side of it, for the edit is on the
+other; pairs that meet are verified.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ THINNED = 199  # one occurrence in so many loses a code point
 LEAST_LENGTH, LEAST_COUNT = 6, 5
 FACTOR = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A pivot before the edit stays where it is, one behind it moves by the difference of the lengths: (length, position).
-_SHIFTS = ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))
+# A pivot before the edit stays where it is, and all before it; one behind it moves by the difference of the lengths, with
+# all behind it: (length, position, side that agrees).
+_SHIFTS = ((0, 0, "before"), (0, 0, "behind"), (1, 0, "before"), (1, 1, "behind"), (-1, 0, "before"), (-1, -1, "behind"))
 
 
 def occurring(run: Column, doc_id: Column) -> Column:
@@ -90,11 +92,12 @@ def with_signatures(words: DataFrame) -> DataFrame:
 
 def near_words(words: DataFrame) -> DataFrame:
     """word, near: all ordered pairs of ``words`` (distinct, three code points at least) that differ by one code point."""
-    signed = written(with_signatures(words)).withColumn("length", F.length("word"))
-    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("longer"), F.lit(b).alias("moved")) for a, b in _SHIFTS]))
-    probes = signed.filter("pivot").withColumn("s", shifts).select(F.col("word").alias("a"), "gram", (F.col("pos") + F.col("s.moved")).alias("pos"), (F.col("length") + F.col("s.longer")).alias("length"))
-    met = probes.join(signed.select(F.col("word").alias("b"), "gram", "pos", "length"), ["gram", "pos", "length"])
-    near = met.filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
+    signed = written(with_signatures(words))
+    sides = {"before": F.substring("word", F.lit(1), F.col("pos")), "behind": F.substring("word", F.col("pos") + 3, F.length("word"))}
+    place = lambda moved, longer, side: F.xxhash64("gram", F.col("pos") + moved, F.length("word") + longer, F.lit(side), sides[side])
+    probes = signed.filter("pivot").select(F.col("word").alias("a"), F.explode(F.array(*[place(b, a, side) for a, b, side in _SHIFTS])).alias("place"))
+    index = signed.select(F.col("word").alias("b"), F.explode(F.array(*[place(0, 0, side) for side in sides])).alias("place"))
+    near = probes.join(index, "place").filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"))))
     return near.select(both.alias("p")).select("p.word", "p.near").distinct()
 
