@@ -13,12 +13,13 @@ from tempo.functions.windows import o
 from tempo.operators import stats
 from tempo.operators.features import BLOCKED, RULES, blend_scores, compute_features, rule_score, trailing_ranks
 from tempo.operators.labels import build_labels, hit_column
-from tempo.operators.models import UtilityRiskConfig, net_score, rescore, walk_forward_heads
-from tempo.operators.policy import PolicyConfig, apply_policy, best_per_window
+from tempo.operators.models import UtilityRiskConfig, net_score, walk_forward_heads, walk_forward_ridge
+from tempo.operators.policy import PolicyConfig, apply_policy, best_per_window, selected_by
 from tempo.operators.signals import SignalConfig, tuned_scores
 from tempo.operators.tuning import WINDOWS, calibrated, percentile_candidates, rule_candidates
 
 WEIGHTED = ("ceiling_bps", "hit_rate", "hit_favourable", "hit_closing", "currency_uplift_bps", "window_advantage_bps", "regret_bps", "bad_push_rate")
+SIGNIFICANT = {"window_advantage": "window_advantage_bps", "currency_uplift": "currency_gain_bps"}
 NULLS = ("hit_rate", "hit_favourable", "hit_closing", "currency_uplift_bps", "window_advantage_bps", "bad_push_rate")
 
 # Gates (name, metric, operator, bounds) and cadences (label, window, most, cooldown).
@@ -40,7 +41,6 @@ class BenchmarkSpec:
     fold_months: int = 6
     horizon: int = 10
     execution_offset: int = 1
-    scenario: str = "favourable_now"
     random_trials: int = 500
     bootstrap_trials: int = 1000
     seed: int = 0
@@ -125,6 +125,12 @@ def build_scores(panel: DataFrame, strategies: list[Strategy], features: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+def by_rule(strategies: list[Strategy], favourable: str, closing: str) -> Column:
+    """Of two columns the one that each row's strategy is judged by."""
+    late = [s.name for s in strategies if hit_column(s.scenario) == "held_window_closing"]
+    return F.when(F.col("strategy").isin(late), F.col(closing)).otherwise(F.col(favourable))
+
+
 def emit(scores: DataFrame, strategies: list[Strategy], policy: PolicyConfig) -> DataFrame:
     """strategy, iso, quote_date of the signals: one policy over all strategies, whose series it keeps apart."""
     series = F.concat_ws("|", "strategy", "iso")
@@ -169,6 +175,14 @@ def cells(signals: DataFrame, universe: DataFrame, hit: str) -> DataFrame:
     return found.join(top.groupBy("strategy", "iso", "fold").agg(F.avg("currency_gain_bps").alias("ceiling_bps")), ["strategy", "iso", "fold"], "left")
 
 
+def all_cells(cell: DataFrame, strategies: list[str], universe: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``cell`` with a row for every strategy, series and fold with days, its trading_days and per_week; ``strategies`` are few."""
+    days = universe.groupBy("iso", "fold").agg(F.count(F.lit(1)).alias("trading_days")).join(F.broadcast(ranges), "fold")
+    named = days.withColumn("strategy", F.explode(F.array(*[F.lit(n) for n in strategies])))
+    out = named.join(cell, ["strategy", "iso", "fold"], "left").withColumn("n_signals", F.coalesce("n_signals", F.lit(0).cast("long")))
+    return out.withColumn("per_week", F.col("n_signals") / (F.col("trading_days") / 5.0))
+
+
 def cadence(signals: DataFrame, keys: list[str]) -> DataFrame:
     """interval_cv, max_gap_days, series_share (share of gaps of five calendar days at most), n_signals per key."""
     gap = F.date_diff("quote_date", F.lag("quote_date").over(Window.partitionBy(*keys).orderBy("quote_date")))
@@ -193,14 +207,15 @@ def frequency(signals: DataFrame, panel: DataFrame) -> DataFrame:
     return n.join(days, "iso").select("iso", "n_signals", (F.col("n_signals") / (F.col("days") / 5.0)).alias("per_week"), (F.col("n_signals") / (F.col("days") / 21.0)).alias("per_month"))
 
 
-def per_corridor(cell: DataFrame, null: DataFrame, signals: DataFrame, days: DataFrame) -> DataFrame:
-    """Cells weighted by signals to (strategy, iso), with cadence, matched null, p-values and false discovery control."""
+def per_corridor(cell: DataFrame, null: DataFrame, signals: DataFrame, days: DataFrame, spec: BenchmarkSpec) -> DataFrame:
+    """Cells weighted by signals to (strategy, iso), with cadence, matched null, significance and false discovery control."""
     keys = ["strategy", "iso"]
     rolled = cell.groupBy(*keys).agg(F.sum("n_signals").alias("n_signals"), *[stats.weighted_mean(m, "n_signals").alias(m) for m in WEIGHTED])
     rhythm = cadence(signals, keys).drop("n_signals")
     pooled = stats.pooled_null(null, keys, list(NULLS))
     compared = null_comparison(rolled, pooled, keys)
-    out = rolled.join(rhythm, keys, "left").join(compared, keys, "left").join(days, "iso", "left")
+    tested = stats.significance(signals, keys, SIGNIFICANT, "quote_date", spec.horizon, spec.bootstrap_trials, spec.seed)
+    out = rolled.join(rhythm, keys, "left").join(compared, keys, "left").join(tested, keys, "left").join(days, "iso", "left")
     out = out.withColumn("per_week", F.col("n_signals") / (F.col("days") / 5.0)).drop("days")
     return stats.benjamini_hochberg(out, ["strategy"])
 
@@ -224,7 +239,7 @@ def null_comparison(observed: DataFrame, null: DataFrame, keys: list[str]) -> Da
 
 
 def leaderboard(corridors: DataFrame, null: DataFrame, signals: DataFrame, spec: BenchmarkSpec) -> DataFrame:
-    """One row per strategy, best uplift first; ceiling_share is the share of its own budget's ceiling in percent."""
+    """One row per strategy, by cbsb_score: its uplift as a share of its own budget's ceiling, in percent."""
     rolled = corridors.groupBy("strategy").agg(
         F.sum("n_signals").alias("total_signals"), F.count(F.lit(1)).alias("n_corridors"), *[stats.weighted_mean(m, "n_signals").alias(m) for m in (*WEIGHTED, "interval_cv", "series_share")],
         *[F.min(m).alias(f"{m}_worst_corridor") for m in WEIGHTED], F.avg("per_week").alias("per_week"), F.max("max_gap_days").alias("max_gap_days"),
@@ -233,10 +248,11 @@ def leaderboard(corridors: DataFrame, null: DataFrame, signals: DataFrame, spec:
     pooled = stats.pooled_null(null, ["strategy"], list(NULLS))
     compared = null_comparison(rolled, pooled, ["strategy"])
     order = signals.withColumn("_o", F.concat_ws("|", "iso", "quote_date"))
-    ci = stats.block_bootstrap(order, ["strategy"], "window_advantage_bps", "_o", spec.horizon, spec.bootstrap_trials, spec.seed)
-    hac = stats.newey_west(order, ["strategy"], "currency_gain_bps", "_o").select("strategy", F.col("t_stat").alias("currency_uplift_t"))
-    out = rolled.join(compared, "strategy", "left").join(ci.withColumnsRenamed({"ci_low": "window_advantage_ci_low", "ci_high": "window_advantage_ci_high"}), "strategy", "left").join(hac, "strategy", "left")
-    return out.withColumn("ceiling_share", F.when(F.col("ceiling_bps") > 0, 100 * F.col("currency_uplift_bps") / F.col("ceiling_bps"))).orderBy(F.desc("currency_uplift_bps"))
+    tested = stats.significance(order, ["strategy"], SIGNIFICANT, "_o", spec.horizon, spec.bootstrap_trials, spec.seed)
+    out = rolled.join(compared, "strategy", "left").join(tested, "strategy", "left")
+    told = F.create_map(*[F.lit(x) for s in STRATEGIES.values() for x in (s.name, f"{s.scenario}|{s.selection}")])[F.col("strategy")]
+    out = out.withColumns({"scenario": F.substring_index(told, "|", 1), "selection": F.substring_index(told, "|", -1)})
+    return out.withColumn("cbsb_score", F.when(F.col("ceiling_bps") > 0, F.col("currency_uplift_bps") / F.col("ceiling_bps") * 100)).orderBy(F.desc_nulls_last("cbsb_score"))
 
 
 def evaluate_gates(board: DataFrame, gates=GATES) -> DataFrame:
@@ -261,33 +277,66 @@ def gate_verdicts(checked: DataFrame) -> DataFrame:
     return found.withColumn("verdict", F.when(F.col("n_passed") == F.col("n_gates"), "pass").otherwise("fail"))
 
 
-def horizon_table(panel: DataFrame, signals: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10, 20), scenario: str = "favourable_now", offset: int = 1) -> DataFrame:
-    """Hit rate per strategy at each horizon, as columns."""
-    keys, hit = signals.select("strategy", "iso", "quote_date").distinct(), hit_column(scenario)
-    parts = [keys.join(build_labels(panel, h, offset).filter("outcome_complete").select("iso", "quote_date", F.lit(h).alias("h"), F.col(hit).cast("int").alias("hit")), ["iso", "quote_date"]) for h in horizons]
+def horizon_table(panel: DataFrame, signals: DataFrame, horizons: tuple[int, ...] = (1, 3, 5, 10, 20), offset: int = 1) -> DataFrame:
+    """Hit rate per strategy, by its own rule, at each horizon, as columns."""
+    keys = signals.select("strategy", "iso", "quote_date").distinct()
+    known = list(STRATEGIES.values())
+    parts = []
+    for h in horizons:
+        outcomes = build_labels(panel, h, offset).filter("outcome_complete").select("iso", "quote_date", "held_favourable", "held_window_closing")
+        parts.append(keys.join(outcomes, ["iso", "quote_date"]).select("strategy", F.lit(h).alias("h"), by_rule(known, "held_favourable", "held_window_closing").cast("int").alias("hit")))
     table = reduce(DataFrame.unionByName, parts).groupBy("strategy").pivot("h", list(horizons)).agg(F.avg("hit"))
     return table.withColumnsRenamed({str(h): f"hit_h{h}" for h in horizons})
 
 
-def cadence_sweep(scores: DataFrame, labels: DataFrame, cadences=CADENCES) -> DataFrame:
-    """What each communication budget is worth: one plan per budget over the same scores."""
-    parts = []
-    for label, window, most, cooldown in cadences:
-        sent = apply_policy(scores, PolicyConfig(window, most, cooldown)).filter("decision").select("iso", "quote_date")
-        done = sent.join(labels.filter("outcome_complete").select("iso", "quote_date", "currency_gain_bps"), ["iso", "quote_date"])
-        parts.append(done.agg(F.lit(label).alias("cadence"), F.lit(most / (1.0 if window == "week" else 4.35)).alias("nominal_per_week"), F.count(F.lit(1)).alias("n_signals"), F.avg("currency_gain_bps").alias("currency_uplift_bps")))
-    return reduce(DataFrame.unionByName, parts)
+def evaluated_days(panel: DataFrame, spec: BenchmarkSpec) -> DataFrame:
+    """The labelled days with a whole outcome from the start of the evaluation on."""
+    labels = build_labels(panel, spec.horizon, spec.execution_offset).filter("outcome_complete")
+    return labels.filter(F.col("quote_date") >= F.lit(spec.eval_start).cast("date"))
+
+
+def _per_week(n: Column, series: Column, days: Column) -> Column:
+    """Signals a series and trading week: ``n`` over ``series`` series that have ``days`` days together."""
+    return (n / series) / ((days / series) / 5.0)
+
+
+def cadence_sweep(scores: DataFrame, strategies: list[Strategy], universe: DataFrame, cadences=CADENCES, spec: BenchmarkSpec = BenchmarkSpec()) -> DataFrame:
+    """What each communication budget is worth: a row per budget and strategy, also without a signal.
+
+    All budgets spend the same scores in one pass. Rhythm is measured within series and weighted by their signals.
+    """
+    policies = {label: PolicyConfig(window, most, cooldown, spec.policy.threshold_lookback, spec.policy.minimum_threshold_history) for label, window, most, cooldown in cadences}
+    keys = ["cadence", "strategy"]
+    floors = [F.when(F.col("strategy") == s.name, F.lit(s.minimum_score).cast("double")) for s in strategies if s.minimum_score is not None]
+    rows = scores.withColumns({"minimum_score": F.coalesce(*floors, F.lit(None).cast("double")), "iso": F.concat_ws("|", "strategy", "iso")})
+    sent = selected_by(rows, policies).select(F.col("policy").alias("cadence"), F.substring_index("iso", "|", 1).alias("strategy"), F.substring_index("iso", "|", -1).alias("iso"), "quote_date")
+    done = cut_lineage(sent.join(universe, ["iso", "quote_date"]))
+    size = universe.agg(F.count_distinct("iso").alias("_series"), F.count(F.lit(1)).alias("_days"))
+    worth = done.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_signals"), F.avg("currency_gain_bps").alias("currency_uplift_bps"), F.avg(F.col("held_window_closing").cast("double")).alias("hit_closing"), F.avg(F.col("bad_push").cast("double")).alias("bad_push_rate")
+    )
+    rhythm = cadence(done, [*keys, "iso"]).filter("interval_cv is not null")
+    paced = rhythm.groupBy(*keys).agg(stats.weighted_mean("interval_cv", "n_signals").alias("interval_cv"), stats.weighted_mean("series_share", "n_signals").alias("series_share"), F.max("max_gap_days").alias("max_gap_days"))
+    budget = F.explode(F.array(*[F.struct(F.lit(a).alias("cadence"), F.lit(b).alias("window"), F.lit(c).alias("max_per_window"), F.lit(d).alias("cooldown")) for a, b, c, d in cadences]))
+    grid = size.select("*", budget.alias("b")).select("_series", "_days", "b.*", F.explode(F.array(*[F.lit(s.name) for s in strategies])).alias("strategy"))
+    out = grid.join(worth, keys, "left").join(paced, keys, "left").withColumn("n_signals", F.coalesce("n_signals", F.lit(0).cast("long")))
+    return out.withColumn("per_week", _per_week(F.col("n_signals"), F.col("_series"), F.col("_days"))).drop("_series", "_days")
+
 
+def swept_strategies(names: list[str]) -> list[Strategy]:
+    """Those of the strategies whose scores the cadence sweep spends."""
+    return [get_strategy(n) for n in ("oracle", "percentile", "utility_risk") if n in names]
 
-def fold_assigned_signals(panel: DataFrame, names: list[str], spec: BenchmarkSpec) -> tuple[DataFrame, DataFrame]:
-    """Labelled signals of the strategies and all labelled days, both with their fold."""
+
+def fold_assigned_signals(panel: DataFrame, names: list[str], spec: BenchmarkSpec, usd: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled signals of the strategies with ``held`` by each one's rule, all labelled days, both with their fold, and the folds."""
     labels = build_labels(panel, spec.horizon, spec.execution_offset).filter("outcome_complete")
     ranges = folds(panel.sparkSession, spec.eval_start, labels.agg(F.max("quote_date")), spec.fold_months)
     strategies = [get_strategy(n) for n in names]
-    features = cut_lineage(compute_features(panel))
+    features = cut_lineage(compute_features(panel, usd))
     sent = emit(cut_lineage(build_scores(panel, strategies, features, spec)), strategies, spec.policy)
     signals = in_folds(sent.join(labels, ["iso", "quote_date"]), ranges)
-    return signals, in_folds(labels, ranges)
+    return signals.withColumn("held", by_rule(strategies, "held_favourable", "held_window_closing")), in_folds(labels, ranges), ranges
 
 
 @dataclass
@@ -301,43 +350,82 @@ class BenchmarkResult:
     null: DataFrame
 
 
-def run_benchmark(panel: DataFrame, spec: BenchmarkSpec = BenchmarkSpec(), names: list[str] | None = None) -> BenchmarkResult:
+def run_benchmark(panel: DataFrame, spec: BenchmarkSpec = BenchmarkSpec(), names: list[str] | None = None, usd: DataFrame | None = None) -> BenchmarkResult:
     """All tables of one evaluation; signals, labelled days, cells and the null feed several of them and are kept as tables."""
-    signals, universe = fold_assigned_signals(panel, names or ["percentile", "zscore", "drawdown", "oracle"], spec)
-    hit = hit_column(spec.scenario)
+    names = names or ["percentile", "zscore", "drawdown", "oracle"]
+    strategies = [get_strategy(n) for n in names]
+    signals, universe, ranges = fold_assigned_signals(panel, names, spec, usd)
     signals, universe = cut_lineage(signals), cut_lineage(universe)
-    universe = universe.withColumns({"hit_rate": F.col(hit), "hit_favourable": F.col("held_favourable"), "hit_closing": F.col("held_window_closing"), "currency_uplift_bps": F.col("currency_gain_bps"), "bad_push_rate": F.col("bad_push")})
-    cell = cut_lineage(cells(signals, universe, hit))
-    null = stats.fold_null(universe, cell, spec.random_trials, spec.seed, list(NULLS))
-    null = cut_lineage(null)
+    universe = universe.withColumns({"hit_favourable": F.col("held_favourable"), "hit_closing": F.col("held_window_closing"), "currency_uplift_bps": F.col("currency_gain_bps"), "bad_push_rate": F.col("bad_push")})
+    cell = cut_lineage(all_cells(cells(signals, universe, "held"), names, universe, ranges))
+    # days are drawn with both hit rules, each strategy then reads its own
+    null = stats.fold_null(universe, cell, spec.random_trials, spec.seed, [m for m in NULLS if m != "hit_rate"])
+    null = cut_lineage(null.withColumn("hit_rate", by_rule(strategies, "hit_favourable", "hit_closing")))
     days = universe.groupBy("iso").agg(F.countDistinct("quote_date").alias("days"))
-    corridors = cut_lineage(per_corridor(cell, null, signals, days))
+    corridors = cut_lineage(per_corridor(cell, null, signals, days, spec))
     board = cut_lineage(leaderboard(corridors, null, signals, spec))
-    return BenchmarkResult(signals, cell, corridors, board, evaluate_gates(board), horizon_table(panel, signals, scenario=spec.scenario, offset=spec.execution_offset), null)
+    return BenchmarkResult(signals, cell, corridors, board, evaluate_gates(board), horizon_table(panel, signals, offset=spec.execution_offset), null)
+
+
+def prefixes(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Each series' rows up to each of its cuts (iso, cut), as a series of its own that is named iso@cut."""
+    kept = rows.join(cuts, "iso").filter("quote_date <= cut")
+    return kept.withColumn("iso", F.concat_ws("@", "iso", F.date_format("cut", "yyyy-MM-dd")))
+
+
+def score_builders(spec: BenchmarkSpec = BenchmarkSpec()) -> dict:
+    """The shipped scores that look back on outcomes, each as (panel, USD series) -> rows with ``score``."""
+
+    def ridge(panel: DataFrame, usd: DataFrame | None) -> DataFrame:
+        return walk_forward_ridge(compute_features(panel, usd), panel).withColumnRenamed("prediction", "score")
+
+    def heads(panel: DataFrame, usd: DataFrame | None) -> DataFrame:
+        return walk_forward_heads(panel, compute_features(panel, usd), UtilityRiskConfig(horizon=spec.horizon, execution_offset=spec.execution_offset))
 
+    return {"tuned": lambda panel, usd: tuned_scores(panel), "ridge": ridge, "utility_risk": heads}
 
-def audit_no_lookahead(build, panel: DataFrame, cut: str, tolerance: float = 1e-9) -> DataFrame:
-    """Scores of ``build(panel)`` up to a date against those from quotes up to it: n, missing, differing, largest gap."""
-    upto = F.col("quote_date") <= F.lit(cut).cast("date")
-    full = build(panel).filter(upto).select("iso", "quote_date", F.col("score").alias("a"))
-    known = build(panel.filter(upto)).select("iso", "quote_date", F.col("score").alias("b"))
-    both = full.join(known, ["iso", "quote_date"], "full")
-    gap = F.abs(F.col("a") - F.col("b"))
-    lost = F.col("a").isNull() != F.col("b").isNull()
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(lost).alias("missing"), F.count_if(gap > tolerance).alias("differing"), F.max(gap).alias("largest_gap"))
 
+def audit_no_lookahead(panel: DataFrame, usd: DataFrame | None, builders: dict, spec: BenchmarkSpec = BenchmarkSpec(), n_dates: int = 2, tolerance: float = 1e-9) -> DataFrame:
+    """score_name, iso, cut, historical_score, asof_score, abs_difference, matched, reason.
 
-def lambda_sweep(scores: DataFrame, labels: DataFrame, policy: PolicyConfig, grid: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0, 4.0)) -> DataFrame:
-    """What each price of risk is worth; the heads' scores are projected again, not fitted."""
-    done = labels.filter("outcome_complete").select("iso", "quote_date", "currency_gain_bps", "bad_push")
+    Quotes after a cut are deleted, not masked: the panel and the USD series are cut at evenly spaced dates of each
+    series' evaluated scores, and all prefixes are scored in one plan per score.
+    """
+    usd = panel.filter("iso = 'USD'") if usd is None else usd
     parts = []
-    for lam in grid:
-        sent = apply_policy(rescore(scores, lam).select("quote_date", "available_on", "iso", "rub_per_unit", "score"), policy).filter("decision")
-        joined = sent.select("iso", "quote_date").join(done, ["iso", "quote_date"])
-        parts.append(joined.agg(F.lit(lam).alias("lam"), F.count(F.lit(1)).alias("n_signals"), F.avg("currency_gain_bps").alias("currency_uplift_bps"), F.avg(F.col("bad_push").cast("double")).alias("bad_push_rate")))
+    for name, build in builders.items():
+        full = cut_lineage(build(panel, usd).filter("score is not null").select("iso", "quote_date", "score"))
+        evaluated = full.filter(F.col("quote_date") >= F.lit(spec.eval_start).cast("date"))
+        cuts = cut_lineage(evenly_spaced(evaluated, n_dates).select("iso", F.col("quote_date").alias("cut")).distinct())
+        context = prefixes(usd, cuts.select(F.lit("USD").alias("iso"), "cut").distinct())
+        live = build(prefixes(panel, cuts), context).select(F.substring_index("iso", "@", 1).alias("iso"), F.substring_index("iso", "@", -1).cast("date").alias("cut"), "quote_date", F.col("score").alias("asof_score"))
+        then = full.select("iso", F.col("quote_date").alias("cut"), F.col("score").alias("historical_score"))
+        both = cuts.join(then, ["iso", "cut"]).join(live.filter("quote_date = cut").drop("quote_date"), ["iso", "cut"], "left")
+        gap = F.abs(F.col("asof_score") - F.col("historical_score"))
+        reason = F.when(F.col("asof_score").isNull(), "score missing in one of the runs").otherwise("")
+        parts.append(both.select(F.lit(name).alias("score_name"), "iso", "cut", "historical_score", "asof_score", gap.alias("abs_difference"), F.coalesce(gap < tolerance, F.lit(False)).alias("matched"), reason.alias("reason")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def lambda_sweep(heads: DataFrame, universe: DataFrame, policy: PolicyConfig, grid: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0, 3.0, 5.0)) -> DataFrame:
+    """What each price of risk is worth, a row each, also without a signal; the heads' scores are projected again, not fitted.
+
+    A day is sent only if it beats the base rates (a floor of 0).
+    """
+    variants = {f"utility_risk_lam{lam:g}": lam for lam in grid}
+    strategies = [Strategy(name, "model", "favourable_now", str(lam), minimum_score=0.0) for name, lam in variants.items()]
+    sent = emit(_stacked(heads, {s.name: net_score(float(s.family)) for s in strategies}), strategies, policy).join(universe, ["iso", "quote_date"])
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    worth = sent.groupBy("strategy").agg(
+        F.count(F.lit(1)).alias("n_signals"), mean("held_favourable").alias("hit_rate"), mean("currency_gain_bps").alias("currency_uplift_bps"), mean("window_advantage_bps").alias("window_advantage_bps"),
+        mean("bad_push").alias("bad_push_rate"), mean("regret_bps").alias("regret_bps"),
+    )
+    size = universe.agg(F.count_distinct("iso").alias("_series"), F.count(F.lit(1)).alias("_days"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("strategy"), F.lit(float(lam)).alias("lam")) for name, lam in variants.items()]))
+    out = size.select("*", each.alias("v")).select("_series", "_days", "v.*").join(worth, "strategy", "left").withColumn("n_signals", F.coalesce("n_signals", F.lit(0).cast("long")))
+    return out.withColumn("per_week", _per_week(F.col("n_signals"), F.col("_series"), F.col("_days"))).drop("_series", "_days", "strategy")
+
+
 def evenly_spaced(rows: DataFrame, n: int) -> DataFrame:
     """``n`` rows of each series at even positions from the first to the last."""
     w = Window.partitionBy("iso")

@@ -38,12 +38,16 @@ def seasonal_zscore() -> Column:
 
 
 def usd_strength(usd: DataFrame, span: int = 60) -> DataFrame:
-    """quote_date, rub_strength: the USD series against its exponential mean."""
-    return with_ewma(usd.select("iso", "quote_date", V), V, (span,)).select("quote_date", (F.col(V) / F.col(f"mean_{span}") - 1).alias("rub_strength"))
+    """quote_date, rub_strength: the USD series against its exponential mean; of each cut by itself where there are cuts."""
+    kept = [c for c in ("quote_date", "cut") if c in usd.columns]
+    return with_ewma(usd.select("iso", V, *kept), V, (span,)).select(*kept, (F.col(V) / F.col(f"mean_{span}") - 1).alias("rub_strength"))
 
 
 def compute_features(panel: DataFrame, usd: DataFrame | None = None, ewma_span: int = 60, pct_window: int = 250, vol_window: int = 20, dd_window: int = 60) -> DataFrame:
-    """The panel with all features. ``usd`` is the USD series, from the panel itself unless given."""
+    """The panel with all features. ``usd`` is the USD series, from the panel itself unless given.
+
+    Where both are cut into prefixes (a column ``cut``), a prefix meets the USD series of the same cut only.
+    """
     df = with_ewma(panel, V, (ewma_span,))
     df = df.withColumns({
         "residual": F.col(V) - F.col(f"mean_{ewma_span}"), "ewma_zscore": ew_zscore(V, ewma_span), "ret_1": log_return(V, 1), "ret_5": log_return(V, 5),
@@ -57,7 +61,7 @@ def compute_features(panel: DataFrame, usd: DataFrame | None = None, ewma_span:
     })
     df = with_streak(df.withColumn("vol_ratio", F.col("vol_20") / F.nullif(F.col("vol_60"), F.lit(0.0))), V, "down_streak")
     strength = usd_strength(panel.filter("iso = 'USD'") if usd is None else usd, ewma_span)  # one series: a row per day
-    return calendar(df).join(strength, "quote_date", "left").select("quote_date", "available_on", "iso", V, *FEATURES)
+    return calendar(df).join(strength, [c for c in ("quote_date", "cut") if c in strength.columns], "left").select("quote_date", "available_on", "iso", V, *FEATURES)
 
 
 def rule_score(rule: str) -> Column:

@@ -14,7 +14,7 @@ from tempo.functions.windows import o, ordered_scan
 from tempo.operators.features import FEATURES, rule_matrix
 from tempo.operators.labels import build_labels, make_target, matured_before
 
-RAW = tuple(f for f in FEATURES if f != "rub_strength")
+RAW = FEATURES
 RULE_COLUMNS = ("percentile", "zscore", "momentum", "drawdown", "seasonal", "near_min", "turned_up")
 
 
@@ -55,7 +55,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30, tol
     return coef, float(w[-1] - coef @ mean)
 
 
-def walk_forward_ridge(features: DataFrame, panel: DataFrame, horizon: int = 20, alpha: float = 10.0, min_train: int = 500, columns: tuple[str, ...] = RAW) -> DataFrame:
+def walk_forward_ridge(features: DataFrame, panel: DataFrame, horizon: int = 20, alpha: float = 1.0, min_train: int = 500, columns: tuple[str, ...] = RAW) -> DataFrame:
     """Adds ``prediction``: a ridge on all rows whose target was known, refitted at every row.
 
     The state of a series is moment sums and the rows that are not known yet, so memory does not grow with it.
@@ -93,15 +93,15 @@ def walk_forward_ridge(features: DataFrame, panel: DataFrame, horizon: int = 20,
 class UtilityRiskConfig:
     horizon: int = 10
     execution_offset: int = 1
-    min_train: int = 500
+    min_train: int = 750
     refit_every: int = 21
-    ridge_alpha: float = 10.0
+    ridge_alpha: float = 1.0
     logit_l2: float = 1.0
     lam: float = 2.0
     feature_set: str = "raw"
 
     def __post_init__(self):
-        if self.feature_set not in ("raw", "rules", "both") or min(self.horizon, self.min_train, self.refit_every) < 1:
+        if self.feature_set not in ("raw", "rules", "both") or min(self.horizon, self.min_train, self.refit_every) < 1 or self.lam < 0:
             raise ValueError("not a configuration of the heads")
 
     @property

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempo.functions.windows import o, ordered_scan, window_id
@@ -72,33 +72,37 @@ def with_thresholds(scores: DataFrame, config: PolicyConfig) -> DataFrame:
     return df.withColumn("thresholds", F.array(*[threshold(s) for s in range(config.max_signals_per_window + 1)])).drop("_q")
 
 
+def decide(state: dict, config: PolicyConfig, window: str, at: int, score: float, limits: list, history: int) -> tuple[str, int, int]:
+    """(reason, slots before, cooldown remaining) of one day; ``state`` keeps the window, what it has used and the last day sent."""
+    if window != state.get("window"):
+        state |= {"window": window, "used": 0}
+    slots = config.max_signals_per_window - state["used"]
+    rest = max(0, config.cooldown_observations - (at - state["last"]) + 1) if "last" in state else 0
+    if history < config.minimum_threshold_history:
+        return "threshold_warmup", slots, rest
+    if slots <= 0:
+        return "window_budget_exhausted", slots, rest
+    if rest > 0:
+        return "cooldown", slots, rest
+    if score < limits[slots]:
+        return "below_threshold", slots, rest
+    state["used"] += 1
+    state["last"] = at
+    return "selected", slots, rest
+
+
 def apply_policy(scores: DataFrame, config: PolicyConfig = PolicyConfig()) -> DataFrame:
     """Every scored day with slots, threshold, decision and its reason.
 
     Reasons in order of precedence: threshold_warmup, window_budget_exhausted, cooldown, below_threshold, selected.
     """
-    most, wait = config.max_signals_per_window, config.cooldown_observations
+    most = config.max_signals_per_window
 
     def step(state: dict, part: pd.DataFrame) -> dict:
         out = {k: [] for k in ("slots_before", "slots_after", "cooldown_remaining", "threshold", "pacing_quantile", "decision", "decision_reason")}
         for window, at, seen, score, limits, history in zip(part["window_id"], part["observation_position"], part["seen"], part["score"], part["thresholds"], part["score_history_count"], strict=True):
-            if window != state.get("window"):
-                state |= {"window": window, "used": 0}
-            slots = most - state["used"]
-            rest = max(0, wait - (at - state["last"]) + 1) if "last" in state else 0
+            reason, slots, rest = decide(state, config, window, at, score, limits, history)
             limit = limits[slots]
-            if history < config.minimum_threshold_history:
-                reason = "threshold_warmup"
-            elif slots <= 0:
-                reason = "window_budget_exhausted"
-            elif rest > 0:
-                reason = "cooldown"
-            elif score < limit:
-                reason = "below_threshold"
-            else:
-                reason = "selected"
-                state["used"] += 1
-                state["last"] = at
             out["slots_before"].append(slots)
             out["slots_after"].append(most - state["used"])
             out["cooldown_remaining"].append(rest)
@@ -113,6 +117,47 @@ def apply_policy(scores: DataFrame, config: PolicyConfig = PolicyConfig()) -> Da
     return done.withColumn("threshold", F.when(~F.isnan("threshold"), F.col("threshold"))).drop("thresholds")
 
 
+def selected_by(scores: DataFrame, policies: dict[str, PolicyConfig]) -> DataFrame:
+    """policy, iso, quote_date of the days that each of a few policies selects, in one pass over the sorted rows.
+
+    The state of a series is one budget per policy. Policies of one lookback share the window that gives their quantiles,
+    those of one calendar window share its count. A column ``minimum_score`` takes the place of the policies' own.
+    """
+    configs = list(policies.values())
+    own = "minimum_score" in scores.columns
+    df = scores.filter("score is not null and not isnan(score)").withColumn("decision_date", F.coalesce("available_on", "quote_date"))
+    kinds, lookbacks = sorted({c.window for c in configs}), sorted({c.threshold_lookback for c in configs})
+    levels = {n: sorted({q for c in configs if c.threshold_lookback == n for q in c.levels()}) for n in lookbacks}
+    df = df.withColumns({f"window_{k}": window_id("decision_date", k) for k in kinds}).withColumn("at", F.row_number().over(o()) - 1)
+    df = df.withColumns({f"seen_{k}": F.row_number().over(Window.partitionBy("iso", f"window_{k}").orderBy("quote_date")) for k in kinds})
+    for n in lookbacks:
+        past = o().rowsBetween(-n, -1)
+        asked = ", ".join(f"{q!r}D" for q in levels[n])
+        df = df.withColumns({f"held_{n}": F.count("score").over(past), f"q_{n}": F.expr(f"percentile(score, array({asked}))").over(past)})
+
+    def limits(c: PolicyConfig) -> Column:
+        place = {q: i for i, q in enumerate(levels[c.threshold_lookback])}
+        places = F.array(*[F.lit(place[q]) for q in c.levels()])
+        left = F.greatest(F.lit(1), c.expected - F.col(f"seen_{c.window}") + 1)
+        floor = F.col("minimum_score") if own else F.lit(c.minimum_score).cast("double")
+        each = [F.get(f"q_{c.threshold_lookback}", F.get(places, s * c.expected + left - 1)) for s in range(c.max_signals_per_window + 1)]
+        return F.array(*[F.greatest(q, F.when(q.isNotNull(), floor)) for q in each])
+
+    df = df.select("iso", "quote_date", "at", "score", *[f"window_{k}" for k in kinds], *[f"held_{n}" for n in lookbacks], F.array(*[limits(c) for c in configs]).alias("limits"))
+
+    def step(states: list[dict], part: pd.DataFrame) -> dict:
+        sent = []
+        columns = [part[c] for c in ("at", "score", "limits")]
+        days = zip(*columns, *[part[f"window_{c.window}"] for c in configs], *[part[f"held_{c.threshold_lookback}"] for c in configs], strict=True)
+        for at, score, bounds, *rest in days:
+            sent.append([i for i, c in enumerate(configs) if decide(states[i], c, rest[i], at, score, bounds[i], rest[len(configs) + i])[0] == "selected"])
+        return {"sent": sent}
+
+    done = ordered_scan(df, [("sent", "array<int>")], lambda: [{} for _ in configs], step)
+    name = F.get(F.array(*[F.lit(p) for p in policies]), F.col("i"))
+    return done.select("iso", "quote_date", F.explode("sent").alias("i")).select(name.alias("policy"), "iso", "quote_date")
+
+
 def cooldown_emission(predictions: DataFrame, slots_per_week: float = 2, lookback: int = 250) -> DataFrame:
     """Days whose prediction exceeds the trailing (1 - slots / 5) quantile, ``round(5 / slots)`` observations apart."""
     q, wait = 1 - slots_per_week / 5, round(5 / slots_per_week)

@@ -31,12 +31,13 @@ def fold_null(universe: DataFrame, cells: DataFrame, trials: int, seed: int, met
     spent = cells.filter("n_signals > 0").select("strategy", "iso", "fold", "n_signals")
     sizes = universe.groupBy("iso", "fold").agg(F.count(F.lit(1)).alias("_days"))
     wanted = spent.join(sizes, ["iso", "fold"]).select("strategy", "iso", "fold", "n_signals", F.least("n_signals", "_days").alias("place"))
-    budgets = wanted.select("iso", "fold", "place").distinct()
+    most = wanted.groupBy("iso", "fold").agg(F.max("place").alias("most"))
     # every strategy of a fold draws the same days in the same order, so one order per trial serves all of them
-    pool = with_trials(universe.select("iso", "fold", "quote_date", *metrics).join(budgets.select("iso", "fold").distinct(), ["iso", "fold"]), trials)
-    order = Window.partitionBy("iso", "fold", "trial").orderBy(draw_key(seed, "trial", "iso", "quote_date"))
+    pool = with_trials(universe.select("iso", "fold", "quote_date", *metrics).join(most, ["iso", "fold"]), trials).withColumn("key", draw_key(seed, "trial", "iso", "quote_date"))
+    order = Window.partitionBy("iso", "fold", "trial").orderBy("key")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    drawn = pool.select("iso", "fold", "trial", F.row_number().over(order).cast("long").alias("place"), *[F.avg(F.col(m).cast("double")).over(so_far).alias(m) for m in metrics])
+    taken = pool.withColumn("place", F.row_number().over(order).cast("long")).filter("place <= most")
+    drawn = taken.select("iso", "fold", "trial", "place", *[F.avg(F.col(m).cast("double")).over(so_far).alias(m) for m in metrics])
     return drawn.join(wanted, ["iso", "fold", "place"]).drop("place")
 
 
@@ -52,8 +53,8 @@ def pooled_null(null: DataFrame, keys: list[str], metrics: list[str]) -> DataFra
 
 
 def permutation_pvalue(null: DataFrame, observed: DataFrame, keys: list[str], value: str, alternative: str = "greater") -> DataFrame:
-    """(hits + 1) / (draws + 1) per key; ``observed`` has one row per key."""
-    both = null.select(*keys, F.col(value).alias("_n")).filter("_n is not null").join(observed.select(*keys, F.col(value).alias("_o")), keys)
+    """(hits + 1) / (draws + 1) per key; ``observed`` has one row per key. Values that agree to nine places are equal."""
+    both = null.select(*keys, F.round(value, 9).alias("_n")).filter("_n is not null").join(observed.select(*keys, F.round(value, 9).alias("_o")), keys)
     mid = F.avg("_n").over(Window.partitionBy(*keys))
     hit = {"greater": F.col("_n") >= F.col("_o"), "less": F.col("_n") <= F.col("_o"), "two-sided": F.abs(F.col("_n") - F.col("_m")) >= F.abs(F.col("_o") - F.col("_m"))}[alternative]
     return both.withColumn("_m", mid).groupBy(*keys).agg(((F.count_if(hit) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.count(F.lit(1)).alias("draws"))
@@ -86,21 +87,40 @@ def newey_west(values: DataFrame, keys: list[str], value: str, order: str) -> Da
     return mean.join(variance, keys).select(*keys, "n", "mean", se.alias("se"), (F.col("mean") / se).alias("t_stat"))
 
 
-def block_bootstrap(values: DataFrame, keys: list[str], value: str, order: str, block: int, trials: int, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """ci_low, ci_high of the mean from resampled blocks of consecutive values, cut to the original number."""
-    w = Window.partitionBy(*keys)
-    df = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"), F.col(order).alias("_o"))
-    df = df.withColumns({"n": F.count("x").over(w), "at": F.row_number().over(Window.partitionBy(*keys).orderBy("_o")) - 1}).drop("_o")
+def block_bootstrap(values: DataFrame, keys: list[str], value: str, order: str, block: int, trials: int, seed: int = 0, level: float = 0.95, draw_by: list[str] | None = None) -> DataFrame:
+    """ci_low, ci_high of the mean from resampled blocks of consecutive values, cut to the original number.
+
+    A block's sum is the difference of two running sums, so a trial reads two values a block instead of all of them.
+    Groups that agree in ``draw_by`` (all of ``keys`` unless given) draw the same numbers.
+    """
+    w, so_far = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    df = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"), F.col(order).alias("_o"))
+    sums = df.select(*keys, F.count("x").over(w).alias("n"), F.count("x").over(so_far).alias("at"), F.sum("x").over(so_far).alias("upto"))
     wide = F.least(F.lit(block), F.col("n"))
-    plan = with_trials(df.select(*keys, "n").distinct(), trials).withColumn("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / wide) - 1).cast("int"))))
-    number = F.conv(F.substring(draw_key(seed, *keys, "trial", "block"), 1, 12), 16, 10).cast("long")
-    plan = plan.withColumn("begin", F.pmod(number, F.col("n") - wide + 1)).withColumn("i", F.explode(F.sequence(F.lit(0), (wide - 1).cast("int"))))
-    plan = plan.filter(F.col("block") * wide + F.col("i") < F.col("n")).select(*keys, "trial", (F.col("begin") + F.col("i")).cast("int").alias("at"))
-    means = plan.join(df.select(*keys, "at", "x"), [*keys, "at"]).groupBy(*keys, "trial").agg(F.avg("x").alias("m"))
+    plan = with_trials(sums.filter("at = 1").select(*keys, "n"), trials).withColumn("block", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / wide) - 1).cast("int"))))
+    number = F.conv(F.substring(draw_key(seed, *(keys if draw_by is None else draw_by), "trial", "block"), 1, 12), 16, 10).cast("long")
+    plan = plan.withColumn("begin", F.pmod(number, F.col("n") - wide + 1))
+    stop = F.col("begin") + F.least(wide, F.col("n") - F.col("block") * wide)
+    ends = F.explode(F.array(F.struct(F.col("begin").cast("long").alias("at"), F.lit(-1.0).alias("sign")), F.struct(stop.cast("long").alias("at"), F.lit(1.0).alias("sign"))))
+    marks = plan.select(*keys, "trial", "n", ends.alias("e")).select(*keys, "trial", "n", "e.at", "e.sign").filter("at > 0")
+    means = marks.join(sums.select(*keys, "at", "upto"), [*keys, "at"]).groupBy(*keys, "trial", "n").agg((F.sum(F.col("sign") * F.col("upto")) / F.col("n")).alias("m"))
     low = (1 - level) / 2
     return means.groupBy(*keys).agg(F.expr(f"percentile(m, {low!r}D)").alias("ci_low"), F.expr(f"percentile(m, {1 - low!r}D)").alias("ci_high"))
 
 
+def significance(values: DataFrame, keys: list[str], columns: dict[str, str], order: str, block: int, trials: int, seed: int = 0) -> DataFrame:
+    """<name>_ci_low, <name>_ci_high, <name>_hac_se, <name>_hac_t of each of ``columns`` (name: column) per key.
+
+    Columns share the draws of their key; each counts its own values.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("x")) for name, c in columns.items()]))
+    tall = values.select(*keys, F.col(order).alias("_o"), each.alias("_v")).select(*keys, "_o", "_v.metric", "_v.x").filter("x is not null")
+    by = [*keys, "metric"]
+    both = block_bootstrap(tall, by, "x", "_o", block, trials, seed, draw_by=keys).join(newey_west(tall, by, "x", "_o"), by)
+    found = [F.first("ci_low").alias("ci_low"), F.first("ci_high").alias("ci_high"), F.first("se").alias("hac_se"), F.first("t_stat").alias("hac_t")]
+    return both.groupBy(*keys).pivot("metric", list(columns)).agg(*found)
+
+
 def histogram(values: DataFrame, keys: list[str], value: str, bins: int = 36) -> DataFrame:
     """bin (1-based), n between each key's least and greatest value; the greatest falls into the last bin."""
     w = Window.partitionBy(*keys)

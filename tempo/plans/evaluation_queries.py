@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempo.functions import windows as W
+from tempo.functions.storage import cut_lineage
 from tempo.operators import backtest as K
 from tempo.operators import benchmark as B
 from tempo.operators import evaluation as E
@@ -19,7 +20,7 @@ from tempo.operators import stats as T
 from tempo.operators import tuning as G
 from tempo.plans import service as C
 from tempo.plans import sql as Q
-from tempo.plans.panel_queries import V, features, on_p, p1, r, rounded, table
+from tempo.plans.panel_queries import V, features, on_p, p1, r, rounded, table, usd
 from tempo.sources import panel as N
 
 QUERIES = {}
@@ -277,8 +278,8 @@ _NULL = f"""nu AS (SELECT iso, fold, trial, n_signals, avg(CAST(held_favourable
   SELECT un.*, trial, n_signals, row_number() OVER (PARTITION BY un.iso, un.fold, trial ORDER BY {Q.md5_key(_SEED, 'trial', 'un.iso', 'un.quote_date')}) AS place FROM un JOIN ce USING (iso, fold), (SELECT unnest(range({_TRIALS})) AS trial)) WHERE place <= n_signals GROUP BY ALL),
 ni AS (SELECT iso, trial, sum(hit_rate * n_signals) / sum(n_signals) AS hit_rate, sum(currency_uplift_bps * n_signals) FILTER (currency_uplift_bps IS NOT NULL) / sum(n_signals) FILTER (currency_uplift_bps IS NOT NULL) AS currency_uplift_bps FROM nu GROUP BY iso, trial),
 ob AS (SELECT iso, sum(currency_uplift_bps * n_signals) FILTER (currency_uplift_bps IS NOT NULL) / sum(n_signals) FILTER (currency_uplift_bps IS NOT NULL) AS o, sum(hit_rate * n_signals) / sum(n_signals) AS oh FROM ce GROUP BY iso),
-pv AS (SELECT iso, (count(*) FILTER (currency_uplift_bps >= o) + 1) / (count(*) + 1)::DOUBLE AS p_value, count(*) AS draws FROM ni JOIN ob USING (iso) GROUP BY iso),
-ph AS (SELECT iso, (count(*) FILTER (hit_rate >= oh) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM ni JOIN ob USING (iso) GROUP BY iso)"""
+pv AS (SELECT iso, (count(*) FILTER (round(currency_uplift_bps, 9) >= round(o, 9)) + 1) / (count(*) + 1)::DOUBLE AS p_value, count(*) AS draws FROM ni JOIN ob USING (iso) GROUP BY iso),
+ph AS (SELECT iso, (count(*) FILTER (round(hit_rate, 9) >= round(oh, 9)) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM ni JOIN ob USING (iso) GROUP BY iso)"""
 
 
 def _nulls(s, d):
@@ -349,13 +350,13 @@ _GATED = (*_EVAL, _CELL, _NULL, _GAP, _BOOT, _GATE)
 
 def _gated(s, d):
     signals, universe, _ = _evaluated(s, d)
-    signals = signals.persist()
-    cell = B.cells(signals, universe, "held_favourable").persist()
+    signals = cut_lineage(signals)
+    cell = cut_lineage(B.cells(signals, universe, "held_favourable"))
     metrics = {"hit_rate": "held_favourable", "hit_favourable": "held_favourable", "hit_closing": "held_window_closing", "currency_uplift_bps": "currency_gain_bps", "bad_push_rate": "bad_push"}
     named = universe.withColumns({k: F.col(v) for k, v in metrics.items()})
     null = T.pooled_null(T.fold_null(named, cell, _TRIALS, _SEED, list(B.NULLS)), ["iso"], list(B.NULLS))
     observed = cell.groupBy("iso").agg(*[T.weighted_mean(c, "n_signals").alias(c) for c in B.WEIGHTED])
-    board = B.null_comparison(observed, null.persist(), ["iso"])
+    board = B.null_comparison(observed, cut_lineage(null), ["iso"])
     ci = T.block_bootstrap(signals, ["iso"], "window_advantage_bps", "quote_date", 10, 1000, _SEED).select("iso", F.col("ci_low").alias("window_advantage_ci_low"))
     days = universe.groupBy("iso").agg(F.countDistinct("quote_date").alias("days"))
     rhythm = B.cadence(signals, ["iso"]).join(days, "iso").withColumn("per_week", F.col("n_signals") / (F.col("days") / 5.0))
@@ -417,14 +418,145 @@ def _(s, d):
     return found
 
 
+# The benchmark. Heads need Newton steps, so the tables with SQL hold strategies of both rules and selections without them.
+
+_SPEC = B.BenchmarkSpec()
+_NAMED = ("percentile", "reversal", "oracle", "oracle_topk", "percentile_weekly")
+_LATE = ", ".join(f"'{n}'" for n in _NAMED if B.STRATEGIES[n].scenario == "window_closing")
+_WEEKLY_BEST = lambda name, score, source: f"SELECT '{name}' AS strategy, iso, quote_date FROM (SELECT *, row_number() OVER (PARTITION BY iso, {Q.week('quote_date')} ORDER BY {score} DESC, quote_date) AS n FROM {source} WHERE {score} IS NOT NULL) WHERE n <= 2"
+_STACK = f"""rv AS (SELECT *, CASE WHEN v > {Q.lag('v')} THEN -(v - {Q.roll('min', 'v', 90, 20)}) / {Q.roll('min', 'v', 90, 20)} ELSE -1e6 END AS near FROM p),
+sc AS (SELECT 'percentile|' || iso AS iso, quote_date, available_on, 1 - k AS score, CAST(NULL AS DOUBLE) AS floor FROM rk WHERE k IS NOT NULL
+  UNION ALL SELECT 'reversal|' || iso, quote_date, available_on, near, -1e5 FROM rv WHERE near IS NOT NULL UNION ALL SELECT 'oracle|' || iso, quote_date, available_on, currency_gain_bps, NULL FROM lab WHERE currency_gain_bps IS NOT NULL)"""
+_BOARD = f"""em AS (SELECT split_part(iso, '|', 1) AS strategy, split_part(iso, '|', 2) AS iso, quote_date FROM dec WHERE reason = 'selected' UNION ALL {_WEEKLY_BEST('percentile_weekly', '(1 - k)', 'rk')} UNION ALL {_WEEKLY_BEST('oracle_topk', 'currency_gain_bps', 'lab')}),
+un AS (SELECT lab.*, fold FROM lab JOIN fd ON quote_date BETWEEN fold_start AND fold_end WHERE ok), sg AS (SELECT strategy, un.*, CAST(CASE WHEN strategy IN ({_LATE}) THEN held_window_closing ELSE held_favourable END AS INT) AS held FROM un JOIN em USING (iso, quote_date)),
+ce0 AS (SELECT strategy, iso, fold, count(*) AS n_signals, avg(held) AS hit_rate, avg(CAST(held_favourable AS INT)) AS hit_favourable, avg(CAST(held_window_closing AS INT)) AS hit_closing, avg(currency_gain_bps) AS currency_uplift_bps,
+  avg(window_advantage_bps) AS window_advantage_bps, avg(regret_bps) AS regret_bps, avg(CAST(bad_push AS INT)) AS bad_push_rate FROM sg GROUP BY ALL),
+bs AS (SELECT iso, fold, currency_gain_bps AS g, row_number() OVER (PARTITION BY iso, fold ORDER BY currency_gain_bps DESC, quote_date) AS place FROM un WHERE currency_gain_bps IS NOT NULL),
+cl AS (SELECT strategy, iso, fold, avg(g) AS ceiling_bps FROM ce0 JOIN bs USING (iso, fold) WHERE place <= n_signals GROUP BY ALL),
+gr AS (SELECT iso, fold, any_value(fold_start) AS fold_start, any_value(fold_end) AS fold_end, count(*) AS trading_days FROM un JOIN fd USING (fold) GROUP BY ALL),
+ce AS (SELECT * REPLACE (coalesce(n_signals, 0) AS n_signals), coalesce(n_signals, 0) / (trading_days / 5.0) AS per_week FROM gr CROSS JOIN (SELECT unnest([{', '.join(f"'{n}'" for n in _NAMED)}]) AS strategy) LEFT JOIN ce0 USING (strategy, iso, fold) LEFT JOIN cl USING (strategy, iso, fold))"""
+_CELLED = ("ceiling_bps", "hit_rate", "hit_favourable", "hit_closing", "currency_uplift_bps", "window_advantage_bps", "regret_bps", "bad_push_rate")
+_WMEAN = lambda c, w="n_signals": f"sum({c} * {w}) FILTER ({c} IS NOT NULL AND {w} > 0) / sum({w}) FILTER ({c} IS NOT NULL AND {w} > 0)"
+# every strategy of a fold reads its own budget off one order of the days per trial
+_DRAWN = f"""dr AS (SELECT un.iso, un.fold, trial, held_favourable, held_window_closing, currency_gain_bps, window_advantage_bps, bad_push, row_number() OVER (PARTITION BY un.iso, un.fold, trial ORDER BY {Q.md5_key(_SPEC.seed, 'trial', 'un.iso', 'un.quote_date')}) AS place FROM un, (SELECT unnest(range({_SPEC.random_trials})) AS trial)),
+nu AS (SELECT strategy, iso, fold, trial, n_signals, avg(CAST(CASE WHEN strategy IN ({_LATE}) THEN held_window_closing ELSE held_favourable END AS INT)) AS hit_rate, avg(currency_gain_bps) AS currency_uplift_bps, avg(window_advantage_bps) AS window_advantage_bps, avg(CAST(bad_push AS INT)) AS bad_push_rate FROM dr JOIN (SELECT strategy, iso, fold, n_signals FROM ce0) USING (iso, fold) WHERE place <= n_signals GROUP BY ALL)"""
+
+
+def _compared(keys: str, source: str, name: str) -> str:
+    """CTEs to ``name``: lifts, deltas and p-values of ``source`` (with hit_rate, currency_uplift_bps, bad_push_rate) per ``keys``."""
+    return f"""{name}_t AS (SELECT {keys}, trial, {_WMEAN('hit_rate')} AS nh, {_WMEAN('currency_uplift_bps')} AS nc, {_WMEAN('bad_push_rate')} AS nb FROM nu GROUP BY {keys}, trial),
+{name} AS (SELECT {keys}, any_value(hit_rate) / avg(nh) AS hit_lift, any_value(currency_uplift_bps) - avg(nc) AS currency_uplift_delta_bps, any_value(bad_push_rate) - avg(nb) AS bad_push_delta, any_value(currency_uplift_bps) - quantile_cont(nc, 0.975) AS uplift_over_null_q975_bps,
+  (count(*) FILTER (round(nc, 9) >= round(currency_uplift_bps, 9)) + 1) / (count(nc) + 1)::DOUBLE AS p_value, (count(*) FILTER (round(nh, 9) >= round(hit_rate, 9)) + 1) / (count(nh) + 1)::DOUBLE AS p_value_hit FROM {name}_t JOIN {source} USING ({keys}) GROUP BY {keys})"""
+
+
+def _tested(keys: str, order: str, name: str) -> str:
+    """CTEs to ``name``: bootstrap bounds and Newey-West errors of both columns of ``sg`` per ``keys``."""
+    tall = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric, {c} AS x, {order} AS o FROM sg WHERE {c} IS NOT NULL" for m, c in B.SIGNIFICANT.items())
+    on, key = [*keys.split(", "), "metric"], Q.md5_key(_SPEC.seed, *keys.split(", "), "trial", "blk")
+    wide = ", ".join(f"any_value({c}) FILTER (metric = '{m}') AS {m}_{n}" for m in B.SIGNIFICANT for n, c in (("ci_low", "ci_low"), ("ci_high", "ci_high"), ("hac_se", "se"), ("hac_t", "mean / se")))
+    return f"""{name}_v AS (SELECT {keys}, metric, x, row_number() OVER w AS at, count(*) OVER (PARTITION BY {keys}, metric) AS n, x - avg(x) OVER (PARTITION BY {keys}, metric) AS d, sum(x) OVER w AS upto FROM ({tall}) WINDOW w AS (PARTITION BY {keys}, metric ORDER BY o ROWS UNBOUNDED PRECEDING)),
+{name}_p AS (SELECT *, CAST('0x' || substr({key}, 1, 12) AS BIGINT) % (n - w + 1) AS b, least(w, n - blk * w) AS len FROM (SELECT {keys}, metric, n, least({_SPEC.horizon}, n) AS w, trial, unnest(range(CAST(ceil(n / least({_SPEC.horizon}, n)::DOUBLE) AS BIGINT))) AS blk FROM (SELECT DISTINCT {keys}, metric, n FROM {name}_v), (SELECT unnest(range({_SPEC.bootstrap_trials})) AS trial))),
+{name}_b AS (SELECT {keys}, metric, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (SELECT {', '.join(f'q.{k}' for k in on)}, sum(e.upto - coalesce(s.upto, 0)) / any_value(q.n) AS m
+  FROM {name}_p q JOIN {name}_v e ON {' AND '.join(f'e.{k} = q.{k}' for k in on)} AND e.at = q.b + q.len LEFT JOIN {name}_v s ON {' AND '.join(f's.{k} = q.{k}' for k in on)} AND s.at = q.b GROUP BY {', '.join(f'q.{k}' for k in on)}, q.trial) GROUP BY ALL),
+{name}_l AS (SELECT a.*, b.d AS e, l FROM {name}_v a, unnest(range(CAST(floor(4 * pow(a.n / 100.0, 2.0 / 9)) AS BIGINT) + 1)) AS t(l), {name}_v b WHERE {' AND '.join(f'a.{k} = b.{k}' for k in on)} AND b.at = a.at - l),
+{name}_s AS (SELECT {keys}, metric, n, sum(CASE WHEN l = 0 THEN d * e ELSE 2 * (1 - l / (floor(4 * pow(n / 100.0, 2.0 / 9)) + 1)) * d * e END) / n AS var FROM {name}_l GROUP BY {keys}, metric, n),
+{name} AS (SELECT {keys}, {wide} FROM (SELECT {keys}, metric, ci_low, ci_high, mean, sqrt(var / n) AS se FROM {name}_b JOIN {name}_s USING ({keys}, metric) JOIN (SELECT {keys}, metric, avg(x) AS mean FROM {name}_v GROUP BY {keys}, metric) USING ({keys}, metric)) GROUP BY {keys})"""
+
+
+_CORRIDOR = f"""gp AS (SELECT *, date_diff('day', lag(quote_date) OVER (PARTITION BY strategy, iso ORDER BY quote_date), quote_date) AS gap FROM sg),
+rh AS (SELECT strategy, iso, stddev_samp(gap) / avg(gap) AS interval_cv, max(gap) AS max_gap_days, avg(CAST(gap <= 5 AS INT)) AS series_share FROM gp GROUP BY ALL),
+ro AS (SELECT strategy, iso, CAST(sum(n_signals) AS BIGINT) AS n_signals, {', '.join(f'{_WMEAN(c)} AS {c}' for c in _CELLED)}, sum(n_signals) / (sum(trading_days) / 5.0) AS per_week FROM ce GROUP BY ALL),
+{_compared('strategy, iso', 'ro', 'nc1')}, {_tested('strategy, iso', "CAST(quote_date AS VARCHAR)", 'st1')},
+qv AS (SELECT *, least(1.0, min(p_value * m / rk2) OVER (PARTITION BY strategy ORDER BY rk2 DESC ROWS UNBOUNDED PRECEDING)) AS q_value FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY p_value, iso) AS rk2, count(*) OVER (PARTITION BY strategy) AS m FROM nc1)),
+co AS (SELECT * FROM ro LEFT JOIN rh USING (strategy, iso) LEFT JOIN qv USING (strategy, iso) LEFT JOIN st1 USING (strategy, iso))"""
+_ROLLED = f"""bo AS (SELECT strategy, CAST(sum(n_signals) AS BIGINT) AS n_signals, count(*) AS n_corridors, {', '.join(f'{_WMEAN(c)} AS {c}' for c in (*_CELLED, 'interval_cv', 'series_share'))}, min(currency_uplift_bps) AS currency_uplift_bps_worst_corridor,
+avg(per_week) AS per_week, max(max_gap_days) AS max_gap_days, count(*) FILTER (currency_uplift_bps > 0) AS corridors_positive, count(*) FILTER (q_value <= 0.05) AS corridors_significant FROM co GROUP BY strategy),
+{_compared('strategy', 'bo', 'nc2')}, {_tested('strategy', "iso || '|' || CAST(quote_date AS VARCHAR)", 'st2')}"""
+_BENCHED = (_RK, _LAB, _FOLD, _STACK, _policy("floor"), _DEC, _BOARD)
+_TESTED = [f"{m}_{n}" for m in B.SIGNIFICANT for n in ("ci_low", "ci_high", "hac_se", "hac_t")]
+_COMPARED = ("hit_lift", "currency_uplift_delta_bps", "bad_push_delta", "uplift_over_null_q975_bps", "p_value", "p_value_hit")
+_CORRIDORS = [*_CELLED, "per_week", "interval_cv", "series_share", *_COMPARED, "q_value", *_TESTED]
+_BOARDED = [*_CELLED, "currency_uplift_bps_worst_corridor", "per_week", "interval_cv", "series_share", *_COMPARED, *_TESTED, "cbsb_score"]
+
+
+def _bench_sql(body: str, *more: str) -> str:
+    return f"WITH RECURSIVE {Q.P}, {', '.join((*_BENCHED, *more))} {body}"
+
+
+def _benched(s, d):
+    return B.run_benchmark(p1(s, d), names=list(_NAMED), usd=usd(s, d))
+
+
+@query("board_cells", _bench_sql("SELECT strategy, iso, fold, fold_start, fold_end, n_signals, trading_days, " + ", ".join(r(c, c, 4) for c in (*_CELLED, "per_week")) + " FROM ce"))
+def _(s, d):
+    return rounded(_benched(s, d).cells, *_CELLED, "per_week", digits=4, keep=("strategy", "iso", "fold", "fold_start", "fold_end", "n_signals", "trading_days"))
+
+
+@query("board_corridors", _bench_sql("SELECT strategy, iso, n_signals, CAST(max_gap_days AS BIGINT) AS max_gap_days, " + ", ".join(r(c, c, 4) for c in _CORRIDORS) + " FROM co", _DRAWN, _CORRIDOR))
+def _(s, d):
+    found = _benched(s, d).corridors.withColumn("max_gap_days", F.col("max_gap_days").cast("long"))
+    return rounded(found, *_CORRIDORS, digits=4, keep=("strategy", "iso", "n_signals", "max_gap_days"))
+
+
+@query("board", _bench_sql("SELECT strategy, n_signals, n_corridors, corridors_positive, corridors_significant, CAST(max_gap_days AS BIGINT) AS max_gap_days, " + ", ".join(r("CASE WHEN ceiling_bps > 0 THEN currency_uplift_bps / ceiling_bps * 100 END" if c == "cbsb_score" else c, c, 4) for c in _BOARDED) + " FROM bo LEFT JOIN nc2 USING (strategy) LEFT JOIN st2 USING (strategy)", _DRAWN, _CORRIDOR, _ROLLED))
+def _(s, d):
+    found = _benched(s, d).leaderboard.withColumn("max_gap_days", F.col("max_gap_days").cast("long"))
+    return rounded(found, *_BOARDED, digits=4, keep=("strategy", "n_signals", "n_corridors", "corridors_positive", "corridors_significant", "max_gap_days"))
+
+
+_HELD_AT = " UNION ALL ".join(f"SELECT strategy, {h} AS h, CAST(CASE WHEN strategy IN ({_LATE}) THEN l{h}.held_window_closing ELSE l{h}.held_favourable END AS INT) AS hit FROM sg JOIN l{h} USING (iso, quote_date) WHERE l{h}.ok" for h in _HS)
+
+
+@query("board_horizons", _bench_sql("SELECT strategy, " + ", ".join(r(f"avg(hit) FILTER (h = {h})", f"hit_h{h}") for h in _HS) + f" FROM ({_HELD_AT}) GROUP BY strategy", *[Q.labels(h, 1, name=f"l{h}") for h in _HS]))
+def _(s, d):
+    return rounded(_benched(s, d).horizons, *[f"hit_h{h}" for h in _HS], keep=("strategy",))
+
+
 @query("leaderboard")
 def _(s, d):
-    return B.run_benchmark(p1(s, d), names=list(B.STRATEGIES)).leaderboard
+    return B.run_benchmark(p1(s, d), names=list(B.STRATEGIES), usd=usd(s, d)).leaderboard
+
+
+def _cadence_sql() -> str:
+    """Each budget as a policy of its own over the stacked scores of percentile and oracle."""
+    parts, found = [], []
+    for i, (label, window, most, cooldown) in enumerate(B.CADENCES):
+        config = A.PolicyConfig(window, most, cooldown)
+        levels, e = "[" + ", ".join(f"{q!r}" for q in config.levels()) + "]", config.expected
+        day = Q.week("available_on") if window == "week" else "strftime(available_on, '%Y-%m')"
+        limits = ", ".join(f"CASE WHEN hist >= 20 THEN q[{k * e} + rest] END" for k in range(most + 1))
+        parts.append(f"""pw{i} AS (SELECT *, {day} AS window_id, row_number() OVER ({Q.O}) - 1 AS pos FROM sc2), ps{i} AS (SELECT *, row_number() OVER (PARTITION BY iso, window_id ORDER BY quote_date) AS seen, count(score) {Q.over(-250, -1)} AS hist, quantile_cont(score, {levels}) {Q.over(-250, -1)} AS q FROM pw{i}),
+th{i} AS (SELECT *, [{limits}] AS t FROM (SELECT *, greatest(1, {e} - seen + 1) AS rest FROM ps{i})),
+de{i} AS (SELECT iso, CAST(-1 AS BIGINT) AS pos, CAST('' AS VARCHAR) AS win, 0 AS used, CAST(NULL AS BIGINT) AS last, false AS sent, CAST(NULL AS DATE) AS quote_date FROM (SELECT DISTINCT iso FROM th{i}) UNION ALL
+  SELECT iso, pos, win, CASE WHEN sent THEN used + 1 ELSE used END, CASE WHEN sent THEN pos ELSE last END, sent, quote_date FROM (SELECT iso, pos, win, used, last, quote_date, hist >= 20 AND used < {most} AND (last IS NULL OR {cooldown} - (pos - last) + 1 <= 0) AND score >= t[{most} - used + 1] AS sent
+    FROM (SELECT th.iso, th.pos, th.window_id AS win, CASE WHEN th.window_id = d.win THEN d.used ELSE 0 END AS used, d.last, th.quote_date, th.hist, th.score, th.t FROM de{i} d JOIN th{i} th ON th.iso = d.iso AND th.pos = d.pos + 1)))""")
+        found.append(f"SELECT '{label}' AS cadence, '{window}' AS \"window\", {most} AS max_per_window, {cooldown} AS cooldown, iso, quote_date FROM de{i} WHERE sent")
+    return ", ".join(parts) + f", cs AS (SELECT c.* EXCLUDE (iso), split_part(c.iso, '|', 1) AS strategy, ud.* FROM ({' UNION ALL '.join(found)}) c JOIN (SELECT * FROM lab WHERE ok AND quote_date >= DATE '1997-01-01') ud ON ud.iso = split_part(c.iso, '|', 2) AND ud.quote_date = c.quote_date)"
+
+
+_SWEPT = ("per_week", "currency_uplift_bps", "hit_closing", "bad_push_rate", "interval_cv", "series_share")
+
+
+def _swept(s, d, names):
+    panel = p1(s, d)
+    strategies = B.swept_strategies(names)
+    found = B.cadence_sweep(B.build_scores(panel, strategies, features(s, d)), strategies, B.evaluated_days(panel, _SPEC))
+    return rounded(found.withColumn("max_gap_days", F.col("max_gap_days").cast("long")), *_SWEPT, digits=4, keep=("cadence", "window", "max_per_window", "cooldown", "strategy", "n_signals", "max_gap_days"))
+
+
+@query("cadence_sweep_rules", f"""WITH RECURSIVE {Q.P}, {_RK}, {_LAB}, sc2 AS (SELECT 'percentile|' || iso AS iso, quote_date, available_on, 1 - k AS score FROM rk WHERE k IS NOT NULL UNION ALL SELECT 'oracle|' || iso, quote_date, available_on, currency_gain_bps FROM lab WHERE currency_gain_bps IS NOT NULL),
+{_cadence_sql()}, cz AS (SELECT count(DISTINCT iso) AS series, count(*) AS days FROM lab WHERE ok AND quote_date >= DATE '1997-01-01'),
+cg AS (SELECT *, date_diff('day', lag(quote_date) OVER (PARTITION BY cadence, strategy, iso ORDER BY quote_date), quote_date) AS gap FROM cs), ci AS (SELECT cadence, strategy, iso, count(*) AS n, stddev_samp(gap) / avg(gap) AS cv, max(gap) AS mg, avg(CAST(gap <= 5 AS INT)) AS ss FROM cg GROUP BY ALL HAVING stddev_samp(gap) IS NOT NULL)
+SELECT cadence, "window", max_per_window, cooldown, strategy, n AS n_signals, mg AS max_gap_days, {r('n / series / (days / series / 5.0)', 'per_week', 4)}, {r('up', 'currency_uplift_bps', 4)}, {r('hc', 'hit_closing', 4)}, {r('bp', 'bad_push_rate', 4)}, {r('cv', 'interval_cv', 4)}, {r('ss', 'series_share', 4)}
+FROM (SELECT cadence, "window", max_per_window, cooldown, strategy, count(*) AS n, avg(currency_gain_bps) AS up, avg(CAST(held_window_closing AS INT)) AS hc, avg(CAST(bad_push AS INT)) AS bp FROM cs GROUP BY ALL)
+LEFT JOIN (SELECT cadence, strategy, sum(cv * n) / sum(n) AS cv, sum(ss * n) / sum(n) AS ss, max(mg) AS mg FROM ci GROUP BY ALL) USING (cadence, strategy), cz""")
+def _(s, d):
+    return _swept(s, d, ["oracle", "percentile"])
 
 
 @query("cadence_sweep")
 def _(s, d):
-    return B.cadence_sweep(_scores(s, d), L.build_labels(p1(s, d)))
+    return _swept(s, d, list(B.STRATEGIES))
 
 
 # Indicators, as-of joins and simulation
@@ -633,13 +765,14 @@ def _(s, d):
 
 @query("lookahead_audit")
 def _(s, d):
-    return B.audit_no_lookahead(lambda panel: S.tuned_scores(panel), p1(s, d), "2000-06-30")
+    found = B.audit_no_lookahead(p1(s, d), usd(s, d), B.score_builders(), n_dates=3)
+    return rounded(found, "historical_score", "asof_score", keep=("score_name", "iso", "cut", "matched", "reason"))
 
 
 @query("lambda_sweep")
 def _(s, d):
     panel = p1(s, d)
-    return B.lambda_sweep(M.walk_forward_heads(panel, features(s, d)).persist(), L.build_labels(panel), A.PolicyConfig(cooldown_observations=1))
+    return B.lambda_sweep(cut_lineage(M.walk_forward_heads(panel, features(s, d))), B.evaluated_days(panel, _SPEC), _SPEC.policy)
 
 
 @query("evenly_spaced", on_p(f"SELECT iso, quote_date FROM (SELECT *, row_number() OVER ({Q.O}) - 1 AS pos, count(*) OVER (PARTITION BY iso) AS n FROM p) WHERE list_contains([CAST(floor(i * (n - 1) / 11.0::DOUBLE) AS BIGINT) for i in range(12)], pos)"))

@@ -140,14 +140,13 @@ def main(argv: list[str] | None = None) -> None:
         tables = {"predictions": predicted, "signals": events, "metrics": matrix, "frequency": benchmark.frequency(events, panel), "summary": E.metric_summary(matrix)}
     else:
         result = benchmark.run_benchmark(panel, names=list(benchmark.STRATEGIES))
-        labels, scores = build_labels(panel), signals.tuned_scores(panel).persist()
-        built = features.compute_features(panel)
-        heads = models.walk_forward_heads(panel, built).persist()
-        config = models.UtilityRiskConfig()
+        spec, config, built = benchmark.BenchmarkSpec(), models.UtilityRiskConfig(), features.compute_features(panel)
+        swept, days = benchmark.swept_strategies(list(benchmark.STRATEGIES)), benchmark.evaluated_days(panel, spec)
         coefficients = models.walk_forward_coefficients(models.heads_data(panel, built, config), config)
         tables = {
             "leaderboard": result.leaderboard, "per_corridor": result.corridors, "per_fold": result.cells, "gates": result.gates, "horizons": result.horizons, "null_distribution": result.null,
-            "signals": result.signals, "cadence_sweep": benchmark.cadence_sweep(scores, labels), "lambda_sweep": benchmark.lambda_sweep(heads, labels, PolicyConfig(cooldown_observations=1)),
+            "signals": result.signals, "cadence_sweep": benchmark.cadence_sweep(benchmark.build_scores(panel, swept, built), swept, days),
+            "lambda_sweep": benchmark.lambda_sweep(models.walk_forward_heads(panel, built), days, spec.policy), "audit": benchmark.audit_no_lookahead(panel, None, benchmark.score_builders(spec)),
             "coefficients": coefficients.withColumns({c: F.to_json(c) for c in ("u", "m", "b")}),
         }
         spark.createDataFrame([(scorecard(result.leaderboard, result.gates),)], "value string").coalesce(1).write.mode("overwrite").text(f"{given.out.rstrip('/')}/scorecard")
