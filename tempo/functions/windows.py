@@ -56,6 +56,18 @@ def with_streak(df: DataFrame, v: str, name: str) -> DataFrame:
     return runs.withColumn(name, F.when(F.col("_down") == 1, place).otherwise(0)).drop("_down", "_change", "_run")
 
 
+def one_row_each(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows; a plan that reads them fails once it meets ``keys`` twice, as a join that must not multiply rows needs it.
+
+    Rows with equal keys are neighbours in the order by the other keys within the first, which the windows over a series
+    share, so the check costs no job and no shuffle of its own.
+    """
+    first, *rest = keys
+    told = F.concat(F.lit(f"{name} has more than one row for "), F.to_json(F.struct(*keys)))
+    again = F.lag(F.struct(*rest)).over(Window.partitionBy(first).orderBy(*rest)).eqNullSafe(F.struct(*rest))
+    return rows.withColumn("_again", again).filter(F.when(F.col("_again"), F.raise_error(told).cast("boolean")).otherwise(F.lit(True))).drop("_again")
+
+
 def window_id(date: str | Column, window: str) -> Column:
     """``YYYY-MM-DD/YYYY-MM-DD`` from Monday to Sunday, or ``YYYY-MM``."""
     if window == "month":
@@ -109,6 +121,19 @@ def with_ewma(df: DataFrame, v: str, spans: tuple[int, ...]) -> DataFrame:
     return ordered_scan(df, [(f"{n}_{s}", "double") for s in spans for n in ("mean", "var")], dict, step)
 
 
+def with_own_ewma(df: DataFrame, v: str, span: str, name: str) -> DataFrame:
+    """Adds ``name``: the exponential mean of ``v`` over the span that each series' rows carry in the column ``span``."""
+
+    def step(state: dict, part: pd.DataFrame) -> dict:
+        x, n = part[v].astype(float), float(part[span].iloc[0])
+        known = pd.concat([pd.Series([state["mean"]]), x]) if "mean" in state else x
+        mean = known.ewm(span=n, adjust=False).mean().iloc[len(known) - len(x) :]
+        state["mean"] = mean.iloc[-1]
+        return {name: mean.to_numpy()}
+
+    return ordered_scan(df, [(name, "double")], dict, step)
+
+
 def ew_zscore(v: str, span: int) -> Column:
     """Distance from the exponential mean in exponential deviations; null where there is no deviation."""
     return (F.col(v) - F.col(f"mean_{span}")) / F.nullif(F.sqrt(F.col(f"var_{span}")), F.lit(0.0))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempo.functions.windows import one_row_each
 from tempo.operators import stats
 from tempo.operators.labels import build_outcomes
 from tempo.operators.policy import PolicyConfig, apply_policy, check_scores
@@ -19,7 +20,7 @@ class BacktestConfig:
     epsilon_bps: float = 30.0
     random_trials: int = 200
     bootstrap_trials: int = 1000
-    seed: int = 42
+    seed: int = 0
 
 
 def baseline_scores(features: DataFrame) -> DataFrame:
@@ -43,19 +44,11 @@ def with_total(df: DataFrame, keys: list[str], aggregates: list[Column]) -> Data
     return df.groupingSets([[*columns, F.col("iso")], columns], *columns, F.col("iso")).agg(*aggregates).withColumn("iso", F.coalesce("iso", F.lit("ALL")))
 
 
-def one_row_each(df: DataFrame, keys: list[str], name: str) -> None:
-    """Raise ValueError unless ``keys`` are unique, as a join that must not multiply rows needs them (one aggregate runs)."""
-    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"{name} has more than one row for {twice[0].asDict()}")
-
-
 def decisions_with_outcomes(panel: DataFrame, scores: DataFrame, config: BacktestConfig) -> DataFrame:
-    one_row_each(panel, ["iso", "quote_date"], "panel")
-    outcomes = build_outcomes(panel, config.horizon, config.epsilon_bps).select("iso", "quote_date", "advantage_bps", "early_send", "regret_bps", "outcome_complete")
+    """The policy's log with outcomes; it fails when it runs if a series has a day twice in the panel or the scores."""
+    outcomes = build_outcomes(one_row_each(panel, ["iso", "quote_date"], "panel"), config.horizon, config.epsilon_bps).select("iso", "quote_date", "advantage_bps", "early_send", "regret_bps", "outcome_complete")
     check_scores(scores)
-    one_row_each(scores, ["iso", "quote_date"], "scores")
-    log = apply_policy(scores, config.policy).join(outcomes, ["iso", "quote_date"], "left")
+    log = apply_policy(one_row_each(scores, ["iso", "quote_date"], "scores"), config.policy).join(outcomes, ["iso", "quote_date"], "left")
     return log.withColumn("outcome_complete", F.coalesce("outcome_complete", F.lit(False)))
 
 

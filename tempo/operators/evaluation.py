@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempo.functions.storage import cut_lineage
 from tempo.functions.windows import o
 from tempo.operators import indicators as I
-from tempo.operators.benchmark import cadence, frequency
 from tempo.operators.simulate import budgets, regular_days, simulate, uplift
-from tempo.sources.panel import between
 
 V = "rub_per_unit"
 
@@ -22,30 +20,84 @@ def own_scenario(indicator: str) -> str:
     return "window_closing" if I.SPEED[indicator] in ("slow", "model") else "favourable_now"
 
 
-def evaluate_indicator(panel: DataFrame, events: DataFrame, indicator: str, trials: int = 500, start: str | None = None, end: str | None = None) -> DataFrame:
-    """One row per series that has quotes from ``start`` to ``end``: signals, uplifts, hit rates and lifts, rhythm.
+def hit_table(panel: DataFrame, events: DataFrame, horizons: Sequence[int] = (5, 15)) -> DataFrame:
+    """indicator, iso, and per horizon and rule hit_<rule>_h<h> and lift_<rule>_h<h> of events (indicator, iso, signal_date).
 
-    Lifts compare with random days of the whole panel; a signal near ``end`` is judged by the quotes that follow it.
+    The four or more flags of a day are worked out once; lifts compare with the series' days that have a full horizon.
     """
-    days, sent = between(panel, start, end), between(events, start, end, "signal_date")
-    own = own_scenario(indicator)
-    other = "favourable_now" if own == "window_closing" else "window_closing"
-
-    def hits(h: int, scenario: str, **names: str) -> DataFrame:
-        return I.hit_rates(panel, sent, h, scenario).select("iso", *[F.col(k).alias(v) for k, v in names.items()])
-
-    parts = [
-        sent.groupBy("iso").agg(F.count(F.lit(1)).alias("n_signals")),
-        uplift(simulate(days, sent, trials=trials)),
-        hits(5, own, lift="lift_h5", hit_rate="hit_rate_h5"),
-        hits(5, other, lift="lift_h5_other"),
-        hits(15, own, hit_rate="hit_rate_h15"),
-        frequency(sent, days).select("iso", "per_week"),
-        cadence(sent.withColumnRenamed("signal_date", "quote_date"), ["iso"]).select("iso", "series_share"),
-    ]
-    base = days.select("iso").distinct().withColumns({"indicator": F.lit(indicator), "speed": F.lit(I.SPEED[indicator]), "scenario": F.lit(own)})
-    out = reduce(lambda a, b: a.join(b, "iso", "left"), parts, base)
-    return out.withColumn("n_signals", F.coalesce("n_signals", F.lit(0)))
+    rules = ("favourable_now", "window_closing")
+    w = Window.partitionBy("iso")
+    days = panel.withColumns({"_at": F.row_number().over(o()), "_n": F.count(F.lit(1)).over(w)} | {f"{rule}_h{h}": I.held(h)[rule].cast("double") for h in horizons for rule in rules})
+    flags = [f"{rule}_h{h}" for h in horizons for rule in rules]
+    base = days.groupBy("iso").agg(*[F.avg(F.when(F.col("_at") <= F.col("_n") - int(c.rsplit("_h", 1)[1]), F.col(c))).alias(f"base_{c}") for c in flags])
+    marks = days.select("iso", F.col("quote_date").alias("signal_date"), *flags)
+    own = events.join(marks, ["iso", "signal_date"]).groupBy("indicator", "iso").agg(*[F.avg(c).alias(f"hit_{c}") for c in flags])
+    lifts = [F.when(F.col(f"base_{c}") > 0, F.col(f"hit_{c}") / F.col(f"base_{c}")).alias(f"lift_{c}") for c in flags]
+    return own.join(base, "iso").select("indicator", "iso", *[f"hit_{c}" for c in flags], *lifts)
+
+
+def evaluate_events(panel: DataFrame, events: DataFrame, bounds: DataFrame, trials: int = 500) -> DataFrame:
+    """A row per indicator and series of ``bounds`` (iso, start, end): signals, uplifts, hit rates and lifts, rhythm.
+
+    ``events`` holds indicator, iso, signal_date and the rate. Every series is bought and counted within its own bounds,
+    all indicators in one plan; lifts compare with random days of the whole panel, and a signal near the end is judged by
+    the quotes that follow it.
+    """
+    names = [F.lit(n) for n in I.SPEED]
+    inside = lambda rows, date: rows.join(bounds, "iso").filter(F.col(date).between(F.col("start"), F.col("end"))).drop("start", "end")
+    sent, days = inside(events, "signal_date"), inside(panel, "quote_date")
+    series = F.concat_ws("|", "indicator", "iso")
+    keyed = days.withColumn("indicator", F.explode(F.array(*names))).withColumn("iso", series).drop("indicator")
+    money = uplift(simulate(keyed, sent.withColumn("iso", series).drop("indicator"), trials=trials))
+    money = money.select(F.substring_index("iso", "|", 1).alias("indicator"), F.substring_index("iso", "|", -1).alias("iso"), "uplift_vs_dca", "uplift_vs_random")
+    gap = F.date_diff("signal_date", F.lag("signal_date").over(Window.partitionBy("indicator", "iso").orderBy("signal_date")))
+    rhythm = sent.withColumn("_gap", gap).groupBy("indicator", "iso").agg(F.count(F.lit(1)).alias("n_signals"), (F.count_if(F.col("_gap") <= 5) / F.count(F.lit(1))).alias("series_share"))
+    size = days.groupBy("iso").agg(F.countDistinct("quote_date").alias("_days"))
+    named = bounds.select("iso", F.explode(F.array(*names)).alias("indicator"))
+    speed = F.create_map(*[F.lit(x) for pair in I.SPEED.items() for x in pair])[F.col("indicator")]
+    closing = F.col("indicator").isin([n for n in I.SPEED if own_scenario(n) == "window_closing"])
+    pick = lambda c, own: F.when(closing == own, F.col(c.replace("*", "window_closing"))).otherwise(F.col(c.replace("*", "favourable_now")))
+    keys = ["indicator", "iso"]
+    out = named.join(size, "iso", "left").join(rhythm, keys, "left").join(money, keys, "left").join(hit_table(panel, sent), keys, "left")
+    return out.select(
+        *keys, speed.alias("speed"), F.when(closing, "window_closing").otherwise("favourable_now").alias("scenario"), F.coalesce("n_signals", F.lit(0).cast("long")).alias("n_signals"), "uplift_vs_dca", "uplift_vs_random",
+        pick("lift_*_h5", True).alias("lift_h5"), pick("lift_*_h5", False).alias("lift_h5_other"), pick("hit_*_h5", True).alias("hit_rate_h5"), pick("hit_*_h15", True).alias("hit_rate_h15"),
+        (F.col("n_signals") / (F.col("_days") / 5.0)).alias("per_week"), "series_share",
+    )
+
+
+def trailing_bounds(panel: DataFrame, months: int = 12) -> DataFrame:
+    """iso, start, end: the last months up to the panel's last quote, the same for all series."""
+    last = panel.agg(F.max("quote_date").alias("end"))
+    return panel.select("iso").distinct().crossJoin(last).select("iso", F.add_months("end", -months).alias("start"), "end")  # one row of bounds
+
+
+def calibrated_events(panel: DataFrame, predictions: DataFrame | None = None, grids: Mapping[str, Mapping[str, Sequence[float]]] = I.GRIDS) -> tuple[DataFrame, DataFrame]:
+    """(events, parameters): signals of every indicator with the parameters that calibration chose for each series.
+
+    A series without a choice takes the first of the grid. ``predictions`` add the model, which has no parameters.
+    """
+    first = F.create_map(*[F.lit(x) for name, grid in grids.items() for x in (name, I.key_of(I.parameter_sets(grid)[0]))])
+    chosen = calibrate_indicators(panel, grids).select("indicator", "iso", "params")
+    named = panel.select("iso").distinct().select("iso", F.explode(F.array(*[F.lit(n) for n in grids])).alias("indicator")).join(chosen, ["indicator", "iso"], "left")
+    named = named.withColumn("params", F.coalesce("params", first[F.col("indicator")]))
+    events = I.all_events(panel, grids).join(named, ["indicator", "iso", "params"]).select("indicator", "iso", "signal_date", V)
+    if predictions is not None:
+        events = events.unionByName(I.model_ridge(predictions).select(F.lit("model_ridge").alias("indicator"), "iso", "signal_date", V))
+    return events, named
+
+
+def indicator_matrix(panel: DataFrame, predictions: DataFrame | None = None, trials: int = 500, months: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(matrix, waiting cost): every indicator and series over the trailing year with verdict and reason, and what it costs
+    to wait from the calibrated fast signal for the calibrated slow one."""
+    events, named = calibrated_events(panel, predictions)
+    events, named = cut_lineage(events), cut_lineage(named)
+    scored = evaluate_events(panel, events, trailing_bounds(panel, months), trials)
+    if predictions is None:
+        scored = scored.filter("indicator <> 'model_ridge'")
+    matrix = I.verdicts(scored.join(named, ["indicator", "iso"], "left").withColumn("params", F.coalesce("params", F.lit(""))))
+    cost = I.waiting_cost(panel, events.filter("indicator = 'value'"), events.filter("indicator = 'reversal_from_min'"))
+    return matrix, cost.select("iso", F.lit("value").alias("fast"), F.lit("reversal_from_min").alias("slow"), "n_pairs", F.col("median_bps").alias("waiting_cost_bps"))
 
 
 def fold_starts(panel: DataFrame, folds: int = 4, months: int = 6) -> DataFrame:
@@ -63,9 +115,8 @@ def fold_uplifts(panel: DataFrame, grids: Mapping[str, Mapping[str, Sequence[flo
     """
     starts = fold_starts(panel, folds)
     sets = [(name, turn, given) for name, grid in grids.items() for turn, given in enumerate(I.parameter_sets(grid))]
-    keys = [",".join(f"{k}={v}" for k, v in sorted(given.items())) for _, _, given in sets]
-    events = reduce(DataFrame.unionByName, [I.INDICATORS[name](panel, **given).withColumns({"indicator": F.lit(name), "turn": F.lit(turn)}) for name, turn, given in sets])
-    tried = panel.sparkSession.createDataFrame([(name, turn, key) for (name, turn, _), key in zip(sets, keys, strict=True)], "indicator string, turn int, params string")
+    events = I.all_events(panel, grids)
+    tried = panel.sparkSession.createDataFrame([(name, turn, I.key_of(given)) for name, turn, given in sets], "indicator string, turn int, params string")
     key = F.concat_ws("|", "iso", "fold")
     days = panel.join(F.broadcast(starts), "iso").filter("quote_date >= fold_start").withColumn("iso", key)  # a few rows per series
     regular = regular_days(days)
@@ -101,4 +152,4 @@ def corridor_summary(panel: DataFrame, events: DataFrame, trials: int = 500, mon
 
 def metric_summary(matrix: DataFrame) -> DataFrame:
     """Means of the metrics over the horizons of each series, to three digits."""
-    return matrix.groupBy("iso").agg(*[F.round(F.avg(c), 3).alias(c) for c in ("hit_rate", "random_hit", "lift")])
+    return matrix.groupBy("iso").agg(*[F.round(F.avg(c), 3).alias(c) for c in ("hit_rate", "lift", "advantage_bps")])

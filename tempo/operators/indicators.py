@@ -69,6 +69,37 @@ def model_ridge(predictions: DataFrame, slots_per_week: float = 1.5) -> DataFram
 INDICATORS = {"value": value, "momentum": momentum, "value_reversal": value_reversal, "reversal_from_min": reversal_from_min}
 
 
+def all_events(panel: DataFrame, grids: Mapping[str, Mapping[str, Sequence[float]]] = GRIDS) -> DataFrame:
+    """indicator, turn (place in the grid), params, iso, signal_date and the rate of all parameters' signals.
+
+    One pass over the panel: every trailing window, streak and turn is worked out once, and a day is spread to the
+    parameters that it satisfies.
+    """
+    sets = [(name, turn, given) for name, grid in grids.items() for turn, given in enumerate(parameter_sets(grid))]
+    windows = sorted({given["window"] for _, _, given in sets if "window" in given})
+    df = with_streak(panel, V, "_s").withColumn("_up", _rising())
+    for w in windows:
+        low, place = _position(w)
+        df = df.withColumns({f"_low_{w}": low, f"_p_{w}": place})
+
+    def mask(name: str, given: Mapping[str, float]) -> Column:
+        if name == "momentum":
+            return F.col("_s") >= given["n"]
+        if name == "reversal_from_min":
+            low = F.col(f"_low_{given['window']}")
+            return ((F.col(V) - low) / low < given["pct"]) & F.col("_up")
+        below = F.col(f"_p_{given['window']}") < given["lo_pct"]
+        return below & F.col("_up") if name == "value_reversal" else below
+
+    each = [F.when(F.coalesce(mask(n, g), F.lit(False)), F.struct(F.lit(n).alias("indicator"), F.lit(turn).alias("turn"), F.lit(key_of(g)).alias("params"))) for n, turn, g in sets]
+    return df.select("iso", F.col("quote_date").alias("signal_date"), V, F.explode(F.array_compact(F.array(*each))).alias("e")).select("e.*", "iso", "signal_date", V)
+
+
+def key_of(given: Mapping[str, object]) -> str:
+    """``a=1,b=2`` with sorted names."""
+    return ",".join(f"{k}={v}" for k, v in sorted(given.items()))
+
+
 def parameter_sets(grid: Mapping[str, Sequence[float]]) -> list[dict[str, float]]:
     """Every combination of a short grid, the last name varying fastest."""
     return [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
@@ -88,8 +119,18 @@ def params_key(params: Column) -> Column:
 
 
 def params_of(key: Column) -> Column:
-    """The map of ``a=1,b=x`` from a key: values as text, to be cast by who reads them."""
-    return F.when(key == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(key, F.lit(","), F.lit("=")))
+    """The map of ``a=1,b=0.5,c=x`` from a key: each value as a whole number, else a fraction, else text; the first that fits.
+
+    Every value is a struct of whole, fraction and text, of which one is set.
+    """
+
+    def typed(_, text: Column) -> Column:
+        whole = F.when(text.rlike(r"^\\s*[+-]?[0-9]+\\s*$"), F.trim(text).try_cast("long"))
+        fraction = F.when(whole.isNull(), text.try_cast("double"))
+        return F.struct(whole.alias("whole"), fraction.alias("fraction"), F.when(whole.isNull() & fraction.isNull(), text).alias("text"))
+
+    pairs = F.when(key == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(key, F.lit(","), F.lit("=")))
+    return F.transform_values(pairs, typed)
 
 
 def future_paths(panel: DataFrame, h: int) -> DataFrame:
@@ -121,17 +162,26 @@ def hit_rates(panel: DataFrame, events: DataFrame, h: int, scenario: str, eps_bp
     return rolled.select(F.coalesce("iso", F.lit("ALL")).alias("iso"), "n_signals", "hit_rate", "random_hit", F.when(F.col("random_hit") > 0, F.col("hit_rate") / F.col("random_hit")).alias("lift"))
 
 
-def window_advantage(panel: DataFrame, events: DataFrame, h: int) -> DataFrame:
-    """mean, stderr, t of the advantage over the (cut) window of ``h`` days either side, and n, over all events."""
+def window_advantage(panel: DataFrame, events: DataFrame, h: int, by_series: bool = False) -> DataFrame:
+    """mean, stderr, t of the advantage over the (cut) window of ``h`` days either side, and n, over all events.
+
+    With ``by_series`` there is a row per series, and that of all events under ``ALL``.
+    """
     w = o().rowsBetween(-h, h)
     days = panel.select("iso", F.col("quote_date").alias("signal_date"), F.when(F.count(V).over(w) >= 2, (F.avg(V).over(w) - F.col(V)) / F.col(V) * 10_000.0).alias("adv"))
-    got = events.select("iso", "signal_date").join(days, ["iso", "signal_date"]).filter("adv is not null").agg(F.avg("adv").alias("advantage_bps"), (F.stddev_samp("adv") / F.sqrt(F.count("adv"))).alias("stderr"), F.count("adv").alias("n"))
-    return got.withColumn("t_stat", F.try_divide("advantage_bps", "stderr"))
+    got = events.select("iso", "signal_date").join(days, ["iso", "signal_date"]).filter("adv is not null")
+    figures = [F.avg("adv").alias("advantage_bps"), (F.stddev_samp("adv") / F.sqrt(F.count("adv"))).alias("stderr"), F.count("adv").alias("n")]
+    out = got.rollup("iso").agg(*figures).withColumn("iso", F.coalesce("iso", F.lit("ALL"))) if by_series else got.agg(*figures)
+    return out.withColumn("t_stat", F.try_divide("advantage_bps", "stderr"))
 
 
 def metric_matrix(panel: DataFrame, events: DataFrame, horizons: Sequence[int] = (5, 15), scenario: str = "favourable_now") -> DataFrame:
-    """Hit rates and lifts of each series and of all at several horizons."""
-    return reduce(DataFrame.unionByName, [hit_rates(panel, events, h, scenario).withColumn("horizon", F.lit(h)) for h in horizons])
+    """Hit rates, lifts and advantages of each series and of all at several horizons."""
+    parts = []
+    for h in horizons:
+        money = window_advantage(panel, events, h, by_series=True).select("iso", "advantage_bps", F.col("t_stat").alias("advantage_tstat"))
+        parts.append(hit_rates(panel, events, h, scenario).join(money, "iso", "left").withColumn("horizon", F.lit(h)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def next_on_or_after(events: DataFrame, marks: DataFrame, strict: bool) -> DataFrame:
@@ -166,12 +216,16 @@ def calibrate(scored: DataFrame) -> DataFrame:
 
 
 def verdicts(matrix: DataFrame) -> DataFrame:
-    """keep, marginal or drop from lift_h5, uplift_vs_dca and per_week, with the reasons for a drop."""
+    """keep, marginal or drop from lift_h5, uplift_vs_dca and per_week, with the figures that decided it as ``reason``."""
     lift, dca, week = F.col("lift_h5"), F.col("uplift_vs_dca"), F.col("per_week")
-    lost = F.array_join(F.array_compact(F.array(F.when(lift < LIFT_FLOOR, "lift"), F.when(dca <= 0, "dca"))), ";")
+    said = lambda form, *c: F.format_string(form, *[x.cast("double") for x in c])
+    lost = F.array_join(F.array_compact(F.array(F.when(lift < LIFT_FLOOR, said("lift %.2f, no better than random days", lift)), F.when(dca <= 0, said("%+.2f%% against a regular pace", dca)))), "; ")
     good = (lift >= LIFT_TARGET) & (dca > 0)
-    verdict = F.when(lost != "", "drop").when(good & ((week < FREQ_MIN) | (week > FREQ_MAX)), "marginal").when(good, "keep").otherwise("marginal")
-    return matrix.withColumns({"verdict": verdict, "reason": lost})
+    often = F.coalesce((week < FREQ_MIN) | (week > FREQ_MAX), F.lit(False))
+    verdict = F.when(lost != "", "drop").when(good & ~often, "keep").otherwise("marginal")
+    both = F.when(lift.isNull() | dca.isNull(), "too few signals to judge").otherwise(said("lift %.2f, %+.2f%% against a regular pace", lift, dca))
+    reason = F.when(lost != "", lost).when(good & often, said(f"%.1f a week, outside {FREQ_MIN} to {FREQ_MAX}", week)).when(good, F.concat(both, said(", %.1f a week", week))).otherwise(both)
+    return matrix.withColumns({"verdict": verdict, "reason": reason})
 
 
 def following_quotes(panel: DataFrame, n: int = 5) -> DataFrame:

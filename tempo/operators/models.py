@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempo.functions.windows import o, ordered_scan
+from tempo.functions.windows import o, one_row_each, ordered_scan
 from tempo.operators.features import FEATURES, rule_matrix
 from tempo.operators.labels import build_labels, make_target, matured_before
 
@@ -55,38 +55,88 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30, tol
     return coef, float(w[-1] - coef @ mean)
 
 
-def walk_forward_ridge(features: DataFrame, panel: DataFrame, horizon: int = 20, alpha: float = 1.0, min_train: int = 500, columns: tuple[str, ...] = RAW) -> DataFrame:
-    """Adds ``prediction``: a ridge on all rows whose target was known, refitted at every row.
+_SUMS = "n: long, sx: array<double>, sxx: array<double>, sy: double, sxy: array<double>"
+
+
+def ridge_rows(features: DataFrame, panel: DataFrame, horizon: int, columns: tuple[str, ...]) -> DataFrame:
+    """Features without a gap, with the target and the day it is known; null where that is not yet so."""
+    rows = one_row_each(features, ["iso", "quote_date"], "features")
+    return rows.join(make_target(panel, horizon), ["iso", "quote_date"], "left").dropna(subset=list(columns))
+
 
-    The state of a series is moment sums and the rows that are not known yet, so memory does not grow with it.
+def _ridge_scan(data: DataFrame, alpha: float, min_train: int, columns: tuple[str, ...], every: int = 0) -> DataFrame:
+    """Adds ``prediction`` and, every ``every`` rows, ``sums``: the moment sums as they stood after the row was seen.
+
+    The state of a series is moment sums and the rows that are not known yet, so memory does not grow with it. A column
+    ``resumed`` (sums, on the first row of a series) starts it from there; rows marked ``seen`` are not predicted.
     """
-    data = features.join(make_target(panel, horizon), ["iso", "quote_date"], "left").dropna(subset=list(columns))
+    k, resumes = len(columns), "resumed" in data.columns
 
     def start() -> dict:
-        k = len(columns)
-        return {"n": 0, "sx": np.zeros(k), "sxx": np.zeros((k, k)), "sy": 0.0, "sxy": np.zeros(k), "open": deque()}
+        return {"n": 0, "sx": np.zeros(k), "sxx": np.zeros((k, k)), "sy": 0.0, "sxy": np.zeros(k), "open": deque(), "rows": 0}
 
     def step(state: dict, part: pd.DataFrame) -> dict:
-        out = []
-        for x, y, known, now in zip(part[list(columns)].to_numpy(float), part["target"].to_numpy(float), part["target_available_on"], part["available_on"], strict=True):
-            while state["open"] and state["open"][0][0] <= now:
+        if resumes and not state["rows"] and part["resumed"].iloc[0] is not None:
+            held = part["resumed"].iloc[0]
+            state |= {"n": held["n"], "sx": np.array(held["sx"], dtype=float), "sxx": np.array(held["sxx"], dtype=float).reshape(k, k), "sy": held["sy"], "sxy": np.array(held["sxy"], dtype=float)}
+        out, sums = [], []
+        seen = part["seen"] if resumes else [False] * len(part)
+        for x, y, known, now, old in zip(part[list(columns)].to_numpy(float), part["target"].to_numpy(float), part["target_available_on"], part["available_on"], seen, strict=True):
+            while not old and state["open"] and state["open"][0][0] <= now:
                 _, a, b = state["open"].popleft()
                 state["n"] += 1
                 state["sx"] += a
                 state["sxx"] += np.outer(a, a)
                 state["sy"] += b
                 state["sxy"] += a * b
-            if state["n"] >= min_train:
+            if not old and state["n"] >= min_train:
                 w, c = ridge_from_sums(state["n"], state["sx"], state["sxx"], state["sy"], state["sxy"], alpha)
                 out.append(float(x @ w + c))
             else:
                 out.append(np.nan)
             if not pd.isna(known) and np.isfinite(y):
                 state["open"].append((known, x, y))
-        return {"prediction": out}
+            state["rows"] += 1
+            keep = every and state["rows"] % every == 0
+            sums.append({"n": state["n"], "sx": state["sx"].tolist(), "sxx": state["sxx"].ravel().tolist(), "sy": state["sy"], "sxy": state["sxy"].tolist()} if keep else None)
+        return {"prediction": out} | ({"sums": sums} if every else {})
+
+    fields = [("prediction", "double")] + ([("sums", f"struct<{_SUMS}>")] if every else [])
+    done = ordered_scan(data, fields, start, step)
+    return done.withColumn("prediction", F.when(~F.isnan("prediction"), F.col("prediction")))
+
 
-    done = ordered_scan(data, [("prediction", "double")], start, step)
-    return done.filter("prediction is not null and not isnan(prediction)").select("quote_date", "available_on", "iso", "rub_per_unit", "prediction")
+def walk_forward_ridge(features: DataFrame, panel: DataFrame, horizon: int = 20, alpha: float = 1.0, min_train: int = 500, columns: tuple[str, ...] = RAW) -> DataFrame:
+    """Adds ``prediction``: a ridge on all rows whose target was known, refitted at every row."""
+    done = _ridge_scan(ridge_rows(features, panel, horizon, columns), alpha, min_train, columns)
+    return done.filter("prediction is not null").select("quote_date", "available_on", "iso", "rub_per_unit", "prediction")
+
+
+def ridge_snapshots(features: DataFrame, panel: DataFrame, horizon: int = 20, every: int = 63, columns: tuple[str, ...] = RAW) -> DataFrame:
+    """iso, quote_date, available_on, sums: the ridge's moment sums after every ``every``-th row, to be stored as a table."""
+    done = _ridge_scan(ridge_rows(features, panel, horizon, columns), 1.0, 10**18, columns, every)
+    return done.filter("sums is not null").select("iso", "quote_date", "available_on", "sums")
+
+
+def ridge_asof(snapshots: DataFrame, features: DataFrame, panel: DataFrame, date: str, horizon: int = 20, alpha: float = 1.0, min_train: int = 500, columns: tuple[str, ...] = RAW) -> DataFrame:
+    """Each series' last prediction that could be made on a date, as in the full run, from the last snapshot before it.
+
+    Only rows since that snapshot are fed to the sums, and those before it whose target was not known then: the targets
+    that a snapshot lacks are those that became known after its own row.
+    """
+    day = F.lit(date).cast("date")
+    rows = ridge_rows(features, panel, horizon, columns).filter(F.col("available_on") <= day)
+    ends = rows.groupBy("iso").agg(F.max("quote_date").alias("end"))
+    before = snapshots.join(ends, "iso").filter("quote_date < end")
+    last = before.groupBy("iso").agg(F.max_by(F.struct(F.col("quote_date").alias("at"), F.col("available_on").alias("then"), "sums"), "quote_date").alias("s"))
+    rows = rows.join(last, "iso", "left")
+    seen = F.coalesce(F.col("quote_date") <= F.col("s.at"), F.lit(False))
+    # a target that is known after the date would be unknown there, and is not needed: none of its row's followers is predicted
+    rows = rows.withColumn("seen", seen).filter(~F.col("seen") | (F.col("target_available_on") > F.col("s.then")))
+    rows = rows.withColumn("resumed", F.when(F.row_number().over(o()) == 1, F.col("s.sums"))).drop("s")
+    done = _ridge_scan(rows, alpha, min_train, columns).filter("prediction is not null and not seen")
+    row = F.max_by(F.struct("quote_date", "available_on", "rub_per_unit", "prediction"), "quote_date")
+    return done.groupBy("iso").agg(row.alias("r")).select("iso", "r.*", (F.col("r.prediction") * 10_000).alias("predicted_advantage_bps"))
 
 
 @dataclass(frozen=True)
@@ -112,8 +162,8 @@ class UtilityRiskConfig:
 def heads_data(panel: DataFrame, features: DataFrame, config: UtilityRiskConfig) -> DataFrame:
     """Features, outcomes, position and number of known labels of all rows without a gap in the columns."""
     rules = rule_matrix(features).drop("available_on", "rub_per_unit")
-    wide = features.join(rules, ["iso", "quote_date"]).dropna(subset=list(config.columns))
-    outcomes = build_labels(panel, config.horizon, config.execution_offset).select("iso", "quote_date", "fwd_advantage_bps", "bad_push", "is_local_min", "adverse_bps", "label_available_on")
+    wide = one_row_each(features, ["iso", "quote_date"], "features").join(rules, ["iso", "quote_date"]).dropna(subset=list(config.columns))
+    outcomes = build_labels(one_row_each(panel, ["iso", "quote_date"], "panel"), config.horizon, config.execution_offset).select("iso", "quote_date", "fwd_advantage_bps", "bad_push", "is_local_min", "adverse_bps", "label_available_on")
     known = matured_before(wide.join(outcomes, ["iso", "quote_date"]))
     return known.withColumn("pos", F.row_number().over(o()) - 1)
 

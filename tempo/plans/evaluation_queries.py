@@ -620,14 +620,23 @@ def _lift(h: int) -> str:
 FROM (SELECT iso, count(*) AS n, CAST(sum(CAST(hit AS INT)) AS DOUBLE) AS h FROM ({held}) JOIN fa USING (iso, quote_date) GROUP BY iso) JOIN (SELECT iso, avg(CAST(hit AS INT)) AS b FROM ({held}) WHERE pos <= n - {h} GROUP BY iso) USING (iso) GROUP BY ROLLUP (iso)"""
 
 
-@query("metric_matrix", on_p(f"{_lift(5)} UNION ALL {_lift(15)}", _POS, _PAIR))
+def _metrics(h: int) -> str:
+    """A SELECT of ``_lift`` with the advantage over the window of ``h`` days either side and its t."""
+    days = f"SELECT iso, quote_date, CASE WHEN count(v) {Q.over(-h, h)} >= 2 THEN (avg(v) {Q.over(-h, h)} - v) / v * 10000 END AS a FROM p"
+    return f"SELECT * FROM ({_lift(h)}) LEFT JOIN (SELECT coalesce(iso, 'ALL') AS iso, {r('avg(a)', 'advantage_bps')}, {r('avg(a) / (stddev_samp(a) / sqrt(count(a)))', 'advantage_tstat')} FROM ({days}) JOIN fa USING (iso, quote_date) GROUP BY ROLLUP (iso)) USING (iso)"
+
+
+_METRICS = ("hit_rate", "random_hit", "lift", "advantage_bps", "advantage_tstat")
+
+
+@query("metric_matrix", on_p(f"{_metrics(5)} UNION ALL {_metrics(15)}", _POS, _PAIR))
 def _(s, d):
-    return rounded(I.metric_matrix(p1(s, d), I.value(p1(s, d))), "hit_rate", "random_hit", "lift", keep=("iso", "horizon", "n_signals"))
+    return rounded(I.metric_matrix(p1(s, d), I.value(p1(s, d))), *_METRICS, keep=("iso", "horizon", "n_signals"))
 
 
-@query("metric_summary", on_p(f"SELECT iso, {r('avg(hit_rate)', 'hit_rate', 3)}, {r('avg(random_hit)', 'random_hit', 3)}, {r('avg(lift)', 'lift', 3)} FROM ({_lift(5)} UNION ALL {_lift(15)}) GROUP BY iso", _POS, _PAIR))
+@query("metric_summary", on_p(f"SELECT iso, {r('avg(hit_rate)', 'hit_rate', 3)}, {r('avg(lift)', 'lift', 3)}, {r('avg(advantage_bps)', 'advantage_bps', 3)} FROM ({_metrics(5)} UNION ALL {_metrics(15)}) GROUP BY iso", _POS, _PAIR))
 def _(s, d):
-    return E.metric_summary(rounded(I.metric_matrix(p1(s, d), I.value(p1(s, d))), "hit_rate", "random_hit", "lift", keep=("iso", "horizon", "n_signals")))
+    return E.metric_summary(rounded(I.metric_matrix(p1(s, d), I.value(p1(s, d))), *_METRICS, keep=("iso", "horizon", "n_signals")))
 
 
 @query("window_advantage", on_p(f"SELECT {r('avg(a)', 'advantage_bps', 4)}, {r('stddev_samp(a) / sqrt(count(a))', 'stderr', 4)}, count(a) AS n, {r('avg(a) / (stddev_samp(a) / sqrt(count(a)))', 't_stat', 4)} FROM (SELECT iso, quote_date, CASE WHEN count(v) {Q.over(-5, 5)} >= 2 THEN (avg(v) {Q.over(-5, 5)} - v) / v * 10000 END AS a FROM p) JOIN fa USING (iso, quote_date)", _POS, _PAIR))
@@ -658,12 +667,14 @@ def _(s, d):
     return rounded(U.uplift(U.simulate(p1(s, d), I.value(p1(s, d)))), "uplift_vs_dca", "uplift_vs_random", keep=("iso",))
 
 
-_VERDICT = """SELECT iso, CASE WHEN lift < 1.0 OR dca <= 0 THEN 'drop' WHEN lift >= 1.3 AND dca > 0 AND (pw < 1.0 OR pw > 2.0) THEN 'marginal' WHEN lift >= 1.3 AND dca > 0 THEN 'keep' ELSE 'marginal' END AS verdict,
-concat_ws(';', CASE WHEN lift < 1.0 THEN 'lift' END, CASE WHEN dca <= 0 THEN 'dca' END) AS reason FROM"""
+_VERDICT = """SELECT *, CASE WHEN lift < 1.0 OR dca <= 0 THEN 'drop' WHEN lift >= 1.3 AND dca > 0 AND NOT coalesce(pw < 1.0 OR pw > 2.0, false) THEN 'keep' ELSE 'marginal' END AS verdict,
+CASE WHEN lift < 1.0 OR dca <= 0 THEN concat_ws('; ', CASE WHEN lift < 1.0 THEN printf('lift %.2f, no better than random days', lift) END, CASE WHEN dca <= 0 THEN printf('%+.2f%% against a regular pace', dca) END)
+WHEN lift >= 1.3 AND dca > 0 AND coalesce(pw < 1.0 OR pw > 2.0, false) THEN printf('%.1f a week, outside 1.0 to 2.0', pw) WHEN lift >= 1.3 AND dca > 0 THEN printf('lift %.2f, %+.2f%% against a regular pace, %.1f a week', lift, dca, pw)
+ELSE coalesce(printf('lift %.2f, %+.2f%% against a regular pace', lift, dca), 'too few signals to judge') END AS reason FROM"""
 
 
-@query("verdicts", on_p(f"""{_VERDICT} (SELECT iso, lift FROM ({_lift(5)})) JOIN (SELECT iso, (max(currency) FILTER (strategy = $$model$$) / max(currency) FILTER (strategy = $$dca$$) - 1) * 100 AS dca FROM si GROUP BY iso) USING (iso)
-JOIN (SELECT iso, n / (days / 5.0) AS pw FROM fn JOIN bu USING (iso)) USING (iso)""", _POS, _PAIR, _SIM))
+@query("verdicts", on_p(f"""SELECT iso, verdict, reason FROM ({_VERDICT} (SELECT iso, lift FROM ({_lift(5)})) JOIN (SELECT iso, (max(currency) FILTER (strategy = $$model$$) / max(currency) FILTER (strategy = $$dca$$) - 1) * 100 AS dca FROM si GROUP BY iso) USING (iso)
+JOIN (SELECT iso, n / (days / 5.0) AS pw FROM fn JOIN bu USING (iso)) USING (iso))""", _POS, _PAIR, _SIM))
 def _(s, d):
     panel = p1(s, d)
     events = I.value(panel)
@@ -703,9 +714,49 @@ def _(s, d):
     return E.calibrate_indicators(p1(s, d)).select("indicator", "iso", "params", F.round("median_uplift", 4).alias("median_uplift"), "n_folds")
 
 
+def _matrix_sql() -> str:
+    """CTEs to ix: four indicators with calibrated parameters over the trailing year; random days drawn per indicator and series."""
+    names = ", ".join(f"('{n}', '{I.SPEED[n]}', {E.own_scenario(n) == 'window_closing'})" for n in I.GRIDS)
+    held = ", ".join(f"coalesce(max(v) {Q.over(1, h)} <= v + 1e-12, false) AS f{h}, coalesce(quantile_cont(v, 0.5) {Q.over(1, h)} > v + 1e-12, false) AS c{h}" for h in (5, 15))
+    flags = [f"{k}{h}" for h in (5, 15) for k in "fc"]
+    own = lambda c, yes, no: f"CASE WHEN closing THEN {c.format(yes)} ELSE {c.format(no)} END"
+    lift = "hit_{0} / nullif(base_{0}, 0)"
+    return f"""ip AS (SELECT indicator, iso, params FROM (SELECT *, row_number() OVER (PARTITION BY indicator, iso ORDER BY mid DESC, turn) AS place FROM (SELECT indicator, iso, params, turn, quantile_cont(uplift, 0.5) AS mid FROM gu GROUP BY ALL HAVING count(*) >= 2)) WHERE place = 1),
+ib AS (SELECT CAST(max(quote_date) - to_months(12) AS DATE) AS s, max(quote_date) AS e FROM p), iy AS (SELECT p.* FROM p, ib WHERE quote_date BETWEEN s AND e),
+it AS (SELECT * FROM (VALUES {names}) AS t(indicator, speed, closing)), iall AS (SELECT indicator, iso, quote_date, v FROM ge JOIN gt USING (indicator, turn) JOIN ip USING (indicator, iso, params)), ie AS (SELECT iall.* FROM iall, ib WHERE quote_date BETWEEN s AND e),
+iu AS (SELECT iso, 50000.0::DOUBLE * greatest(1.0, date_diff('day', min(quote_date), max(quote_date)) / 30.44::DOUBLE) AS total, count(*) AS days FROM iy GROUP BY iso), im AS (SELECT indicator, iso, count(*) AS n, total / count(*) * sum(1 / v) AS model, any_value(total) AS total, any_value(days) AS days FROM ie JOIN iu USING (iso) GROUP BY indicator, iso, total),
+ic AS (SELECT iso, total / count(*) * sum(1 / v) AS dca FROM (SELECT *, row_number() OVER ({Q.O}) - 1 AS pos FROM iy) JOIN iu USING (iso) WHERE pos % 5 = 0 GROUP BY iso, total),
+ir AS (SELECT indicator, iso, avg(bought) AS rand FROM (SELECT indicator, iso, trial, sum(total / n / v) AS bought FROM (SELECT im.indicator, iy.iso, v, total, n, trial, row_number() OVER (PARTITION BY im.indicator, iy.iso, trial ORDER BY {Q.md5_key(0, 'trial', "im.indicator || '|' || iy.iso", 'iy.quote_date')}) AS place FROM iy JOIN im USING (iso), (SELECT unnest(range(500)) AS trial) WHERE days > n) WHERE place <= n GROUP BY ALL) GROUP BY ALL),
+ih AS (SELECT *, {held}, row_number() OVER ({Q.O}) AS pos, count(*) OVER (PARTITION BY iso) AS n FROM p), ia AS (SELECT iso, {', '.join(f'avg(CAST({c} AS INT)) FILTER (pos <= n - {c[1:]}) AS base_{c}' for c in flags)} FROM ih GROUP BY iso),
+io AS (SELECT indicator, ie.iso, {', '.join(f'avg(CAST({c} AS INT)) AS hit_{c}' for c in flags)} FROM ie JOIN ih ON ih.iso = ie.iso AND ih.quote_date = ie.quote_date GROUP BY ALL),
+ig AS (SELECT indicator, iso, count(*) FILTER (gap <= 5) / count(*)::DOUBLE AS series_share FROM (SELECT *, date_diff('day', lag(quote_date) OVER (PARTITION BY indicator, iso ORDER BY quote_date), quote_date) AS gap FROM ie) GROUP BY ALL),
+ix AS (SELECT indicator, iso, params, speed, CASE WHEN closing THEN 'window_closing' ELSE 'favourable_now' END AS scenario, coalesce(im.n, 0) AS n_signals, (model - dca) / dca * 100 AS dca, (model - rand) / rand * 100 AS uplift_vs_random,
+  {own(lift, 'c5', 'f5')} AS lift, {own(lift, 'f5', 'c5')} AS lift_h5_other, {own('hit_{0}', 'c5', 'f5')} AS hit_rate_h5, {own('hit_{0}', 'c15', 'f15')} AS hit_rate_h15, im.n / (iu.days / 5.0) AS pw, series_share
+  FROM ip JOIN it USING (indicator) JOIN iu USING (iso) LEFT JOIN im USING (indicator, iso) LEFT JOIN ic USING (iso) LEFT JOIN ir USING (indicator, iso) LEFT JOIN io USING (indicator, iso) LEFT JOIN ia USING (iso) LEFT JOIN ig USING (indicator, iso))"""
+
+
+_MATRIX = ("uplift_vs_dca", "uplift_vs_random", "lift_h5", "lift_h5_other", "hit_rate_h5", "hit_rate_h15", "per_week", "series_share")
+_MATRIX_SQL = {"uplift_vs_dca": "dca", "lift_h5": "lift", "per_week": "pw"}
+
+
+def _matrix(found):
+    return rounded(found, *_MATRIX, digits=4, keep=("indicator", "iso", "params", "speed", "scenario", "n_signals", "verdict", "reason"))
+
+
 @query("indicator_matrix")
 def _(s, d):
-    return C.indicator_matrix(p1(s, d))
+    return _matrix(E.indicator_matrix(p1(s, d), M.walk_forward_ridge(features(s, d), p1(s, d)))[0])
+
+
+@query("indicator_matrix_rules", on_p("SELECT indicator, iso, params, speed, scenario, n_signals, verdict, reason, " + ", ".join(r(_MATRIX_SQL.get(c, c), c, 4) for c in _MATRIX) + f" FROM ({_VERDICT} ix)", _grid_sql(), _matrix_sql()))
+def _(s, d):
+    return _matrix(E.indicator_matrix(p1(s, d))[0])
+
+
+@query("calibrated_waiting_cost", on_p(f"""SELECT iso, 'value' AS fast, 'reversal_from_min' AS slow, count(*) AS n_pairs, {r('quantile_cont((b.v / a.v - 1) * 10000, 0.5)', 'waiting_cost_bps', 4)} FROM (SELECT f.iso, f.quote_date AS f, min(w.quote_date) AS t FROM iall f JOIN iall w ON w.iso = f.iso AND w.quote_date > f.quote_date WHERE f.indicator = 'value' AND w.indicator = 'reversal_from_min' GROUP BY 1, 2) m
+JOIN p a USING (iso) JOIN p b USING (iso) WHERE a.quote_date = f AND b.quote_date = t GROUP BY iso""", _grid_sql(), _matrix_sql()))
+def _(s, d):
+    return rounded(E.indicator_matrix(p1(s, d))[1], "waiting_cost_bps", digits=4, keep=("iso", "fast", "slow", "n_pairs"))
 
 
 @query("trailing_year", on_p("SELECT iso, quote_date, round(v, 6) AS rub_per_unit, sig AS is_signal, pos % 5 = 0 AS is_regular FROM (SELECT p.iso, p.quote_date, v, fa.quote_date IS NOT NULL AS sig, row_number() OVER (PARTITION BY p.iso ORDER BY p.quote_date) - 1 AS pos FROM p LEFT JOIN fa USING (iso, quote_date) JOIN (SELECT iso, CAST(max(quote_date) - to_months(12) AS DATE) AS since FROM p GROUP BY iso) y ON y.iso = p.iso AND p.quote_date >= since)", _POS, _PAIR))

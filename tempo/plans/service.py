@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import argparse
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,22 +88,6 @@ def scorecard(board: DataFrame, gates: DataFrame) -> str:
     return "\n".join(["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
 
 
-def indicator_matrix(panel: DataFrame, predictions: DataFrame | None = None, trials: int = 500) -> DataFrame:
-    """Every indicator with its calibrated parameters: its evaluation per series and the verdict."""
-    chosen = E.calibrate_indicators(panel)
-    parts = []
-    for name, grid in I.GRIDS.items():
-        sets = I.parameter_sets(grid)
-        keys = [",".join(f"{k}={v}" for k, v in sorted(given.items())) for given in sets]
-        best = chosen.filter(F.col("indicator") == name).select("iso", "params")
-        named = panel.select("iso").distinct().join(best, "iso", "left").withColumn("params", F.coalesce("params", F.lit(keys[0])))
-        events = reduce(DataFrame.unionByName, [I.INDICATORS[name](panel, **given).withColumn("params", F.lit(key)) for given, key in zip(sets, keys, strict=True)])
-        parts.append(E.evaluate_indicator(panel, events.join(named, ["iso", "params"]).select("iso", "signal_date", "rub_per_unit"), name, trials).join(named, "iso"))
-    if predictions is not None:
-        parts.append(E.evaluate_indicator(panel, I.model_ridge(predictions), "model_ridge", trials).withColumn("params", F.lit("")))
-    return I.verdicts(reduce(DataFrame.unionByName, parts))
-
-
 def main(argv: list[str] | None = None) -> None:
     """spark-submit tempo/plans/service.py COMMAND RATES_DIR OUT [--as-of DATE] [--source live|baseline|ridge]
 
@@ -131,8 +113,8 @@ def main(argv: list[str] | None = None) -> None:
         drawn = stats.matched_random_schedules(log.filter("outcome_complete").select("iso", "quote_date", "window_id", "decision"), backtest.BacktestConfig().random_trials, backtest.BacktestConfig().seed)
         sinks.write_backtest(log.drop("thresholds"), drawn, report, given.out)
     elif given.command == "indicators":
-        fast, slow = I.value(panel), I.value_reversal(panel)
-        tables = {"indicators_matrix": indicator_matrix(panel), "waiting_cost": I.waiting_cost(panel, fast, slow)}
+        matrix, cost = E.indicator_matrix(panel, walk_forward_ridge(features.compute_features(panel), panel))
+        tables = {"indicators_matrix": matrix, "waiting_cost": cost}
     elif given.command == "ridge":
         predicted = walk_forward_ridge(features.compute_features(panel), panel).persist()
         events = I.model_ridge(predicted)
