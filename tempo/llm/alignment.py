@@ -31,7 +31,6 @@ _HELD = 1_000_000  # postings that a task holds before it passes them on
 _DENSE = 4096  # documents from which on a block is a bitmap instead of a list
 _BLOCK = 1 << 16
 _GROUP = 1 << 12  # pairs of one group from which on equal ones are counted before they are formed
-_OPEN = 64  # blocks whose sums a task holds
 POSTINGS = "pair long, block long, docs binary, planes array<binary>"
 DOCS = "doc_id long, place long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _ODD_SPACES = re.compile(r" \s|^\s|\s$")
@@ -385,31 +384,34 @@ def pair_scores(postings: DataFrame) -> DataFrame:
 
 
 def returned(postings: DataFrame, scores: DataFrame) -> DataFrame:
-    """place, n_best, count_sum: each list adds its pair's score, times the links, to its documents' sums."""
+    """place, n_best, count_sum: each list adds its pair's score, times the links, to its documents' sums.
+
+    Lists are dealt by their block, so a task adds up one block of documents after the other and returns each once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        current, sums = None, np.zeros((3, _BLOCK), dtype=np.int64)
         for batch in batches:
             row, block, doc, links = posting_rows(batch)
-            count = batch["score"].to_numpy()[row] * links
-            best = np.where(batch["best"].to_numpy(zero_copy_only=False)[row], links, 0)
-            for b in np.unique(block).tolist():
-                here = slice(None) if len(held) == 1 and b in held and (block == b).all() else block == b
-                sums = held.setdefault(b, np.zeros((3, _BLOCK), dtype=np.int64))
-                for total, value in zip(sums, (best, count, links), strict=True):
-                    np.add.at(total, doc[here], value[here])
-            if len(held) > _OPEN:
-                yield from map(sent, held.items())
-                held = {}
-        yield from map(sent, held.items())
-
-    def sent(item: tuple[int, np.ndarray]) -> pa.RecordBatch:
-        block, (best, count, links) = item
+            values = (np.where(batch["best"].to_numpy(zero_copy_only=False)[row], links, 0), batch["score"].to_numpy()[row] * links, links)
+            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            for begin, end in zip(cuts, [*cuts[1:], len(block)], strict=True):
+                if block[begin] != current:
+                    if current is not None:
+                        yield sent(current, sums)
+                    current, sums = int(block[begin]), np.zeros((3, _BLOCK), dtype=np.int64)
+                for total, value in zip(sums, values, strict=True):
+                    np.add.at(total, doc[begin:end], value[begin:end])
+        if current is not None:
+            yield sent(current, sums)
+
+    def sent(block: int, sums: np.ndarray) -> pa.RecordBatch:
+        best, count, links = sums
         at = np.flatnonzero(links)
         return pa.record_batch({"place": pa.array((block << 16) + at), "n_best": pa.array(best[at]), "count_sum": pa.array(count[at])})
 
-    scored = postings.select("pair", "block", "docs", "planes").join(scores.select("pair", F.col("n_docs").alias("score"), "best"), "pair")
-    return scored.mapInArrow(run, "place long, n_best long, count_sum long").groupBy("place").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    scored = postings.select("pair", "block", "docs", "planes").join(scores.select("pair", F.col("n_docs").alias("score"), "best"), "pair").drop("pair")
+    return in_tasks(scored, "block").sortWithinPartitions("block").mapInArrow(run, "place long, n_best long, count_sum long")
 
 
 def align_tokenizers(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
