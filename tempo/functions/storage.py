@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, whose folder is deleted when the driver ends: results that read it may be asked for until then."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            system.delete(target, True)
+
+    atexit.register(drop)
+    return path
+
+
+def free_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one, kept until the driver ends."""
+    return keep_until_exit(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder."""
     shared_folder(df.sparkSession)

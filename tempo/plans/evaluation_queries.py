@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tempo.functions import windows as W
-from tempo.functions.storage import cut_lineage
+from tempo.functions.storage import cut_lineage, free_folder
 from tempo.operators import backtest as K
 from tempo.operators import benchmark as B
+from tempo.operators import charts as H
 from tempo.operators import evaluation as E
 from tempo.operators import indicators as I
 from tempo.operators import labels as L
@@ -16,6 +17,7 @@ from tempo.operators import models as M
 from tempo.operators import policy as A
 from tempo.operators import signals as S
 from tempo.operators import simulate as U
+from tempo.operators import stand as D
 from tempo.operators import stats as T
 from tempo.operators import tuning as G
 from tempo.plans import service as C
@@ -792,6 +794,121 @@ def _(s, d):
     return S.signals_asof(p1(s, d), "2000-06-30").select("signal_date", "iso", "window", F.round("strength", 6).alias("strength"))
 
 
+# The stand: what a page that walks day by day is served, and its export
+
+_START, _SIM = "2000-01-01", "2000-06-30"
+_AUDITED = ["2000-06-30", "2001-03-15"]
+_DRAWN_SIG = f"""sig AS ({_signal_sql().replace(', 6) AS', ', 14) AS')}), dw AS (SELECT *, abs(v / {Q.lag('v')} - 1) * 10000 AS move FROM p WHERE quote_date >= DATE '{_START}'), ds AS (SELECT *, TRY_CAST(split_part("window", '=', 2) AS INT) AS span FROM sig WHERE signal_date >= DATE '{_START}'),
+us AS (SELECT iso, min_by(span, (-n, f)) AS trend_span FROM (SELECT iso, span, count(*) AS n, min(signal_date) AS f FROM ds GROUP BY iso, span) GROUP BY iso),
+cr AS (SELECT iso, iso AS name, '' AS country, min(quote_date) AS first_date, max(quote_date) AS last_date, DATE '{_SIM}' AS sim_start, round(coalesce(quantile_cont(move, 0.5), 50), 1) AS threshold_bps FROM dw GROUP BY iso), cd AS (SELECT cr.*, coalesce(trend_span, 10) AS trend_span FROM cr LEFT JOIN us USING (iso))"""
+_TREND = f"tr2 AS (SELECT * FROM (SELECT iso, quote_date, round(v, 6) AS rate, round(list_reduce(list(v) {Q.over('UNBOUNDED PRECEDING', 0)}, lambda y, x: (1 - 2.0::DOUBLE / (trend_span + 1)) * y + 2.0::DOUBLE / (trend_span + 1) * x), 6) AS trend FROM p JOIN cd USING (iso)) WHERE quote_date >= DATE '{_START}')"
+
+
+def _stand(s, d):
+    panel = p1(s, d)
+    return panel, cut_lineage(S.signal_table(panel))
+
+
+@query("stand_corridors", on_p("SELECT * FROM cd", _DRAWN_SIG))
+def _(s, d):
+    return D.corridors(*_stand(s, d), _START, _SIM)
+
+
+@query("stand_trend", on_p("SELECT iso, quote_date, rate, trend FROM tr2", _DRAWN_SIG, _TREND))
+def _(s, d):
+    panel, sent = _stand(s, d)
+    return D.trend_series(panel, D.corridors(panel, sent, _START, _SIM), _START)
+
+
+@query("stand_days", on_p(f"""SELECT c.iso, c.day, v IS NOT NULL AS has_quote, round(v, 6) AS rate, CASE WHEN signal_date IS NULL THEN 'hold' ELSE 'candidate' END AS decision, {r('deviation_pct', 'deviation_pct', 3)}, CAST(coalesce(span, CASE WHEN signal_date IS NOT NULL THEN 0 END) AS INT) AS span, message AS client_message
+FROM (SELECT iso, CAST(unnest(generate_series(first_date, last_date, INTERVAL 1 DAY)) AS DATE) AS day FROM cd) c LEFT JOIN dw ON dw.iso = c.iso AND dw.quote_date = c.day LEFT JOIN ds ON ds.iso = c.iso AND ds.signal_date = c.day""", _DRAWN_SIG))
+def _(s, d):
+    days = D.day_log(*_stand(s, d), _START)
+    return days.select("iso", "day", "has_quote", "rate", "decision", F.col("signal.deviation_pct").alias("deviation_pct"), F.col("signal.span").alias("span"), F.col("signal.client_message").alias("client_message"))
+
+
+@query("stand_lookup", on_p("SELECT c.iso, c.day, v IS NOT NULL AS has_quote, round(v, 6) AS rate, CASE WHEN signal_date IS NULL THEN 'hold' ELSE 'candidate' END AS decision FROM (SELECT 'RRR' AS iso, DATE '2000-07-01' AS day) c LEFT JOIN dw ON dw.iso = c.iso AND dw.quote_date = c.day LEFT JOIN ds ON ds.iso = c.iso AND ds.signal_date = c.day", _DRAWN_SIG))
+def _(s, d):
+    at = free_folder(s, "days")
+    D.store_days(D.day_log(*_stand(s, d), _START), at)
+    return D.look_up(s, at, "rrr", "2000-07-01").select("iso", "day", "has_quote", "rate", "decision")
+
+
+@query("stand_stats", on_p(f"""SELECT iso, coalesce(n, 0) AS n_signals, round(coalesce(n, 0) / w, 2) AS per_week, md AS median_move_bps, p9 AS p90_move_bps, lr AS last_rate, ld AS last_date FROM (SELECT iso, date_diff('day', min(quote_date), max(quote_date)) / 7.0::DOUBLE AS w, round(quantile_cont(move, 0.5), 1) AS md, round(quantile_cont(move, 0.9), 1) AS p9,
+round(max_by(v, quote_date), 6) AS lr, max(quote_date) AS ld FROM dw GROUP BY iso) LEFT JOIN (SELECT iso, count(*) AS n FROM ds GROUP BY iso) USING (iso)""", _DRAWN_SIG))
+def _(s, d):
+    return D.statistics(*_stand(s, d), _START)
+
+
+_EXPORTED = f"""fw AS (SELECT iso, quote_date, {', '.join(f"lead(quote_date, {i}) OVER ({Q.O}) AS d{i}, lead(v, {i}) OVER ({Q.O}) AS r{i}" for i in range(1, 6))}, avg(v) {Q.over(1, 10)} AS m, v FROM p)"""
+
+
+@query("stand_export", on_p(f"""SELECT ds.iso, ds.signal_date AS date, round(ds.rub_per_unit, 6) AS rate, CAST((d1 IS NOT NULL)::INT + (d2 IS NOT NULL)::INT + (d3 IS NOT NULL)::INT + (d4 IS NOT NULL)::INT + (d5 IS NOT NULL)::INT AS BIGINT) AS n_follow, round((r1 / v - 1) * 10000, 1) AS first_bps, round((r5 / v - 1) * 10000, 1) AS fifth_bps,
+round((m / v - 1) * 10000, 1) AS forward_bps, round(deviation_pct, 3) AS deviation_pct, "window", span, speed, round(strength_pct, 4) AS strength_pct, round(level_percentile, 1) AS level_percentile, direction, message FROM ds JOIN fw ON fw.iso = ds.iso AND fw.quote_date = ds.signal_date""", _DRAWN_SIG, _EXPORTED))
+def _(s, d):
+    at = free_folder(s, "export")
+    D.write_export(D.export_pieces(*_stand(s, d), _START, _SIM, _AUDITED[:1]), at)
+    read, follow = D.read_export(s, at, "signals"), F.col("follow")
+    return read.select("iso", "date", "rate", F.size(follow).cast("long").alias("n_follow"), F.get(follow, 0)["bps"].alias("first_bps"), F.get(follow, 4)["bps"].alias("fifth_bps"), "forward_bps", "deviation_pct", "window", "span", "speed", "strength_pct", "level_percentile", "direction", "message")
+
+
+@query("stand_audit", on_p(" UNION ALL ".join(f"SELECT DATE '{x}' AS asof, iso, count(*) FILTER (signal_date >= DATE '{_START}' AND signal_date <= DATE '{x}') AS n, true AS identical, coalesce(bool_or(signal_date = DATE '{x}'), false) AS fired_today FROM (SELECT DISTINCT iso FROM p) LEFT JOIN sig USING (iso) GROUP BY iso" for x in _AUDITED), _DRAWN_SIG))
+def _(s, d):
+    panel, sent = _stand(s, d)
+    return D.signal_audit(panel, sent, _AUDITED, _START)
+
+
+@query("corridor_bundle", on_p(f"""SELECT iso, quote_date, round(v, 6) AS rate, mo AS model, pos % 5 = 0 AS regular, coalesce(days > n AND dr <= n, false) AS random FROM (SELECT y.*, n, fa.quote_date IS NOT NULL AS mo, row_number() OVER (PARTITION BY y.iso ORDER BY y.quote_date) - 1 AS pos, count(*) OVER (PARTITION BY y.iso) AS days, row_number() OVER (PARTITION BY y.iso ORDER BY {Q.md5_key(0, "0", 'y.iso', 'y.quote_date')}) AS dr
+FROM (SELECT * FROM p WHERE quote_date >= (SELECT CAST(max(quote_date) - to_months(12) AS DATE) FROM p)) y LEFT JOIN fa USING (iso, quote_date) LEFT JOIN (SELECT iso, count(*) AS n FROM fa WHERE quote_date >= (SELECT CAST(max(quote_date) - to_months(12) AS DATE) FROM p) GROUP BY iso) USING (iso))""", _POS, _PAIR))
+def _(s, d):
+    return D.corridor_bundle(p1(s, d), I.value(p1(s, d))).withColumn("rate", F.round("rate", 6))
+
+
+# Chart tables, read from what an evaluation has stored
+
+
+def _stored(s, d):
+    at, found = free_folder(s, "artefacts"), _benched(s, d)
+    C.sinks.write_artefacts({"per_corridor": found.corridors, "leaderboard": found.leaderboard, "signals": found.signals}, at)
+    return lambda name: C.sinks.read_artefact(s, at, name)
+
+
+@query("chart_corridors", _bench_sql(f"SELECT strategy, iso, {r('currency_uplift_bps', 'currency_uplift_bps', 4)}, {r('q_value', 'q_value', 4)}, coalesce(q_value <= 0.05, false) AS solid, count(*) FILTER (currency_uplift_bps > 0) OVER (PARTITION BY strategy) AS n_positive, count(*) OVER (PARTITION BY strategy) AS n_series FROM co WHERE strategy IN ('percentile', 'oracle')", _DRAWN, _CORRIDOR))
+def _(s, d):
+    return rounded(H.corridor_points(_stored(s, d)("per_corridor"), ["percentile", "oracle"]), "currency_uplift_bps", "q_value", digits=4, keep=("strategy", "iso", "solid", "n_positive", "n_series"))
+
+
+@query("chart_rules", _bench_sql(f"SELECT CAST(row_number() OVER (ORDER BY currency_uplift_bps DESC, strategy) AS INT) AS place, strategy, {r('currency_uplift_bps', 'currency_uplift_bps', 4)}, corridors_positive, n_corridors, false AS is_model FROM bo WHERE strategy IN ('percentile', 'reversal') AND currency_uplift_bps IS NOT NULL", _DRAWN, _CORRIDOR, _ROLLED))
+def _(s, d):
+    return rounded(H.rules_comparison(_stored(s, d)("leaderboard")), "currency_uplift_bps", digits=4, keep=("place", "strategy", "corridors_positive", "n_corridors", "is_model"))
+
+
+@query("chart_rate", _bench_sql("SELECT quote_date, round(v, 6) AS rate, coalesce(m, 0) AS n_marks, coalesce(f, '') AS strategies FROM p LEFT JOIN (SELECT quote_date, count(*) AS m, string_agg(strategy, ',' ORDER BY strategy) AS f FROM sg WHERE iso = 'RRR' GROUP BY quote_date) USING (quote_date) WHERE iso = 'RRR' AND quote_date >= DATE '2000-01-01'"))
+def _(s, d):
+    found = H.rate_points(p1(s, d), _stored(s, d)("signals"), "RRR", "2000-01-01")
+    return found.select("quote_date", F.round("rate", 6).alias("rate"), F.greatest(F.size("marks"), F.lit(0)).cast("long").alias("n_marks"), F.array_join(F.coalesce(F.col("marks.strategy"), F.array().cast("array<string>")), ",").alias("strategies"))
+
+
+@query("chart_ladder")
+def _(s, d):
+    at, steps = free_folder(s, "artefacts"), [name for name, _ in H.LADDER]
+    C.sinks.write_artefacts({"leaderboard": B.run_benchmark(p1(s, d), names=steps, usd=usd(s, d)).leaderboard}, at)
+    return rounded(H.ladder(C.sinks.read_artefact(s, at, "leaderboard")), "currency_uplift_bps", digits=4, keep=("step", "strategy", "label", "shipped"))
+
+
+@query("chart_cadence")
+def _(s, d):
+    at = free_folder(s, "artefacts")
+    C.sinks.write_artefacts({"cadence_sweep": _swept(s, d, ["oracle", "percentile"])}, at)
+    return H.cadence_line(C.sinks.read_artefact(s, at, "cadence_sweep"))
+
+
+@query("ridge_asof")
+def _(s, d):
+    panel, built = p1(s, d), cut_lineage(features(s, d))
+    return rounded(M.ridge_asof(cut_lineage(M.ridge_snapshots(built, panel)), built, panel, "2000-06-30"), "prediction", keep=("iso", "quote_date", "available_on"))
+
+
 @query("freshness_levels", on_p(f"""SELECT t.iso, t.quote_date AS signal_date, {r('(n.v / t.v - 1) * 10000', 'delta_bps', 4)}, CASE WHEN abs((n.v / t.v - 1) * 10000) <= 0.5 THEN 'same' WHEN n.v < t.v THEN 'better' WHEN (n.v / t.v - 1) * 10000 <= 50 THEN 'mild' ELSE 'stale' END AS level
 FROM p t JOIN fa USING (iso, quote_date) JOIN (SELECT iso, max_by(v, quote_date) AS v FROM p WHERE available_on <= DATE '2000-06-30' GROUP BY iso) n ON n.iso = t.iso WHERE t.quote_date <= DATE '2000-06-30'""", _POS, _PAIR))
 def _(s, d):

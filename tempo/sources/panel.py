@@ -25,6 +25,17 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def parsed_day(text: Column) -> Column:
+    """The day that a text names: ISO with or without a time of day, dd/MM/yyyy or dd.MM.yyyy; null for anything else.
+
+    A time zone is dropped, not applied, so the day does not depend on the session's.
+    """
+    plain = F.regexp_replace(F.trim(text.cast("string")), r"(?<=[0-9])\s*(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)$", "")
+    iso = F.to_date(plain.try_cast("timestamp_ntz"))
+    other = [F.when(plain.rlike(f"^[0-9]{{2}}{sep}[0-9]{{2}}{sep}[0-9]{{4}}$"), F.concat_ws("-", F.substring(plain, 7, 4), F.substring(plain, 4, 2), F.substring(plain, 1, 2)).try_cast("date")) for sep in ("/", "[.]")]
+    return F.coalesce(iso, *other)
+
+
 def coerced(frame: DataFrame) -> DataFrame:
     """Raw quotes with typed columns; what can't be read is null. rate_per_unit is kept where given."""
     if missing := [c for c in REQUIRED if c not in frame.columns]:
@@ -32,7 +43,7 @@ def coerced(frame: DataFrame) -> DataFrame:
     number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
     given = number("rate_per_unit") if "rate_per_unit" in frame.columns else F.lit(None).cast("double")
     return frame.select(
-        F.to_date(F.expr("try_cast(`date` AS timestamp)")).alias("quote_date"),
+        parsed_day(F.col("date")).alias("quote_date"),
         F.upper(F.trim(F.col("iso").cast("string"))).alias("iso"),
         number("nominal").alias("nominal"),
         number("rate").alias("rate"),

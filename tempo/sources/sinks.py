@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_rates(panel: DataFrame, path: str) -> None:
@@ -33,17 +35,25 @@ def write_backtest(decisions: DataFrame, drawn: DataFrame, report: DataFrame, pa
     write_log(report.withColumns({c: finite(c) for c in numbers}), f"{path.rstrip('/')}/summary")
 
 
-def read_artefact(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table that ``write_artefacts`` left as CSV, with dates and numbers typed again."""
-    return spark.read.option("header", True).option("inferSchema", True).option("dateFormat", "yyyy-MM-dd").csv(f"{path.rstrip('/')}/{name}")
+def _schema_path(path: str, name: str) -> str:
+    return f"{path.rstrip('/')}/_schemas/{name}"
 
 
 def write_artefacts(tables: Mapping[str, DataFrame], path: str, kind: str = "csv") -> list[str]:
-    """Each table under its name; empty ones are left out. Returns the names written."""
+    """Each table under its name, its schema beside it; empty ones are left out. Returns the names written."""
     written = []
     for name, table in tables.items():
         if not table.isEmpty():
             writer = table.write.mode("overwrite")
             (writer.option("header", True) if kind == "csv" else writer).format(kind).save(f"{path.rstrip('/')}/{name}")
+            told = json.dumps({"kind": kind, "schema": json.loads(table.schema.json())})
+            table.sparkSession.createDataFrame([(told,)], "value string").coalesce(1).write.mode("overwrite").text(_schema_path(path, name))
             written.append(name)
     return written
+
+
+def read_artefact(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table that ``write_artefacts`` left, with the types it was written with."""
+    held = json.loads(spark.read.text(_schema_path(path, name)).first()["value"])
+    read = spark.read.schema(StructType.fromJson(held["schema"])).option("dateFormat", "yyyy-MM-dd")
+    return (read.option("header", True) if held["kind"] == "csv" else read).format(held["kind"]).load(f"{path.rstrip('/')}/{name}")
