@@ -341,7 +341,8 @@ def encode(docs: DataFrame, tokenizer_path: str | None = None, lexicon_size: int
 
     Ids are those of the tokenizers library without added special tokens; special tokens written in a text count as
     such, as they do there. A null or empty text has no ids and decodes to the empty text. Repeated rows each give a
-    row; a null doc_id stays null. An empty table gives an empty result.
+    row; a null doc_id stays null; a very long text is encoded whole; words of equal count enter the lexicon by name. An
+    empty table gives an empty result.
     """
     if tokenizer_path is None:
         import public_tokenizers

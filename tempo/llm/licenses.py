@@ -145,8 +145,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAG
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     The score is the share of the best template in place, 1 where a base phrase stands. Null and empty texts have no
-    words, empty labels and score 0. Repeated rows each give a row; a null doc_id stays null. An empty table gives an
-    empty result.
+    words, empty labels and score 0. Repeated rows each give a row; a null doc_id stays null; templates that fit equally
+    well give their labels once each; a very long text is read whole. An empty table gives an empty result.
     """
     frequencies = document_frequencies(docs, templates)
 

@@ -133,7 +133,8 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
 def span_dedup(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, text (what is left), n_sentences, n_removed, n_chars (of what is left).
 
-    Null texts become empty; null ids, repeated rows and empty tables as in ``remove_repeated_spans``. Other columns
+    Null texts become empty; very long ones are read whole; null ids, repeated rows and empty tables as in
+    ``remove_repeated_spans``. Other columns
     are not read, so none can clash.
     """
     return remove_repeated_spans(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars"))

@@ -107,7 +107,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, crowd: int = CROWD) ->
 
     Fingerprints link at two or fewer differing bits. Null and blank texts have fingerprint zero and link like any
     other. A null doc_id is reported as null and never gives a component its name unless all in it are null. Repeated
-    rows each give a row. An empty table gives an empty result.
+    rows each give a row; ties of bits leave a bit unset; a very long text is read whole. An empty table gives an empty
+    result. Other columns are not read.
     """
     rows = cut_lineage(fingerprints(docs, shingle))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))

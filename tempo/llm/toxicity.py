@@ -290,8 +290,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 
     Labels are read only outside the held-out fold (crc32 of doc_id modulo 5 equal to 0); labels of the same doc_id
     count by their maximum. Null and empty texts have no sentence near a landmark and get the least score. Repeated
-    rows each give a row. A null doc_id stays null and is not held out. Without usable labels every score is 0.5.
-    An empty table gives an empty result.
+    rows each give a row; ties of sentences do not matter to a score; a very long text is read whole. A null doc_id stays
+    null and is not held out. Without usable labels every score is 0.5. An empty table gives an empty result.
     """
     model = train(docs, labels, max_train)
 
@@ -310,7 +310,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below 0.5. Null and empty texts stay unless every text is rejected."""
+    """The rows of ``docs``, all columns whatever their names, that score below 0.5.
+
+    Null and empty texts stay unless every text is rejected. An empty table gives an empty result.
+    """
 
     @F.pandas_udf("boolean")
     def is_clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
