@@ -18,7 +18,9 @@ from tempo.llm.common import drop_folder, free_name, shared_folder, table
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on the labelled documents of the input, does not reject.
 
-    The model is fitted to the stage's own documents and scores each text in place.
+    The model is fitted to the stage's own documents and scores each text in place. Null and empty texts stay, as they
+    hold no insult; a score of exactly 0.5 goes; very long texts are read whole; repeated rows share their fate; a null
+    doc_id has no label and is scored. All columns are kept, whatever their names. An empty table gives an empty result.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.reject_toxic(docs, model)
