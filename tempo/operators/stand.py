@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempo.functions.storage import cut_lineage
 from tempo.functions.windows import o, with_own_ewma
 from tempo.operators.benchmark import prefixes
 from tempo.operators.indicators import next_on_or_after
@@ -138,7 +139,7 @@ def export_pieces(panel: DataFrame, signals: DataFrame, start: str, sim_start: s
 
     No row holds more than a month of a series, or one number of an audit a day asked for.
     """
-    listed = corridors(panel, signals, start, sim_start)
+    listed = cut_lineage(corridors(panel, signals, start, sim_start))
     series = _pieces(trend_series(panel, listed, start), "quote_date", "series", [F.date_format("quote_date", "yyyy-MM-dd").alias("d"), F.col("rate").alias("r"), F.col("trend").alias("e")])
     facts = shown_signals(signals, start).join(signals.select("iso", "signal_date", "window", F.round("level_percentile", 1).alias("level_percentile")), ["iso", "signal_date"])
     told = facts.join(with_following(panel), ["iso", "signal_date"])
@@ -146,7 +147,7 @@ def export_pieces(panel: DataFrame, signals: DataFrame, start: str, sim_start: s
     sent = _pieces(told, "signal_date", "signals", [F.date_format("signal_date", "yyyy-MM-dd").alias("date"), *[F.col(c) for c in fields]])
     one = lambda rows, kind, item: rows.select("iso", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("month"), F.to_json(item).alias("payload"))
     stats = one(statistics(panel, signals, start).join(listed.select("iso", "name", "country"), "iso"), "stats", F.struct("name", "country", "n_signals", "per_week", "median_move_bps", "p90_move_bps", "last_rate", F.date_format("last_date", "yyyy-MM-dd").alias("last_date")))
-    audit = signal_audit(panel, signals, audited, start)
+    audit = cut_lineage(signal_audit(panel, signals, audited, start))
     checks = one(audit.groupBy("iso").agg(F.array_sort(F.collect_list(F.struct(F.date_format("asof", "yyyy-MM-dd").alias("asof"), "n", "identical", "fired_today"))).alias("rows")), "audit", F.col("rows"))
     meta = panel.agg(F.date_format(F.min("quote_date"), "yyyy-MM-dd").alias("panel_from"), F.date_format(F.max("quote_date"), "yyyy-MM-dd").alias("panel_to"), F.count(F.lit(1)).alias("observations")).withColumn("iso", F.lit(None).cast("string"))
     about = one(meta, "meta", F.struct("panel_from", "panel_to", "observations", F.lit(start).alias("window_from")))

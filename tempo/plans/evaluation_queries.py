@@ -486,7 +486,7 @@ def _bench_sql(body: str, *more: str) -> str:
 
 
 def _benched(s, d):
-    return B.run_benchmark(p1(s, d), names=list(_NAMED), usd=usd(s, d))
+    return B.run_benchmark(cut_lineage(p1(s, d)), names=list(_NAMED), usd=usd(s, d))
 
 
 @query("board_cells", _bench_sql("SELECT strategy, iso, fold, fold_start, fold_end, n_signals, trading_days, " + ", ".join(r(c, c, 4) for c in (*_CELLED, "per_week")) + " FROM ce"))
@@ -805,7 +805,7 @@ _TREND = f"tr2 AS (SELECT * FROM (SELECT iso, quote_date, round(v, 6) AS rate, r
 
 
 def _stand(s, d):
-    panel = p1(s, d)
+    panel = cut_lineage(p1(s, d))
     return panel, cut_lineage(S.signal_table(panel))
 
 

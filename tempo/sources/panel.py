@@ -30,7 +30,7 @@ def parsed_day(text: Column) -> Column:
 
     A time zone is dropped, not applied, so the day does not depend on the session's.
     """
-    plain = F.regexp_replace(F.trim(text.cast("string")), r"(?<=[0-9])\s*(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)$", "")
+    plain = F.regexp_replace(F.trim(text.cast("string")), r"^(.*[0-9]:[0-9]{2}(?:[.][0-9]+)?)\s*(?:Z|[+-][0-9]{2}(?::?[0-9]{2})?)$", "$1")
     iso = F.to_date(plain.try_cast("timestamp_ntz"))
     other = [F.when(plain.rlike(f"^[0-9]{{2}}{sep}[0-9]{{2}}{sep}[0-9]{{4}}$"), F.concat_ws("-", F.substring(plain, 7, 4), F.substring(plain, 4, 2), F.substring(plain, 1, 2)).try_cast("date")) for sep in ("/", "[.]")]
     return F.coalesce(iso, *other)
