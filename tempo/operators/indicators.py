@@ -125,7 +125,7 @@ def params_of(key: Column) -> Column:
     """
 
     def typed(_, text: Column) -> Column:
-        whole = F.when(text.rlike(r"^\\s*[+-]?[0-9]+\\s*$"), F.trim(text).try_cast("long"))
+        whole = F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("long"))
         fraction = F.when(whole.isNull(), text.try_cast("double"))
         return F.struct(whole.alias("whole"), fraction.alias("fraction"), F.when(whole.isNull() & fraction.isNull(), text).alias("text"))
 

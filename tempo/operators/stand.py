@@ -50,14 +50,19 @@ def trend_series(panel: DataFrame, listed: DataFrame, start: str) -> DataFrame:
     return since(done, start).select("iso", "quote_date", F.round(V, 6).alias("rate"), F.round("trend", 6).alias("trend"))
 
 
+def client_message() -> Column:
+    """The message with the currency's name in place of its code, once."""
+    at = F.instr("message", F.col("iso"))
+    before, after = F.substring("message", F.lit(1), at - 1), F.substr(F.col("message"), at + F.length("iso"))
+    return F.when(at > 0, F.concat(before, F.col("currency_name"), after)).otherwise(F.col("message"))
+
+
 def shown_signals(signals: DataFrame, start: str) -> DataFrame:
     """Drawn signals as the stand shows them: rounded, and with the currency's name in place of its code in the message."""
     rows = with_names(since(signals, start, "signal_date"))
-    at = F.instr("message", F.col("iso"))
-    before, after = F.substring("message", F.lit(1), at - 1), F.substr(F.col("message"), at + F.length("iso"))
     return rows.select(
         "iso", "signal_date", "indicator", F.round(V, 6).alias("rate"), F.round("deviation_pct", 3).alias("deviation_pct"), F.coalesce(span_of(F.col("window")), F.lit(0)).alias("span"), "speed", "scenario", "direction",
-        F.round("strength_pct", 4).alias("strength_pct"), "message", F.when(at > 0, F.concat(before, F.col("currency_name"), after)).otherwise(F.col("message")).alias("client_message"),
+        F.round("strength_pct", 4).alias("strength_pct"), "message", client_message().alias("client_message"),
     )
 
 

@@ -118,9 +118,7 @@ def health(panel: DataFrame, wanted: list[str]) -> DataFrame:
 def signal_payloads(panel: DataFrame, config: signals.SignalConfig = signals.SignalConfig()) -> DataFrame:
     """Signals as a client sees them: the currency's name in place of its code, once; no number that JSON lacks."""
     rows = N.with_names(signals.signal_table(panel, config))
-    before, after = F.substring_index("message", F.col("iso"), 1), F.substr(F.col("message"), F.instr("message", F.col("iso")) + F.length("iso"))
-    said = F.when(F.contains(F.col("message"), F.col("iso")), F.concat(before, F.col("currency_name"), after)).otherwise(F.col("message"))
-    return rows.withColumns({"client_message": said, **{c: sinks.finite(F.round(c, n)) for c, n in (("rub_per_unit", 6), ("deviation_pct", 3), ("strength_pct", 4))}})
+    return rows.withColumns({"client_message": stand.client_message(), **{c: sinks.finite(F.round(c, n)) for c, n in (("rub_per_unit", 6), ("deviation_pct", 3), ("strength_pct", 4))}})
 
 
 def run_backtest(panel: DataFrame, usd: DataFrame | None, request: BacktestRequest) -> tuple[DataFrame, DataFrame]:
