@@ -350,16 +350,21 @@ class BenchmarkResult:
     null: DataFrame
 
 
+def evaluated(panel: DataFrame, spec: BenchmarkSpec, names: list[str], usd: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signals, labelled days, cells) of the strategies: what all later tables are made of, kept as tables."""
+    signals, universe, ranges = fold_assigned_signals(panel, names, spec, usd)
+    signals, universe = cut_lineage(signals), cut_lineage(universe)
+    return signals, universe, cut_lineage(all_cells(cells(signals, universe, "held"), names, universe, ranges))
+
+
 def run_benchmark(panel: DataFrame, spec: BenchmarkSpec = BenchmarkSpec(), names: list[str] | None = None, usd: DataFrame | None = None) -> BenchmarkResult:
     """All tables of one evaluation; signals, labelled days, cells and the null feed several of them and are kept as tables."""
     names = names or ["percentile", "zscore", "drawdown", "oracle"]
     strategies = [get_strategy(n) for n in names]
-    signals, universe, ranges = fold_assigned_signals(panel, names, spec, usd)
-    signals, universe = cut_lineage(signals), cut_lineage(universe)
-    universe = universe.withColumns({"hit_favourable": F.col("held_favourable"), "hit_closing": F.col("held_window_closing"), "currency_uplift_bps": F.col("currency_gain_bps"), "bad_push_rate": F.col("bad_push")})
-    cell = cut_lineage(all_cells(cells(signals, universe, "held"), names, universe, ranges))
+    signals, universe, cell = evaluated(panel, spec, names, usd)
+    drawn = universe.withColumns({"hit_favourable": F.col("held_favourable"), "hit_closing": F.col("held_window_closing"), "currency_uplift_bps": F.col("currency_gain_bps"), "bad_push_rate": F.col("bad_push")})
     # days are drawn with both hit rules, each strategy then reads its own
-    null = stats.fold_null(universe, cell, spec.random_trials, spec.seed, [m for m in NULLS if m != "hit_rate"])
+    null = stats.fold_null(drawn, cell, spec.random_trials, spec.seed, [m for m in NULLS if m != "hit_rate"])
     null = cut_lineage(null.withColumn("hit_rate", by_rule(strategies, "hit_favourable", "hit_closing")))
     days = universe.groupBy("iso").agg(F.countDistinct("quote_date").alias("days"))
     corridors = cut_lineage(per_corridor(cell, null, signals, days, spec))

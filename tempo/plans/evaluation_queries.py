@@ -491,7 +491,7 @@ def _benched(s, d):
 
 @query("board_cells", _bench_sql("SELECT strategy, iso, fold, fold_start, fold_end, n_signals, trading_days, " + ", ".join(r(c, c, 4) for c in (*_CELLED, "per_week")) + " FROM ce"))
 def _(s, d):
-    return rounded(_benched(s, d).cells, *_CELLED, "per_week", digits=4, keep=("strategy", "iso", "fold", "fold_start", "fold_end", "n_signals", "trading_days"))
+    return rounded(B.evaluated(p1(s, d), _SPEC, list(_NAMED), usd(s, d))[2], *_CELLED, "per_week", digits=4, keep=("strategy", "iso", "fold", "fold_start", "fold_end", "n_signals", "trading_days"))
 
 
 @query("board_corridors", _bench_sql("SELECT strategy, iso, n_signals, CAST(max_gap_days AS BIGINT) AS max_gap_days, " + ", ".join(r(c, c, 4) for c in _CORRIDORS) + " FROM co", _DRAWN, _CORRIDOR))
@@ -511,7 +511,8 @@ _HELD_AT = " UNION ALL ".join(f"SELECT strategy, {h} AS h, CAST(CASE WHEN strate
 
 @query("board_horizons", _bench_sql("SELECT strategy, " + ", ".join(r(f"avg(hit) FILTER (h = {h})", f"hit_h{h}") for h in _HS) + f" FROM ({_HELD_AT}) GROUP BY strategy", *[Q.labels(h, 1, name=f"l{h}") for h in _HS]))
 def _(s, d):
-    return rounded(_benched(s, d).horizons, *[f"hit_h{h}" for h in _HS], keep=("strategy",))
+    panel = cut_lineage(p1(s, d))
+    return rounded(B.horizon_table(panel, B.evaluated(panel, _SPEC, list(_NAMED), usd(s, d))[0], _HS), *[f"hit_h{h}" for h in _HS], keep=("strategy",))
 
 
 @query("leaderboard")
@@ -869,7 +870,7 @@ def _(s, d):
 
 def _stored(s, d):
     at, found = free_folder(s, "artefacts"), _benched(s, d)
-    C.sinks.write_artefacts({"per_corridor": found.corridors, "leaderboard": found.leaderboard, "signals": found.signals}, at)
+    C.sinks.write_artefacts({"per_corridor": found.corridors, "leaderboard": found.leaderboard}, at)
     return lambda name: C.sinks.read_artefact(s, at, name)
 
 
@@ -885,7 +886,9 @@ def _(s, d):
 
 @query("chart_rate", _bench_sql("SELECT quote_date, round(v, 6) AS rate, coalesce(m, 0) AS n_marks, coalesce(f, '') AS strategies FROM p LEFT JOIN (SELECT quote_date, count(*) AS m, string_agg(strategy, ',' ORDER BY strategy) AS f FROM sg WHERE iso = 'RRR' GROUP BY quote_date) USING (quote_date) WHERE iso = 'RRR' AND quote_date >= DATE '2000-01-01'"))
 def _(s, d):
-    found = H.rate_points(p1(s, d), _stored(s, d)("signals"), "RRR", "2000-01-01")
+    at, panel = free_folder(s, "artefacts"), cut_lineage(p1(s, d))
+    C.sinks.write_artefacts({"signals": B.evaluated(panel, _SPEC, list(_NAMED), usd(s, d))[0]}, at)
+    found = H.rate_points(panel, C.sinks.read_artefact(s, at, "signals"), "RRR", "2000-01-01")
     return found.select("quote_date", F.round("rate", 6).alias("rate"), F.greatest(F.size("marks"), F.lit(0)).cast("long").alias("n_marks"), F.array_join(F.coalesce(F.col("marks.strategy"), F.array().cast("array<string>")), ",").alias("strategies"))
 
 
