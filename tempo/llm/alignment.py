@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 

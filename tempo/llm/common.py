@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempo.functions.storage import cut_lineage, shared_folder
+from tempo.functions.storage import cut_lineage, free_folder, shared_folder
 
-__all__ = ["cut_lineage", "doc_texts", "drop_folder", "free_name", "in_tasks", "keep_until_exit", "shared_folder", "table", "written"]
+__all__ = ["cut_lineage", "doc_texts", "drop_folder", "free_folder", "free_name", "in_tasks", "shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,24 +21,11 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder, for what several steps read."""
-    path = keep_until_exit(df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
+    path = free_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_until_exit(spark: SparkSession, path: str) -> str:
-    """``path``, whose folder is deleted when the driver ends: results that read it may be asked for until then."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def drop() -> None:
-        with contextlib.suppress(Exception):  # the JVM may have ended before
-            system.delete(target, True)
-
-    atexit.register(drop)
-    return path
-
-
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever Spark keeps it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

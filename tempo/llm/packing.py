@@ -8,7 +8,6 @@ which stay as the rule made them; the last remainder is cut into powers of two.
 
 from __future__ import annotations
 
-import base64
 import functools
 import json
 from collections.abc import Iterator

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempo.llm.common import doc_texts, free_name, keep_until_exit, shared_folder
+from tempo.llm.common import doc_texts, free_folder, free_name
 from tempo.llm.packing import token_ids
 
 LIMIT = 512
@@ -150,6 +150,6 @@ def token_counts(docs: DataFrame, path: str | None = None, cache: str | None = N
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     if cache is None:
-        cache = keep_until_exit(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/token-counts-{uuid.uuid4().hex}")
+        cache = free_folder(docs.sparkSession, "token-counts")
     found = with_token_counts(doc_texts(docs), path, cache)
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
