@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempo.functions import windows as W
-from tempo.operators import benchmark, charts, features, indicators, labels, models, policy, signals, stand, stats
+from tempo.operators import benchmark, charts, features, indicators, labels, models, policy, signals, stand
 from tempo.plans import service
 from tempo.sources import chunked, sinks
 from tempo.sources import panel as N
