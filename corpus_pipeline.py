@@ -6,13 +6,11 @@ shared folder and reads them back as the next one's documents, so a lost executo
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempo.llm import exact_dedup, packing, sentence_spans, simhash, toxicity
-from tempo.llm.common import drop_folder, free_name, shared_folder, table
+from tempo.llm.common import drop_folder, free_folder, free_name, table
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. A stage's folder is deleted when the next one's is complete."""
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage. A stage's folder is deleted when the next one's is complete, the last when the driver ends."""
+    base = free_folder(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
