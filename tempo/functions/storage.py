@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +40,23 @@ def free_folder(spark: SparkSession, name: str) -> str:
     return keep_until_exit(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
+#: Spark's own setting: a query that begins while it is on has its shuffle files deleted when it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """DataFrames that are made inside free their shuffle files as soon as they have run, not when the driver collects its garbage."""
+    before = spark.conf.get(_FREE_SHUFFLES)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder."""
+    """Checkpoint to the shared folder; the shuffles that made the rows are freed at once, those of ``df`` itself are not touched."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempo.functions.storage import cut_lineage, free_folder, shared_folder
+from tempo.functions.storage import cut_lineage, free_folder, shared_folder, shuffles_freed
 
-__all__ = ["cut_lineage", "doc_texts", "drop_folder", "free_folder", "free_name", "in_tasks", "shared_folder", "table", "written"]
+__all__ = ["cut_lineage", "doc_texts", "drop_folder", "free_folder", "free_name", "in_tasks", "shared_folder", "shuffles_freed", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,8 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder, for what several steps read."""
     path = free_folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,11 +1,14 @@
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
 import xxhash
 
-from tempo.llm import simhash
+from tempo.functions.storage import _FREE_SHUFFLES
+from tempo.llm import components, simhash
+from tempo.llm.common import cut_lineage, written
 from tempo.llm.components import connected_components
 
 
@@ -69,6 +72,33 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_settled_components_take_no_round(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(components, "cut_lineage", lambda df: kept.append(df) or cut_lineage(df))
+    edges = spark.createDataFrame([(1, 5), (6, 1), (2, 3), (3, 2), (4, 4)], "a long, b long")
+    assert {r.node: r.root for r in components.connected_components(edges).collect()} == {1: 1, 5: 1, 6: 1, 2: 2, 3: 2}
+    assert len(kept) == 1
+
+
+def test_checkpoints_and_written_tables_free_their_shuffles(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+
+    def shuffles() -> set[str]:
+        found = files()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    counts = spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count()
+    for keep in (cut_lineage, written):
+        before, setting = shuffles(), spark.conf.get(_FREE_SHUFFLES)
+        rows = keep(counts)  # counts is held, so no garbage collection can free what it ran
+        assert spark.conf.get(_FREE_SHUFFLES) == setting
+        end = time.time() + 20
+        while (left := shuffles() - before) and time.time() < end:
+            time.sleep(0.1)
+        assert not left
+        assert {r.k: r["count"] for r in rows.collect()} == {r.k: r["count"] for r in counts.collect()}
+
+
 def test_near_duplicates_by_five_word_shingles(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(500)]
