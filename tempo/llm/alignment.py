@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from tempo.llm.common import doc_texts, in_tasks, written
 from tempo.llm.packing import _encoder
 
-_AT_ONCE = 6_000_000  # characters whose distinct pieces are encoded together
+_AT_ONCE = 2_000_000  # characters whose distinct pieces are encoded together: what a worker holds grows with them
 _HELD = 1_000_000  # postings that a task holds before it passes them on
 _DENSE = 4096  # documents from which on a block is a bitmap instead of a list
 _BLOCK = 1 << 16
 _GROUP = 1 << 12  # pairs of one group from which on equal ones are counted before they are formed
 POSTINGS = "pair long, block long, docs binary, planes array<binary>"
+COUNTED = f"{POSTINGS}, n_docs long, n_links long"
 DOCS = "doc_id long, place long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _ODD_SPACES = re.compile(r" \s|^\s|\s$")
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
@@ -49,12 +50,9 @@ class Tokenizers:
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
         self.path_a = path_a
         self.a, self.b = _encoder(path_a), SentencePieceProcessor(model_file=path_b)
-        self.library = Tokenizer.from_file(path_a)
-        self.library.encode_special_tokens = True
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_b = np.array([len(x) for x in self.bytes_b])
@@ -65,6 +63,15 @@ class Tokenizers:
         self.cuts = all("▁" not in p.lstrip("▁") for i, p in enumerate(pieces) if not self.b.is_byte(i))
         self.text = [np.array([f"{i}{end}" for i in range(max(len(pieces), self.a.n_vocab))], dtype=object) for end in ",|;\n"]
 
+    @functools.cached_property
+    def library(self):
+        """Only texts that the encoder of A can't read need it."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path_a)
+        library.encode_special_tokens = True
+        return library
+
     def ids_a(self, text: str) -> list[int]:
         try:
             return self.a.encode_ordinary(text)
@@ -334,8 +341,11 @@ def _posting_batches(kept: list[tuple[np.ndarray, ...]], rows: int = 1 << 20) ->
         begin = end
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """POSTINGS with one row per pair and block: bitmaps and planes of the same block are merged by OR."""
+def merged(rows: DataFrame, counted: bool = False) -> DataFrame:
+    """POSTINGS with one row per pair and block: bitmaps and planes of the same block are merged by OR.
+
+    ``counted`` adds what ``with_popcounts`` adds, in the same Python worker: two steps would take two workers a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -358,20 +368,20 @@ def merged(rows: DataFrame) -> DataFrame:
         return pa.record_batch(posting_batch(pair[order], block[order], doc[order], links[order]))
 
     dealt = in_tasks(rows.select("pair", "block", "docs", "planes"), "pair", "block").sortWithinPartitions("pair", "block")
-    return dealt.mapInArrow(run, POSTINGS)
+    return dealt.mapInArrow(lambda batches: _popcounts(run(batches)), COUNTED) if counted else dealt.mapInArrow(run, POSTINGS)
 
 
-def with_popcounts(postings: DataFrame) -> DataFrame:
-    """Adds n_docs and n_links of each row: its bitmap's bits, and those of the planes by their worth."""
+def _popcounts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, _, _, links = posting_rows(batch)
+        n = np.bincount(row, minlength=batch.num_rows)
+        total = np.bincount(row, weights=links, minlength=batch.num_rows).astype(np.int64)
+        yield pa.record_batch([*batch.columns, pa.array(n), pa.array(total)], names=[*batch.schema.names, "n_docs", "n_links"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, _, _, links = posting_rows(batch)
-            n = np.bincount(row, minlength=batch.num_rows)
-            total = np.bincount(row, weights=links, minlength=batch.num_rows).astype(np.int64)
-            yield pa.record_batch([*batch.columns, pa.array(n), pa.array(total)], names=[*batch.schema.names, "n_docs", "n_links"])
 
-    return postings.mapInArrow(run, f"{POSTINGS}, n_docs long, n_links long")
+def with_popcounts(postings: DataFrame) -> DataFrame:
+    """Adds n_docs and n_links of each row: its bitmap's bits, and those of the planes by their worth."""
+    return postings.mapInArrow(_popcounts, COUNTED)
 
 
 def pair_scores(postings: DataFrame) -> DataFrame:
@@ -426,7 +436,7 @@ def align_tokenizers(docs: DataFrame, path_a: str | None = None, path_b: str | N
     # rows of documents keep their own place among the postings while both are dealt out
     rows = written(encoded(docs, path_a, path_b))
     found = rows.filter("place is not null").select("doc_id", "place", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    postings = written(with_popcounts(merged(rows.filter("pair is not null"))))
+    postings = written(merged(rows.filter("pair is not null"), counted=True))
     return found, postings, pair_scores(postings)
 
 

@@ -111,3 +111,16 @@ def test_long_groups_form_distinct_pairs_only(monkeypatch):
     monkeypatch.setattr(alignment, "_GROUP", 1)
     counted = alignment.align(read, texts)
     assert plain[1] == counted[1] and all((plain[i] == counted[i]).all() for i in (2, 3, 4))
+
+
+def test_a_task_needs_one_worker_and_loads_no_second_library(spark, sf, monkeypatch):
+    plans, keep = [], alignment.written
+    monkeypatch.setattr(alignment, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    _, postings, _ = alignment.align_tokenizers(docs, A, B)
+    assert [p.count("MapInArrow") for p in plans] == [1, 1]
+    again = alignment.with_popcounts(postings.drop("n_docs", "n_links"))
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, postings.collect()))
+    read = alignment.Tokenizers(A, B)
+    alignment.align(read, ["the cat", "naïve façade"])
+    assert not any(isinstance(x, Tokenizer) for x in vars(read).values())
