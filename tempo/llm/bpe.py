@@ -31,7 +31,8 @@ LEXICON = 50_000  # frequent words that are compiled
 _CACHE = 400_000  # merged words that a worker remembers: two workers with 900,000 each exceed 3 GB
 _COUNTED = 200_000
 _SHORT = 40  # bytes of a word that is merged together with others
-_AT_ONCE = 8_000_000  # characters whose distinct words are walked through the automaton together
+_MERGED = 20_000  # words that are merged by the same arrays
+_AT_ONCE = 4_000_000  # characters whose distinct words are walked through the automaton together
 # Texts of these characters are normalised and split here; any other goes through the tokenizer file's own rules.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -262,6 +263,14 @@ def _merged_words(tokenizer: Tokenizer) -> dict[str, tuple[bytes, str]]:
     return {}
 
 
+class Numbers(dict):
+    """Numbers of strings in the order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = found = len(self)
+        return found
+
+
 class Encoder:
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon):
         self.tokenizer, self.lexicon, self.merged = tokenizer, lexicon, _merged_words(tokenizer)
@@ -275,21 +284,25 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """The ids of each text and the text they decode to."""
-        parts = [self.tokenizer.segments(text) for text in texts]
-        words = list({w for segments in parts for found, _ in segments for w in found})
+        known, parts = Numbers(), []
+        for text in texts:  # places of words instead of a string for every occurrence
+            parts.append([(list(map(known.__getitem__, found)), special) for found, special in self.tokenizer.segments(text)])
+        words = list(known)
         numbers = self.lexicon.numbers([w.encode("utf-8", "surrogateescape") for w in words]).tolist()
-        ids_of, text_of, unseen = {}, {}, []
-        for w, n in zip(words, numbers, strict=True):
+        ids_of, text_of, unseen = [b""] * len(words), [""] * len(words), []
+        for i, (w, n) in enumerate(zip(words, numbers, strict=True)):
             if n >= 0:
-                ids_of[w], text_of[w] = self._frequent(n)
+                ids_of[i], text_of[i] = self._frequent(n)
             elif w in self.merged:
-                ids_of[w], text_of[w] = self.merged[w]
+                ids_of[i], text_of[i] = self.merged[w]
             else:
-                unseen.append(w)
-        for w, found in zip(unseen, self.tokenizer.merge_many([w.encode("utf-8", "surrogateescape") for w in unseen]), strict=True):
-            ids_of[w], text_of[w] = value = (found.tobytes(), self.tokenizer.decode(found.tolist()))
-            if len(self.merged) < _CACHE:
-                self.merged[w] = value
+                unseen.append(i)
+        for at in range(0, len(unseen), _MERGED):  # arrays of some symbols of each word stay small
+            part = unseen[at : at + _MERGED]
+            for i, found in zip(part, self.tokenizer.merge_many([words[i].encode("utf-8", "surrogateescape") for i in part]), strict=True):
+                ids_of[i], text_of[i] = value = (found.tobytes(), self.tokenizer.decode(found.tolist()))
+                if len(self.merged) < _CACHE:
+                    self.merged[words[i]] = value
         out = []
         for segments in parts:
             ids, decoded = [], []

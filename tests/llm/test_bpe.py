@@ -89,3 +89,16 @@ def test_words_merged_together_and_alone():
 def test_awkward_and_empty(awkward, empty):
     assert bpe.encoded_digests(awkward).count() == awkward.count()
     assert bpe.encoded_digests(empty).count() == 0
+
+
+def test_unseen_words_are_merged_in_slices(monkeypatch):
+    read = bpe.Tokenizer(PATH)
+    asked, merge = [], bpe.Tokenizer.merge_many
+    monkeypatch.setattr(bpe.Tokenizer, "merge_many", lambda self, words: asked.append(len(words)) or merge(self, words))
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(45_000)})
+    texts = [" ".join(words[i::3]) for i in range(3)] + ["", words[0]]
+    found = bpe.Encoder(read, bpe.Lexicon(bpe.compile_lexicon({}))).encode(texts)
+    assert max(asked) <= 20_000 and sum(asked) == len(words)
+    for text, (ids, _) in zip(texts[2:], found[2:], strict=True):
+        assert ids.tolist() == [i for w in text.split() for i in read.merge(w.encode())]
