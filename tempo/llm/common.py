@@ -19,9 +19,9 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, for what several steps read."""
-    path = free_folder(df.sparkSession, "table")
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder (``path`` is a new folder in it), for what several steps read."""
+    path = path or free_folder(df.sparkSession, "table")
     with shuffles_freed(df.sparkSession):
         df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

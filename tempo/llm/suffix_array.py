@@ -6,7 +6,12 @@ recur in segments of the same minimizer hash. Segments that recur as a whole are
 one hash has different segments, one copy of each goes to a shard, which sorts all suffixes by Larsson-Sadakane
 refinement and takes common prefixes from Kasai's theorem; windows whose prefix with a neighbour reaches ``length``
 recur. A hash with very many different segments is cut into several shards, whose distinct windows are merged by
-binary search over their digests. The text itself is shuffled once, for both uses.
+binary search over their digests; only windows whose core, the bytes that they share with their neighbours on STEP
+places, stands in two segments get that far.
+
+A second, smaller number of bytes (``passage``) is answered in the same pass, for repeats that are reported and stay: the
+minimizers are those of its windows, and a segment's string reaches ``length`` bytes from its last window, or to the end
+of the text. Equal strings of ``length`` bytes begin with equal windows, so their segments meet as well.
 
 Equal segments and, between shards, equal windows are told by 96 and 128 bits of XXH3 without comparing bytes: among 2^40
 segments two different ones agree with a chance of 2^-17, and such a pair would be removed as a repeat.
@@ -22,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempo.llm.common import cut_lineage, doc_texts, written
+from tempo.llm.common import cut_lineage, doc_texts, drop_folder, free_folder, written
 
 LENGTH = 400
+PASSAGE = 256  # bytes of some 50 words, of four letters and a space: repeats that are reported only
 KMER = 48
 SHARD = 2048  # segments of one minimizer hash in a shard
+STEP = 16  # windows of a segment that are asked for together, by the bytes they share
 _AT_ONCE = 1 << 20  # bytes that are hashed or sorted together
 _BASE = 0x9E3779B97F4A7C15
 
@@ -144,16 +151,27 @@ def suffix_array(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     return order, rank, prefix, begin, remaining
 
 
-def repeated_windows(parts: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per part: which windows occur again in any part, and which one of each set of equal windows represents it."""
+def repeated_windows(parts: list[bytes], counts: list[int], lengths: list[int]) -> list[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """For each length, per part: which of its first windows (``counts``) occur again as such a one in any part, and which
+    one of each set of equal windows represents it. What follows the first windows of a part only goes on with them."""
     order, _, prefix, begin, remaining = suffix_array(parts)
-    met = prefix[order] >= length
-    again = np.zeros(len(remaining), dtype=bool)
-    again[order] = met | np.concatenate([met[1:], [False]])
-    first = np.zeros(len(remaining), dtype=bool)
-    first[order] = ~met
-    counts = [max(0, len(x) - length + 1) for x in parts]
-    return [again[b : b + c] for b, c in zip(begin, counts, strict=True)], [first[b : b + c] for b, c in zip(begin, counts, strict=True)]
+    counted = np.zeros(len(remaining), dtype=bool)
+    for b, c in zip(begin, counts, strict=True):
+        counted[b : b + c] = True
+    at = np.flatnonzero(counted[order])
+    common = np.zeros(len(at), dtype=np.int64)
+    if len(at):  # the common prefix with the counted suffix before is the least one on the way
+        common[1:] = np.minimum.reduceat(prefix[order[: at[-1] + 1]], at[:-1] + 1)
+    order = order[at]
+    found = []
+    for length in lengths:
+        met = common >= length
+        again = np.zeros(len(remaining), dtype=bool)
+        again[order] = met | np.concatenate([met[1:], [False]])[: len(met)]
+        first = np.zeros(len(remaining), dtype=bool)
+        first[order] = ~met & (remaining[order] >= length)
+        found.append(([again[b : b + c] for b, c in zip(begin, counts, strict=True)], [first[b : b + c] for b, c in zip(begin, counts, strict=True)]))
+    return found
 
 
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -162,8 +180,8 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
-_SEGMENT = "anchor long, d1 long, d2 int, id long, mark long, first int, n int"
-_COVER = "array<struct<lo: int, hi: int>>"
+_SEGMENT = "anchor long, d1 long, d2 int, id long, mark long, first int, n int, anchor_at int"
+_COVER = "array<struct<lo: int, hi: int, size: int>>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -174,7 +192,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return doc_texts(docs).select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("id"), F.xxhash64("text").alias("mark"), "text")
 
 
-def _segments(keyed: DataFrame, length: int, kmer: int) -> DataFrame:
+def _segments(keyed: DataFrame, least: int, length: int, kmer: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t.encode() for t in batch["text"]]
@@ -182,26 +200,41 @@ def _segments(keyed: DataFrame, length: int, kmer: int) -> DataFrame:
             cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // _AT_ONCE)) + 1
             for rows in np.split(np.arange(len(texts)), cuts):
                 part = [texts[i] for i in rows]
-                text, first, n, anchor, hashed = segments(part, length, kmer)
+                text, first, n, anchor, hashed = segments(part, least, kmer)
                 digests = b"".join(
                     xxhash.xxh3_128_digest(part[t][a : a + c + length - 1], seed=int(m - a)) for t, a, c, m in zip(text.tolist(), first.tolist(), n.tolist(), anchor.tolist(), strict=True)
                 )
                 d = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
-                yield pd.DataFrame({"anchor": hashed, "d1": d[:, 0], "d2": d[:, 1].astype(np.int32), "id": ids[rows][text], "mark": marks[rows][text], "first": first.astype(np.int32), "n": n.astype(np.int32)})
+                yield pd.DataFrame({"anchor": hashed, "d1": d[:, 0], "d2": d[:, 1].astype(np.int32), "id": ids[rows][text], "mark": marks[rows][text], "first": first.astype(np.int32), "n": n.astype(np.int32), "anchor_at": (anchor - first).astype(np.int32)})
 
     return keyed.select("id", "mark", "text").mapInPandas(run, _SEGMENT)
 
 
-def _sorted_shards(segments_: DataFrame, length: int) -> DataFrame:
-    """anchor, d1, d2, cover, windows: what recurs within the shard; of split hashes also the digests of distinct windows."""
+def _sorted_shards(segments_: DataFrame, lengths: list[int]) -> DataFrame:
+    """anchor, d1, d2, cover, groups: what recurs within the shard; of split hashes also the digests of distinct windows.
+
+    Windows are grouped by their distance to the minimizer, STEP at a time, under a digest of that and of the bytes all
+    windows of such a group hold: equal windows are in groups of equal digests.
+    """
+
+    def digest(body: bytes, seed: int) -> tuple[int, int]:
+        return tuple(np.frombuffer(xxhash.xxh3_128_digest(body, seed=seed), dtype="<i8").tolist())
 
     def flush(rows: list) -> pd.DataFrame:
-        again, first = repeated_windows([r.body for r in rows], length)
-        out = []
-        for r, hit, one in zip(rows, again, first, strict=True):
-            windows = [(*np.frombuffer(xxhash.xxh3_128_digest(r.body[i : i + length]), dtype="<i8").tolist(), int(i)) for i in np.flatnonzero(one)] if r.split else []
-            out.append((r.anchor, r.d1, r.d2, [{"lo": a, "hi": b} for a, b in _ranges(hit)], [{"w1": a, "w2": b, "at": i} for a, b, i in windows]))
-        return pd.DataFrame(out, columns=["anchor", "d1", "d2", "cover", "windows"])
+        cover, groups = [[] for _ in rows], [[] for _ in rows]
+        for size, (again, first) in zip(lengths, repeated_windows([r.body for r in rows], [r.n for r in rows], lengths), strict=True):
+            for i, (r, hit, one) in enumerate(zip(rows, again, first, strict=True)):
+                cover[i] += [{"lo": a, "hi": b, "size": size} for a, b in _ranges(hit)]
+                held = {}
+                for at in np.flatnonzero(one).tolist() if r.split else []:
+                    w1, w2 = digest(r.body[at : at + size], 0)
+                    held.setdefault((r.anchor_at - at) // STEP, []).append({"w1": w1, "w2": w2, "at": at, "size": size})
+                for q, windows in held.items():
+                    begin = r.anchor_at - q * STEP  # the last window's first byte; the first window's last byte ends the core
+                    c1, c2 = digest(r.body[begin : max(begin, begin - STEP + 1 + size)], q << 32 | size)
+                    groups[i].append({"c1": c1, "c2": c2, "windows": windows})
+        out = [(r.anchor, r.d1, r.d2, c, g) for r, c, g in zip(rows, cover, groups, strict=True)]
+        return pd.DataFrame(out, columns=["anchor", "d1", "d2", "cover", "groups"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held, last = [], 0, None
@@ -217,20 +250,20 @@ def _sorted_shards(segments_: DataFrame, length: int) -> DataFrame:
             yield flush(rows)
 
     dealt = segments_.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
-    return dealt.mapInPandas(run, f"anchor long, d1 long, d2 int, cover {_COVER}, windows array<struct<w1: long, w2: long, at: int>>")
+    return dealt.mapInPandas(run, f"anchor long, d1 long, d2 int, cover {_COVER}, groups array<struct<c1: long, c2: long, windows: array<struct<w1: long, w2: long, at: int, size: int>>>>")
 
 
 def _merged_shards(windows: DataFrame) -> DataFrame:
-    """Of distinct windows per shard (anchor, d1, d2, w1, w2, at): those that another shard of the same hash holds too."""
+    """Of distinct windows per shard (anchor, d1, d2, w1, w2, at, size): those that another shard of the same hash holds too."""
 
-    names = ["anchor", "w1", "w2"]
+    names = ["anchor", "w1", "w2", "size"]
 
     def met(frame: pd.DataFrame) -> pd.DataFrame:
         """Rows whose window occurs more than once; the frame is sorted, so each is found by bisection."""
         change = (frame[names] != frame[names].shift()).any(axis=1).to_numpy()
         number = np.cumsum(change)
         again = np.searchsorted(number, number, side="right") - np.searchsorted(number, number, side="left") > 1
-        return frame.loc[again, ["anchor", "d1", "d2", "at"]]
+        return frame.loc[again, ["anchor", "d1", "d2", "at", "size"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # the last window's rows, which the next batch may go on with: one for each shard at most
@@ -244,29 +277,49 @@ def _merged_shards(windows: DataFrame) -> DataFrame:
         if rest is not None:
             yield met(rest)
 
-    return windows.repartition("anchor", "w1").sortWithinPartitions("anchor", "w1", "w2").mapInPandas(run, "anchor long, d1 long, d2 int, at int")
+    return windows.repartition("anchor", "w1").sortWithinPartitions(*names).mapInPandas(run, "anchor long, d1 long, d2 int, at int, size int")
+
 
+def _spans(cover: list, size: int, n: int) -> list[list[int]]:
+    """Begin and end of each maximal run of bytes in a text of ``n`` that windows of ``size`` bytes cover."""
+    spans = []
+    for lo, hi in sorted((c["lo"], min(c["hi"] + size, n)) for c in cover if c["size"] == size and c["lo"] + size <= n):
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], hi)
+        else:
+            spans.append([lo, hi])
+    return spans
 
-def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, shard: int = SHARD) -> DataFrame:
+
+def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, shard: int = SHARD, passage: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_bytes, spans (start, length of each maximal removed run), kept (binary).
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else, in the same text or another;
     overlapping occurrences count and all are judged on the input. Texts are UTF-8 bytes, null is empty; texts shorter
     than ``length`` stay. Rows that repeat a text lose all of it if it is long enough, also under a null doc_id.
     An empty table gives an empty result.
+
+    With ``passage``, a number of bytes between ``kmer`` and ``length``, a column ``repeated`` gives the spans that strings
+    of that many bytes cover in the same sense. They are reported only: ``spans`` and ``kept`` are the same without it.
     """
+    least = length if passage is None else passage
+    if not kmer <= least <= length:
+        raise ValueError("kmer, passage and length have to be in this order, the least first")
+    lengths = sorted({least, length})
     keyed = _keyed(docs)
-    found = written(_segments(keyed, length, kmer))
+    folder = free_folder(docs.sparkSession, "table")
+    found = written(_segments(keyed, least, length, kmer), folder)
     same = ["anchor", "d1", "d2"]
     # counts are combined in the tasks that read them and cut off from the joins, so that Spark can split a hot hash there
     hashes = cut_lineage(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), F.min("d1").alias("d_low"), F.max("d1").alias("d_high")).filter("total > 1").drop("total"))
-    shared = cut_lineage(found.join(hashes, "anchor").select(*same, "id", "mark", "first", "n", (F.col("d_low") != F.col("d_high")).alias("mixed")))
-    variants = shared.groupBy(*same, "mixed").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("id", "mark", "first", "n")])
-    whole = variants.filter("copies > 1").select(*same, F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))).alias("cover"))
+    shared = cut_lineage(found.join(hashes, "anchor").select(*same, "id", "mark", "first", "n", "anchor_at", (F.col("d_low") != F.col("d_high")).alias("mixed")))
+    drop_folder(docs.sparkSession, folder)
+    variants = shared.groupBy(*same, "mixed").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("id", "mark", "first", "n", "anchor_at")])
+    whole = variants.filter("copies > 1").select(*same, F.array(*[F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"), F.lit(x).alias("size")) for x in lengths]).alias("cover"))
 
     many = cut_lineage(variants.filter("mixed").groupBy("anchor").agg(F.count(F.lit(1)).alias("members"), F.min("copies").alias("fewest")).filter("fewest = 1").drop("fewest"))
     sorted_in = variants.filter("mixed").join(many, "anchor")
-    wanted = sorted_in.groupBy("id", "mark").agg(F.collect_set(F.struct(*same, "first", "n", "members")).alias("cuts"))  # bounded by the text
+    wanted = sorted_in.groupBy("id", "mark").agg(F.collect_set(F.struct(*same, "first", "n", "anchor_at", "members")).alias("cuts"))  # bounded by the text
     texts = keyed.select("id", "mark", "doc_id", "text")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,53 +330,54 @@ def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, kmer: int
                     body = text.encode()
                     for c in cuts:
                         pieces = -(-c["members"] // shard)
-                        rows.append((c["anchor"], c["d1"], c["d2"], (c["d1"] ^ c["d2"]) % pieces, pieces > 1, body[c["first"] : c["first"] + c["n"] + length - 1]))
+                        rows.append((c["anchor"], c["d1"], c["d2"], (c["d1"] ^ c["d2"]) % pieces, pieces > 1, c["n"], c["anchor_at"], body[c["first"] : c["first"] + c["n"] + length - 1]))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["anchor", "d1", "d2", "shard", "split", "body"])
+                    yield pd.DataFrame(rows, columns=["anchor", "d1", "d2", "shard", "split", "n", "anchor_at", "body"])
 
-    bodies = texts.join(wanted, ["id", "mark"]).select("text", "cuts").mapInPandas(extract, "anchor long, d1 long, d2 int, shard long, split boolean, body binary")
-    shards = _sorted_shards(bodies, length)
+    bodies = texts.join(wanted, ["id", "mark"]).select("text", "cuts").mapInPandas(extract, "anchor long, d1 long, d2 int, shard long, split boolean, n int, anchor_at int, body binary")
+    shards = cut_lineage(_sorted_shards(bodies, lengths))  # read twice
     inside = shards.filter(F.size("cover") > 0).select(*same, "cover")
-    across = _merged_shards(shards.select(*same, F.explode("windows").alias("w")).select(*same, "w.*"))
-    across = across.groupBy(*same).agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))).alias("cover"))  # at most length - kmer + 1
+    core = ["anchor", "c1", "c2"]
+    groups = shards.select(*same, F.explode("groups").alias("g")).select(*same, "g.*")
+    asked = groups.groupBy(*core).agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select(*core)
+    across = _merged_shards(groups.join(asked, core).select(*same, F.explode("windows").alias("w")).select(*same, "w.*"))
+    across = across.groupBy(*same).agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"), "size")).alias("cover"))  # at most a segment's windows
     covers = whole.unionByName(inside).unionByName(across)
 
-    marked = shared.join(covers, same).select("id", "mark", F.transform("cover", lambda x: F.struct((F.col("first") + x.lo).alias("lo"), (F.col("first") + x.hi).alias("hi"))).alias("cover"))
+    marked = shared.join(covers, same).select("id", "mark", F.transform("cover", lambda x: F.struct((F.col("first") + x.lo).alias("lo"), (F.col("first") + x.hi).alias("hi"), x.size.alias("size"))).alias("cover"))
     gone = marked.groupBy("id", "mark").agg(F.flatten(F.collect_set("cover")).alias("cover"))  # bounded by the text, however often it is repeated
 
-    @F.pandas_udf("n_bytes long, spans array<struct<start: long, length: long>>, kept binary")
+    @F.pandas_udf("n_bytes long, spans array<struct<start: long, length: long>>, kept binary, repeated array<struct<start: long, length: long>>")
     def cut(texts: pd.Series, covers: pd.Series) -> pd.DataFrame:
         out = []
         for text, cover in zip(texts, covers, strict=True):
             body = text.encode()
             if cover is None or not len(cover):
-                out.append((len(body), [], body))
+                out.append((len(body), [], body, []))
                 continue
-            spans = []
-            for lo, hi in sorted((c["lo"], c["hi"] + length) for c in cover):
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                else:
-                    spans.append([lo, hi])
+            spans, repeated = _spans(cover, length, len(body)), _spans(cover, least, len(body))
             edges = [0, *(e for s in spans for e in s), len(body)]
             kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(body), [{"start": a, "length": b - a} for a, b in spans], kept))
-        return pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
+            out.append((len(body), [{"start": a, "length": b - a} for a, b in spans], kept, [{"start": a, "length": b - a} for a, b in repeated]))
+        return pd.DataFrame(out, columns=["n_bytes", "spans", "kept", "repeated"])
 
     done = texts.join(gone, ["id", "mark"], "left").select("doc_id", cut("text", "cover").alias("r"))
-    return done.select("doc_id", "r.n_bytes", "r.spans", "r.kept")
+    return done.select("doc_id", "r.n_bytes", "r.spans", "r.kept", *([] if passage is None else ["r.repeated"]))
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``remove_repeated_substrings``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``remove_repeated_substrings``, and n_repeated.
 
     One row per input row, repeated rows and null ids included. A null or empty text has no bytes and the digest of
-    nothing; so has a text that is removed whole. Other columns are not read. An empty table gives an empty result.
+    nothing; so has a text that is removed whole. n_repeated counts the bytes that strings of PASSAGE bytes cover which
+    start elsewhere too, those that stay included. Other columns are not read. An empty table gives an empty result.
     """
-    return remove_repeated_substrings(docs).select(
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s.length)
+    return remove_repeated_substrings(docs, passage=PASSAGE).select(
         "doc_id",
         "n_bytes",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.length).alias("n_removed"),
+        total("spans").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        total("repeated").alias("n_repeated"),
     )

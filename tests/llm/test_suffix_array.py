@@ -70,3 +70,31 @@ def test_repeated_rows_and_empty(awkward, empty):
     want = brute([(r.text or "").encode() for r in awkward.collect()], S.LENGTH)
     assert Counter((r.n_bytes, r.n_removed, r.n_spans) for r in got.collect()) == Counter(w[:3] for w in want)
     assert S.substring_digests(empty).count() == 0
+
+
+@pytest.mark.parametrize("shard", [2048, 2])
+def test_shorter_passages_are_reported_and_stay(spark, shard):
+    """Repeats of 12 bytes are reported as brute force has them, within one text too; those of 20 go as without them."""
+    rng = random.Random(shard)
+    base = "".join(rng.choice("abcdé ") for _ in range(90))
+    texts = [None, "", base, base, "ab" * 30, "a" * 45, "xab" * 4, base[:15], base[70:]]
+    for _ in range(50):
+        at, n = rng.randrange(60), rng.choice([11, 12, 13, 16, 19, 20, 21, 40])
+        parts = ["".join(rng.choice("wxyz") for _ in range(rng.randint(0, 15))), base[at : at + n], "".join(rng.choice("wxyz") for _ in range(rng.randint(0, 15))), rng.choice(["", "ab" * 7, "aa" * 9])]
+        rng.shuffle(parts)
+        texts.append("".join(parts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, sum(s.length for s in r.spans), len(r.spans), bytes(r.kept), sum(s.length for s in r.repeated), len(r.repeated)) for r in S.remove_repeated_substrings(frame, 20, 5, shard, 12).collect())
+    bodies = [(t or "").encode() for t in texts]
+    assert got == [(i, *long, *short[1:3]) for i, (long, short) in enumerate(zip(brute(bodies, 20), brute(bodies, 12), strict=True))]
+
+
+def test_query_reports_passages_of_over_50_words(spark):
+    """A passage of 55 words and under 400 bytes in two texts stays by the contract, and n_repeated tells of it."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(700)]
+    passage = " ".join(words[:55])
+    assert 256 <= len(passage) < S.LENGTH
+    texts = [" ".join(words[100:200]) + "\n" + passage, passage + "! " + " ".join(words[200:300]), " ".join(words[300:700])]
+    got = sorted(S.substring_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "n_removed", "n_repeated").collect())
+    assert [tuple(r) for r in got] == [(0, 0, len(passage)), (1, 0, len(passage)), (2, 0, 0)]
