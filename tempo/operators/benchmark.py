@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,26 +102,27 @@ def build_scores(panel: DataFrame, strategies: list[Strategy], features: DataFra
     """quote_date, available_on, iso, rub_per_unit, strategy, score of all ``strategies``.
 
     Strategies that score from the same table are read off it together: heads are fitted once for all prices of risk,
-    the z-score is tuned once for its gated and vetoed forms.
+    the z-score is tuned once for its gated and vetoed forms. Each of these tables is kept by itself: the driver plans
+    anew after every stage, so its memory follows the largest plan.
     """
     of = lambda *kinds: [s for s in strategies if s.kind in kinds]
     parts = []
     if found := of("rule"):
-        parts.append(_stacked(features, {s.name: rule_score(s.family) for s in found}))
+        parts.append(cut_lineage(_stacked(features, {s.name: rule_score(s.family) for s in found})))
     if found := of("blend"):
-        parts.append(_stacked(blend_scores(trailing_ranks(features)), {s.name: F.col(s.family) for s in found}))
+        parts.append(cut_lineage(_stacked(blend_scores(trailing_ranks(features)), {s.name: F.col(s.family) for s in found})))
     if found := of("oracle"):
-        parts.append(_stacked(build_labels(panel, spec.horizon, spec.execution_offset), {s.name: F.col("currency_gain_bps") for s in found}))
+        parts.append(cut_lineage(_stacked(build_labels(panel, spec.horizon, spec.execution_offset), {s.name: F.col("currency_gain_bps") for s in found})))
     if found := of("model"):
-        parts.append(_stacked(walk_forward_heads(panel, features, UtilityRiskConfig()), {s.name: net_score(float(s.family)) for s in found}))
+        parts.append(cut_lineage(_stacked(walk_forward_heads(panel, features, UtilityRiskConfig()), {s.name: net_score(float(s.family)) for s in found})))
     for s in [s for s in of("tuned") if s.family == "percentile"]:
-        parts.append(_stacked(calibrated(percentile_candidates(panel), [f"window={n}" for n in WINDOWS]), {s.name: F.col("score")}))
+        parts.append(cut_lineage(_stacked(calibrated(percentile_candidates(panel), [f"window={n}" for n in WINDOWS]), {s.name: F.col("score")})))
     for s in [s for s in of("tuned") if s.family == "rules"]:
-        parts.append(_stacked(calibrated(rule_candidates(features), [f"rule={r}" for r in RULES]), {s.name: F.col("score")}))
+        parts.append(cut_lineage(_stacked(calibrated(rule_candidates(features), [f"rule={r}" for r in RULES]), {s.name: F.col("score")})))
     if found := [s for s in of("live", "live_vetoed", "tuned") if s.kind != "tuned" or s.family == "zscore"]:
         true = F.col("deviation_pct") < 0
         form = {"live": F.when(true, F.col("score")).otherwise(BLOCKED), "live_vetoed": F.when(true, BLOCKED).otherwise(F.col("score")), "tuned": F.col("score")}
-        parts.append(_stacked(tuned_scores(panel, SignalConfig(require_true_fact=False)), {s.name: form[s.kind] for s in found}))
+        parts.append(cut_lineage(_stacked(tuned_scores(panel, SignalConfig(require_true_fact=False)), {s.name: form[s.kind] for s in found})))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -207,49 +208,57 @@ def frequency(signals: DataFrame, panel: DataFrame) -> DataFrame:
     return n.join(days, "iso").select("iso", "n_signals", (F.col("n_signals") / (F.col("days") / 5.0)).alias("per_week"), (F.col("n_signals") / (F.col("days") / 21.0)).alias("per_month"))
 
 
-def per_corridor(cell: DataFrame, null: DataFrame, signals: DataFrame, days: DataFrame, spec: BenchmarkSpec) -> DataFrame:
-    """Cells weighted by signals to (strategy, iso), with cadence, matched null, significance and false discovery control."""
+POOLED = "*"
+
+
+def tested(signals: DataFrame, spec: BenchmarkSpec) -> DataFrame:
+    """Significance per (strategy, iso), and per strategy over all its series in the rows whose iso is ``POOLED``; one pass serves both."""
+    level = lambda iso, order: signals.select("strategy", iso.alias("iso"), order.cast("string").alias("_o"), *SIGNIFICANT.values())
+    both = level(F.col("iso"), F.col("quote_date")).unionByName(level(F.lit(POOLED), F.concat_ws("|", "iso", "quote_date")))
+    drawn = ["strategy", F.nullif(F.col("iso"), F.lit(POOLED))]  # a null is no part of a key
+    return stats.significance(both, ["strategy", "iso"], SIGNIFICANT, "_o", spec.horizon, spec.bootstrap_trials, spec.seed, drawn)
+
+
+def per_corridor(cell: DataFrame, null: DataFrame, signals: DataFrame, found: DataFrame, days: DataFrame) -> DataFrame:
+    """Cells weighted by signals to (strategy, iso), with cadence, matched null, significance (``found``) and false discovery control."""
     keys = ["strategy", "iso"]
-    rolled = cell.groupBy(*keys).agg(F.sum("n_signals").alias("n_signals"), *[stats.weighted_mean(m, "n_signals").alias(m) for m in WEIGHTED])
+    rolled = cut_lineage(cell.groupBy(*keys).agg(F.sum("n_signals").alias("n_signals"), *[stats.weighted_mean(m, "n_signals").alias(m) for m in WEIGHTED]))
     rhythm = cadence(signals, keys).drop("n_signals")
     pooled = stats.pooled_null(null, keys, list(NULLS))
-    compared = null_comparison(rolled, pooled, keys)
-    tested = stats.significance(signals, keys, SIGNIFICANT, "quote_date", spec.horizon, spec.bootstrap_trials, spec.seed)
-    out = rolled.join(rhythm, keys, "left").join(compared, keys, "left").join(tested, keys, "left").join(days, "iso", "left")
+    compared = cut_lineage(null_comparison(rolled, pooled, keys))
+    out = rolled.join(rhythm, keys, "left").join(compared, keys, "left").join(found, keys, "left").join(days, "iso", "left")
     out = out.withColumn("per_week", F.col("n_signals") / (F.col("days") / 5.0)).drop("days")
     return stats.benjamini_hochberg(out, ["strategy"])
 
 
 def null_comparison(observed: DataFrame, null: DataFrame, keys: list[str]) -> DataFrame:
-    """Random means, lifts, deltas, quantiles and one-sided p-values per key."""
-    mean = null.groupBy(*keys).agg(
-        *[F.avg(m).alias(f"random_{m}") for m in NULLS], F.expr("percentile(currency_uplift_bps, 0.025D)").alias("random_uplift_q025"), F.expr("percentile(currency_uplift_bps, 0.975D)").alias("random_uplift_q975")
-    )
+    """Random means, lifts, deltas, quantiles and one-sided p-values per key, in one pass over the trials."""
+    seen = ("hit_rate", "hit_favourable", "hit_closing", "currency_uplift_bps", "bad_push_rate")
+    both = null.join(observed.select(*keys, *[F.col(m).alias(f"_{m}") for m in seen]), keys)
+    base = both.groupBy(*keys).agg(
+        *[F.avg(m).alias(f"random_{m}") for m in NULLS], F.expr("percentile(currency_uplift_bps, 0.025D)").alias("random_uplift_q025"), F.expr("percentile(currency_uplift_bps, 0.975D)").alias("random_uplift_q975"),
+        *[F.first(f"_{m}").alias(m) for m in seen],
+        stats.pvalue("currency_uplift_bps", "_currency_uplift_bps").alias("p_value"), stats.pvalue("hit_rate", "_hit_rate").alias("p_value_hit"),
+    )
     lift = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    base = observed.select(*keys, "hit_rate", "hit_favourable", "hit_closing", "currency_uplift_bps", "bad_push_rate").join(mean, keys)
-    out = base.select(
+    return base.select(
         *keys, *[f"random_{m}" for m in NULLS], "random_uplift_q025", "random_uplift_q975", lift("hit_rate", "random_hit_rate").alias("hit_lift"),
         lift("hit_favourable", "random_hit_favourable").alias("hit_lift_favourable"), lift("hit_closing", "random_hit_closing").alias("hit_lift_closing"),
         (F.col("currency_uplift_bps") - F.col("random_currency_uplift_bps")).alias("currency_uplift_delta_bps"), (F.col("bad_push_rate") - F.col("random_bad_push_rate")).alias("bad_push_delta"),
-        (F.col("currency_uplift_bps") - F.col("random_uplift_q975")).alias("uplift_over_null_q975_bps"),
+        (F.col("currency_uplift_bps") - F.col("random_uplift_q975")).alias("uplift_over_null_q975_bps"), "p_value", "p_value_hit",
     )
-    p = stats.permutation_pvalue(null, observed, keys, "currency_uplift_bps").drop("draws")
-    p_hit = stats.permutation_pvalue(null, observed, keys, "hit_rate").drop("draws").withColumnRenamed("p_value", "p_value_hit")
-    return out.join(p, keys, "left").join(p_hit, keys, "left")
 
 
-def leaderboard(corridors: DataFrame, null: DataFrame, signals: DataFrame, spec: BenchmarkSpec) -> DataFrame:
+def leaderboard(corridors: DataFrame, null: DataFrame, found: DataFrame) -> DataFrame:
     """One row per strategy, by cbsb_score: its uplift as a share of its own budget's ceiling, in percent."""
-    rolled = corridors.groupBy("strategy").agg(
+    rolled = cut_lineage(corridors.groupBy("strategy").agg(
         F.sum("n_signals").alias("total_signals"), F.count(F.lit(1)).alias("n_corridors"), *[stats.weighted_mean(m, "n_signals").alias(m) for m in (*WEIGHTED, "interval_cv", "series_share")],
         *[F.min(m).alias(f"{m}_worst_corridor") for m in WEIGHTED], F.avg("per_week").alias("per_week"), F.max("max_gap_days").alias("max_gap_days"),
         F.count_if(F.col("currency_uplift_bps") > 0).alias("corridors_positive"), F.count_if("significant_fdr").alias("corridors_significant"),
-    ).withColumnRenamed("total_signals", "n_signals")
-    pooled = stats.pooled_null(null, ["strategy"], list(NULLS))
-    compared = null_comparison(rolled, pooled, ["strategy"])
-    order = signals.withColumn("_o", F.concat_ws("|", "iso", "quote_date"))
-    tested = stats.significance(order, ["strategy"], SIGNIFICANT, "_o", spec.horizon, spec.bootstrap_trials, spec.seed)
-    out = rolled.join(compared, "strategy", "left").join(tested, "strategy", "left")
+    ).withColumnRenamed("total_signals", "n_signals"))
+    compared = cut_lineage(null_comparison(rolled, stats.pooled_null(null, ["strategy"], list(NULLS)), ["strategy"]))
+    pooled = found.filter(F.col("iso") == POOLED).drop("iso")
+    out = rolled.join(compared, "strategy", "left").join(pooled, "strategy", "left")
     told = F.create_map(*[F.lit(x) for s in STRATEGIES.values() for x in (s.name, f"{s.scenario}|{s.selection}")])[F.col("strategy")]
     out = out.withColumns({"scenario": F.substring_index(told, "|", 1), "selection": F.substring_index(told, "|", -1)})
     return out.withColumn("cbsb_score", F.when(F.col("ceiling_bps") > 0, F.col("currency_uplift_bps") / F.col("ceiling_bps") * 100)).orderBy(F.desc_nulls_last("cbsb_score"))
@@ -330,11 +339,11 @@ def swept_strategies(names: list[str]) -> list[Strategy]:
 
 def fold_assigned_signals(panel: DataFrame, names: list[str], spec: BenchmarkSpec, usd: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Labelled signals of the strategies with ``held`` by each one's rule, all labelled days, both with their fold, and the folds."""
-    labels = build_labels(panel, spec.horizon, spec.execution_offset).filter("outcome_complete")
+    labels = cut_lineage(build_labels(panel, spec.horizon, spec.execution_offset).filter("outcome_complete"))
     ranges = folds(panel.sparkSession, spec.eval_start, labels.agg(F.max("quote_date")), spec.fold_months)
     strategies = [get_strategy(n) for n in names]
     features = cut_lineage(compute_features(panel, usd))
-    sent = emit(cut_lineage(build_scores(panel, strategies, features, spec)), strategies, spec.policy)
+    sent = emit(build_scores(panel, strategies, features, spec), strategies, spec.policy)
     signals = in_folds(sent.join(labels, ["iso", "quote_date"]), ranges)
     return signals.withColumn("held", by_rule(strategies, "held_favourable", "held_window_closing")), in_folds(labels, ranges), ranges
 
@@ -345,9 +354,17 @@ class BenchmarkResult:
     cells: DataFrame
     corridors: DataFrame
     leaderboard: DataFrame
-    gates: DataFrame
-    horizons: DataFrame
     null: DataFrame
+    panel: DataFrame
+    spec: BenchmarkSpec
+
+    @cached_property
+    def gates(self) -> DataFrame:
+        return evaluate_gates(self.leaderboard)
+
+    @cached_property
+    def horizons(self) -> DataFrame:
+        return horizon_table(self.panel, self.signals, offset=self.spec.execution_offset)
 
 
 def evaluated(panel: DataFrame, spec: BenchmarkSpec, names: list[str], usd: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -367,9 +384,9 @@ def run_benchmark(panel: DataFrame, spec: BenchmarkSpec = BenchmarkSpec(), names
     null = stats.fold_null(drawn, cell, spec.random_trials, spec.seed, [m for m in NULLS if m != "hit_rate"])
     null = cut_lineage(null.withColumn("hit_rate", by_rule(strategies, "hit_favourable", "hit_closing")))
     days = universe.groupBy("iso").agg(F.countDistinct("quote_date").alias("days"))
-    corridors = cut_lineage(per_corridor(cell, null, signals, days, spec))
-    board = cut_lineage(leaderboard(corridors, null, signals, spec))
-    return BenchmarkResult(signals, cell, corridors, board, evaluate_gates(board), horizon_table(panel, signals, offset=spec.execution_offset), null)
+    found = cut_lineage(tested(signals, spec))
+    corridors = cut_lineage(per_corridor(cell, null, signals, found, days))
+    return BenchmarkResult(signals, cell, corridors, cut_lineage(leaderboard(corridors, null, found)), null, panel, spec)
 
 
 def prefixes(rows: DataFrame, cuts: DataFrame) -> DataFrame:

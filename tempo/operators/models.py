@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempo.functions.storage import cut_lineage
 from tempo.functions.windows import o, one_row_each, ordered_scan
 from tempo.operators.features import FEATURES, rule_matrix
 from tempo.operators.labels import build_labels, make_target, matured_before
@@ -164,7 +165,7 @@ def heads_data(panel: DataFrame, features: DataFrame, config: UtilityRiskConfig)
     rules = rule_matrix(features).drop("available_on", "rub_per_unit")
     wide = one_row_each(features, ["iso", "quote_date"], "features").join(rules, ["iso", "quote_date"]).dropna(subset=list(config.columns))
     outcomes = build_labels(one_row_each(panel, ["iso", "quote_date"], "panel"), config.horizon, config.execution_offset).select("iso", "quote_date", "fwd_advantage_bps", "bad_push", "is_local_min", "adverse_bps", "label_available_on")
-    known = matured_before(wide.join(outcomes, ["iso", "quote_date"]))
+    known = matured_before(cut_lineage(wide.join(outcomes, ["iso", "quote_date"])))
     return known.withColumn("pos", F.row_number().over(o()) - 1)
 
 

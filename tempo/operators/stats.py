@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempo.functions.storage import cut_lineage
+
 
 def draw_key(seed: int, *parts: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
@@ -60,6 +62,12 @@ def permutation_pvalue(null: DataFrame, observed: DataFrame, keys: list[str], va
     return both.withColumn("_m", mid).groupBy(*keys).agg(((F.count_if(hit) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.count(F.lit(1)).alias("draws"))
 
 
+def pvalue(value: str, observed: str) -> Column:
+    """``permutation_pvalue`` of one group as an aggregate: the share of trials as high as ``observed``; null without any."""
+    hit = F.round(value, 9) >= F.round(observed, 9)
+    return F.when(F.count(value) > 0, (F.count_if(hit) + 1) / (F.count(value) + 1))
+
+
 def benjamini_hochberg(tests: DataFrame, family: list[str], p: str = "p_value", alpha: float = 0.05) -> DataFrame:
     """Adds q_value and significant_fdr per family; a null p-value has neither."""
     known = F.col(p).isNotNull()
@@ -87,7 +95,7 @@ def newey_west(values: DataFrame, keys: list[str], value: str, order: str) -> Da
     return mean.join(variance, keys).select(*keys, "n", "mean", se.alias("se"), (F.col("mean") / se).alias("t_stat"))
 
 
-def block_bootstrap(values: DataFrame, keys: list[str], value: str, order: str, block: int, trials: int, seed: int = 0, level: float = 0.95, draw_by: list[str] | None = None) -> DataFrame:
+def block_bootstrap(values: DataFrame, keys: list[str], value: str, order: str, block: int, trials: int, seed: int = 0, level: float = 0.95, draw_by: list[str | Column] | None = None) -> DataFrame:
     """ci_low, ci_high of the mean from resampled blocks of consecutive values, cut to the original number.
 
     A block's sum is the difference of two running sums, so a trial reads two values a block instead of all of them.
@@ -108,15 +116,16 @@ def block_bootstrap(values: DataFrame, keys: list[str], value: str, order: str,
     return means.groupBy(*keys).agg(F.expr(f"percentile(m, {low!r}D)").alias("ci_low"), F.expr(f"percentile(m, {1 - low!r}D)").alias("ci_high"))
 
 
-def significance(values: DataFrame, keys: list[str], columns: dict[str, str], order: str, block: int, trials: int, seed: int = 0) -> DataFrame:
+def significance(values: DataFrame, keys: list[str], columns: dict[str, str], order: str, block: int, trials: int, seed: int = 0, draw_by: list[str | Column] | None = None) -> DataFrame:
     """<name>_ci_low, <name>_ci_high, <name>_hac_se, <name>_hac_t of each of ``columns`` (name: column) per key.
 
-    Columns share the draws of their key; each counts its own values.
+    Columns share the draws of their key (or of ``draw_by``); each counts its own values. Bounds and errors are kept as tables of their own.
     """
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("x")) for name, c in columns.items()]))
     tall = values.select(*keys, F.col(order).alias("_o"), each.alias("_v")).select(*keys, "_o", "_v.metric", "_v.x").filter("x is not null")
     by = [*keys, "metric"]
-    both = block_bootstrap(tall, by, "x", "_o", block, trials, seed, draw_by=keys).join(newey_west(tall, by, "x", "_o"), by)
+    bounds, errors = cut_lineage(block_bootstrap(tall, by, "x", "_o", block, trials, seed, draw_by=draw_by or keys)), cut_lineage(newey_west(tall, by, "x", "_o"))
+    both = bounds.join(errors, by)
     found = [F.first("ci_low").alias("ci_low"), F.first("ci_high").alias("ci_high"), F.first("se").alias("hac_se"), F.first("t_stat").alias("hac_t")]
     return both.groupBy(*keys).pivot("metric", list(columns)).agg(*found)
 

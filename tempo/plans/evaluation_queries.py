@@ -517,7 +517,7 @@ def _(s, d):
 
 @query("leaderboard")
 def _(s, d):
-    return B.run_benchmark(p1(s, d), names=list(B.STRATEGIES), usd=usd(s, d)).leaderboard
+    return B.run_benchmark(cut_lineage(p1(s, d)), names=list(B.STRATEGIES), usd=usd(s, d)).leaderboard
 
 
 def _cadence_sql() -> str:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempo.functions import windows as W
-from tempo.operators import benchmark, charts, features, indicators, labels, models, policy, signals, stand
+from tempo.operators import benchmark, charts, features, indicators, labels, models, policy, signals, stand, stats
 from tempo.plans import service
 from tempo.sources import chunked, sinks
 from tempo.sources import panel as N
@@ -94,6 +94,29 @@ def test_significance_of_both_columns(run):
             assert series.loc[(name, "TJS"), f"{prefix}_hac_se"] == pytest.approx(np.sqrt(var / len(d))) and series.loc[(name, "TJS"), f"{prefix}_hac_t"] == pytest.approx(np.mean(one) / np.sqrt(var / len(d)))
 
 
+def test_no_plan_of_the_leaderboard_is_large(pair, monkeypatch):
+    """The driver plans anew after every stage, so its memory follows the largest plan."""
+    sizes, asked = [], []
+
+    def planned(df):
+        sizes.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return df.sparkSession.createDataFrame(df.sparkSession.sparkContext.emptyRDD(), df.schema)
+
+    for module in (benchmark, models, stats):
+        monkeypatch.setattr(module, "cut_lineage", planned, raising=False)
+    monkeypatch.setattr(benchmark, "horizon_table", lambda *_, **__: asked.append("horizons"))
+    benchmark.run_benchmark(pair, names=list(benchmark.STRATEGIES))
+    assert max(sizes) <= 12 and not asked
+
+
+def test_a_p_value_needs_a_trial(spark):
+    null = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), ("b", None), ("c", 3.0)], "k string, n double")
+    seen = spark.createDataFrame([("a", 2.0), ("b", 2.0), ("c", None)], "k string, o double")
+    got = {r.k: r.p for r in null.join(seen, "k").groupBy("k").agg(stats.pvalue("n", "o").alias("p")).collect()}
+    alone = {r.k: r.p_value for r in stats.permutation_pvalue(null, seen.withColumnRenamed("o", "n"), ["k"], "n").collect()}
+    assert got == {"a": 2 / 3, "b": None, "c": 1 / 2} and alone == {"a": 2 / 3, "c": 1 / 2}
+
+
 def test_budgets_in_one_pass_equal_single_policies(pair):
     rng = np.random.default_rng(3)
     scores = pair.withColumn("score", F.rand(5) + F.lit(float(rng.random()))).withColumn("minimum_score", F.when(F.col("iso") == "USD", 0.7).cast("double")).cache()
